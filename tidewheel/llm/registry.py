@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, token_counts
+from . import mixing, ngram_join, secrets, sharding, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_sharding": sharding.query,
 }
-ORACLES = {"op7_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op9_ngram_join": ngram_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
