@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, secrets, sharding, token_counts
+from . import language_model, mixing, ngram_join, secrets, sharding, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
+    "op6_language_model": language_model.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
     "op9_ngram_join": ngram_join.query,
