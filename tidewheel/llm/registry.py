@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_model, mixing, ngram_join, secrets, sharding, token_counts
+from . import language_model, mixing, ngram_join, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_token_counts": token_counts.query,
     "op6_language_model": language_model.query,
     "op7_mixing": mixing.query,
