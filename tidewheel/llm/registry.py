@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_model, mixing, ngram_join, secrets, sharding, token_counts, toxicity
+from . import decontamination, language_model, mixing, ngram_join, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_token_counts": token_counts.query,
+    "op3_decontamination": decontamination.query,
     "op6_language_model": language_model.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
