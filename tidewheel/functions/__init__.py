@@ -1 +1 @@
-
+"""Column-level functions: typed absence, durations, rule expressions."""
