@@ -9,11 +9,12 @@ between different sets is found; the classes are the components of the links.
    than H parts, so some part holds the same n-grams in both (pigeonhole). A set sends the hash of each part
    to the tile of that band, packed in bytes; only tiles with several sets go on. Parts without n-grams are
    sent only by sets with so many of them that all equal parts could be empty.
-3. Sets that meet in tiles form clusters. A cluster is compared once: whole where it is small, else in
-   tiles of two blocks of the same or neighbouring size bands. In a tile, bitmaps of hashed n-grams bound
-   the overlap from above by bit counts, and what passes is intersected exactly as sorted arrays. Pairs that
-   are already connected aren't compared again, so a group of n copies costs about n comparisons.
-4. The links' components give each document the least id it can reach.
+3. Each set has a bitmap of its hashed n-grams; bit counts bound the overlap of two sets from above. The sets
+   that meet in a tile are sifted by that bound; equal tiles are sifted once. What passes forms clusters.
+4. A cluster is compared once: whole where it is small, else in tiles of two blocks of the same or
+   neighbouring size bands. In a tile, pairs that pass the bound are intersected exactly as sorted arrays.
+   Pairs that are already connected aren't compared again, so a group of n copies costs about n comparisons.
+5. The links' components give each document the least id it can reach.
 
 Rows: null, empty and blank texts have an empty set, link with nothing and are their own class; a text with
 fewer words than n is one n-gram; repeated rows fall in one class; a row with a null id is its own class
@@ -36,6 +37,9 @@ from .graph import components
 WHOLE, BLOCK = 512, 256
 #: Up to so many candidate sets are broadcast to the scan of the texts; beyond, the texts are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: A tile of more sets than this isn't sifted; its sets form one cluster.
+STAR = 4096
+MOST_BITS = 8192
 _FLUSH = 2_000_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -103,15 +107,47 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bits for each set: an n-gram's bit is given by the top bits of its hash."""
-    bits = int(min(8192, max(256, 1 << (2 * max(map(len, sets)) - 1).bit_length())))
-    shift = np.uint64(64 - bits.bit_length() + 1)
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        flags = np.zeros(bits, np.uint8)
-        flags[(s >> shift).astype(np.int64)] = 1
-        out[i] = np.packbits(flags).view(np.uint64)
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of a set's hashed n-grams as 64-bit words, about two bits an n-gram: a bit is given by the hash's top bits."""
+    bits = min(MOST_BITS, max(128, 1 << (2 * len(s) - 1).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[(s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.uint64)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """The bitmaps as rows of the shortest one's length: neighbouring bits are joined by or."""
+    words = min(map(len, maps))
+    out = np.zeros((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        flags = np.unpackbits(m.view(np.uint8)) if len(m) > words else None
+        out[i] = m if flags is None else np.packbits(flags.reshape(64 * words, -1).any(axis=1)).view(np.uint64)
+    return out
+
+
+def _most(bits: np.ndarray, n: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of set i with sets j: a bit that only one side has is an n-gram of that side alone."""
+    only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
+    only_j = np.bitwise_count(~bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[i] - only_i, n[j] - only_j)
+
+
+def sift(nodes: np.ndarray, n: np.ndarray, maps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect the sets of a tile whose overlap may be large enough."""
+    if len(nodes) > STAR:
+        return [(int(nodes[0]), int(x)) for x in nodes[1:]]
+    order = np.argsort(n, kind="stable")
+    nodes, n, bits = nodes[order], n[order], folded([maps[i] for i in order])
+    label, out = np.arange(len(nodes)), []
+    for i in range(len(nodes) - 1):
+        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
+        j = j[label[j] != label[i]]
+        if len(j):
+            most = _most(bits, n, i, j)
+            for x in j[100 * most >= percent * (n[i] + n[j] - most)]:
+                if label[x] != label[i]:
+                    out.append((int(nodes[i]), int(nodes[x])))
+                    label[label == label[x]] = label[i]
     return out
 
 
@@ -120,16 +156,14 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, perce
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     ids, sets, sides, n = ids[order], [sets[i] for i in order], sides[order], n[order]
-    bits, label, links, two = bitmaps(sets), np.arange(len(sets)), [], len(np.unique(sides)) > 1
+    bits, label, links, two = folded([bitmap(s) for s in sets]), np.arange(len(sets)), [], len(np.unique(sides)) > 1
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
         j = np.arange(i + 1, end)
         j = j[(label[j] != label[i]) & ((sides[j] != sides[i]) if two else True)]
         if not len(j):
             continue
-        only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
-        only_j = np.bitwise_count(~bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] - only_i, n[j] - only_j)
+        most = _most(bits, n, i, j)
         for x in j[100 * most >= percent * (n[i] + n[j] - most)]:
             if label[x] != label[i] and linked(sets[i], sets[x], percent):
                 links.append((int(ids[i]), int(ids[x])))
@@ -138,7 +172,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, perce
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set)."""
+    """doc_id, n_shingles, node (null for an empty set), bits (its bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -146,9 +180,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(1).to_pylist()]
             memo.trim()
             nodes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, bits binary")
 
 
 def _tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
@@ -190,7 +224,7 @@ def _tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """Pairs (least node of a tile, other node) of the tiles in a bucket."""
+    """The tiles of a bucket that hold several sets, as (tile, node): equal tiles once, named by a hash of their nodes."""
     ids, keys = [], []
     for i, k, at in zip(t.column("ids"), t.column("keys"), t.column("at"), strict=True):
         raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 5)
@@ -204,10 +238,13 @@ def _meet(t: pa.Table) -> pa.Table:
     key, node = key[order], node[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
     key, node = key[new], node[new]
-    first = np.concatenate(([True], key[1:] != key[:-1]))
-    least = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    pairs = np.unique(np.stack([least[~first], node[~first]], 1), axis=0) if not first.all() else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((start, [len(key)])))
+    name = np.add.reduceat(mix64(node.view(np.uint64) ^ _K[0]), start) if len(start) else np.empty(0, np.uint64)
+    several = np.flatnonzero(size > 1)
+    several = several[np.unique(name[several], return_index=True)[1]]
+    take = np.repeat(start[several], size[several]) + (np.arange(size[several].sum()) - np.repeat(np.cumsum(size[several]) - size[several], size[several]))
+    return pa.table({"tile": pa.array(np.repeat(name[several], size[several]).view(np.int64)), "node": pa.array(node[take])})
 
 
 def _plan_tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -240,9 +277,17 @@ def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
     """Links (a, b) between different sets, enough of them to connect whatever is linked."""
     spark = docs.sparkSession
     groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meeting = _tiles(docs, n, percent, groups).groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
-    clusters = components(meeting)
+    meeting = materialize(_tiles(docs, n, percent, groups).groupBy("bucket").applyInArrow(_meet, "tile bigint, node bigint").distinct())
     reps = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+
+    def sifted(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("node").to_numpy(), kind="stable")
+        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("bits")]
+        pairs = sift(t.column("node").to_numpy()[order], t.column("n_shingles").to_numpy()[order], [maps[i] for i in order], percent)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    drawn = sets.where("node is not null").join(meeting.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    clusters = components(meeting.join(drawn, "node").groupBy("tile").applyInArrow(sifted, "a bigint, b bigint"))
     members = reps.join(clusters.withColumnRenamed("root", "cluster"), "node")
     plan = materialize(_plan_tiles(members, percent))
     if (count := plan.count()) <= BROADCAST_ROWS:
