@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+
 from .series import Series
 
 _TS = "__tw_ts"
@@ -89,6 +92,21 @@ class Flow:
     def time(self) -> Series:
         return Series(self, "expr", [], lambda: (F.col(_TS).cast("double"), F.lit(None).cast("string")), nullable=False)
 
+    def describe(self, **outputs: Series) -> dict[str, int]:
+        """Counts of the graph: nodes, levels, windows and kernels."""
+        seen: dict[int, Series] = {}
+
+        def visit(s: Series) -> None:
+            if id(s) not in seen:
+                seen[id(s)] = s
+                for i in s.inputs:
+                    visit(i)
+
+        for s in outputs.values():
+            visit(s)
+        kinds = [s.kind for s in seen.values()]
+        return {"nodes": len(kinds), "levels": max(s.level for s in seen.values()), "windows": kinds.count("window"), "kernels": kinds.count("kernel")}
+
     # planning
     def select(self, reasons: bool = False, keep: bool = True, **outputs: Series) -> DataFrame:
         """The input columns (keep) and a column for each output; with reasons also `<name>__absent`."""
@@ -150,24 +168,14 @@ class Flow:
         kept = [c for c in columns if c not in drop]
         types = dict(ready.dtypes)
         schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{name[id(s)]} {s.dtype}, {name[id(s)]}_r string" for s in kernels])
-        run = _kernel_pass(plan, [f"__in_{n}" for n in range(len(inputs))], [f"__inr_{n}" for n in range(len(inputs))], list(self.keys), kept, [name[id(s)] for s in kernels], schema)
+        run = _kernel_pass(plan, [f"__in_{n}" for n in range(len(inputs))], [f"__inr_{n}" for n in range(len(inputs))], list(self.keys), kept, [name[id(s)] for s in kernels], [to_arrow_type(DataType.fromDDL(s.dtype)) for s in kernels])
         return ready.mapInArrow(run, schema)
 
 
-def _kernel_pass(plan: list[tuple[Callable, list[int]]], values: list[str], reasons: list[str], keys: list[str], kept: list[str], names: list[str], schema: str) -> Callable:
+def _kernel_pass(plan: list[tuple[Callable, list[int]]], values: list[str], reasons: list[str], keys: list[str], kept: list[str], names: list[str], kinds: list[pa.DataType]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        kinds = None
         current, state = object(), []
         for b in batches:
-            if kinds is None:
-                try:
-                    full = to_arrow_schema(_parse_datatype_string(schema), timezone="UTC")
-                    kinds = [full.field(n).type for n in names]
-                except Exception:  # types are only needed for kernels' own columns
-                    kinds = [pa.float64()] * len(names)
             rows = b.num_rows
             ts = b.column(b.schema.get_field_index(_TS)).to_pylist()
             v = [b.column(b.schema.get_field_index(n)).to_pylist() for n in values]

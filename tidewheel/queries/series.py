@@ -37,7 +37,8 @@ class Source:
 
 
 def _out(c: Column, kind: str) -> Column:
-    if kind in ("string", "boolean", "int", "bigint"):
+    c = c.cast("double") if kind == "bigint" else c
+    if kind in ("string", "boolean", "int"):
         return c
     return F.when(A.is_finite(c), F.round(c + F.lit(SHIFT), DIGITS) + F.lit(0.0))
 
@@ -265,7 +266,7 @@ _ISLE = f"i as (select *, sum(case when up and not was then 1 else 0 end) over {
 _MS = 3_600_000 * 4
 add("glitch_filter", lambda s: {"x": s.v.glitch_filter(20, _MS)}, ctes=_ISLE, source="g", strings={"x": f"case when not fell then 'NoTransition' when width >= {_MS} then 'ValidPulse' else 'Rejected' end"})
 add("runt_detect", lambda s: dict(zip(("mode", "peak"), s.v.runt_detect(20, 40), strict=True)), ctes=_ISLE, source="g", peak="case when fell then peak end", strings={"mode": "case when fell then case when peak >= 40 then 'ValidPulse' else 'Runt' end end"})
-add("pulse_width", lambda s: dict(zip(("mode", "width"), s.v.pulse_width(20, _MS, 4 * _MS), strict=True)), ctes=_ISLE, source="g", strings={"mode": f"case when fell then case when width < {_MS} then 'TooShort' when width > {4 * _MS} then 'TooLong' else 'Valid' end end", "width": "case when fell then width end"})
+add("pulse_width", lambda s: dict(zip(("mode", "width"), s.v.pulse_width(20, _MS, 4 * _MS), strict=True)), ctes=_ISLE, source="g", width="case when fell then width end", strings={"mode": f"case when fell then case when width < {_MS} then 'TooShort' when width > {4 * _MS} then 'TooLong' else 'Valid' end end"})
 add("window_detect", lambda s: {"x": s.v.window_detect(10, 30)}, ctes=f"z as (select *, case when v < 10 then -1 when v > 30 then 1 else 0 end as z from e), g as (select *, lag(z) over {W} as pz from z)", source="g", strings={"x": "case when z = 0 and pz <> 0 then 'EnteredWindow' when pz = 0 and z = -1 then 'ExitedLow' when pz = 0 and z = 1 then 'ExitedHigh' end"})
 
 

@@ -1,2 +1,223 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Keyed streams, combinators, patterns, rules and sinks over events."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import rules as R
+from ..functions.json_api import compute_indicator, window_join_keyed
+from ..operators import combinators as C, keyed as K
+from ..plans.pattern import Pattern, match_pattern
+from ..sources import files, influx
+from .series import BASE, DIGITS, W, _out, _sql_out, events, wn
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+HOUR = 3_600_000
+#: events with ms times, and an order of arrival in which every key is out of order.
+ARRIVAL = "(event_id + (event_id % 4) * 400) * 1000000 + event_id"
+SQL = f"{BASE}, a as (select *, {ARRIVAL} as a from e)"
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events(spark, sf_dir)
+    t = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / F.lit(1000)).cast("bigint")
+    return d.select("event_id", "user_id", t.alias("t"), F.col("value").alias("v"), "event_type", "props").withColumn("a", F.expr(ARRIVAL))
+
+
+def add(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(stream(spark, sf_dir))
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+def num(c: str):
+    return _out(F.col(c).cast("double"), "double").alias(c)
+
+
+# out-of-order policies
+_LATE = "coalesce(t < max(t) over (partition by user_id order by a rows between unbounded preceding and 1 preceding), false)"
+add("ooo_drop", lambda d: K.ordered(d, "user_id", "t", "a", K.Drop()).select("event_id", "late", F.col("seq").cast("double").alias("seq")),
+    f"with {SQL}, l as (select *, {_LATE} as late from a) select event_id, late, case when not late then sum((not late)::int) over (partition by user_id order by a) - 1 end::double as seq from l")
+add("ooo_error", lambda d: K.ordered(d, "user_id", "t", "a", K.Error()).select("event_id", "error"),
+    f"with {SQL} select event_id, case when {_LATE} then 'InvalidInput: out of order' end as error from a")
+_L = 48 * HOUR // 2
+
+
+def _buffered(lateness: int) -> str:
+    return f"""with {SQL}, m as (select *, max(t) over (partition by user_id order by a rows between unbounded preceding and 1 preceding) as newest from a),
+ l as (select x.event_id, x.user_id, x.t, x.a, x.v, coalesce(x.t < (select max(y.t) from a y where y.user_id = x.user_id and y.a < x.a and y.t <= x.newest - {lateness}), false) as late from m x)"""
+
+
+add("ooo_buffer", lambda d: K.ordered(d, "user_id", "t", "a", K.Buffer(6 * HOUR), ["event_id"]).select("event_id", "late", F.col("seq").cast("double").alias("seq")),
+    _buffered(6 * HOUR) + " select event_id, late, case when not late then row_number() over (partition by user_id, late order by t, a) - 1 end::double as seq from l")
+add("reorder_buffer", lambda d: K.ordered(d, "user_id", "t", "a", K.Buffer(24 * HOUR), ["event_id"]).select("event_id", "late", F.col("seq").cast("double").alias("seq")),
+    _buffered(24 * HOUR) + " select event_id, late, case when not late then row_number() over (partition by user_id, late order by t, a) - 1 end::double as seq from l")
+add("late_side_output", lambda d: K.late_records(d, "user_id", "t", "a", K.Drop()).select("user_id", "t", "event_id"), f"with {SQL}, l as (select *, {_LATE} as late from a) select user_id, t, event_id from l where late")
+add("flush", lambda d: K.ordered(d, "user_id", "t", "a", K.Buffer(6 * HOUR), ["event_id", "t"]).groupBy("user_id").agg(F.count("seq").alias("released"), F.max("t").alias("last")),
+    _buffered(6 * HOUR) + " select user_id, count(*) filter (where not late) as released, max(t) as last from l group by user_id")
+add("keyed", lambda d: compute_indicator(d, {"indicator": "sma", "period": 5}, "t", "v", "user_id", "event_id", unique_ts=True).select("event_id", num("sma")), f"with {BASE} select event_id, {_sql_out(f'avg(v) over {wn(5)}')} as sma from e")
+
+# windows that emit
+_SES = f"s as (select *, sum(case when t - p < {12 * HOUR} then 0 else 1 end) over {W} as sess from (select *, lag(t) over {W} as p from e))"
+add("session_sum", lambda d: K.session_sum(d, "user_id", "t", "event_id", "v", 12 * HOUR).select("user_id", "emit_ts", num("sum")),
+    f"with {BASE}, {_SES} select user_id, max(t) + {12 * HOUR} as emit_ts, {_sql_out('sum(v)')} as sum from s group by user_id, sess")
+add("tumbling_sum", lambda d: K.tumbling_sum(d, "user_id", "t", "v", 24 * HOUR).select("user_id", "emit_ts", num("sum")),
+    f"with {BASE} select user_id, (t // {24 * HOUR} + 1) * {24 * HOUR} as emit_ts, {_sql_out('sum(v)')} as sum from e group by user_id, t // {24 * HOUR}")
+add("tumbling_sum_count", lambda d: K.tumbling_sum_count(d, "user_id", "t", "a", "v", 24 * HOUR, 6 * HOUR).select("user_id", "window_start", "window_end", "count", num("sum")),
+    _buffered(6 * HOUR) + f" select user_id, t // {24 * HOUR} * {24 * HOUR} as window_start, (t // {24 * HOUR} + 1) * {24 * HOUR} as window_end, count(*) as count, {_sql_out('sum(v)')} as sum from l where not late group by user_id, t // {24 * HOUR}")
+_PL, _PH = 2 * HOUR, 10 * HOUR
+add("pulse_width_keyed", lambda d: K.pulse_width_keyed(d, "user_id", "t", "event_id", "v", 20.0, _PL, _PH),
+    f"""with recursive {BASE}, n as (select *, row_number() over {W} as rn from e),
+ r as (select user_id, 0::bigint as rn, null::bigint as st, null::bigint as emit_ts, null::varchar as mode, null::bigint as width from (select distinct user_id from n)
+  union all select user_id, rn, case when up then coalesce(open, t) end, case when timed then st + {_PH} + 1 when not up and open is not null then t end,
+    case when timed then 'TooLong' when not up and open is not null then case when t - open < {_PL} then 'TooShort' else 'Valid' end end, case when timed then {_PH} when not up and open is not null then t - open end
+  from (select n.user_id, n.rn, n.t, n.v >= 20 as up, r.st, r.st is not null and n.t >= r.st + {_PH} + 1 as timed, case when r.st is not null and n.t < r.st + {_PH} + 1 then r.st end as open from r join n on n.user_id = r.user_id and n.rn = r.rn + 1)),
+ f as (select user_id, arg_max(st, rn) as st from r group by user_id)
+select user_id, emit_ts, mode, width as width_ms from r where mode is not null union all select f.user_id, st + {_PH} + 1, 'TooLong', {_PH} from (select user_id, (select st from r x where x.user_id = y.user_id order by rn desc limit 1) as st from (select distinct user_id from r) y) f where st is not null""")
+
+# validation
+_OPT = K.ValidationOptions(assert_sorted=True, max_gap_ms=60 * HOUR, min_warmup=2, error_on_negative=True)
+add("validated", lambda d: K.validated(d.withColumn("w", F.col("v") - 5), "user_id", "t", "a", "event_id", "w", _OPT),
+    f"""with recursive {SQL}, n as (select *, row_number() over (partition by user_id order by a) as rn from a),
+ r as (select user_id, 0::bigint as rn, null::bigint as event_id, null::bigint as last, 0::bigint as n, null::varchar as status, null::varchar as problem from (select distinct user_id from n)
+  union all select user_id, rn, event_id, case when p in ('not sorted', 'gap') then last else t end, n + (p is null)::int, case when p is not null then 'error' when n + 1 >= 2 then 'ok' else 'warming' end, p
+  from (select n.user_id, n.rn, n.event_id, n.t, r.last, r.n, case when n.t < r.last then 'not sorted' when n.t - r.last > {60 * HOUR} then 'gap' when n.v - 5 < 0 then 'negative' end as p from r join n on n.user_id = r.user_id and n.rn = r.rn + 1))
+select user_id, event_id, status, problem from r where rn > 0""")
+add("try", lambda d: d.select("event_id", K.tried(F.col("v"), F.col("v") > 20, "too small").alias("r")).select("event_id", F.round(F.col("r")["value"], DIGITS).alias("value"), F.col("r")["error"].alias("error")),
+    f"with {BASE} select event_id, case when v > 20 then round(v, 4) end as value, case when v > 20 then null else 'too small' end as error from e")
+add("validators", lambda d: d.select("event_id", K.require_positive(F.col("v") - 10).alias("positive"), K.require_in_range(F.col("v"), 5, 30).alias("in_range"), K.require_finite(F.col("v")).alias("finite"), K.require_non_negative(F.col("v") - 10).alias("non_negative")),
+    f"with {BASE} select event_id, v - 10 > 0 as positive, v between 5 and 30 as in_range, isfinite(v) as finite, v - 10 >= 0 as non_negative from e")
+
+# state by key
+add("dedup_store", lambda d: d.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("event_id")), f"with {BASE} select user_id, event_type, min_by(event_id, t) as event_id from e group by all")
+add("projection_store", lambda d: d.groupBy("user_id").agg(F.max_by("v", F.struct("t", "event_id")).alias("v")), f"with {BASE} select user_id, max_by(v, t) as v from e group by user_id")
+add("shard", lambda d: d.select("user_id", F.pmod(F.conv(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(8)).cast("int").alias("shard")).distinct(),
+    f"with {BASE} select distinct user_id, (('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 8)::int as shard from e")
+add("metrics", lambda d: d.groupBy("user_id").agg(F.count("*").alias("records"), F.min("t").alias("first_ts"), F.max("t").alias("last_ts")), f"with {BASE} select user_id, count(*) as records, min(t) as first_ts, max(t) as last_ts from e group by user_id")
+
+# combinators
+_type = lambda d, t: d.filter(F.col("event_type") == t)
+add("merge_by_timestamp", lambda d: C.merge_by_timestamp([_type(d, "error"), _type(d, "purchase")], "t", "event_id").select("event_id", "t", "source"), f"with {BASE} select event_id, t, (event_type = 'purchase')::int as source from e where event_type in ('error', 'purchase')")
+add("window_join", lambda d: C.window_join(_type(d, "error"), _type(d, "purchase"), "event_id", "t", "t", HOUR, ["event_id", "v"]).select("event_id", F.size("matches").cast("bigint").alias("n"), F.aggregate("matches", F.lit(0).cast("bigint"), lambda s, m: s + m["event_id"]).alias("ids")),
+    f"with {BASE} select l.event_id, count(r.event_id) as n, coalesce(sum(r.event_id), 0)::bigint as ids from e l left join e r on r.event_type = 'purchase' and abs(l.t - r.t) <= {HOUR} where l.event_type = 'error' group by l.event_id")
+
+
+def _pairs(d: DataFrame) -> DataFrame:
+    left, right = _type(d, "error").alias("l"), _type(d, "purchase").alias("r")
+    j = C.keyed_window_join(left, right, F.col("l.user_id"), F.col("r.user_id"), F.col("l.t"), F.col("r.t"), 24 * HOUR)
+    return j.select(F.col("l.event_id").alias("l_id"), F.col("r.event_id").alias("r_id"))
+
+
+_JOIN = f"from e l join e r on l.user_id = r.user_id and r.t between l.t and l.t + {24 * HOUR} where l.event_type = 'error' and r.event_type = 'purchase'"
+add("keyed_window_join", _pairs, f"with {BASE} select l.event_id as l_id, r.event_id as r_id {_JOIN}")
+add("window_join_keyed_json", lambda d: window_join_keyed(_type(d, "error"), _type(d, "purchase"), "user_id", "t", 24 * HOUR).select("left_event_id", "right_event_id", "deltaMs"), f'with {BASE} select l.event_id as left_event_id, r.event_id as right_event_id, r.t - l.t as "deltaMs" {_JOIN}')
+
+
+def _greedy(window: int) -> str:
+    return f"""with recursive {BASE}, n as (select *, row_number() over {W} as rn from e),
+ r as (select user_id, 0::bigint as rn, null::bigint as event_id, null::bigint as last, false as kept from (select distinct user_id from n)
+  union all select n.user_id, n.rn, n.event_id, case when r.last is null or n.t - r.last >= {window} then n.t else r.last end, r.last is null or n.t - r.last >= {window} from r join n on n.user_id = r.user_id and n.rn = r.rn + 1)
+select event_id from r where kept"""
+
+
+add("dedupe_by_key", lambda d: C.dedupe_by_key(d, "user_id", "t", "event_id", 24 * HOUR).select("event_id"), _greedy(24 * HOUR))
+add("rate_limit", lambda d: C.rate_limit(d, "t", "event_id", 12 * HOUR, "user_id").select("event_id"), _greedy(12 * HOUR))
+add("rate_limit_keep_last", lambda d: C.rate_limit_keep_last(d, "t", "event_id", 24 * HOUR, "user_id").select("event_id"),
+    f"""with recursive {BASE}, n as (select *, row_number() over {W} as rn from e),
+ r as (select user_id, 0::bigint as rn, null::bigint as last, null::bigint as pt, null::bigint as pid, null::bigint as out from (select distinct user_id from n)
+  union all select user_id, rn, case when last is null then t when due then pt else last end, case when last is null then null else t end, case when last is null then null else event_id end, case when last is null then event_id when due then pid end
+  from (select n.user_id, n.rn, n.t, n.event_id, r.last, r.pt, r.pid, r.pid is not null and n.t - r.last >= {24 * HOUR} as due from r join n on n.user_id = r.user_id and n.rn = r.rn + 1))
+select out as event_id from r where out is not null union all select pid from (select user_id, pid, row_number() over (partition by user_id order by rn desc) as k from r) where k = 1 and pid is not null""")
+_ids = lambda c: F.concat_ws(",", F.transform(c, lambda m: m["event_id"].cast("string"))).alias("ids")
+add("batch_by_time", lambda d: C.batch_by_time(d, "user_id", "t", "a", 24 * HOUR, ["event_id"]).select("user_id", "bucket", _ids("items")),
+    f"with {SQL}, b as (select *, t // {24 * HOUR} * {24 * HOUR} as b from a), c as (select *, coalesce((b <> lag(b) over (partition by user_id order by a))::int, 1) as n from b), g as (select *, sum(n) over (partition by user_id order by a) as g from c) select user_id, any_value(b) as bucket, string_agg(event_id::varchar, ',' order by a) as ids from g group by user_id, g")
+add("partition", lambda d: C.partition(d, F.col("v") > 20)[0].select("event_id", F.lit(True).alias("side")).union(C.partition(d, F.col("v") > 20)[1].select("event_id", F.lit(False))), f"with {BASE} select event_id, v > 20 as side from e")
+add("partition_lazy", lambda d: C.partition_lazy(d, F.col("v") > 20).select("event_id", "matched"), f"with {BASE} select event_id, v > 20 as matched from e")
+add("fork", lambda d: C.fork(d, 2)[0].select("event_id").union(C.fork(d, 2)[1].select("event_id")), f"with {BASE} select event_id from e union all select event_id from e")
+add("group_by_key", lambda d: C.group_by_key(d, "user_id", "a", ["event_id"]).select("user_id", _ids("items")), f"with {SQL} select user_id, string_agg(event_id::varchar, ',' order by a) as ids from a group by user_id")
+
+# patterns
+_E, _P, _V = "event_type == 'error'", "event_type == 'purchase'", "event_type == 'view'"
+
+
+def _matches(d: DataFrame, p: Pattern, shapes: bool = True) -> DataFrame:
+    m = match_pattern(d, p, "user_id", "t", "event_id", "event_id", shapes)
+    return m.select("user_id", "at", F.concat_ws(",", F.transform("events", lambda e: e.cast("string"))).alias("ids"))
+
+
+def _next(kind: str, alias: str = "x", of: str = "w") -> str:
+    return f"left join lateral (select y.event_id, y.t from e y where y.user_id = {of}.user_id and y.t > {of}.t and {kind} order by y.t limit 1) {alias} on true"
+
+
+_WHEN = "w as (select * from e where event_type = 'error')"
+_TWO = f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.event_type = 'purchase'") + " where x.t is not null"
+add("cep_when", lambda d: _matches(d, Pattern("p").when(_E)), f"with {BASE}, {_WHEN} select user_id, t as at, event_id::varchar as ids from w")
+add("cep_then", lambda d: _matches(d, Pattern("p").when(_E).then(_P)), _TWO)
+add("cep_within", lambda d: _matches(d, Pattern("p").when(_E).then(_P).within("12h")), _TWO + f" and x.t - w.t <= {12 * HOUR}")
+add("cep_not_then", lambda d: _matches(d, Pattern("p").when(_E).not_then(_P).within("12h")), f"with {BASE}, {_WHEN} select w.user_id, w.t + {12 * HOUR} as at, w.event_id::varchar as ids from w " + _next("y.event_type = 'purchase'") + f" where x.t is null or x.t - w.t > {12 * HOUR}")
+add("cep_not_between", lambda d: _matches(d, Pattern("p").when(_E).not_between(_V).then(_P)), f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.event_type = 'purchase'") + " " + _next("y.event_type = 'view'", "g") + " where x.t is not null and (g.t is null or g.t > x.t)")
+add("cep_next", lambda d: _matches(d, Pattern("p").when(_E).next().then(_P)), f"with {BASE}, l as (select *, lead(event_type) over {W} as ny, lead(t) over {W} as nt, lead(event_id) over {W} as ni from e) select user_id, nt as at, event_id || ',' || ni as ids from l where event_type = 'error' and ny = 'purchase'")
+add("match_pattern", lambda d: _matches(d, Pattern("p").when(_E).then(_V).within("24h").then(_P).within("24h"), False),
+    f"with {BASE}, {_WHEN} select w.user_id, z.t as at, w.event_id || ',' || x.event_id || ',' || z.event_id as ids from w " + _next("y.event_type = 'view'") + " " + _next("y.event_type = 'purchase'", "z", "x").replace("y.user_id = x.user_id", "y.user_id = w.user_id") + f" where x.t - w.t <= {24 * HOUR} and z.t - x.t <= {24 * HOUR}")
+add("cep_runtime", lambda d: _matches(d, Pattern("p").when(_E).not_between(_V).then(_P).within("24h"), False), f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.event_type = 'purchase'") + " " + _next("y.event_type = 'view'", "g") + f" where x.t - w.t <= {24 * HOUR} and (g.t is null or g.t > x.t)")
+add("cep_times", lambda d: _matches(d, Pattern("p").when(_E).then(_V).times(2, 2).then(_P)),
+    f"with {BASE}, {_WHEN} select w.user_id, z.t as at, w.event_id || ',' || x.event_id || ',' || x2.event_id || ',' || z.event_id as ids from w " + _next("y.event_type = 'view'") + " " + _next("y.event_type = 'view'", "x2", "x").replace("y.user_id = x.user_id", "y.user_id = w.user_id") + " " + _next("y.event_type = 'purchase'", "z", "x2").replace("y.user_id = x2.user_id", "y.user_id = w.user_id") + " where z.t is not null")
+add("cep_emit", lambda d: match_pattern(d, Pattern("buy").when(_E).then(_P), "user_id", "t", "event_id", "event_id").select("user_id", "pattern", (F.element_at("times", -1) - F.get("times", 0)).alias("took")), f"with {BASE}, {_WHEN} select w.user_id, 'buy' as pattern, x.t - w.t as took from w " + _next("y.event_type = 'purchase'") + " where x.t is not null")
+add("cep_cel", lambda d: _matches(d, Pattern("p").when(_E).then("event_type == 'purchase' && v > first_v && user_id == first_user_id")), f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.event_type = 'purchase' and y.v > w.v") + " where x.t is not null")
+add("cep_spec", lambda d: _matches(d, Pattern.from_spec({"name": "p", "when": _E, "then": [_P], "notBetween": [_V], "within": 24 * HOUR})), f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.event_type = 'purchase'") + " " + _next("y.event_type = 'view'", "g") + f" where x.t - w.t <= {24 * HOUR} and (g.t is null or g.t > x.t)")
+add("cep_bindings", lambda d: _matches(d, Pattern("p").when(F.col("event_type") == "error").then(F.col("v") > 50)), f"with {BASE}, {_WHEN} select w.user_id, x.t as at, w.event_id || ',' || x.event_id as ids from w " + _next("y.v > 50") + " where x.t is not null")
+
+# rules
+_RULE = "v > 20.0 && event_type == 'error' || event_id % 10 == 3"
+_RSQL = "v > 20 and event_type = 'error' or event_id % 10 = 3"
+add("cel_filter", lambda d: R.cel_filter(d, _RULE).select("event_id"), f"with {BASE} select event_id from e where {_RSQL}")
+add("cel_filter_result", lambda d: R.cel_filter_result(d, "v > 20.0 && missing == 1").select("event_id", "passed", "error"), f"with {BASE} select event_id, case when not v > 20 then false end as passed, case when v > 20 then 'evaluation failed' end as error from e")
+_ENGINE = R.RuleEngine([R.Rule("small", "v < 10.0", "tag", {"tag": "low"}), R.Rule("big", "v > 40.0", "alert", {"notify": ["ops"]}, 1), R.Rule("buy", "event_type in ['purchase', 'signup']", "record", {"duration": 5}, 2), R.Rule("off", "true", "log", {}, 0, False)])
+_names = lambda c: F.concat_ws(",", F.transform(c, lambda r: r["rule"])).alias("rules")
+_RULES = "concat_ws(',', case when v > 40 then 'big' end, case when event_type in ('purchase', 'signup') then 'buy' end, case when v < 10 then 'small' end)"
+add("cel_rules", lambda d: _ENGINE.evaluate(d).select("event_id", _names("rules")), f"with {BASE} select event_id, {_RULES} as rules from e")
+add("cel_actions", lambda d: _ENGINE.evaluate_first(d).select("event_id", F.col("rule")["action"].alias("action"), F.col("rule")["params"].alias("params")), f"""with {BASE} select event_id, case when v > 40 then 'alert' when event_type in ('purchase', 'signup') then 'record' when v < 10 then 'tag' end as action, case when v > 40 then '{{"notify": ["ops"]}}' when event_type in ('purchase', 'signup') then '{{"duration": 5}}' when v < 10 then '{{"tag": "low"}}' end as params from e""")
+add("cel_route", lambda d: R.cel_route(d, _ENGINE).select("event_id", F.size("rules").alias("n")), f"with {BASE} select event_id, (v > 40)::int + (event_type in ('purchase', 'signup'))::int + (v < 10)::int as n from e")
+add("cel_route_matched", lambda d: R.cel_route_matched(d, _ENGINE).select("event_id"), f"with {BASE} select event_id from e where v > 40 or v < 10 or event_type in ('purchase', 'signup')")
+add("evaluate_rules", lambda d: R.evaluate_rules(d, '[{"name": "a", "condition": "v > 40.0"}, {"name": "b", "condition": "v < 10.0 || size(event_type) == 4", "priority": 1}]', "event_id").select("item_id", F.concat_ws(",", "matched_rules").alias("names")), f"with {BASE} select event_id as item_id, concat_ws(',', case when v < 10 or length(event_type) = 4 then 'b' end, case when v > 40 then 'a' end) as names from e")
+_POLICY = R.PolicyEngine().add_policy("allow", ["v >= data_floor && event_type != 'error'", "user_id == 1"]).add_data({"floor": 15.0})
+_ALLOW = "(v >= 15 and event_type <> 'error') or user_id = 1"
+add("rego_filter", lambda d: _POLICY.filter(d, "allow").select("event_id"), f"with {BASE} select event_id from e where {_ALLOW}")
+add("rego_filter_result", lambda d: _POLICY.filter_result(d, "allow").select("event_id", "allowed", "error"), f"with {BASE} select event_id, {_ALLOW} as allowed, null::varchar as error from e")
+add("rego_engine", lambda d: _POLICY.filter_result(d, "absent").select("event_id", "allowed", "error"), f"with {BASE} select event_id, false as allowed, 'unknown query absent' as error from e")
+_SCRIPTS = R.ScriptEngine().compile("double", "v * 2.0 + 1.0").compile("hot", "v > 30.0").compile("label", "v > 30.0 ? 'hot' : event_type + '!'")
+add("rhai_filter", lambda d: _SCRIPTS.filter(d, "hot").select("event_id"), f"with {BASE} select event_id from e where v > 30")
+add("rhai_map", lambda d: _SCRIPTS.map(d, "double").select(num("value")), f"with {BASE} select {_sql_out('v * 2 + 1')} as value from e")
+add("rhai_enrich", lambda d: _SCRIPTS.enrich(d, "label").select("event_id", "value"), f"with {BASE} select event_id, case when v > 30 then 'hot' else event_type || '!' end as value from e")
+add("rhai_result", lambda d: _SCRIPTS.result(d, "10 / (event_id % 3)").select("event_id", F.col("value").cast("double").alias("value"), "error"), f"with {BASE} select event_id, case when event_id % 3 <> 0 then (10 // (event_id % 3))::double end as value, case when event_id % 3 = 0 then 'evaluation failed' end as error from e")
+add("script_engine", lambda d: _SCRIPTS.enrich(d, "min(v, 20.0)").select("event_id", num("value")), f"with {BASE} select event_id, {_sql_out('least(v, 20)')} as value from e")
+add("operator_trait", lambda d: compute_indicator(d, {"indicator": "ema", "period": 1}, "t", "v", "user_id", "event_id").select("event_id", num("ema")), f"with {BASE} select event_id, {_sql_out('v')} as ema from e")
+
+# sources and sinks
+add("src_iter", lambda d: d.select("event_id", "t"), f"with {BASE} select event_id, t from e")
+QUERIES["parquet_read"] = lambda spark, sf_dir: files.read_batches(spark, f"{sf_dir}/events.parquet").filter("value > 30").select("event_id", "value")
+ORACLES["parquet_read"] = "select event_id, value from events where value > 30"
+QUERIES["schema_fingerprint"] = lambda spark, sf_dir: spark.createDataFrame([(files.schema_fingerprint(events(spark, sf_dir).schema),)], "fingerprint string")
+add("polars_rows", lambda d: files.rows_as_named_values(d.select("event_id", "event_type")).select(F.concat_ws(";", F.transform("row", lambda r: F.concat_ws("=", r["name"], r["value"]))).alias("row")), f"with {BASE} select 'event_id=' || event_id || ';event_type=' || event_type as row from e")
+add("influx_sink", lambda d: _lines(d),
+    rf"with {BASE} select event_id, 'm\ x,event_type=' || event_type || ',place=a\ b\,' || event_type || ' v=' || v || ',event_id=' || event_id || 'i ' || (t * 1000000) as line from e")
+add("json_api", lambda d: compute_indicator(d, '{"indicator": "bollinger", "period": 5, "k": 2}', "t", "v", "user_id", "event_id", unique_ts=True).select("event_id", num("upper")), f"with {BASE} select event_id, {_sql_out(f'case when count(v) over {wn(5)} > 1 then avg(v) over {wn(5)} + 2 * stddev_pop(v) over {wn(5)} end')} as upper from e")
+
+
+def _lines(d: DataFrame) -> DataFrame:
+    p = d.withColumn("place", F.concat(F.lit("a b,"), F.col("event_type")))
+    return p.select("event_id", influx.line_protocol(p, "m x", ["place", "event_type"], ["v", "event_id"], F.col("t") * 1000000).alias("line"))
+
+
+def _introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .series import Source
+
+    s = Source(events(spark, sf_dir))
+    return spark.createDataFrame([tuple(s.flow.describe(x=s.v.ema(5).sma(3)).values())], "nodes int, levels int, windows int, kernels int")
+
+
+QUERIES["introspection"] = _introspection
+ORACLES["introspection"] = "select 4 as nodes, 3 as levels, 2 as windows, 1 as kernels"

@@ -1 +1 @@
-
+"""Sources, sinks and state: parquet, line protocol, brokers, snapshots."""
