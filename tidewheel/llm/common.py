@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,7 +59,7 @@ class WordHashes(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 
@@ -65,6 +67,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, without copying: what is made of a slice in Python is small, whatever an Arrow batch holds."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space; bytes.split() splits at exactly 0x20 and 0x09-0x0D."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

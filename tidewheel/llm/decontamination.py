@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import sliced, table
 
 RATE = 0.1
 LEAST = 20
@@ -175,7 +175,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate, least)
-            for b in batches:
+            for b in sliced(batches):
                 rows, ids = [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
                     for hit in matcher.find(normal(t)):
@@ -196,7 +196,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate, least)
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

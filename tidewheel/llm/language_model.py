@@ -30,7 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, fold, materialize, table, uniform, words_of
+from .common import fold, materialize, sliced, table, uniform, WordHashes, words_of
 
 CONTEXTS = 256
 START, END = b"\x00 start", b"\x00 end"  # no word holds a space
@@ -159,7 +159,7 @@ def _counts(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, n = WordHashes(), [], 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 held.append(_token_keys(memo, t))
                 n += len(held[-1])
@@ -265,7 +265,7 @@ def _tokens(docs: DataFrame, parts: int, splits: dict[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ids, held, n, batch = WordHashes(), [], [], 0, TaskContext.get().partitionId() << 24
-        for b in batches:
+        for b in sliced(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 held.append(_token_keys(memo, t))

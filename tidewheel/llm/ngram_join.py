@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, materialize, mix64, table, words_of
+from .common import materialize, mix64, sliced, table, WordHashes, words_of
 from .graph import components
 
 #: A cluster of up to WHOLE sets is compared in one tile; blocks of greater ones hold about BLOCK sets.
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(1).to_pylist()]
             memo.trim()
             nodes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
@@ -204,7 +204,7 @@ def _tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bands, nodes, keys, held = WordHashes(), Bands(percent), [], [], 0
         known: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 s = ngram_set(memo.of(words_of(t)), n)
                 k = bands.keys(s) if len(s) else s
@@ -298,7 +298,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(2).to_pylist()]
             memo.trim()
             own = [bool(len(s)) and set_hash(s) == h for s, h in zip(sets, b.column(0).to_pylist(), strict=True)]  # rows that share an id may differ

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import sliced, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -104,7 +104,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [find_spans(t) for t in b.column(1).to_pylist()]
             columns = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f[i]] for f in found], pa.list_(span)) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "base", "spans"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import sliced, table
 
 LIMIT = 512
 #: The library's split of byte-level BPE; its white space has no 0x1C-0x1F, unlike the regex module's.
@@ -58,7 +58,7 @@ def proven_whole(tokenizer_json: str) -> frozenset[str]:
 class Counter:
     """Counts tokens; keeps a bounded memo of pieces."""
 
-    def __init__(self, tokenizer_json: str, whole: frozenset[str], memo: int = 300_000):
+    def __init__(self, tokenizer_json: str, whole: frozenset[str], memo: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole, self.most = Tokenizer.from_str(tokenizer_json), whole, memo
@@ -109,7 +109,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         counter = Counter(*shared.value)
-        for b in batches:
+        for b in sliced(batches):
             n = counter.count(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
