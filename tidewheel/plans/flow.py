@@ -110,6 +110,8 @@ class Flow:
     # planning
     def select(self, reasons: bool = False, keep: bool = True, **outputs: Series) -> DataFrame:
         """The input columns (keep) and a column for each output; with reasons also `<name>__absent`."""
+        if keep and (clash := set(outputs) & set(self.columns)):
+            raise ValueError(f"outputs named like columns: {', '.join(sorted(clash))}")
         nodes: list[Series] = []
         seen: set[int] = set()
 
