@@ -62,7 +62,7 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: n
     some = np.flatnonzero((c > 2) & (c <= EXACT))
     some = some[np.argsort(c[some], kind="stable")]
     values, starts = np.unique(c[some], return_index=True)
-    for n, s, e in zip(values, starts, [*starts[1:], len(some)], strict=True):
+    for n, s, e in zip(values, starts, [*starts[1:], len(some)][: len(starts)], strict=True):
         for at in np.array_split(some[s:e], 1 + (e - s) * int(n) // 2_000_000):
             w = logs[n, 1 : n + 1] + np.log(a[at])[:, None] * np.arange(1, n + 1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
@@ -79,7 +79,9 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: n
         x, phi = 1.0 - y, -np.expm1(d * low) / d
         one = x * y ** (d - 1.0)
         size, square = one / phi, (one + x * x * (1.0 - d) * y ** (d - 2.0)) / phi
-        mean = am * phi
+        g = one + (1.0 - d) * x * x * y ** (d - 2.0)
+        slope = y ** (d - 1.0) + 3.0 * (1.0 - d) * x * y ** (d - 2.0) + (1.0 - d) * (2.0 - d) * x * x * y ** (d - 3.0)
+        mean = am * phi - 0.5 * (1.0 - slope / g / (1.0 / x + (1.0 - d) / y))  # the saddle point, and its next term
         spread = np.sqrt(np.maximum(mean * (1.0 - size * size / square), 0.0))
         z = np.sqrt(-2.0 * np.log(u[many])) * np.cos(2.0 * np.pi * uniform(np.arange(len(many), dtype=np.uint64) + (u[many] * 2.0**53).astype(np.uint64)))
         t[many] = np.clip(np.rint(mean + spread * z), 1, cm).astype(np.int64)

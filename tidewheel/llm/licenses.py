@@ -188,10 +188,15 @@ def scan_licenses(docs: DataFrame, given: list[Rule] | None = None, prefilter: s
     return found.select("doc_id", "n_words", F.filter("found", lambda d: d["base"]).alias("base"), unsuppressed(F.col("found")).alias("kept"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(table(spark, sf_dir, "documents"))
+def query_of(docs: DataFrame) -> DataFrame:
+    """The scan's digest: counts and places of base phrases, labels and score of every row."""
+    found = scan_licenses(docs)
     labels = lambda c: F.transform(c, lambda d: d["label"])
     joined = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     starts = F.transform("base", lambda d: d["start"])
     best = F.array_max(F.transform(F.concat("base", "kept"), lambda d: d["confidence"]))
     return found.select("doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(labels(F.col("base"))).alias("base_labels"), joined(F.concat(labels(F.col("base")), labels(F.col("kept")))).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_of(table(spark, sf_dir, "documents"))

@@ -59,11 +59,13 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers a partition's rows within each shard, in their order."""
     seen: dict[int, int] = {}
     for b in batches:
-        d = b.to_pandas()
-        d["local"] = d.groupby("shard").cumcount() + d["shard"].map(lambda s: seen.get(s, 0)).astype("int64")
-        for s, n in d["shard"].value_counts().items():
-            seen[s] = seen.get(s, 0) + int(n)
-        yield pa.RecordBatch.from_pandas(d, preserve_index=False)
+        shard = b.column(b.schema.get_field_index("shard")).to_numpy()
+        local = np.zeros(len(shard), np.int64)
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            local[mine] = seen.get(s, 0) + np.arange(len(mine))
+            seen[s] = seen.get(s, 0) + len(mine)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
