@@ -136,3 +136,40 @@ def test_small_things(spark):
     assert m.variance() == pytest.approx(np.var([1, 2, 4, 3, 9])) and m.sample_variance() == pytest.approx(np.var([1, 2, 4, 3, 9], ddof=1))
     m.remove(9.0)
     assert m.variance() == pytest.approx(np.var([1, 2, 4, 3]))
+
+
+def test_long_windows_by_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(operators.windows, "LONG", 3)
+    values = [1.0, 2.0, float("nan"), 4.0, 5.0, 6.0, float("inf"), 8.0, 9.0, 10.0]
+    f = flow(spark, values)
+    x = out(f, reasons=True, s=f.prop("v", required=True).sum(3), m=f.prop("v", required=True).sma(3))
+    assert x["s"] == [1, 3, None, None, None, 15, None, None, None, 27] and x["m"][5] == 5 and x["m"][-1] == 9
+    assert x["s__absent"][2] == "WarmingUp"
+
+
+def test_slices(spark):
+    rng = np.random.default_rng(4)
+    f = flow(spark, rng.normal(size=200).tolist(), unique=True)
+    v = f.prop("v", required=True)
+    z = v.zscore(Time(7000))
+    whole = [r["z"] for r in f.select(z=z).orderBy("i").collect()]
+    cut = [r["z"] for r in f.select_sliced(20_000, z=z).orderBy("i").collect()]
+    assert [y is None for y in cut] == [y is None for y in whole]
+    assert [y or 0.0 for y in cut] == pytest.approx([y or 0.0 for y in whole], abs=1e-9)
+    with pytest.raises(ValueError, match="whole past"):
+        f.select_sliced(1000, x=v.cumsum())
+    with pytest.raises(ValueError, match="named like columns"):
+        f.select(v=v)
+
+
+def test_snapshots_belong_to_their_graph(spark):
+    from tidewheel.operators.resume import run_resumable
+    from tidewheel.operators.windows import Ema
+
+    df = spark.createDataFrame([(1, i, i, float(i)) for i in range(6)], "k int, ts bigint, i bigint, v double")
+    _, states = run_resumable(df.filter("i < 3"), "k", "ts", "i", "v", lambda: Ema(2), "a")
+    later, again = run_resumable(df.filter("i >= 3"), "k", "ts", "i", "v", lambda: Ema(2), "a", states)
+    whole, end = run_resumable(df, "k", "ts", "i", "v", lambda: Ema(2), "a")
+    assert sorted(map(tuple, later.collect())) == sorted(map(tuple, whole.filter("i >= 3").collect())) and again.collect() == end.collect()
+    with pytest.raises(Exception, match="another graph"):
+        run_resumable(df, "k", "ts", "i", "v", lambda: Ema(2), "b", states)[0].collect()

@@ -36,8 +36,11 @@ class Sliding(Kernel):
 def _frame(x: Series, window, f: Callable[..., Column], g: Callable, *others: Series) -> Series:
     """f(over, *values): the statistic as a Column, over(c) putting an aggregate on the frame; g: of a Sliding's rows."""
     w = sliding(window)
+    bound = max_reach(x, *others) + w.length if isinstance(w, Time) else math.inf
     if isinstance(w, Time) and not x.flow.env.unique_ts:
-        return x.kernel(lambda: Sliding(w.length, g), *others)
+        out = x.kernel(lambda: Sliding(w.length, g), *others)
+        out.reach = bound
+        return out
     if isinstance(w, Time):
         frame = lambda env, seq: env.back(w.length)
         extra: list[Series] = []
@@ -58,7 +61,34 @@ def _frame(x: Series, window, f: Callable[..., Column], g: Callable, *others: Se
         out = f(lambda c: c.over(at), *values)
         return F.when(A.is_finite(out), out)
 
-    return x.window(build, *others, *extra)
+    out = x.window(build, *others, *extra)
+    out.reach = bound
+    return out
+
+
+def max_reach(*series: Series) -> float:
+    return builtin_max(*[s.reach for s in series], 0.0)
+
+
+#: From this many rows on, sums and means come from differences of running sums: constant time a row, not the frame's length.
+LONG = 256
+
+
+def _long(x: Series, window) -> tuple[Series, Series] | None:
+    """Sum and count of a long Count window by running sums; None for other windows. What isn't finite counts apart, so it leaves the window with its row."""
+    w = sliding(window)
+    if not isinstance(w, Count) or w.n < LONG or x.nullable:
+        return None
+    ok = x.expr(lambda v: F.when(A.is_finite(v), v).otherwise(0.0))
+    odd = x.expr(lambda v: F.when(A.is_finite(v), 0.0).otherwise(1.0))
+
+    def span(s: Series) -> Series:
+        run = s.window(lambda env, v: F.sum(v).over(env.until_now()), nullable=False)
+        return run.window(lambda env, c: c - F.coalesce(F.lag(c, w.n).over(env.rows), F.lit(0.0)), nullable=False)
+
+    one = x.expr(lambda v: F.lit(1.0))
+    total = span(ok).expr(lambda t, o: F.when(o == 0, t), span(odd), nullable=True, reason=lambda t, o: F.lit(A.WARMING_UP))
+    return total, span(one)
 
 
 def _array(held, i: int = 1) -> np.ndarray:
@@ -74,10 +104,14 @@ def _guard(n: int, over, v: Column, c: Column) -> Column:
 
 
 def sma(x: Series, window) -> Series:
+    if long := _long(x, window):
+        return long[0].expr(lambda t, n: t / n, long[1])
     return _frame(x, window, lambda o, v: o(F.avg(v)), _least(1, np.mean))
 
 
 def sum(x: Series, window) -> Series:  # noqa: A001
+    if long := _long(x, window):
+        return long[0]
     return _frame(x, window, lambda o, v: o(F.sum(v)), _least(1, np.sum))
 
 
@@ -340,8 +374,10 @@ class Welford:
         return self.m2 / (self.n - 1) if self.n >= 2 else None
 
 
-def builtin_max(a, b):
-    return a if a >= b else b
+def builtin_max(first, *rest):
+    for x in rest:
+        first = first if first >= x else x
+    return first
 
 
 for _f in (sma, sum, count, min, max, variance, std, quantile, median, percentile, iqr, rank, skewness, kurtosis, covariance, sample_covariance, correlation, beta, alpha, wma, ema, ema_alpha, rsi, rsi_wilder):

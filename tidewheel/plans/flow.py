@@ -92,6 +92,29 @@ class Flow:
     def time(self) -> Series:
         return Series(self, "expr", [], lambda: (F.col(_TS).cast("double"), F.lit(None).cast("string")), nullable=False)
 
+    def select_sliced(self, length: int, **outputs: Series) -> DataFrame:
+        """select() with each key cut into slices of `length` ms, so that one hot key is many tasks' work.
+
+        Every output must look back a bounded time (time windows and what is made of them); a row also goes, as
+        context, to each later slice that may look back at it.
+        """
+        reach = max((s.reach for s in outputs.values()), default=0)
+        if reach == float("inf"):
+            raise ValueError("an output may depend on a key's whole past; it can't be sliced")
+        if length < 1:
+            raise ValueError("slices need a length")
+        span = F.sequence(F.floor(F.col(_TS) / F.lit(length)), F.floor((F.col(_TS) + int(reach)) / F.lit(length)))
+        whole = self.df, self.columns, self.keys, self.env
+        try:
+            self.df = self.df.withColumn("__tw_slice", F.explode(span))
+            self.columns = [*self.columns, "__tw_slice", _TS]
+            self.keys = (*self.keys, "__tw_slice")
+            self.env = Env(self.keys, self.order, self.env.unique_ts)
+            out = self.select(**outputs)
+        finally:
+            self.df, self.columns, self.keys, self.env = whole
+        return out.filter(F.col("__tw_slice") == F.floor(F.col(_TS) / F.lit(length))).drop("__tw_slice", _TS)
+
     def describe(self, **outputs: Series) -> dict[str, int]:
         """Counts of the graph: nodes, levels, windows and kernels."""
         seen: dict[int, Series] = {}

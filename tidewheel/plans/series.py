@@ -25,6 +25,8 @@ class Series:
         self.flow, self.kind, self.inputs, self.build, self.nullable, self.dtype = flow, kind, inputs, build, nullable, dtype
         self.level = max((i.level for i in inputs), default=0) + (kind != "expr")
         self.label: str | None = None
+        #: How far back in ms a value looks; infinite where it may depend on a key's whole past.
+        self.reach: float = max((i.reach for i in inputs), default=0.0) if kind == "expr" else float("inf")
 
     # construction
     def expr(self, f: Callable[..., Column], *others: Series, nullable: bool | None = None, reason: Callable[..., Column] | None = None, dtype: str = "double") -> Series:

@@ -84,11 +84,15 @@ def add(name: str, make: Callable[[Source], dict], strings: dict[str, str] | Non
 def add_recursive(name: str, make: Callable[[Source], dict], state: list[tuple[str, str, str]], ctes: str = "", over: str = "e", **sql: str) -> None:
     """state: (name, seed, step); a step sees the row as n, the state before as r, and what stands above it as <name>_n."""
     QUERIES[name] = lambda spark, sf_dir: series_query(spark, sf_dir, make)
+    ORACLES[name] = recursive_sql(state, ctes, over, **sql)
+
+
+def recursive_sql(state: list[tuple[str, str, str]], ctes: str = "", over: str = "e", **sql: str) -> str:
     seeds = ", ".join(f"{s} as {n}" for n, s, _ in state)
     steps = ", ".join(f"{x} as {n}_n" for n, _, x in state)
     named = ", ".join(f"{n}_n as {n}" for n, _, _ in state)
     columns = ", ".join(f"{_sql_out(x)} as {n}" for n, x in sql.items())
-    ORACLES[name] = f"""with recursive {BASE}{', ' + ctes if ctes else ''}, n as (select *, row_number() over {W} as rn from {over}),
+    return f"""with recursive {BASE}{', ' + ctes if ctes else ''}, n as (select *, row_number() over {W} as rn from {over}),
  r as (select user_id, 0::bigint as rn, null::bigint as event_id, {seeds} from (select distinct user_id from n)
    union all select user_id, rn, event_id, {named} from (select n.user_id, n.rn, n.event_id, {steps} from r join n on n.user_id = r.user_id and n.rn = r.rn + 1))
 select event_id, {columns} from r where rn > 0"""
@@ -195,6 +199,18 @@ add_recursive("rsi_wilder", lambda s: {"x": s.v.rsi_wilder(4)}, _WILDER, x=_WRSI
 add("welford", lambda s: {"x": s.v.variance(Count(7)), "y": s.v.std(Count(7))}, x=f"case when count(v) over {wn(7)} >= 2 then var_pop(v) over {wn(7)} end", y=f"case when count(v) over {wn(7)} >= 2 then stddev_pop(v) over {wn(7)} end")
 add("over", lambda s: {"x": s.v.sma(over("6h")), "y": s.v.sma(over_n(4))}, x=f"avg(v) over {wt(T)}", y=f"avg(v) over {wn(4)}")
 
+_LONG = operators.windows.LONG
+add("sma_long", lambda s: {"x": s.v.sma(Count(_LONG)), "y": s.v.sum(Count(_LONG))}, x=f"avg(v) over {wn(_LONG)}", y=f"sum(v) over {wn(_LONG)}")
+QUERIES["sliced"] = lambda spark, sf_dir: _sliced(spark, sf_dir)
+ORACLES["sliced"] = f"with {BASE} select event_id, {_sql_out(f'avg(v) over {wt(T)}')} as x, {_sql_out(f'max(v) over {wt(T)} - min(v) over {wt(T)}')} as y from e"
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Source(events(spark, sf_dir))
+    d = s.flow.select_sliced(10 * T, x=s.v.sma(Time(T)), y=s.v.max(Time(T)) - s.v.min(Time(T)))
+    return d.select("event_id", _out(F.col("x"), "double").alias("x"), _out(F.col("y"), "double").alias("y"))
+
+
 # trackers
 add("prev", lambda s: {"x": s.v.prev()}, x=f"lag(v) over {W}")
 add("prev_by", lambda s: {"x": s.v.prev_by("event_type")}, x="lag(v) over (partition by user_id, event_type order by t, event_id)")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules as R
 from ..functions.json_api import compute_indicator, window_join_keyed
 from ..operators import combinators as C, keyed as K
 from ..plans.pattern import Pattern, match_pattern
 from ..sources import files, influx
-from .series import BASE, DIGITS, W, _out, _sql_out, events, wn
+from .series import BASE, DIGITS, W, _out, _sql_out, ema, events, recursive_sql, wn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,6 +212,39 @@ def _lines(d: DataFrame) -> DataFrame:
     return p.select("event_id", influx.line_protocol(p, "m x", ["place", "event_type"], ["v", "event_id"], F.col("t") * 1000000).alias("line"))
 
 
+class _Alarm(K.Emitter):
+    """Each record sets a timer 12 h ahead; what is due fires before the next record."""
+
+    def __init__(self):
+        self.timers = K.Timers()
+
+    def record(self, ts, row):
+        fired = self.timers.advance(ts)
+        self.timers.register(ts + 12 * HOUR)
+        return [(at, ts) for at, _ in fired]
+
+    def flush(self):
+        return [(at, None) for at, _ in self.timers.advance(float("inf"))]
+
+
+add("timers", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Alarm, ["event_id"], "user_id bigint, fire_ts bigint, before_ts bigint").select("user_id", "fire_ts", F.col("before_ts").cast("double").alias("before_ts")),
+    f"with {BASE} select e.user_id, e.t + {12 * HOUR} as fire_ts, (select min(y.t) from e y where y.user_id = e.user_id and y.t >= e.t + {12 * HOUR})::double as before_ts from e")
+
+
+def _halves(d: DataFrame) -> DataFrame:
+    from ..operators.resume import run_resumable
+    from ..operators.windows import Ema
+
+    w = d.withColumn("early", F.sum(F.lit(1)).over(Window.partitionBy("user_id").orderBy("t", "event_id")) <= 4)
+    first, states = run_resumable(w.filter("early"), "user_id", "t", "event_id", "v", lambda: Ema(3), "ema-3")
+    second, _ = run_resumable(w.filter(~F.col("early")), "user_id", "t", "event_id", "v", lambda: Ema(3), "ema-3", states)
+    return first.union(second).select("event_id", num("value"))
+
+
+QUERIES["snapshot"] = lambda spark, sf_dir: _halves(stream(spark, sf_dir))
+ORACLES["snapshot"] = recursive_sql(ema("a", 3, "n.v"), value="ae")
+
+
 def _introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .series import Source
 
