@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ngram_join": ngram_join.query,
     "op10_sharding": sharding.query,
 }
-ORACLES = {"op4_hamming_search": hamming_search.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op10_sharding": sharding.ORACLE_SQL, "op4_hamming_search": hamming_search.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}

@@ -92,3 +92,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table, bytes from the text's hex digits; jump hashing as a recursion, in 128-bit integers modulo 2^64.
+ORACLE_SQL = """
+with recursive t as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as tbl),
+ d as (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::hugeint as key from documents),
+ c as (select row, doc_id, key, len(h) // 2 + 16 as size,
+         xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)::bigint as text_crc32 from d, t),
+ j as (select row, n, key, 0::bigint as b, 0::bigint as j from c, (values (40), (41)) as s(n)
+   union all select row, n, key2, j, floor((j + 1) * (2147483648.0::double / ((key2 >> 33) + 1)::double))::bigint
+     from (select row, n, j, (key * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint as key2 from j where j < n)),
+ s as (select row, n, max(b) as shard from j group by row, n)
+select c.doc_id, c.size::bigint as size, c.text_crc32, 'key' as law, a.shard::int as shard, row_number() over (partition by a.shard order by c.doc_id, c.text_crc32) - 1 as slot, g.shard::int as grown_shard
+from c join s a on a.row = c.row and a.n = 40 join s g on g.row = c.row and g.n = 41
+"""
