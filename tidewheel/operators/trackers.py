@@ -30,6 +30,7 @@ def prev_n(x: Series, n: int) -> Series:
 
 def prev_by(x: Series, *subkeys: str) -> Series:
     """The previous value of the record's own sub-key (columns)."""
+    x.flow.pinned.update(subkeys)
 
     def build(env, v):
         w = Window.partitionBy(*env.keys, *[F.col(c) + F.lit(0.0) if k == "double" else F.col(c) for c, k in x.flow.df.dtypes if c in subkeys]).orderBy("__tw_ts", *env.order)

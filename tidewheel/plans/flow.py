@@ -78,6 +78,8 @@ class Flow:
             t = (t.cast("double") * 1000).cast("bigint")
         elif unit != "ms":
             raise ValueError(f"unknown unit {unit!r}")
+        #: Columns that window nodes read besides their inputs.
+        self.pinned: set[str] = set()
         self.df, self.columns, self.env = df.withColumn(_TS, t.cast("bigint")), df.columns, Env(self.keys, self.order, unique_ts)
 
     # sources
@@ -131,9 +133,13 @@ class Flow:
         return {"nodes": len(kinds), "levels": max(s.level for s in seen.values()), "windows": kinds.count("window"), "kernels": kinds.count("kernel")}
 
     # planning
-    def select(self, reasons: bool = False, keep: bool = True, **outputs: Series) -> DataFrame:
-        """The input columns (keep) and a column for each output; with reasons also `<name>__absent`."""
-        if keep and (clash := set(outputs) & set(self.columns)):
+    def select(self, reasons: bool = False, keep: bool | list[str] = True, **outputs: Series) -> DataFrame:
+        """The input columns (all, none or those named in keep) and a column for each output; with reasons also `<name>__absent`.
+
+        Name the columns to keep where kernels run: what isn't kept isn't read or sent through Python.
+        """
+        kept = (self.columns if keep else []) if isinstance(keep, bool) else list(keep)
+        if clash := set(outputs) & set(kept):
             raise ValueError(f"outputs named like columns: {', '.join(sorted(clash))}")
         nodes: list[Series] = []
         seen: set[int] = set()
@@ -150,6 +156,8 @@ class Flow:
         name = {id(s): f"__tw_{n}" for n, s in enumerate(nodes)}
         built: dict[int, tuple[Column, Column]] = {}
         needed = {id(i) for s in nodes if s.kind != "expr" for i in s.inputs}
+        if any(s.kind == "kernel" for s in nodes):  # what is made of input columns is made before they go
+            needed |= {id(s) for s in nodes if s.level == 0}
         df = self.df
         for level in range(max((s.level for s in nodes), default=0) + 1):
             mine = [s for s in nodes if s.level == level]
@@ -162,6 +170,8 @@ class Flow:
                 df = df.withColumns(columns)
             kernels = [s for s in mine if s.kind == "kernel"]
             if kernels:
+                lean = dict.fromkeys([*self.keys, *self.order, _TS, *kept, *sorted(self.pinned)])
+                df = df.select(*[F.col(f"`{c}`") for c in lean], *[F.col(c) for c in df.columns if c.startswith("__tw_") and c not in lean])
                 df = self._kernels(df, kernels, name, built)
             for s in windows + kernels:
                 built[id(s)] = (F.col(name[id(s)]), F.col(f"{name[id(s)]}_r"))
@@ -174,7 +184,7 @@ class Flow:
                         built[id(s)] = (F.col(name[id(s)]), F.col(f"{name[id(s)]}_r"))
             if columns:
                 df = df.withColumns(columns)
-        out = [F.col(f"`{c}`") for c in self.columns] if keep else []
+        out = [F.col(f"`{c}`") for c in kept]
         for n, s in outputs.items():
             v, r = built[id(s)]
             out.append(v.alias(n))

@@ -46,7 +46,7 @@ def _out(c: Column, kind: str) -> Column:
 def series_query(spark: SparkSession, sf_dir: str, make: Callable[[Source], dict], reasons: bool = False) -> DataFrame:
     src = Source(events(spark, sf_dir))
     outs = make(src)
-    df = src.flow.select(reasons=reasons, **outs)
+    df = src.flow.select(reasons, ["event_id"], **outs)
     kinds = dict(df.dtypes)
     columns = [_out(F.col(n), kinds[n]).alias(n) for n in outs]
     if reasons:
