@@ -87,7 +87,7 @@ class Counter:
         out = []
         for text in texts:
             n, parts = 0, [text] if text else []
-            if text and self.cut and self.special[0][:2] in text:
+            if text and any(s in text for s in self.special):
                 n = len(self.cut.findall(text))
                 parts = [p for p in self.cut.split(text) if p]
             for part in parts:
