@@ -234,3 +234,21 @@ def test_json(spark):
     rows = json.dumps([{"ts": i * 1000, "value": i} for i in range(1, 4)])
     assert [r["sma"] for r in json.loads(compute_json(spark, rows, '{"indicator": "sma", "period": 2}'))] == [1.0, 1.5, 2.5]
     assert json.loads(tumbling_json(spark, rows, '{"sizeMs": 2000}')) == [{"windowStart": 0, "windowEnd": 2000, "count": 1, "sum": 1.0}, {"windowStart": 2000, "windowEnd": 4000, "count": 2, "sum": 5.0}]
+
+
+def test_observed(spark):
+    from tidewheel.functions.metrics import observed
+
+    df, seen = observed(spark.range(5).withColumn("t", F.col("id") * 10), "t")
+    assert df.count() == 5 and seen.get == {"records": 5, "first": 0, "last": 40}
+
+
+def test_dedupe_waits_from_the_last_kept(spark):
+    df = spark.createDataFrame([("a", t, t) for t in (0, 6, 11, 16, 22)], "k string, ts bigint, i bigint")
+    assert sorted(r["ts"] for r in C.dedupe_by_key(df, "k", "ts", "i", 10).collect()) == [0, 11, 22]
+
+
+def test_batches_split_by_disorder(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate((0, 5, 12, 3, 14))], "k int, i bigint, ts bigint")
+    got = [(r["bucket"], [x["ts"] for x in r["items"]]) for r in C.batch_by_time(df, "k", "ts", "i", 10, ["ts"]).orderBy("batch").collect()]
+    assert got == [(0, [0, 5]), (10, [12]), (0, [3]), (10, [14])]
