@@ -395,3 +395,10 @@ def test_sharding(spark):
     want = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     assert sharding.shard_documents(docs(spark, [])).collect() == []
+
+
+def test_written_shards(spark, tmp_path):
+    d = docs(spark, [(i, f"text {i}") for i in range(300)]).drop("shard")
+    sharding.write_shards(d, str(tmp_path / "out"), shards=5, files=2)
+    back = {r["doc_id"]: r["shard"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert back == {r["doc_id"]: r["shard"] for r in sharding.shard_documents(d, 5).collect()}

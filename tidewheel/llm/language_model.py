@@ -283,7 +283,7 @@ def _tokens(docs: DataFrame, parts: int, splits: dict[int, int]) -> DataFrame:
 
 
 def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     parts, sums = totals["parts"], totals["sums"]
     loads = {r["bucket"]: r["tokens"] for r in model.select("bucket", "tokens").collect()}  # a row for each of `parts` buckets
     mean = max(1.0, sum(loads.values()) / parts)
@@ -329,10 +329,10 @@ def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id
 
     met = both.groupBy("bucket", "split").applyInArrow(meet, "batch bigint, sums binary, ids array<bigint>, lengths array<bigint>")
     out = met.groupBy("batch").applyInArrow(gather, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(Predictor(sums).n)).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(Predictor(sums).n)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, totals = fit(docs.where(fold(F.col("doc_id"), 7) != 2))
-    return score(docs, model, totals).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, model, totals).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -90,6 +90,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("local") + F.col("base")).cast("bigint").alias("slot"), "grown_shard")
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4, id_col: str = "doc_id") -> None:
+    """Writes docs as parquet folders shard=0, 1, ...; about `files` files each, dealt by the ids' hash."""
+    placed = docs.withColumn("shard", assign(shard_key(F.col(id_col)), shards))
+    placed.repartition(shards * files, "shard", F.pmod(F.xxhash64(id_col), F.lit(files))).write.partitionBy("shard").parquet(path)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
