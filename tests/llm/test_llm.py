@@ -402,3 +402,24 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(d, str(tmp_path / "out"), shards=5, files=2)
     back = {r["doc_id"]: r["shard"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert back == {r["doc_id"]: r["shard"] for r in sharding.shard_documents(d, 5).collect()}
+
+
+def test_components(spark):
+    from tidewheel.llm.graph import components
+
+    rnd = random.Random(11)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(250)]
+    rnd.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []

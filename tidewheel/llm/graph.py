@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import discard, materialize
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges(a, b), both bigint; root is the least node of the component.
 
     Alternates large-star and small-star steps (each node's greater neighbours, then its lesser ones, are
@@ -16,7 +16,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(most):
+    while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
