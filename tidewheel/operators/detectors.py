@@ -71,7 +71,7 @@ def cross_hysteresis(x: Series, threshold, margin: float) -> Series:
         return x.kernel(lambda: Hysteresis(margin), t, dtype="string")
     first = x.window(lambda env, v, th: F.count(F.when(v.isNotNull() & th.isNotNull(), 1)).over(env.until_now()), t, dtype="bigint")
     mark = x.expr(lambda v, th, n: F.when(n == 1, F.when(A.at_most(th, v), 1).otherwise(0)).when(A.at_most(th + margin, v), 1).when(A.at_most(v, th - margin), 0), t, first, nullable=True, dtype="int")
-    state = mark.flow and _carry(mark)
+    state = _carry(mark)
 
     def build(env, v, th, s):
         before = F.last(s, ignorenulls=True).over(env.before())
