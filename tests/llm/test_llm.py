@@ -114,6 +114,16 @@ def _distance(p, t):
     return min(prev)
 
 
+def _whole(p, t):
+    prev = list(range(len(t) + 1))
+    for i, c in enumerate(p, 1):
+        cur = [i]
+        for j, e in enumerate(t, 1):
+            cur.append(min(prev[j - 1] + (c != e), prev[j] + 1, cur[-1] + 1))
+        prev = cur
+    return prev[-1]
+
+
 def test_decontamination(spark):
     rnd = random.Random(2)
     items = [(i, text(rnd, 12).capitalize() + ".") for i in range(6)] + [(6, None), (7, "short"), (8, "")]
@@ -126,7 +136,11 @@ def test_decontamination(spark):
         rows.append((i, text(rnd, 5) + "\n" + "".join(t) + " " + text(rnd, 4)))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     d = docs(spark, rows + ODD)
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in dec.find_leaks(d, bench).collect()}
+    hits = dec.find_leaks(d, bench).collect()
+    for r in hits:
+        p, t = dec.normal(dict(items)[r["item_id"]]), dec.normal(dict(rows)[r["doc_id"]])[r["start"] : r["end"]]
+        assert _whole(p, t) == r["distance"]
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in hits}
     for (i, t), (j, p) in itertools.product(rows, items[:6]):
         n = dec.normal(p)
         best = _distance(n, dec.normal(t))

@@ -46,8 +46,11 @@ class Pattern:
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def best(self, text: str, start: int, end: int) -> tuple[int, int]:
-        """Least distance to a substring of text[start:end], and where that one ends (the first, of several)."""
+    def best(self, text: str, start: int, end: int, anchored: int = 0) -> tuple[int, int]:
+        """Least distance to a substring of text[start:end], and where that one ends (the first, of several).
+
+        anchored: 1 if the substring must begin at start; skipping text before it then costs edits too.
+        """
         ones, high = (1 << self.m) - 1, 1 << (self.m - 1)
         up, down, at = ones, 0, self.m
         least, where = self.m, start
@@ -60,13 +63,19 @@ class Pattern:
                 at += 1
             elif hn & high:
                 at -= 1
-            hp, hn = hp << 1 & ones, hn << 1 & ones
+            hp, hn = (hp << 1 | anchored) & ones, hn << 1 & ones
             up, down = (hn | ~(d0 | hp)) & ones, hp & d0 & ones
             if at < least:
                 least, where = at, i + 1
         return least, where
 
 
+    def begin(self, text: str, end: int) -> int:
+        """Where a best match that ends at `end` begins: the same search backwards from there."""
+        window = text[max(0, end - self.m - self.k) : end][::-1]
+        return end - Pattern(self.text[::-1], self.k).best(window, 0, len(window), 1)[1]
+
+
 class Item(Pattern):
     """An item and its pieces: (offset, piece, parent's offset, parent, parts).
 
@@ -114,7 +123,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple]:
-        """(item, distance, end) for each item that the normalised text holds, at its best place."""
+        """(item, distance, start, end) for each item that the normalised text holds, at its best place."""
         if not self.automaton or not text:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
@@ -147,7 +156,7 @@ class Matcher:
                     best = min(best, item.best(text, max(0, a), min(len(text), b)))
                 a, b = s, e
             if best[0] <= item.k:
-                found.append((item.name, *best))
+                found.append((item.name, best[0], item.begin(text, best[1]), best[1]))
         return found
 
 
@@ -165,10 +174,10 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, end (in the normalised text) for each document and item that it holds."""
+    """doc_id, item_id, distance, start, end (in the normalised text) for each document and item that it holds."""
     spark, out = docs.sparkSession, None
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id bigint, distance int, end bigint"
+    schema = f"doc_id {id_type}, item_id bigint, distance int, start bigint, end bigint"
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for block in _blocks(items.select(F.col("item_id").cast("bigint"), "text")):
         shared = spark.sparkContext.broadcast(block)
@@ -181,7 +190,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
                     for hit in matcher.find(normal(t)):
                         rows.append(hit)
                         ids.append(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "item_id", "distance", "end"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
 
         one = narrow.mapInArrow(run, schema)
         out = one if out is None else out.union(one)
