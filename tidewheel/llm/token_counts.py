@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +30,7 @@ from .common import sliced, table
 LIMIT = 512
 #: The library's split of byte-level BPE; its white space has no 0x1C-0x1F, unlike the regex module's.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:[^\p{White_Space}\p{L}\p{N}])+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+_EDGE_SPACE = re.compile(r"^\s| [^\S ]|[^\S ] |\s$")
 _INNER_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 
 
@@ -68,15 +71,28 @@ class Counter:
 
     def learn(self, pieces: set[str]) -> None:
         """Adds pieces to the memo: proven pre-tokens count one, the others are merged."""
-        split = {p: SPLIT.findall(p) for p in pieces}
-        rest = list({t for ts in split.values() for t in ts} - self.whole)
-        merged = dict(zip(rest, (len(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True)) if rest else {}
+        split = {p: [p] if p[1:].isalpha() and p[0] == " " else SPLIT.findall(p) for p in pieces}
+        rest = {t for ts in split.values() for t in ts} - self.whole
+        merged = self.merge(sorted(t for t in rest if t[0] == " " and t[1:].isalpha()))
+        other = [t for t in rest if t not in merged]
+        if other:
+            merged.update(zip(other, (len(e.ids) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
         self.pieces.update((p, sum(merged.get(t, 1) for t in ts)) for p, ts in split.items())
 
+    def merge(self, spaced: list[str], at_once: int = 500) -> dict[str, int]:
+        """Counts of pre-tokens that are a space and letters: many are merged in one call, as each begins a new pre-token."""
+        counts: dict[str, int] = {}
+        for i in range(0, len(spaced), at_once):
+            some = spaced[i : i + at_once]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            counts.update(zip(some, n.tolist(), strict=True))
+        return counts
+
     def pieces_of(self, text: str) -> list[str]:
         words = text.split(" ")
         # plain: every space stands between two characters that aren't white space
-        if all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words):
+        if all(words) and not _EDGE_SPACE.search(text):
             return [words[0], *map(" ".__add__, words[1:])]
         at = [0, *(m.start() for m in _INNER_SPACE.finditer(text)), len(text)]
         return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
