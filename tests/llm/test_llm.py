@@ -351,6 +351,8 @@ def test_ngram_join(spark, monkeypatch, n, percent, whole):
     rows += [(3000, rows[0][1].upper()), (3001, None), (3002, " "), (3003, "\n"), (3004, "ka"), (3005, "KA"), (3005, "ka"), (None, rows[5][1])]
     monkeypatch.setattr(nj, "WHOLE", whole)
     monkeypatch.setattr(nj, "BLOCK", max(2, whole // 2))
+    if whole < 10:
+        monkeypatch.setattr(nj, "BROADCAST_ROWS", 0)
     got = nj.jaccard_classes(docs(spark, rows), n, percent).collect()
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == _classes(rows, n, percent)
 

@@ -35,8 +35,9 @@ from .graph import components
 
 #: A cluster of up to WHOLE sets is compared in one tile; blocks of greater ones hold about BLOCK sets.
 WHOLE, BLOCK = 512, 256
-#: Up to so many candidate sets are broadcast to the scan of the texts; beyond, the texts are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many candidate sets (about 150 bytes each) or ids are broadcast to the scan of the texts; beyond, the
+#: texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: A tile of more sets than this isn't sifted; its sets form one cluster.
 STAR = 4096
 MOST_BITS = 8192
