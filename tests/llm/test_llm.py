@@ -196,6 +196,42 @@ def test_license_rules():
         re.compile(x.pattern)
 
 
+def of_pattern(tree, rnd):
+    """A random string that a pattern's parse tree matches; look-aheads are passed over."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rnd.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rnd.randint(*value))
+            case "BRANCH":
+                out += of_pattern(rnd.choice(arg[1]), rnd)
+            case "SUBPATTERN":
+                out += of_pattern(arg[3], rnd)
+            case "MAX_REPEAT":
+                out += "".join(of_pattern(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 1))))
+            case _:
+                assert str(op) == "ASSERT"
+    return out
+
+
+def test_license_gates_pass_what_rules_match(spark):
+    rnd = random.Random(5)
+    for x in licenses.rules():
+        tree = re._parser.parse(x.pattern)
+        for _ in range(60):
+            s = of_pattern(tree, rnd)
+            if not re.match(f"(?:{x.pattern})(?= )", s + " "):
+                s += " license"  # what form 4 looks ahead for
+            assert re.match(f"(?:{x.pattern})(?= )", s + " ")
+            assert any(k in s for k in x.keywords) and re.search(licenses.PREFILTER, s), (x, s)
+    rows = [("This work is released under CC0", "cc0"), ("Licensed under the Do What The Fuck You Want To Public License", "wtfpl"), ("licensed under the PSF License", "python-2"), ("license openrail m", "rail")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.query_of(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert all(label in got[i].split(",") for i, (_, label) in enumerate(rows))
+
+
 # language model
 def test_language_model(spark, monkeypatch):
     rnd = random.Random(6)

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in SQL functions only.
 
 A text becomes its words (A-Z lower-cased, words joined by one space). A keyword prefilter on the raw text
-lets most texts pass by; for the others, each rule whose keyword occurs is run as a regular expression over
+lets most texts pass by; for the others, each rule one of whose keywords occurs is run as a regular expression over
 whole words. Its places are intervals of word positions. A detection is suppressed if another one's interval
 contains its own and that one comes first: a smaller priority number, then a longer interval, then the earlier
 rule. What stays gives the labels, and the greatest confidence is the score. Base phrases are rules that keep
@@ -25,7 +25,7 @@ from .common import ascii_lower, table
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     priority: int
     confidence: float
@@ -35,7 +35,7 @@ class Rule(NamedTuple):
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licenses: label, keyword (one of the prefilter's words holds it or stands beside it), name, short tag.
+#: Licenses: label, keywords (all that the name matches holds one of them; '|' between them), name, short tag.
 LICENSES = (
     ("mit", "mit", "mit(?: expat| x11)?", "mit"),
     ("mit-0", "mit", "mit(?: no attribution)", "mit 0"),
@@ -73,10 +73,10 @@ LICENSES = (
     ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:s|atives)", "cc by nd"),
     ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike", "cc by nc sa"),
     ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:s|atives)", "cc by nc nd"),
-    ("cc0", "creative", "creative commons (?:zero|0|cc0)|cc0", "cc0 1 0"),
+    ("cc0", "creative|cc0", "creative commons (?:zero|0|cc0)|cc0", "cc0 1 0"),
     ("public-domain", "domain", "(?:in|into|to) the public domain", "public domain"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtf", "do what the fuck you want to public license|wtfpl", "wtfpl"),
+    ("wtfpl", "fuck|wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("isc", "isc", "isc", "isc"),
     ("artistic-1", "artistic", "artistic license(?: version| v)? 1(?: 0)?", "artistic 1 0"),
@@ -93,7 +93,7 @@ LICENSES = (
     ("pddl-1", "dedication", "public domain dedication and license", "pddl 1 0"),
     ("cdla-permissive", "community", "community data license agreement permissive", "cdla permissive 1 0"),
     ("cdla-sharing", "community", "community data license agreement sharing", "cdla sharing 1 0"),
-    ("python-2", "python", "python software foundation license|psf license", "python 2 0"),
+    ("python-2", "python|psf", "python software foundation license|psf license", "python 2 0"),
     ("php-3", "php", "php license(?: version| v)? 3(?: 0| 01)?", "php 3 0"),
     ("ruby", "ruby", "ruby license", "ruby"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
@@ -104,7 +104,7 @@ LICENSES = (
     ("afl-3", "academic", "academic free license(?: version| v)? 3(?: 0)?", "afl 3 0"),
     ("ncsa", "illinois", "university of illinois ncsa open source license", "ncsa"),
     ("upl-1", "universal", "universal permissive license(?: version| v)? 1(?: 0)?", "upl 1 0"),
-    ("rail", "responsible", "(?:open |bigscience )?responsible ai license|openrail(?: m)?", "openrail"),
+    ("rail", "responsible|openrail", "(?:open |bigscience )?responsible ai license|openrail(?: m)?", "openrail"),
     ("llama-community", "llama", "llama(?: 2| 3| 3 1)? community license(?: agreement)?", "llama community"),
     ("all-rights-reserved", "reserved", "all rights reserved", "proprietary"),
 )
@@ -119,19 +119,19 @@ FORMS = (
 )
 #: Copyright notices by themselves; no license is granted by them.
 NOTICES = (
-    Rule("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 8, 0.4),
-    Rule("all-rights-reserved", "reserved", "all rights reserved", 7, 0.6),
-    Rule("public-domain", "domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.95),
-    Rule("license-mention", "licen", "(?:this|the) (?:work|software|text|file|content|document) is (?:licensed|licenced)", 9, 0.3),
+    Rule("copyright-notice", ("copyright",), "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 8, 0.4),
+    Rule("all-rights-reserved", ("reserved",), "all rights reserved", 7, 0.6),
+    Rule("public-domain", ("domain",), "(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.95),
+    Rule("license-mention", ("licen",), "(?:this|the) (?:work|software|text|file|content|document) is (?:licensed|licenced)", 9, 0.3),
 )
 
 
 def rules() -> list[Rule]:
     """Base phrases first, then every license in every form, then notices; this is their order."""
-    out = [Rule(label, phrase.split()[-2], phrase, 0, 0.9, True) for phrase, label in BASE]
+    out = [Rule(label, (phrase.split()[-2],), phrase, 0, 0.9, True) for phrase, label in BASE]
     for priority, confidence, form in FORMS:
-        for label, keyword, name, tag in LICENSES:
-            out.append(Rule(label, tag.split()[0] if "{tag}" in form else keyword, form.format(name=name, tag=tag), priority, confidence))
+        for label, keywords, name, tag in LICENSES:
+            out.append(Rule(label, (tag.split()[0],) if "{tag}" in form else tuple(keywords.split("|")), form.format(name=name, tag=tag), priority, confidence))
     return out + list(NOTICES)
 
 
@@ -160,8 +160,8 @@ def _places(padded: Column, pattern: Column) -> Column:
 
 def detections(padded: Column, given: list[Rule]) -> Column:
     """All detections: array of struct(label, priority, confidence, base, rule, start, end)."""
-    all_rules = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"), F.lit(i).alias("rule")) for i, r in enumerate(given)])
-    live = F.filter(all_rules, lambda r: F.contains(padded, r["keyword"]))
+    all_rules = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(k) for k in r.keywords]).alias("keywords"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"), F.lit(i).alias("rule")) for i, r in enumerate(given)])
+    live = F.filter(all_rules, lambda r: F.exists(r["keywords"], lambda k: F.contains(padded, k)))
     one = lambda r: F.transform(_places(padded, r["pattern"]), lambda p: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["base"].alias("base"), r["rule"].alias("rule"), p["start"].alias("start"), p["end"].alias("end")))
     return F.flatten(F.transform(live, one))
 
