@@ -275,6 +275,18 @@ def test_language_model_without_training_rows(spark):
     assert lm.score(docs(spark, []), *lm.fit(docs(spark, []))).collect() == []
 
 
+def test_language_model_keeps_preceding_words_apart(spark):
+    firsts = [f"first{i}" for i in range(600)]  # more than there are classes
+    rows = [(8 * i + j, f"{a} second{i}") for i, a in enumerate(firsts) for j in range(8)]
+    memo, by_class = lm.WordHashes(), {}
+    for i, a in enumerate(firsts):
+        by_class.setdefault(int(memo[a.encode()]) & 255, []).append(i)
+    i, j = next(x[:2] for x in by_class.values() if len(x) > 1)
+    model, totals = lm.fit(docs(spark, rows))
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs(spark, [(1, f"first{i} second{i}"), (2, f"first{i} second{j}")]), model, totals).collect()}
+    assert got[1] - got[2] > 0.5  # one class of both would hold the two alike
+
+
 def test_table_counts_follow_their_law():
     d, a = 0.6, 0.7
     logs = lm.stirling_logs(lm.EXACT, d)

@@ -1,18 +1,19 @@
 """A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling, and its scores.
 
-The root restaurant holds the words; a child restaurant stands for each class of the preceding token (a
-hash class; the start of a text has its own token). All children share the root as parent, whose base is
-uniform over the known words and one class of unknown ones. The state is the number of tables t of each
-(context, word) and of each word at the root; table counts are sampled from their full conditionals
+The root restaurant holds the words; its children are 256 hash classes of the preceding token, and their
+children the preceding tokens themselves, each a context of its own (the start of a text has its own token).
+The root's base is uniform over the known words and one class of unknown ones. The state is the number of
+tables t of each (context, word), of each (class, word) and of each word at the root; table counts are sampled from their full conditionals
 p(t) ~ S(c, t; d)·a^t, with S the generalised Stirling numbers and a the weight of opening a table: exactly
 for up to EXACT customers, beyond that from the matching normal law (tables are Poisson many, their sizes
-tilted so that they sum to c). A sweep updates all contexts against the current root, then the root.
+tilted so that they sum to c). A sweep updates all contexts against the current classes, then the classes, then the root.
 Predictive probabilities are averaged over the kept sweeps; they sum to one over words for each context.
 
 How it runs. One scan counts (context, word) in the training rows, packed by word bucket; a bucket holds all
-contexts of its words, so a group counts and samples them, taking its own share of tables per context for
-the whole's. A second scan packs the tokens of all rows by word bucket, meets the bucket's model, and sends
-partial sums back by batch. Buckets with many tokens are split by batch, their model copied to each split.
+contexts of its words. Between sweeps the buckets' tables of each context meet by context and go back as
+totals; those of classes and root, a few hundred numbers, pass the driver. A second scan packs the tokens of
+all rows by word bucket, meets the bucket's model and the totals of all contexts, and sends partial sums
+back by batch. Buckets with many tokens are split by batch, their model copied to each split.
 Word identity is a 56-bit hash.
 
 Rows: null and empty texts consist of the end token alone; repeated rows each count and are each scored; a
@@ -30,16 +31,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, materialize, sliced, table, uniform, WordHashes, words_of
+from .common import discard, fold, materialize, mix64, sliced, table, uniform, WordHashes, words_of
 
-CONTEXTS = 256
+CLASSES = 256
 START, END = b"\x00 start", b"\x00 end"  # no word holds a space
-DISCOUNT, STRENGTH = 0.8, 1.0  # of the context restaurants
+DISCOUNT, STRENGTH = 0.8, 1.0  # of the contexts and their classes
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0
 BURN_IN, SAMPLES = 3, 2
 EXACT = 48
 _FLUSH = 1_500_000
-_LOW = np.uint64(CONTEXTS - 1)
+_LOW = np.uint64(CLASSES - 1)
 
 
 def stirling_logs(most: int, d: float) -> np.ndarray:
@@ -88,28 +89,47 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: n
     return t
 
 
-def gibbs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each (word, context) and of each word, a row for each kept sweep. keys: sorted, the context in the low bits."""
-    new = np.concatenate(([True], (keys[1:] | _LOW) != (keys[:-1] | _LOW)))
-    word, context = np.cumsum(new) - 1, (keys & _LOW).astype(np.int64)
-    v, logs, root_logs = int(word[-1]) + 1, stirling_logs(EXACT, DISCOUNT), stirling_logs(EXACT, ROOT_DISCOUNT)
-    t, root = np.ones(len(keys), np.int64), np.ones(v, np.int64)
-    customers = np.bincount(word, weights=t).astype(np.int64)
-    word_keys = keys[new] | _LOW
-    kept: tuple[list, list] = ([], [])
-    for sweep in range(BURN_IN + SAMPLES):
-        salt = np.uint64(0x9E3779B97F4A7C15 * (sweep + 1) % 2**64)
-        total, base = customers.sum(), (ROOT_STRENGTH + ROOT_DISCOUNT * root.sum()) / (v + 1)
-        per_context = np.bincount(context, weights=t, minlength=CONTEXTS)
-        parent = (np.maximum(customers[word] - t - ROOT_DISCOUNT * root[word], 0.0) + base) / (total + ROOT_STRENGTH)
-        a = (STRENGTH + DISCOUNT * (per_context[context] - t)) * parent
-        t = sample_tables(counts, a, DISCOUNT, logs, uniform(keys ^ salt))
-        customers = np.bincount(word, weights=t).astype(np.int64)
-        root = sample_tables(customers, np.full(v, base), ROOT_DISCOUNT, root_logs, uniform(word_keys ^ salt ^ np.uint64(0x5555555555555555)))
-        if sweep >= BURN_IN:
-            kept[0].append(t)
-            kept[1].append(root)
-    return np.array(kept[0]), np.array(kept[1])
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+
+
+class Seating:
+    """A bucket's words, contexts and counts, sorted, and the tables of contexts, classes and root."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
+        self.words, self.contexts, self.counts = words, contexts, counts.astype(np.int64)
+        self.key = words | (contexts & _LOW)  # words hold no low bits
+        self.new_pair, self.new_word = _firsts(self.key), _firsts(words)
+        self.pair = np.cumsum(self.new_pair) - 1  # of each entry
+        self.pairs = self.key[self.new_pair]
+        self.word = np.cumsum(_firsts(self.pairs & ~_LOW)) - 1  # of each pair
+        self.t, self.pair_t, self.root = np.ones(len(words), np.int64), np.ones(len(self.pairs), np.int64), np.ones(int(self.new_word.sum()), np.int64)
+
+    def customers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair of class and word, and of each word at the root."""
+        return np.bincount(self.pair, weights=self.t).astype(np.int64), np.bincount(self.word, weights=self.pair_t).astype(np.int64)
+
+    def sums(self) -> np.ndarray:
+        """Customers and tables of each class, tables of the root, words, tokens."""
+        of, c = (self.pairs & _LOW).astype(np.int64), self.customers()[0]
+        return np.concatenate([np.bincount(of, weights=x, minlength=CLASSES) for x in (c, self.pair_t)] + [[self.root.sum(), len(self.root), self.counts.sum()]]).astype(np.int64)
+
+    def sweep(self, totals: np.ndarray, sums: np.ndarray, salt: np.uint64) -> None:
+        """A sweep. totals: the tables of each entry's context; sums: as sums() gives them, over all buckets."""
+        logs, root_logs = stirling_logs(EXACT, DISCOUNT), stirling_logs(EXACT, ROOT_DISCOUNT)
+        seats, tables, base = sums[:CLASSES], sums[CLASSES : 2 * CLASSES], (ROOT_STRENGTH + ROOT_DISCOUNT * sums[-3]) / (sums[-2] + 1)
+        of, at_root = (self.pairs & _LOW).astype(np.int64), tables.sum() + ROOT_STRENGTH
+        c, w = self.customers()
+        root = (np.maximum(w - ROOT_DISCOUNT * self.root, 0.0) + base) / at_root
+        inherited = (STRENGTH + DISCOUNT * tables[of]) * root[self.word]
+        parent = (np.maximum(c[self.pair] - self.t - DISCOUNT * self.pair_t[self.pair], 0.0) + inherited[self.pair]) / (seats[of] + STRENGTH)[self.pair]
+        a = (STRENGTH + DISCOUNT * (totals - self.t)) * parent
+        self.t = sample_tables(self.counts, a, DISCOUNT, logs, uniform(mix64(self.words) ^ self.contexts ^ salt))
+        c, w = self.customers()
+        parent = (np.maximum(w[self.word] - self.pair_t - ROOT_DISCOUNT * self.root[self.word], 0.0) + base) / at_root
+        self.pair_t = sample_tables(c, (STRENGTH + DISCOUNT * (tables[of] - self.pair_t)) * parent, DISCOUNT, logs, uniform(self.pairs ^ salt))
+        w = self.customers()[1]
+        self.root = sample_tables(w, np.full(len(w), base), ROOT_DISCOUNT, root_logs, uniform(self.words[self.new_word] ^ salt ^ np.uint64(0x5555555555555555)))
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -124,22 +144,30 @@ def _spread(raw: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return out
 
 
-def _pack(keys: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted distinct keys as words, contexts a word, contexts."""
-    new = np.concatenate(([True], (keys[1:] | _LOW) != (keys[:-1] | _LOW)))
-    words = keys[new] & ~_LOW
-    return len(words), (words, np.diff(np.concatenate((np.flatnonzero(new), [len(keys)]))).astype(np.uint16), (keys & _LOW).astype(np.uint8))
+def _pack(words: np.ndarray, contexts: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries sorted by word: the distinct words, contexts a word, contexts."""
+    new = _firsts(words)
+    return int(new.sum()), (words[new], np.diff(np.concatenate((np.flatnonzero(new), [len(words)]))).astype(np.uint32), contexts)
 
 
-def _unpack(raw: bytes, words: int, entries: int, *more: tuple[type, int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    w, per, context, *rest = _spread(raw, (np.uint64, words), (np.uint16, words), (np.uint8, entries), *more)
-    return np.repeat(w, per) | context, rest
+def _unpack(raw: bytes, words: int, entries: int, *more: tuple[type, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    w, per, context, *rest = _spread(raw, (np.uint64, words), (np.uint32, words), (np.uint64, entries), *more)
+    return np.repeat(w, per), context, rest
 
 
 def _token_keys(memo: WordHashes, text: str | None) -> np.ndarray:
-    """Word hashes with the preceding token's class in the low bits; the end token is last."""
+    """Two rows: hashes of words (without the low bits), and of the preceding tokens; the end token is last."""
     h = memo.of([START, *words_of(text), END])
-    return (h[1:] & ~_LOW) | (h[:-1] & _LOW)
+    return np.stack((h[1:] & ~_LOW, h[:-1]))
+
+
+def _distinct(words: np.ndarray, contexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs by word, class and context, how often they occur, and the order of the input."""
+    order = np.lexsort((contexts, contexts & _LOW, words))
+    words, contexts = words[order], contexts[order]
+    start = np.flatnonzero(_firsts(words) | _firsts(contexts))
+    counts = np.diff(np.concatenate((start, [len(words)]))) if n is None else np.add.reduceat(n[order], start)
+    return words[start], contexts[start], counts, order
 
 
 def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -148,14 +176,14 @@ def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _counts(docs: DataFrame, parts: int) -> DataFrame:
     def packed(keys: np.ndarray) -> pa.RecordBatch:
-        key, n = np.unique(keys, return_counts=True)
-        bucket = _buckets(key, parts)
+        word, context, n, _ = _distinct(*keys)
+        bucket = _buckets(word, parts)
         rows = []
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[b] : cuts[b + 1]]
-            words, columns = _pack(key[at])
+            words, columns = _pack(word[at], context[at])
             rows.append((int(b), words, len(at), _squeeze(*columns, n[at].astype(np.uint32))))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "words", "entries", "data"])
 
@@ -164,85 +192,199 @@ def _counts(docs: DataFrame, parts: int) -> DataFrame:
         for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 held.append(_token_keys(memo, t))
-                n += len(held[-1])
+                n += held[-1].shape[1]
                 if n >= _FLUSH:
-                    yield packed(np.concatenate(held))
+                    yield packed(np.concatenate(held, axis=1))
                     held, n = [], 0
             memo.trim()
         if held:
-            yield packed(np.concatenate(held))
+            yield packed(np.concatenate(held, axis=1))
 
     return docs.select("text").mapInArrow(run, "bucket int, words int, entries int, data binary")
 
 
+_STATE = "bucket int, words int, entries int, tokens bigint, sums array<bigint>, data binary, kept array<binary>"
+
+
+def _row(bucket: int, at: Seating, kept: list[bytes]) -> pa.Table:
+    """A bucket's state; kept: the tables of the kept sweeps, a squeezed block for each."""
+    words, columns = _pack(at.words, at.contexts)
+    data = _squeeze(*columns, *(x.astype(np.uint32) for x in (at.counts, at.t, at.pair_t, at.root)))
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([words], pa.int32()), "entries": pa.array([len(at.words)], pa.int32()), "tokens": pa.array([int(at.counts.sum())], pa.int64()), "sums": pa.array([at.sums().tolist()], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()), "kept": pa.array([kept], pa.list_(pa.binary()))})
+
+
+def _seating(raw: bytes, words: int, entries: int) -> Seating:
+    w, context, (n,) = _unpack(raw, words, entries, (np.uint32, entries))
+    at = Seating(w, context, n)
+    p = len(at.pairs)
+    *_, at.t, at.pair_t, at.root = (x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), (np.uint32, entries), (np.uint32, p), (np.uint32, words))[2])
+    return at
+
+
 def _seated(t: pa.Table) -> pa.Table:
-    """The model of a bucket: counts and tables, and what the whole needs to know of it."""
-    keys, counts = [], []
-    for w, e, raw in zip(t.column("words").to_pylist(), t.column("entries").to_pylist(), t.column("data").to_pylist(), strict=True):
-        key, (n,) = _unpack(raw, w, e, (np.uint32, e))
-        keys.append(key)
-        counts.append(n)
-    key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    key, n = key[start], np.add.reduceat(n, start)
-    tables, roots = gibbs(key, n)
-    context = (key & _LOW).astype(np.int64)
-    words, columns = _pack(key)
-    totals = [np.bincount(context, weights=x, minlength=CONTEXTS) for x in (n, *tables)]
-    sums = np.concatenate([*totals, [n.sum(), words], roots.sum(axis=1)]).astype(np.int64)
-    data = _squeeze(*columns, n.astype(np.uint32), tables.astype(np.uint32), roots.astype(np.uint32))
-    return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "words": pa.array([words], pa.int32()), "entries": pa.array([len(key)], pa.int32()), "tokens": pa.array([int(n.sum())], pa.int64()), "sums": pa.array([sums.tolist()], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
+    """The counts of a bucket, with one table for each pair."""
+    parts = [_unpack(raw, w, e, (np.uint32, e)) for w, e, raw in zip(t.column("words").to_pylist(), t.column("entries").to_pylist(), t.column("data").to_pylist(), strict=True)]
+    words, contexts, n, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))
+    return _row(t.column("bucket")[0].as_py(), Seating(words, contexts, n), [])
+
+
+def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
+    """Customers and tables of the contexts: whole (answer false), or the tables for each bucket that has them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                at = _seating(r["data"], r["words"], r["entries"])
+                u, inverse = np.unique(at.contexts, return_inverse=True)
+                n, t = (np.bincount(inverse, weights=x).astype(np.int64) for x in (at.counts, at.t))
+                to, rows = _buckets(u, parts), []
+                for c in np.unique(to):
+                    own = to == c
+                    rows.append((int(c), r["bucket"], int(own.sum()), _squeeze(u[own], n[own], t[own])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "bucket", "entries", "data"])
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = [(r["bucket"], *_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))) for r in t.to_pylist()]
+        u, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        n, tables = (np.bincount(inverse, weights=np.concatenate([r[i] for r in rows])).astype(np.int64) for i in (2, 3))
+        out = [(-1, len(u), _squeeze(u, n, tables))]
+        if answer:
+            out = [(b, len(own), _squeeze(own, tables[np.searchsorted(u, own)])) for b, own, *_ in rows]
+        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "entries": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
+
+    asked = state.select("bucket", "words", "entries", "data").mapInArrow(ask, "part int, bucket int, entries int, data binary")
+    return asked.groupBy("part").applyInArrow(add, "bucket int, entries int, data binary")
+
+
+def _sums(state: DataFrame) -> np.ndarray:
+    sums = np.zeros(2 * CLASSES + 3)
+    for r in state.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2·CLASSES + 3 rows
+        sums[r["at"]] = r["n"]
+    return sums
+
+
+def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int) -> DataFrame:
+    """The state after a sweep against the whole's totals."""
+    salt = np.uint64(0x9E3779B97F4A7C15 * (sweep + 1) % 2**64)
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = next(r for r in rows if r["words"] is not None)
+        at = _seating(own["data"], own["words"], own["entries"])
+        told = [_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"])) for r in rows if r["words"] is None]
+        u, n = (np.concatenate([x[i] for x in told]) for i in (0, 1))
+        order = np.argsort(u)
+        at.sweep(n[order][np.searchsorted(u[order], at.contexts)], sums, salt)
+        kept = [_squeeze(*(x.astype(np.uint32) for x in (at.t, at.pair_t, at.root)))] if sweep >= BURN_IN else []
+        return _row(own["bucket"], at, own["kept"] + kept)
+
+    totals = _context_totals(state, parts, True).select("bucket", F.lit(None).cast("int").alias("words"), "entries", "data", F.lit(None).cast("array<binary>").alias("kept"))
+    return state.select("bucket", "words", "entries", "data", "kept").union(totals).groupBy("bucket").applyInArrow(run, _STATE)
+
+
+def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last state of each bucket as its model: counts, and tables of every kept sweep."""
+    for b in batches:
+        for r in b.to_pylist():
+            at = _seating(r["data"], r["words"], r["entries"])
+            kinds = ((np.uint32, len(at.words)), (np.uint32, len(at.pairs)), (np.uint32, r["words"]))
+            data = _squeeze(*_pack(at.words, at.contexts)[1], at.counts.astype(np.uint32), *(x for kept in r["kept"] for x in _spread(kept, *kinds)))
+            yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["words"]], pa.int32()), pa.array([r["entries"]], pa.int32()), pa.array([r["tokens"]], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "words", "entries", "tokens", "data"])
 
 
 def fit(training: DataFrame) -> tuple[DataFrame, dict]:
-    """The model's table (a row for each bucket) and the totals over all buckets."""
+    """The model's table (a row for each bucket), the totals over all buckets, and the table of all contexts' totals."""
     parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = materialize(_counts(training, parts).groupBy("bucket").applyInArrow(_seated, "bucket int, words int, entries int, tokens bigint, sums array<bigint>, data binary"))
-    rows = model.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # (SAMPLES + 1)·CONTEXTS + a few rows
-    sums = np.zeros((SAMPLES + 1) * CONTEXTS + 2 + SAMPLES)
-    for r in rows:
-        sums[r["at"]] = r["n"]
-    return model, {"parts": parts, "sums": sums}
+    state = materialize(_counts(training, parts).groupBy("bucket").applyInArrow(_seated, _STATE))
+    kept, contexts = [], []
+    sums = _sums(state)
+    for sweep in range(BURN_IN + SAMPLES):
+        last, state = state, materialize(_swept(state, parts, sums, sweep))
+        discard(last)
+        sums = _sums(state)
+        if sweep >= BURN_IN:
+            kept.append(sums)
+            contexts.append(materialize(_context_totals(state, parts, False).select(F.lit(len(kept) - 1).alias("sample"), "entries", "data")))
+    model = materialize(state.mapInArrow(_model, "bucket int, words int, entries int, tokens bigint, data binary"))
+    discard(state)
+    all_contexts = contexts[0]
+    for c in contexts[1:]:
+        all_contexts = all_contexts.union(c)
+    return model, {"parts": parts, "sums": np.array(kept), "contexts": all_contexts}
 
 
 class Predictor:
     """Averaged predictive probabilities of a bucket's words."""
 
     def __init__(self, sums: np.ndarray):
-        by = sums[: (SAMPLES + 1) * CONTEXTS].reshape(SAMPLES + 1, CONTEXTS)
-        self.context, self.tables = by[0], by[1:]
-        self.n, self.v = sums[(SAMPLES + 1) * CONTEXTS : (SAMPLES + 1) * CONTEXTS + 2]
-        self.roots = sums[-SAMPLES:]
-        self.key, self.word = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.seats, self.tables = sums[:, :CLASSES], sums[:, CLASSES : 2 * CLASSES]
+        self.v, self.n, self.roots = sums[0, -2], sums[0, -1], sums[:, -3]
+        self.key, self.word, self.context = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def load(self, raw: bytes, words: int, entries: int) -> None:
-        s = SAMPLES
-        self.key, (self.c, t, r) = _unpack(raw, words, entries, (np.uint32, entries), (np.uint32, s * entries), (np.uint32, s * words))
-        start = np.flatnonzero(np.concatenate(([True], (self.key[1:] | _LOW) != (self.key[:-1] | _LOW))))
-        self.word = self.key[start] & ~_LOW
-        self.t = t.reshape(s, -1).astype(float)
-        self.count = np.add.reduceat(self.c.astype(np.int64), start)
-        customers = np.add.reduceat(self.t, start, axis=1)
-        self.root = (customers - ROOT_DISCOUNT * r.reshape(s, -1)) / (self.tables.sum(axis=1) + ROOT_STRENGTH)[:, None]
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the model's probability, and the word's count in the training rows."""
-        context = (keys & _LOW).astype(np.int64)
-        unseen = (ROOT_STRENGTH + ROOT_DISCOUNT * self.roots) / (self.v + 1) / (self.tables.sum(axis=1) + ROOT_STRENGTH)
+        w, contexts, (counts,) = _unpack(raw, words, entries, (np.uint32, entries))
+        at = Seating(w, contexts, counts)
+        p = len(at.pairs)
+        kept = _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(SAMPLES) for n in (entries, p, words)))[2][1:]
+        self.key, self.word = at.pairs, at.words[at.new_word]
+        self.c = at.counts
+        self.start = np.concatenate((np.flatnonzero(at.new_word), [entries]))  # of each word's entries
+        self.count = np.add.reduceat(at.counts, self.start[:-1])
+        self.t, self.own, self.root = [], [], []
+        for s in range(SAMPLES):
+            at.t, at.pair_t, at.root = (x.astype(np.int64) for x in kept[3 * s : 3 * s + 3])
+            c, customers = at.customers()
+            self.t.append(at.t)
+            self.own.append(c - DISCOUNT * at.pair_t)
+            self.root.append((customers - ROOT_DISCOUNT * at.root) / (self.tables[s].sum() + ROOT_STRENGTH))
+        self.entry_contexts_sorted = np.unique(at.contexts)
+        self.entry = np.repeat(np.arange(words), np.diff(self.start)) * len(self.entry_contexts_sorted) + np.searchsorted(self.entry_contexts_sorted, at.contexts)
+        self.order = np.argsort(self.entry, kind="stable")
+        self.entry = self.entry[self.order]
+
+    def load_contexts(self, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """(sample, context, customers, tables) of all contexts."""
+        self.context_tables = []
+        for s in range(SAMPLES):
+            own = [p[1:] for p in parts if p[0] == s]
+            u, n, t = (np.concatenate([p[i] for p in own]) for i in range(3))
+            order = np.argsort(u)
+            self.context, self.context_n = u[order], n[order]
+            self.context_tables.append(t[order])
+
+    def __call__(self, keys: np.ndarray, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the model's probability, and the word's count in the training rows.
+
+        keys: words with the class in the low bits. Without contexts, and for those unknown, it is the class's.
+        """
+        of = (keys & _LOW).astype(np.int64)
         count, p = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        w = at = has_word = has = None
+        known = pair = has_word = has_pair = has = w = at = u = None
         if len(self.key):
             w = np.minimum(np.searchsorted(self.word, keys & ~_LOW), len(self.word) - 1)
             has_word = self.word[w] == keys & ~_LOW
             count = np.where(has_word, self.count[w], 0)
-            at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-            has = self.key[at] == keys
+            pair = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+            has_pair = self.key[pair] == keys
+        if contexts is not None and len(self.context):
+            u = np.minimum(np.searchsorted(self.context, contexts), len(self.context) - 1)
+            known = self.context[u] == contexts
+            if len(self.key):
+                c = np.minimum(np.searchsorted(self.entry_contexts_sorted, contexts), len(self.entry_contexts_sorted) - 1)
+                entry = w * len(self.entry_contexts_sorted) + c
+                e = np.minimum(np.searchsorted(self.entry, entry), len(self.entry) - 1)
+                has = has_word & (self.entry_contexts_sorted[c] == contexts) & (self.entry[e] == entry)
+                at = self.order[e]
         for s in range(SAMPLES):
-            parent = unseen[s] if w is None else unseen[s] + np.where(has_word, self.root[s][w], 0.0)
-            own = 0.0 if w is None else np.where(has, self.c[at] - DISCOUNT * self.t[s][at], 0.0)
-            p += (own + (STRENGTH + DISCOUNT * self.tables[s][context]) * parent) / (self.context[context] + STRENGTH)
+            q = (ROOT_STRENGTH + ROOT_DISCOUNT * self.roots[s]) / (self.v + 1) / (self.tables[s].sum() + ROOT_STRENGTH)
+            if w is not None:
+                q = q + np.where(has_word, self.root[s][w], 0.0)
+            own = 0.0 if w is None else np.where(has_pair, self.own[s][pair], 0.0)
+            q = (own + (STRENGTH + DISCOUNT * self.tables[s][of]) * q) / (self.seats[s][of] + STRENGTH)
+            if known is not None:
+                own = 0.0 if at is None else np.where(has, self.c[at] - DISCOUNT * self.t[s][at], 0.0)
+                q = np.where(known, (own + (STRENGTH + DISCOUNT * self.context_tables[s][u]) * q) / (self.context_n[u] + STRENGTH), q)
+            p += q
         return np.log10(p / SAMPLES), count
 
 
@@ -252,17 +394,18 @@ def _tokens(docs: DataFrame, parts: int, splits: dict[int, int]) -> DataFrame:
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def packed(ids: list, held: list[np.ndarray], batch: int) -> pa.RecordBatch:
-        keys, lengths = np.concatenate(held), [len(h) for h in held]
+        lengths = [h.shape[1] for h in held]
+        words, contexts = np.concatenate(held, axis=1)
         doc = np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
-        order = np.lexsort((keys, _buckets(keys, parts)))
-        keys, doc = keys[order], doc[order]
-        cuts = np.searchsorted(_buckets(keys, parts), np.arange(parts + 1))
+        order = np.argsort(_buckets(words, parts), kind="stable")
+        words, contexts, doc = words[order], contexts[order], doc[order]
+        cuts = np.searchsorted(_buckets(words, parts), np.arange(parts + 1))
         rows = [(batch % parts, batch % splits.get(batch % parts, 1), batch, len(ids), 0, 0, None, ids, lengths)]
         for b in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[b], cuts[b + 1])
-            key, n = np.unique(keys[own], return_counts=True)
-            words, columns = _pack(key)
-            rows.append((int(b), batch % splits.get(int(b), 1), batch, len(ids), words, len(key), _squeeze(*columns, n.astype(np.uint32), doc[own].astype(np.uint16) if len(ids) < 65536 else doc[own]), None, None))
+            word, context, n, order = _distinct(words[own], contexts[own])
+            packed_words, columns = _pack(word, context)
+            rows.append((int(b), batch % splits.get(int(b), 1), batch, len(ids), packed_words, len(word), _squeeze(*columns, n.astype(np.uint32), doc[own][order].astype(np.uint16) if len(ids) < 65536 else doc[own][order]), None, None))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +414,7 @@ def _tokens(docs: DataFrame, parts: int, splits: dict[int, int]) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 held.append(_token_keys(memo, t))
-                n += len(held[-1])
+                n += held[-1].shape[1]
                 if n >= _FLUSH:
                     yield packed(ids, held, batch)
                     ids, held, n, batch = [], [], 0, batch + 1
@@ -293,25 +436,30 @@ def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id
     copies = F.coalesce(F.create_map(*[F.lit(x) for kv in splits.items() for x in kv])[F.col("bucket")], F.lit(1)) if splits else F.lit(1)
     copied = model.withColumn("split", F.explode(F.sequence(F.lit(0), copies - 1)))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    both = tokens.union(copied.select("bucket", "split", F.lit(-1).cast("bigint").alias("batch"), F.lit(0).alias("docs"), "words", "entries", "data", none("array<bigint>", "ids"), none("array<bigint>", "lengths")))
+    spread = totals["contexts"].withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("split", F.explode(F.sequence(F.lit(0), copies - 1)))
+    told = spread.select("bucket", "split", (-2 - F.col("sample")).cast("bigint").alias("batch"), F.lit(0).alias("docs"), F.lit(0).alias("words"), "entries", "data", none("array<bigint>", "ids"), none("array<bigint>", "lengths"))
+    both = tokens.union(told).union(copied.select("bucket", "split", F.lit(-1).cast("bigint").alias("batch"), F.lit(0).alias("docs"), "words", "entries", "data", none("array<bigint>", "ids"), none("array<bigint>", "lengths")))
 
     def meet(t: pa.Table) -> pa.Table:
         predict = Predictor(sums)
         rows = t.select(["batch", "docs", "words", "entries", "data", "ids", "lengths"]).to_pylist()
         out = []
         for r in rows:
-            if r["batch"] < 0:
+            if r["batch"] == -1:
                 predict.load(r["data"], r["words"], r["entries"])
+        told = [(-2 - r["batch"], *_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))) for r in rows if r["batch"] < -1]
+        if told:
+            predict.load_contexts(told)
         for r in rows:
             if r["batch"] >= 0 and r["ids"] is not None:
                 out.append((r["batch"], None, r["ids"], r["lengths"]))
             elif r["batch"] >= 0:
                 small = r["docs"] < 65536
                 data = zstandard.ZstdDecompressor().decompress(r["data"])
-                used = r["words"] * 10 + r["entries"] * 5
-                w, per, context, n = (np.frombuffer(data, k, m, at) for k, m, at in ((np.uint64, r["words"], 0), (np.uint16, r["words"], r["words"] * 8), (np.uint8, r["entries"], r["words"] * 10), (np.uint32, r["entries"], r["words"] * 10 + r["entries"])))
+                used = r["words"] * 12 + r["entries"] * 12
+                w, per, context, n = (np.frombuffer(data, k, m, at) for k, m, at in ((np.uint64, r["words"], 0), (np.uint32, r["words"], r["words"] * 8), (np.uint64, r["entries"], r["words"] * 12), (np.uint32, r["entries"], r["words"] * 12 + r["entries"] * 8)))
                 doc = np.frombuffer(data, np.uint16 if small else np.uint32, -1, used)
-                logs, count = predict(np.repeat(w, per) | context)
+                logs, count = predict(np.repeat(w, per) | (context & _LOW), context)
                 base = np.log10((count + 1.0) / (predict.n + predict.v + 1.0))
                 sums_of = [np.bincount(doc, weights=np.repeat(x, n), minlength=r["docs"]) for x in (logs, base, count > 0)]
                 out.append((r["batch"], np.concatenate(sums_of).tobytes(), None, None))
