@@ -287,6 +287,19 @@ def test_language_model_keeps_preceding_words_apart(spark):
     assert got[1] - got[2] > 0.5  # one class of both would hold the two alike
 
 
+def test_language_model_hangs_on_no_partition_count(spark):
+    rnd = random.Random(8)
+    d = docs(spark, [(i, text(rnd, 200)) for i in range(60)])
+    parts, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r["doc_id"]: r["score"] for r in lm.score(d, *lm.fit(d)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert all(got[0][i] == pytest.approx(got[1][i], abs=1e-6) for i in got[0])
+
+
 def test_table_counts_follow_their_law():
     d, a = 0.6, 0.7
     logs = lm.stirling_logs(lm.EXACT, d)

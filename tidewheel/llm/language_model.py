@@ -84,7 +84,7 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: n
         slope = y ** (d - 1.0) + 3.0 * (1.0 - d) * x * y ** (d - 2.0) + (1.0 - d) * (2.0 - d) * x * x * y ** (d - 3.0)
         mean = am * phi - 0.5 * (1.0 - slope / g / (1.0 / x + (1.0 - d) / y))  # the saddle point, and its next term
         spread = np.sqrt(np.maximum(mean * (1.0 - size * size / square), 0.0))
-        z = np.sqrt(-2.0 * np.log(u[many])) * np.cos(2.0 * np.pi * uniform(np.arange(len(many), dtype=np.uint64) + (u[many] * 2.0**53).astype(np.uint64)))
+        z = np.sqrt(-2.0 * np.log(u[many])) * np.cos(2.0 * np.pi * uniform((u[many] * 2.0**53).astype(np.uint64)))
         t[many] = np.clip(np.rint(mean + spread * z), 1, cm).astype(np.int64)
     return t
 
