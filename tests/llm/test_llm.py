@@ -256,16 +256,99 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     # probabilities of all known words and the unknown class sum to one in each context
     vocabulary = np.array(sorted({int(lm.WordHashes()[x if x is not None else lm.END]) for x in c}), np.uint64) & ~np.uint64(255)
-    for context in (0, 17, 255):
-        total = 0.0
-        for r in model.collect():
-            p = lm.Predictor(totals["sums"])
-            p.load(bytes(r["data"]), r["words"], r["entries"])
-            own = np.intersect1d(vocabulary, p.word)
-            total += (10 ** p(own | np.uint64(context))[0]).sum()
-        p = lm.Predictor(totals["sums"])
-        total += 10 ** p(np.array([context], np.uint64))[0][0]
-        assert total == pytest.approx(1.0, abs=1e-9)
+    contexts = _context_table(totals)
+    for context in [*list(contexts)[:3], 17]:
+        p, n = 0.0, contexts.get(context, [(0, 0)] * lm.SAMPLES)
+        for predict in [lm.Predictor(totals["sums"], bytes(r["data"]), r["words"], r["entries"]) for r in model.collect()] + [lm.Predictor(totals["sums"])]:
+            own = np.intersect1d(vocabulary, predict.word) if len(predict.word) else np.array([3 << 8], np.uint64)
+            _, customers, tables, parents = predict(own, np.full(len(own), context, np.uint64))
+            p += lm.predictive(customers, tables, n[0][0], [x[1] for x in n], parents).sum()
+        assert p == pytest.approx(1.0, abs=1e-9)
+
+
+def _context_table(totals):
+    """Customers and tables of each context, for each sample."""
+    out = collections.defaultdict(list)
+    for r in totals["contexts"].orderBy("sample").collect():
+        u, n, tables = lm._spread(bytes(r["data"]), *((k, r["entries"]) for k in (np.uint64, np.int64, np.int64)))
+        for x, *y in zip(u.tolist(), n.tolist(), tables.tolist(), strict=True):
+            out[x].append(tuple(y))
+    return out
+
+
+class Restaurants:
+    """Plain sequential Gibbs: each customer leaves and is seated again, through context, class and root."""
+
+    def __init__(self, pairs, v, rng):
+        self.rng, self.v, self.seats = rng, v, [{}, {}, {}]
+        self.pairs = [(w, (c, c & 255, 0)) for w, c in pairs]
+        for w, c in self.pairs:
+            self.add(w, c, 0)
+
+    def probability(self, w, c, level=0):
+        if level == 3:
+            return 1.0 / (self.v + 1)
+        d, s = (lm.DISCOUNT, lm.STRENGTH) if level < 2 else (lm.ROOT_DISCOUNT, lm.ROOT_STRENGTH)
+        dishes = self.seats[level].get(c[level], {})
+        n, t = sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+        own = dishes.get(w, [])
+        return (sum(own) - d * len(own) + (s + d * t) * self.probability(w, c, level + 1)) / (n + s)
+
+    def add(self, w, c, level):
+        if level == 3:
+            return
+        d, s = (lm.DISCOUNT, lm.STRENGTH) if level < 2 else (lm.ROOT_DISCOUNT, lm.ROOT_STRENGTH)
+        dishes = self.seats[level].setdefault(c[level], {})
+        t = sum(map(len, dishes.values()))
+        own = dishes.setdefault(w, [])
+        x = self.rng.random() * (sum(own) - d * len(own) + (s + d * t) * self.probability(w, c, level + 1))
+        for i, n in enumerate(own):
+            x -= n - d
+            if x < 0:
+                own[i] += 1
+                return
+        own.append(1)
+        self.add(w, c, level + 1)
+
+    def remove(self, w, c, level):
+        if level == 3:
+            return
+        own = self.seats[level][c[level]][w]
+        x = self.rng.random() * sum(own)
+        for i, n in enumerate(own):
+            x -= n
+            if x < 0:
+                break
+        own[i] -= 1
+        if not own[i]:
+            own.pop(i)
+            self.remove(w, c, level + 1)
+
+    def sweep(self):
+        for w, c in self.pairs:
+            self.remove(w, c, 0)
+            self.add(w, c, 0)
+
+
+def test_language_model_against_a_sequential_sampler(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(["ka", "lo", "lo mi", "ne ka", f"rare{i}"]) for _ in range(12))) for i in range(14)]
+    d = docs(spark, rows)
+    model, totals = lm.fit(d, burn_in=8, samples=6)
+    got = {r["doc_id"]: r["score"] for r in lm.score(d, model, totals).collect()}
+    memo = lm.WordHashes()
+    keys = {i: lm._token_keys(memo, t) for i, t in rows}
+    pairs = [(int(w), int(c)) for k in keys.values() for w, c in k.T]
+    plain, sums, n = Restaurants(pairs, len({w for w, _ in pairs}), random.Random(1)), collections.Counter(), 0
+    for sweep in range(60):
+        plain.sweep()
+        if sweep >= 20:
+            n += 1
+            for w, c in set(pairs):
+                sums[w, c] += plain.probability(w, (c, c & 255, 0))
+    want = {i: sum(math.log10(sums[int(w), int(c)] / n) for w, c in k.T) for i, k in keys.items()}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.03)
+    assert all(got[i] == pytest.approx(want[i], rel=0.1) for i in want)
 
 
 def test_language_model_without_training_rows(spark):
@@ -292,12 +375,22 @@ def test_language_model_hangs_on_no_partition_count(spark):
     d = docs(spark, [(i, text(rnd, 200)) for i in range(60)])
     parts, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
-        for n in ("2", "5"):
+        for n in ("2", "8", "64"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             got.append({r["doc_id"]: r["score"] for r in lm.score(d, *lm.fit(d)).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-    assert all(got[0][i] == pytest.approx(got[1][i], abs=1e-6) for i in got[0])
+    assert all(got[0][i] == pytest.approx(x[i], abs=1e-9) for x in got[1:] for i in got[0])
+
+
+def test_counts_added_in_groups(spark, monkeypatch):
+    d = docs(spark, [(i, text(random.Random(i), 50)) for i in range(40)] + ODD)
+    one = {r["doc_id"]: r["score"] for r in lm.score(d, *lm.fit(d)).collect()}
+    for name, value in (("FAN", 1), ("_FLUSH", 100), ("BUCKET_BYTES", 10_000)):
+        monkeypatch.setattr(lm, name, value)
+    assert lm.bucket_count(d)[1] > 1
+    got = {r["doc_id"]: r["score"] for r in lm.score(d, *lm.fit(d)).collect()}
+    assert all(got[i] == pytest.approx(one[i], abs=1e-9) for i in one)
 
 
 def test_table_counts_follow_their_law():

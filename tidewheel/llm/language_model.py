@@ -3,18 +3,24 @@
 The root restaurant holds the words; its children are 256 hash classes of the preceding token, and their
 children the preceding tokens themselves, each a context of its own (the start of a text has its own token).
 The root's base is uniform over the known words and one class of unknown ones. The state is the number of
-tables t of each (context, word), of each (class, word) and of each word at the root; table counts are sampled from their full conditionals
-p(t) ~ S(c, t; d)·a^t, with S the generalised Stirling numbers and a the weight of opening a table: exactly
-for up to EXACT customers, beyond that from the matching normal law (tables are Poisson many, their sizes
-tilted so that they sum to c). A sweep updates all contexts against the current classes, then the classes, then the root.
-Predictive probabilities are averaged over the kept sweeps; they sum to one over words for each context.
+tables t of each (context, word), of each (class, word) and of each word at the root. Table counts are sampled
+from their full conditionals p(t) ~ S(c, t; d)·a^t, with S the generalised Stirling numbers and a the weight of
+opening a table: exactly for up to EXACT customers, beyond that from the matching normal law (tables are
+Poisson many, their sizes tilted so that they sum to c). A sweep updates all contexts against the current
+classes, then the classes, then the root. Predictive probabilities are averaged over the kept sweeps; they sum
+to one over words for each context.
 
 How it runs. One scan counts (context, word) in the training rows, packed by word bucket; a bucket holds all
-contexts of its words. Between sweeps the buckets' tables of each context meet by context and go back as
-totals; those of classes and root, a few hundred numbers, pass the driver. A second scan packs the tokens of
-all rows by word bucket, meets the bucket's model and the totals of all contexts, and sends partial sums
-back by batch. Buckets with many tokens are split by batch, their model copied to each split.
-Word identity is a 56-bit hash.
+contexts of its words. Between sweeps the buckets ask for the tables of their contexts, which meet by context;
+those of classes and root, a few hundred numbers, pass the driver. To score, a second scan cuts the rows in
+batches. A batch asks the word buckets for its distinct (context, word) and the context buckets for its distinct
+contexts, and adds up its rows' logarithms from the answers; nothing is sent for each row and bucket. Buckets
+with many tokens are split by batch, their model copied to each split.
+
+Bounds: buckets are as many as shuffle partitions, and more where one would hold the tokens of over BUCKET_BYTES
+of text; their number changes no result, as every random number hangs on word, context and sweep alone. Partial
+counts of a bucket are added in groups first where there are many. A word's entries are in one bucket: as many
+as it has distinct preceding words. Word identity is a 56-bit hash.
 
 Rows: null and empty texts consist of the end token alone; repeated rows each count and are each scored; a
 null id hashes like the empty text; with no training rows every token is unknown; an empty table gives no
@@ -24,6 +30,7 @@ rows; columns other than the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +45,14 @@ START, END = b"\x00 start", b"\x00 end"  # no word holds a space
 DISCOUNT, STRENGTH = 0.8, 1.0  # of the contexts and their classes
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0
 BURN_IN, SAMPLES = 3, 2
-EXACT = 48
+EXACT = 200
+#: Text whose tokens a bucket holds, on average, at most; and how many partial counts of a bucket are added in one step.
+BUCKET_BYTES, FAN = 32_000_000, 64
 _FLUSH = 1_500_000
 _LOW = np.uint64(CLASSES - 1)
 
 
+@cache
 def stirling_logs(most: int, d: float) -> np.ndarray:
     """log S(c, t; d) for c, t up to most."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -163,7 +173,7 @@ def _token_keys(memo: WordHashes, text: str | None) -> np.ndarray:
 
 def _distinct(words: np.ndarray, contexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs by word, class and context, how often they occur, and the order of the input."""
-    order = np.lexsort((contexts, contexts & _LOW, words))
+    order = np.lexsort((contexts, words | (contexts & _LOW)))
     words, contexts = words[order], contexts[order]
     start = np.flatnonzero(_firsts(words) | _firsts(contexts))
     counts = np.diff(np.concatenate((start, [len(words)]))) if n is None else np.add.reduceat(n[order], start)
@@ -174,8 +184,15 @@ def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
-def _counts(docs: DataFrame, parts: int) -> DataFrame:
-    def packed(keys: np.ndarray) -> pa.RecordBatch:
+def bucket_count(docs: DataFrame) -> tuple[int, int]:
+    """Buckets for these texts, and into how many groups their partial counts go first."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    flushes = size // (4 * _FLUSH) + 1
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1), int(flushes // FAN) + 1
+
+
+def _counts(docs: DataFrame, parts: int, groups: int) -> DataFrame:
+    def packed(keys: np.ndarray, group: int) -> pa.RecordBatch:
         word, context, n, _ = _distinct(*keys)
         bucket = _buckets(word, parts)
         rows = []
@@ -184,23 +201,36 @@ def _counts(docs: DataFrame, parts: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[b] : cuts[b + 1]]
             words, columns = _pack(word[at], context[at])
-            rows.append((int(b), words, len(at), _squeeze(*columns, n[at].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "words", "entries", "data"])
+            rows.append((int(b), group, words, len(at), _squeeze(*columns, n[at].astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "grp", "words", "entries", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n = WordHashes(), [], 0
+        memo, held, n, flush = WordHashes(), [], 0, TaskContext.get().partitionId()
         for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 held.append(_token_keys(memo, t))
                 n += held[-1].shape[1]
                 if n >= _FLUSH:
-                    yield packed(np.concatenate(held, axis=1))
-                    held, n = [], 0
+                    yield packed(np.concatenate(held, axis=1), flush % groups)
+                    held, n, flush = [], 0, flush + 1
             memo.trim()
         if held:
-            yield packed(np.concatenate(held, axis=1))
+            yield packed(np.concatenate(held, axis=1), flush % groups)
 
-    return docs.select("text").mapInArrow(run, "bucket int, words int, entries int, data binary")
+    counts = docs.select("text").mapInArrow(run, "bucket int, grp int, words int, entries int, data binary")
+    return counts.groupBy("bucket", "grp").applyInArrow(_added, "bucket int, words int, entries int, data binary") if groups > 1 else counts
+
+
+def _sum(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts and counts of the rows together."""
+    parts = [_unpack(raw, w, e, (np.uint32, e)) for w, e, raw in zip(t.column("words").to_pylist(), t.column("entries").to_pylist(), t.column("data").to_pylist(), strict=True)]
+    return _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))[:3]
+
+
+def _added(t: pa.Table) -> pa.Table:
+    words, contexts, n = _sum(t)
+    count, columns = _pack(words, contexts)
+    return pa.table({"bucket": t.column("bucket").slice(0, 1), "words": pa.array([count], pa.int32()), "entries": pa.array([len(words)], pa.int32()), "data": pa.array([_squeeze(*columns, n.astype(np.uint32))], pa.binary())})
 
 
 _STATE = "bucket int, words int, entries int, tokens bigint, sums array<bigint>, data binary, kept array<binary>"
@@ -223,9 +253,7 @@ def _seating(raw: bytes, words: int, entries: int) -> Seating:
 
 def _seated(t: pa.Table) -> pa.Table:
     """The counts of a bucket, with one table for each pair."""
-    parts = [_unpack(raw, w, e, (np.uint32, e)) for w, e, raw in zip(t.column("words").to_pylist(), t.column("entries").to_pylist(), t.column("data").to_pylist(), strict=True)]
-    words, contexts, n, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))
-    return _row(t.column("bucket")[0].as_py(), Seating(words, contexts, n), [])
+    return _row(t.column("bucket")[0].as_py(), Seating(*_sum(t)), [])
 
 
 def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
@@ -247,7 +275,7 @@ def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
         rows = [(r["bucket"], *_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))) for r in t.to_pylist()]
         u, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
         n, tables = (np.bincount(inverse, weights=np.concatenate([r[i] for r in rows])).astype(np.int64) for i in (2, 3))
-        out = [(-1, len(u), _squeeze(u, n, tables))]
+        out = [(t.column("part")[0].as_py(), len(u), _squeeze(u, n, tables))]
         if answer:
             out = [(b, len(own), _squeeze(own, tables[np.searchsorted(u, own)])) for b, own, *_ in rows]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "entries": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
@@ -263,7 +291,7 @@ def _sums(state: DataFrame) -> np.ndarray:
     return sums
 
 
-def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int) -> DataFrame:
+def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int, keep: bool) -> DataFrame:
     """The state after a sweep against the whole's totals."""
     salt = np.uint64(0x9E3779B97F4A7C15 * (sweep + 1) % 2**64)
 
@@ -275,7 +303,7 @@ def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int) -> DataFr
         u, n = (np.concatenate([x[i] for x in told]) for i in (0, 1))
         order = np.argsort(u)
         at.sweep(n[order][np.searchsorted(u[order], at.contexts)], sums, salt)
-        kept = [_squeeze(*(x.astype(np.uint32) for x in (at.t, at.pair_t, at.root)))] if sweep >= BURN_IN else []
+        kept = [_squeeze(*(x.astype(np.uint32) for x in (at.t, at.pair_t, at.root)))] if keep else []
         return _row(own["bucket"], at, own["kept"] + kept)
 
     totals = _context_totals(state, parts, True).select("bucket", F.lit(None).cast("int").alias("words"), "entries", "data", F.lit(None).cast("array<binary>").alias("kept"))
@@ -292,19 +320,19 @@ def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["words"]], pa.int32()), pa.array([r["entries"]], pa.int32()), pa.array([r["tokens"]], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "words", "entries", "tokens", "data"])
 
 
-def fit(training: DataFrame) -> tuple[DataFrame, dict]:
+def fit(training: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
     """The model's table (a row for each bucket), the totals over all buckets, and the table of all contexts' totals."""
-    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = materialize(_counts(training, parts).groupBy("bucket").applyInArrow(_seated, _STATE))
+    parts, groups = bucket_count(training)
+    state = materialize(_counts(training, parts, groups).groupBy("bucket").applyInArrow(_seated, _STATE))
     kept, contexts = [], []
     sums = _sums(state)
-    for sweep in range(BURN_IN + SAMPLES):
-        last, state = state, materialize(_swept(state, parts, sums, sweep))
+    for sweep in range(burn_in + samples):
+        last, state = state, materialize(_swept(state, parts, sums, sweep, sweep >= burn_in))
         discard(last)
         sums = _sums(state)
-        if sweep >= BURN_IN:
+        if sweep >= burn_in:
             kept.append(sums)
-            contexts.append(materialize(_context_totals(state, parts, False).select(F.lit(len(kept) - 1).alias("sample"), "entries", "data")))
+            contexts.append(materialize(_context_totals(state, parts, False).select(F.lit(len(kept) - 1).alias("sample"), "bucket", "entries", "data")))
     model = materialize(state.mapInArrow(_model, "bucket int, words int, entries int, tokens bigint, data binary"))
     discard(state)
     all_contexts = contexts[0]
@@ -313,171 +341,205 @@ def fit(training: DataFrame) -> tuple[DataFrame, dict]:
     return model, {"parts": parts, "sums": np.array(kept), "contexts": all_contexts}
 
 
+def _pair_hash(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mix64(mix64(words) ^ contexts)
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the asked ones stand in the sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 class Predictor:
-    """Averaged predictive probabilities of a bucket's words."""
+    """A bucket's words: their customers and tables in contexts, and their probabilities in classes, for each sample."""
 
-    def __init__(self, sums: np.ndarray):
+    def __init__(self, sums: np.ndarray, raw: bytes | None = None, words: int = 0, entries: int = 0):
         self.seats, self.tables = sums[:, :CLASSES], sums[:, CLASSES : 2 * CLASSES]
-        self.v, self.n, self.roots = sums[0, -2], sums[0, -1], sums[:, -3]
-        self.key, self.word, self.context = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-
-    def load(self, raw: bytes, words: int, entries: int) -> None:
+        self.v, self.n = sums[0, -2], sums[0, -1]
+        base = (ROOT_STRENGTH + ROOT_DISCOUNT * sums[:, -3]) / (self.v + 1)
+        self.at_root = self.tables.sum(axis=1) + ROOT_STRENGTH
+        self.unknown = base / self.at_root
+        self.word = self.pair = self.entry = np.empty(0, np.uint64)
+        if raw is None:
+            return
         w, contexts, (counts,) = _unpack(raw, words, entries, (np.uint32, entries))
         at = Seating(w, contexts, counts)
         p = len(at.pairs)
-        kept = _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(SAMPLES) for n in (entries, p, words)))[2][1:]
-        self.key, self.word = at.pairs, at.words[at.new_word]
-        self.c = at.counts
-        self.start = np.concatenate((np.flatnonzero(at.new_word), [entries]))  # of each word's entries
-        self.count = np.add.reduceat(at.counts, self.start[:-1])
-        self.t, self.own, self.root = [], [], []
-        for s in range(SAMPLES):
-            at.t, at.pair_t, at.root = (x.astype(np.int64) for x in kept[3 * s : 3 * s + 3])
+        kept = [x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(len(sums)) for n in (entries, p, words)))[2][1:]]
+        self.word, self.pair = at.words[at.new_word], at.pairs
+        self.count = np.add.reduceat(at.counts, np.flatnonzero(at.new_word))
+        hashes = _pair_hash(at.words, at.contexts)
+        order = np.argsort(hashes)
+        self.entry, self.c, self.t = hashes[order], at.counts[order], [kept[3 * s][order] for s in range(len(sums))]
+        self.own, self.root = [], []
+        for s in range(len(sums)):
+            at.t, at.pair_t, at.root = kept[3 * s : 3 * s + 3]
             c, customers = at.customers()
-            self.t.append(at.t)
             self.own.append(c - DISCOUNT * at.pair_t)
-            self.root.append((customers - ROOT_DISCOUNT * at.root) / (self.tables[s].sum() + ROOT_STRENGTH))
-        self.entry_contexts_sorted = np.unique(at.contexts)
-        self.entry = np.repeat(np.arange(words), np.diff(self.start)) * len(self.entry_contexts_sorted) + np.searchsorted(self.entry_contexts_sorted, at.contexts)
-        self.order = np.argsort(self.entry, kind="stable")
-        self.entry = self.entry[self.order]
-
-    def load_contexts(self, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """(sample, context, customers, tables) of all contexts."""
-        self.context_tables = []
-        for s in range(SAMPLES):
-            own = [p[1:] for p in parts if p[0] == s]
-            u, n, t = (np.concatenate([p[i] for p in own]) for i in range(3))
-            order = np.argsort(u)
-            self.context, self.context_n = u[order], n[order]
-            self.context_tables.append(t[order])
-
-    def __call__(self, keys: np.ndarray, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the model's probability, and the word's count in the training rows.
-
-        keys: words with the class in the low bits. Without contexts, and for those unknown, it is the class's.
-        """
-        of = (keys & _LOW).astype(np.int64)
-        count, p = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        known = pair = has_word = has_pair = has = w = at = u = None
-        if len(self.key):
-            w = np.minimum(np.searchsorted(self.word, keys & ~_LOW), len(self.word) - 1)
-            has_word = self.word[w] == keys & ~_LOW
-            count = np.where(has_word, self.count[w], 0)
-            pair = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-            has_pair = self.key[pair] == keys
-        if contexts is not None and len(self.context):
-            u = np.minimum(np.searchsorted(self.context, contexts), len(self.context) - 1)
-            known = self.context[u] == contexts
-            if len(self.key):
-                c = np.minimum(np.searchsorted(self.entry_contexts_sorted, contexts), len(self.entry_contexts_sorted) - 1)
-                entry = w * len(self.entry_contexts_sorted) + c
-                e = np.minimum(np.searchsorted(self.entry, entry), len(self.entry) - 1)
-                has = has_word & (self.entry_contexts_sorted[c] == contexts) & (self.entry[e] == entry)
-                at = self.order[e]
-        for s in range(SAMPLES):
-            q = (ROOT_STRENGTH + ROOT_DISCOUNT * self.roots[s]) / (self.v + 1) / (self.tables[s].sum() + ROOT_STRENGTH)
-            if w is not None:
-                q = q + np.where(has_word, self.root[s][w], 0.0)
-            own = 0.0 if w is None else np.where(has_pair, self.own[s][pair], 0.0)
-            q = (own + (STRENGTH + DISCOUNT * self.tables[s][of]) * q) / (self.seats[s][of] + STRENGTH)
-            if known is not None:
-                own = 0.0 if at is None else np.where(has, self.c[at] - DISCOUNT * self.t[s][at], 0.0)
-                q = np.where(known, (own + (STRENGTH + DISCOUNT * self.context_tables[s][u]) * q) / (self.context_n[u] + STRENGTH), q)
-            p += q
-        return np.log10(p / SAMPLES), count
-
-
-def _tokens(docs: DataFrame, parts: int, splits: dict[int, int]) -> DataFrame:
-    """Packed tokens by bucket and split, and for each batch a row with its ids and token counts."""
-    names = ["bucket", "split", "batch", "docs", "words", "entries", "data", "ids", "lengths"]
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-
-    def packed(ids: list, held: list[np.ndarray], batch: int) -> pa.RecordBatch:
-        lengths = [h.shape[1] for h in held]
+            self.root.append((customers - ROOT_DISCOUNT * at.root + base[s]) / self.at_root[s])
+
+    def __call__(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each word and context: the word's count, customers in the context, and for each sample its tables there and its probability in the class."""
+        of = (contexts & _LOW).astype(np.int64)
+        w, has_word = _find(self.word, words)
+        p, has_pair = _find(self.pair, words | (contexts & _LOW))
+        e, has = _find(self.entry, _pair_hash(words, contexts))
+        pick = lambda values, at, ok, rest: np.where(ok, values[at], rest) if ok.any() else np.full(len(ok), rest)
+        count, c = (pick(x, at, ok, 0) for x, at, ok in ((self.count, w, has_word), (self.c, e, has))) if len(self.word) else (np.zeros(len(words), np.int64),) * 2
+        tables, parents = [], []
+        for s in range(len(self.seats)):
+            q = pick(self.root[s], w, has_word, self.unknown[s]) if len(self.word) else np.full(len(words), self.unknown[s])
+            own = pick(self.own[s], p, has_pair, 0.0) if len(self.word) else 0.0
+            parents.append((own + (STRENGTH + DISCOUNT * self.tables[s][of]) * q) / (self.seats[s][of] + STRENGTH))
+            tables.append(pick(self.t[s], e, has, 0) if len(self.word) else c)
+        return count, c, tables, parents
+
+
+def predictive(c, tables: list, customers, context_tables: list, parents: list):
+    """The averaged probability of words with c customers in contexts of so many customers and tables; of an unknown context it is the class's."""
+    q = [(c - DISCOUNT * t + (STRENGTH + DISCOUNT * total) * p) / (customers + STRENGTH) for t, total, p in zip(tables, context_tables, parents, strict=True)]
+    return sum(q) / len(q)
+
+
+_ROW = "kind int, bucket int, split int, batch bigint, words int, entries int, data binary, ids array<{0}>, lengths array<bigint>"
+_WORDS, _CONTEXTS, _BATCH = 0, 1, 2
+
+
+def _asks(docs: DataFrame, parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
+    """Of each batch of rows: what it asks the word and the context buckets, and a row with its ids, lengths and places in the answers."""
+    names = ["kind", "bucket", "split", "batch", "words", "entries", "data", "ids", "lengths"]
+
+    def slices(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+        return order, [(int(b), int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
+
+    def packed(ids: list[pa.Array], held: list[np.ndarray], batch: int) -> pa.RecordBatch:
+        ids = pa.concat_arrays(ids)
         words, contexts = np.concatenate(held, axis=1)
-        doc = np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
-        order = np.argsort(_buckets(words, parts), kind="stable")
-        words, contexts, doc = words[order], contexts[order], doc[order]
-        cuts = np.searchsorted(_buckets(words, parts), np.arange(parts + 1))
-        rows = [(batch % parts, batch % splits.get(batch % parts, 1), batch, len(ids), 0, 0, None, ids, lengths)]
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[b], cuts[b + 1])
-            word, context, n, order = _distinct(words[own], contexts[own])
-            packed_words, columns = _pack(word, context)
-            rows.append((int(b), batch % splits.get(int(b), 1), batch, len(ids), packed_words, len(word), _squeeze(*columns, n.astype(np.uint32), doc[own][order].astype(np.uint16) if len(ids) < 65536 else doc[own][order]), None, None))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+        word, context, n, order = _distinct(words, contexts)
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.repeat(np.arange(len(word), dtype=np.uint32), n)
+        known, of = np.unique(context, return_inverse=True)
+        by, asked = slices(_buckets(word, parts))
+        to = np.empty(len(by), np.uint32)
+        to[by] = np.arange(len(by), dtype=np.uint32)
+        by_context, asked_contexts = slices(_buckets(known, parts))
+        to_context = np.empty(len(known), np.uint32)
+        to_context[by_context] = np.arange(len(known), dtype=np.uint32)
+        data, spread = _squeeze(to[place], to_context[of][by]), int(mix64(np.array([batch], np.uint64))[0] >> np.uint64(8))
+        rows = [(_BATCH, spread % parts, 0, batch, len(words), len(word), data)]
+        for b, s, e in asked:
+            own = by[s:e]
+            count, columns = _pack(word[own], context[own])
+            rows.append((_WORDS, b, spread % splits.get(b, 1), batch, count, e - s, _squeeze(*columns)))
+        for b, s, e in asked_contexts:
+            rows.append((_CONTEXTS, b, 0, batch, 0, e - s, _squeeze(known[by_context[s:e]])))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        rest = len(rows) - 1
+        all_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        lengths = pa.array([[h.shape[1] for h in held]] + [None] * rest, pa.list_(pa.int64()))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([all_ids, pa.nulls(rest, all_ids.type)]), lengths], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, ids, held, n, batch = WordHashes(), [], [], 0, TaskContext.get().partitionId() << 24
-        for b in sliced(batches):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
+        for b in sliced(batches, 100):
+            ids.append(b.column(0))
+            for t in b.column(1).to_pylist():
                 held.append(_token_keys(memo, t))
                 n += held[-1].shape[1]
-                if n >= _FLUSH:
-                    yield packed(ids, held, batch)
-                    ids, held, n, batch = [], [], 0, batch + 1
+            if n >= _FLUSH:
+                yield packed(ids, held, batch)
+                ids, held, n, batch = [], [], 0, batch + 1
             memo.trim()
         if held:
             yield packed(ids, held, batch)
 
-    return docs.mapInArrow(run, "bucket int, split int, batch bigint, docs int, words int, entries int, data binary, ids array<bigint>, lengths array<bigint>")
+    return docs.mapInArrow(run, _ROW.format(id_type))
+
+
+def _answered(sums: np.ndarray, id_type: str):
+    """What a bucket answers: its model's or its contexts' rows meet the asking ones. Rows of batches go on as they are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.column("kind")[0].as_py()
+        if kind == _BATCH:
+            return t.drop_columns(["split", "words"])
+        rows, out = t.select(["bucket", "batch", "words", "entries", "data"]).to_pylist(), []
+        own = [r for r in rows if r["batch"] < 0]
+        asking = [r for r in rows if r["batch"] >= 0]
+        if kind == _WORDS:
+            predict = Predictor(sums, *((own[0]["data"], own[0]["words"], own[0]["entries"]) if own else ()))
+            for r in asking:
+                words, contexts, _ = _unpack(r["data"], r["words"], r["entries"])
+                count, c, tables, parents = predict(words, contexts)
+                out.append((r, _squeeze(*(x.astype(np.uint32) for x in (count, c, *tables)), *parents)))
+        else:
+            keys, values = np.empty(0, np.uint64), [np.zeros(1, np.int64)] * (len(sums) + 1)
+            for r in own:  # the same contexts, sorted, for each sample
+                keys, values[0], values[-r["batch"]] = _spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))
+            for r in asking:
+                (u,) = _spread(r["data"], (np.uint64, r["entries"]))
+                at, has = _find(keys, u)
+                out.append((r, _squeeze(*(np.where(has, x[at], 0) for x in values))))
+        found = {"kind": [kind] * len(out), "bucket": [r["bucket"] for r, _ in out], "batch": [r["batch"] for r, _ in out], "entries": [r["entries"] for r, _ in out], "data": [x for _, x in out]}
+        types = {"kind": pa.int32(), "bucket": pa.int32(), "batch": pa.int64(), "entries": pa.int32(), "data": pa.binary()}
+        table = pa.table({k: pa.array(v, types[k]) for k, v in found.items()})
+        for name in ("ids", "lengths"):
+            table = table.append_column(name, pa.nulls(len(out), t.schema.field(name).type))
+        return table
+
+    return run, f"kind int, bucket int, batch bigint, entries int, data binary, ids array<{id_type}>, lengths array<bigint>"
+
+
+def _scored(n: float, v: float, samples: int):
+    """The rows of a batch, from its places and all answers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.drop_columns(["ids", "lengths"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        own = next(i for i, k in enumerate(t.column("kind").to_pylist()) if k == _BATCH)
+        lengths = np.array(t.column("lengths")[own].as_py(), np.int64)
+        ids = t.column("ids")[own].values
+        place, of = _spread(rows[-1]["data"], (np.uint32, int(lengths.sum())), (np.uint32, rows[-1]["entries"]))
+        kinds = {_WORDS: [np.uint32] * (samples + 2) + [np.float64] * samples, _CONTEXTS: [np.int64] * (samples + 1)}
+        answers = {}
+        for kind, types in kinds.items():
+            parts = [_spread(r["data"], *((x, r["entries"]) for x in types)) for r in rows if r["kind"] == kind]
+            answers[kind] = [np.concatenate([p[i] for p in parts]) for i in range(len(types))]
+        count, c, *rest = answers[_WORDS]
+        customers, *totals = (x[of] for x in answers[_CONTEXTS])
+        logs = np.log10(predictive(c.astype(np.float64), rest[:samples], customers, totals, rest[samples:]))
+        base = np.log10((count + 1.0) / (n + v + 1.0))
+        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]  # every row has its end token
+        logs, base, known = (np.add.reduceat(x[place], starts) for x in (logs, base, (count > 0).astype(np.int64)))
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
+
+    return run
 
 
 def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
-    parts, sums = totals["parts"], totals["sums"]
+    parts, sums, id_type = totals["parts"], totals["sums"], docs.schema[id_col].dataType.simpleString()
     loads = {r["bucket"]: r["tokens"] for r in model.select("bucket", "tokens").collect()}  # a row for each of `parts` buckets
     mean = max(1.0, sum(loads.values()) / parts)
     splits = {b: int(-(-n // (1.5 * mean))) for b, n in loads.items() if n > 1.5 * mean}
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = _tokens(plain, parts, splits)
+    asks = _asks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), parts, splits, id_type)
     copies = F.coalesce(F.create_map(*[F.lit(x) for kv in splits.items() for x in kv])[F.col("bucket")], F.lit(1)) if splits else F.lit(1)
-    copied = model.withColumn("split", F.explode(F.sequence(F.lit(0), copies - 1)))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    spread = totals["contexts"].withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("split", F.explode(F.sequence(F.lit(0), copies - 1)))
-    told = spread.select("bucket", "split", (-2 - F.col("sample")).cast("bigint").alias("batch"), F.lit(0).alias("docs"), F.lit(0).alias("words"), "entries", "data", none("array<bigint>", "ids"), none("array<bigint>", "lengths"))
-    both = tokens.union(told).union(copied.select("bucket", "split", F.lit(-1).cast("bigint").alias("batch"), F.lit(0).alias("docs"), "words", "entries", "data", none("array<bigint>", "ids"), none("array<bigint>", "lengths")))
-
-    def meet(t: pa.Table) -> pa.Table:
-        predict = Predictor(sums)
-        rows = t.select(["batch", "docs", "words", "entries", "data", "ids", "lengths"]).to_pylist()
-        out = []
-        for r in rows:
-            if r["batch"] == -1:
-                predict.load(r["data"], r["words"], r["entries"])
-        told = [(-2 - r["batch"], *_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))) for r in rows if r["batch"] < -1]
-        if told:
-            predict.load_contexts(told)
-        for r in rows:
-            if r["batch"] >= 0 and r["ids"] is not None:
-                out.append((r["batch"], None, r["ids"], r["lengths"]))
-            elif r["batch"] >= 0:
-                small = r["docs"] < 65536
-                data = zstandard.ZstdDecompressor().decompress(r["data"])
-                used = r["words"] * 12 + r["entries"] * 12
-                w, per, context, n = (np.frombuffer(data, k, m, at) for k, m, at in ((np.uint64, r["words"], 0), (np.uint32, r["words"], r["words"] * 8), (np.uint64, r["entries"], r["words"] * 12), (np.uint32, r["entries"], r["words"] * 12 + r["entries"] * 8)))
-                doc = np.frombuffer(data, np.uint16 if small else np.uint32, -1, used)
-                logs, count = predict(np.repeat(w, per) | (context & _LOW), context)
-                base = np.log10((count + 1.0) / (predict.n + predict.v + 1.0))
-                sums_of = [np.bincount(doc, weights=np.repeat(x, n), minlength=r["docs"]) for x in (logs, base, count > 0)]
-                out.append((r["batch"], np.concatenate(sums_of).tobytes(), None, None))
-        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["batch", "sums", "ids", "lengths"])
-
-    def gather(t: pa.Table) -> pa.Table:
-        total, ids, lengths = 0.0, [], []
-        for raw, i, n in zip(t.column("sums").to_pylist(), t.column("ids").to_pylist(), t.column("lengths").to_pylist(), strict=True):
-            if raw is None:
-                ids, lengths = i, n
-            else:
-                total = total + np.frombuffer(raw, np.float64)
-        logs, base, known = np.reshape(total, (3, len(ids)))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(logs)})
-
-    met = both.groupBy("bucket", "split").applyInArrow(meet, "batch bigint, sums binary, ids array<bigint>, lengths array<bigint>")
-    out = met.groupBy("batch").applyInArrow(gather, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(Predictor(sums).n)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+    def told(rows: DataFrame, kind: int, split, batch, words) -> DataFrame:
+        none = lambda of, name: F.lit(None).cast(of).alias(name)
+        return rows.select(F.lit(kind).alias("kind"), "bucket", split.alias("split"), batch.cast("bigint").alias("batch"), words.alias("words"), "entries", "data", none(f"array<{id_type}>", "ids"), none("array<bigint>", "lengths"))
+
+    all_rows = asks.union(told(model.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), _WORDS, F.col("copy"), F.lit(-1), F.col("words")))
+    all_rows = all_rows.union(told(totals["contexts"], _CONTEXTS, F.lit(0), -1 - F.col("sample"), F.lit(0)))
+    answer, schema = _answered(sums, id_type)
+    answered = all_rows.groupBy("kind", "bucket", "split").applyInArrow(answer, schema)
+    out = answered.groupBy("batch").applyInArrow(_scored(float(sums[0, -1]), float(sums[0, -2]), len(sums)), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(sums[0, -1])).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
