@@ -255,15 +255,16 @@ def test_language_model(spark, monkeypatch):
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     # probabilities of all known words and the unknown class sum to one in each context
-    vocabulary = np.array(sorted({int(lm.WordHashes()[x if x is not None else lm.END]) for x in c}), np.uint64) & ~np.uint64(255)
     contexts = _context_table(totals)
-    for context in [*list(contexts)[:3], 17]:
-        p, n = 0.0, contexts.get(context, [(0, 0)] * lm.SAMPLES)
-        for predict in [lm.Predictor(totals["sums"], bytes(r["data"]), r["words"], r["entries"]) for r in model.collect()] + [lm.Predictor(totals["sums"])]:
-            own = np.intersect1d(vocabulary, predict.word) if len(predict.word) else np.array([3 << 8], np.uint64)
-            _, customers, tables, parents = predict(own, np.full(len(own), context, np.uint64))
-            p += lm.predictive(customers, tables, n[0][0], [x[1] for x in n], parents).sum()
-        assert p == pytest.approx(1.0, abs=1e-9)
+    sums = totals["sums"]
+    for context in [*list(contexts)[:3], 17 | 1 << 41]:
+        of = contexts.get(context, [(0, 0)] * len(sums))
+        p, found = 0.0, 0
+        for look in [lm.Bucket(len(sums), bytes(r["data"]), r["words"], r["entries"]) for r in model.collect()] + [lm.Bucket(len(sums))]:
+            own = look.word if len(look.word) else np.array([1 << 50], np.uint64)
+            found += len(look.word)
+            p += lm.predictive(*look(own, np.full(len(own), context, np.uint64)), [of[0][0], *(x[1] for x in of)], np.full(len(own), context & 255), sums).sum()
+        assert found == v and p == pytest.approx(1.0, abs=1e-9)
 
 
 def _context_table(totals):
@@ -337,7 +338,8 @@ def test_language_model_against_a_sequential_sampler(spark):
     model, totals = lm.fit(d, burn_in=8, samples=6)
     got = {r["doc_id"]: r["score"] for r in lm.score(d, model, totals).collect()}
     memo = lm.WordHashes()
-    keys = {i: lm._token_keys(memo, t) for i, t in rows}
+    tokens = lambda t: memo.of([lm.START, *lm.words_of(t), lm.END])
+    keys = {i: np.stack((h[1:], h[:-1])) for i, h in ((i, tokens(t)) for i, t in rows)}
     pairs = [(int(w), int(c)) for k in keys.values() for w, c in k.T]
     plain, sums, n = Restaurants(pairs, len({w for w, _ in pairs}), random.Random(1)), collections.Counter(), 0
     for sweep in range(60):

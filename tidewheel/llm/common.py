@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the driver drop what finished jobs of a loop left: shuffle files stay on the executors' disks until the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c):
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

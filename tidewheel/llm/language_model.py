@@ -10,17 +10,18 @@ Poisson many, their sizes tilted so that they sum to c). A sweep updates all con
 classes, then the classes, then the root. Predictive probabilities are averaged over the kept sweeps; they sum
 to one over words for each context.
 
-How it runs. One scan counts (context, word) in the training rows, packed by word bucket; a bucket holds all
-contexts of its words. Between sweeps the buckets ask for the tables of their contexts, which meet by context;
-those of classes and root, a few hundred numbers, pass the driver. To score, a second scan cuts the rows in
-batches. A batch asks the word buckets for its distinct (context, word) and the context buckets for its distinct
-contexts, and adds up its rows' logarithms from the answers; nothing is sent for each row and bucket. Buckets
-with many tokens are split by batch, their model copied to each split.
+How it runs. One scan cuts the rows in batches; the vocabulary's buckets number the words (frequent ones get
+small numbers), so that batches, counts and states stay small. Training counts of (context, word) go to word
+buckets; a bucket holds all contexts of its words. Between sweeps the buckets ask for the tables of their
+contexts, which meet by context; those of classes and root, a few hundred numbers, pass the driver. To score, a
+batch asks the word buckets for its distinct (context, word) and the context buckets for its distinct contexts,
+and adds up its rows' logarithms from the answers; nothing is sent for each row and bucket. Buckets with many
+tokens are split by batch, their model copied to each split.
 
 Bounds: buckets are as many as shuffle partitions, and more where one would hold the tokens of over BUCKET_BYTES
-of text; their number changes no result, as every random number hangs on word, context and sweep alone. Partial
-counts of a bucket are added in groups first where there are many. A word's entries are in one bucket: as many
-as it has distinct preceding words. Word identity is a 56-bit hash.
+of text; their number changes no result, as numbers hang on counts and hashes, and random ones on word, context
+and sweep alone. Partial counts of a bucket are added in groups first where there are many. A word's entries are
+in one bucket: as many as it has distinct preceding words. Word identity is a 64-bit hash.
 
 Rows: null and empty texts consist of the end token alone; repeated rows each count and are each scored; a
 null id hashes like the empty text; with no training rows every token is unknown; an empty table gives no
@@ -38,7 +39,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, fold, materialize, mix64, sliced, table, uniform, WordHashes, words_of
+from .common import discard, fold, forget, materialize, mix64, sliced, table, uniform, WordHashes, words_of
 
 CLASSES = 256
 START, END = b"\x00 start", b"\x00 end"  # no word holds a space
@@ -46,6 +47,9 @@ DISCOUNT, STRENGTH = 0.8, 1.0  # of the contexts and their classes
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0
 BURN_IN, SAMPLES = 3, 2
 EXACT = 200
+#: The vocabulary is numbered in so many parts by the words' hashes: a number is the rank in the part, and the part.
+SUBS = 1 << 13
+_START, _UNKNOWN = np.uint64(1 << 40), np.uint64(1 << 41)
 #: Text whose tokens a bucket holds, on average, at most; and how many partial counts of a bucket are added in one step.
 BUCKET_BYTES, FAN = 32_000_000, 64
 _FLUSH = 1_500_000
@@ -108,7 +112,7 @@ class Seating:
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
         self.words, self.contexts, self.counts = words, contexts, counts.astype(np.int64)
-        self.key = words | (contexts & _LOW)  # words hold no low bits
+        self.key = words | (contexts & _LOW)
         self.new_pair, self.new_word = _firsts(self.key), _firsts(words)
         self.pair = np.cumsum(self.new_pair) - 1  # of each entry
         self.pairs = self.key[self.new_pair]
@@ -143,14 +147,18 @@ class Seating:
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    """The arrays compressed, byte plane by byte plane: numbers are small, so their upper planes take no room."""
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _spread(raw: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
     for kind, n in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
     return out
 
 
@@ -165,66 +173,195 @@ def _unpack(raw: bytes, words: int, entries: int, *more: tuple[type, int]) -> tu
     return np.repeat(w, per), context, rest
 
 
-def _token_keys(memo: WordHashes, text: str | None) -> np.ndarray:
-    """Two rows: hashes of words (without the low bits), and of the preceding tokens; the end token is last."""
-    h = memo.of([START, *words_of(text), END])
-    return np.stack((h[1:] & ~_LOW, h[:-1]))
-
-
-def _distinct(words: np.ndarray, contexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs by word, class and context, how often they occur, and the order of the input."""
+def _distinct(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs by word, class and context, and how often they occur."""
     order = np.lexsort((contexts, words | (contexts & _LOW)))
     words, contexts = words[order], contexts[order]
     start = np.flatnonzero(_firsts(words) | _firsts(contexts))
-    counts = np.diff(np.concatenate((start, [len(words)]))) if n is None else np.add.reduceat(n[order], start)
-    return words[start], contexts[start], counts, order
+    return words[start], contexts[start], np.add.reduceat(n[order], start) if len(start) else n[:0]
 
 
 def _buckets(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return ((mix64(keys) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
+def _slices(bucket: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted bucket numbers."""
+    cuts = np.searchsorted(bucket, np.arange(parts + 1))
+    return [(int(b), int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
 
 
-def bucket_count(docs: DataFrame) -> tuple[int, int]:
+def bucket_count(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Buckets for these texts, and into how many groups their partial counts go first."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    flushes = size // (4 * _FLUSH) + 1
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1), int(flushes // FAN) + 1
-
-
-def _counts(docs: DataFrame, parts: int, groups: int) -> DataFrame:
-    def packed(keys: np.ndarray, group: int) -> pa.RecordBatch:
-        word, context, n, _ = _distinct(*keys)
-        bucket = _buckets(word, parts)
-        rows = []
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[b] : cuts[b + 1]]
-            words, columns = _pack(word[at], context[at])
-            rows.append((int(b), group, words, len(at), _squeeze(*columns, n[at].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "grp", "words", "entries", "data"])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1), int(size // (4 * _FLUSH * FAN)) + 1
+
+
+# Rows that meet by bucket: what asks (batch >= 0) and what is known there (batch < 0). Rows of batches pass on.
+_WORDS, _CONTEXTS, _BATCH = 0, 1, 2
+_NAMES = ["kind", "bucket", "split", "batch", "words", "entries", "data", "ids"]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _schema(id_type: str) -> str:
+    return f"kind int, bucket int, split int, batch bigint, words int, entries int, data binary, ids array<{id_type}>"
+
+
+def _rows(rows: list[tuple], ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+    """Rows without ids, the last one with them if there are any."""
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)]
+    none = len(rows) - (ids is not None)
+    parts = [pa.nulls(none, pa.list_(id_type))] + ([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)] if ids is not None else [])
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([x.cast(pa.list_(id_type)) for x in parts])], names=_NAMES)
+
+
+def _told(rows: DataFrame, kind: int, id_type: str, split=None, batch=None, words=None) -> DataFrame:
+    zero = F.lit(0)
+    return rows.select(F.lit(kind).alias("kind"), "bucket", (zero if split is None else split).alias("split"), F.coalesce(F.lit(-1) if batch is None else batch).cast("bigint").alias("batch"), (zero if words is None else words).alias("words"), "entries", "data", F.lit(None).cast(f"array<{id_type}>").alias("ids"))
+
+
+def _cut(docs: DataFrame, parts: int, id_type: str) -> DataFrame:
+    """Rows of (id, text, train): batches, and the distinct words' hashes and training counts that they ask the vocabulary."""
+
+    def packed(ids: list[pa.Array], held: list[np.ndarray], train: list[bool], batch: int) -> pa.RecordBatch:
+        ids, lengths, taught = pa.concat_arrays(ids), np.array([len(h) for h in held]), np.array(train, bool)
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        n = np.bincount(at, weights=np.repeat(taught, lengths), minlength=len(words)).astype(np.uint32)
+        part = (words % np.uint64(SUBS)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        to = np.empty(len(order), np.uint32)
+        to[order] = np.arange(len(order), dtype=np.uint32)
+        rows = [(_WORDS, b, 0, batch, 0, e - s, _squeeze(words[order[s:e]], n[order[s:e]])) for b, s, e in _slices(part[order], parts)]
+        rows.append((_BATCH, _spot(batch) % parts, 0, batch, len(words), len(at), _squeeze(lengths.astype(np.uint32), taught.astype(np.uint8), to[at])))
+        return _rows(rows, ids, ids.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, n, flush = WordHashes(), [], 0, TaskContext.get().partitionId()
-        for b in sliced(batches):
-            for t in b.column(0).to_pylist():
-                held.append(_token_keys(memo, t))
-                n += held[-1].shape[1]
-                if n >= _FLUSH:
-                    yield packed(np.concatenate(held, axis=1), flush % groups)
-                    held, n, flush = [], 0, flush + 1
+        memo, ids, held, train, n, batch = WordHashes(), [], [], [], 0, TaskContext.get().partitionId() << 24
+        for b in sliced(batches, 100):
+            ids.append(b.column(0))
+            train += b.column(2).to_pylist()
+            for t in b.column(1).to_pylist():
+                held.append(memo.of([*words_of(t), END]))
+                n += len(held[-1])
+            if n >= _FLUSH:
+                yield packed(ids, held, train, batch)
+                ids, held, train, n, batch = [], [], [], 0, batch + 1
             memo.trim()
         if held:
-            yield packed(np.concatenate(held, axis=1), flush % groups)
+            yield packed(ids, held, train, batch)
+
+    return docs.mapInArrow(run, _schema(id_type))
+
+
+def _spot(batch: int) -> int:
+    return int(mix64(np.array([batch], np.uint64))[0] >> np.uint64(8))
+
+
+def _numbered(id_type: str):
+    """The vocabulary's parts number the words, or look them up where they are numbered, and answer the batches."""
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, grp int, words int, entries int, data binary")
+    def run(t: pa.Table) -> pa.Table:
+        if t.column("kind")[0].as_py() == _BATCH:
+            return t
+        rows = t.drop_columns(["ids"]).to_pylist()
+        known = [_spread(r["data"], (np.uint64, r["entries"]), (np.uint64, r["entries"])) for r in rows if r["batch"] == -1]
+        asked = [(r, *_spread(r["data"], (np.uint64, r["entries"]), (np.uint32, r["entries"]))) for r in rows if r["batch"] >= 0]
+        out = []
+        if any(r["batch"] == -1 for r in rows) or any(r["batch"] == -2 for r in rows):
+            words, numbers = (np.concatenate([k[i] for k in known] or [np.empty(0, np.uint64)]) for i in (0, 1))
+        else:
+            words, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([a[2] for a in asked]))
+            words, n = words[n > 0], n[n > 0]
+            sub = words % np.uint64(SUBS)
+            order = np.lexsort((words, -n, sub))
+            first = np.flatnonzero(_firsts(sub[order]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate((first, [len(order)]))))
+            numbers = np.empty(len(words), np.uint64)
+            numbers[order] = rank.astype(np.uint64) * np.uint64(SUBS) + sub[order]
+            out.append((_WORDS, rows[0]["bucket"], 0, -1, 0, len(words), _squeeze(words, numbers)))
+        for r, hashes, _ in asked:
+            at, has = _find(words, hashes)
+            found = np.where(has, numbers[at], _UNKNOWN | (hashes % np.uint64(SUBS))) if len(words) else _UNKNOWN | (hashes % np.uint64(SUBS))
+            out.append((_WORDS, r["bucket"], 0, r["batch"], 0, r["entries"], _squeeze(found)))
+        return pa.Table.from_batches([_rows(out, None, t.schema.field("ids").type.value_type)]) if out else t.slice(0, 0)
+
+    return run, _schema(id_type)
+
+
+def _coded(id_type: str):
+    """A batch with the numbers of its words, frequent ones first; rows of the vocabulary pass on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if t.column("batch")[0].as_py() < 0:
+            return t
+        rows = t.drop_columns(["ids"]).to_pylist()
+        at = next(i for i, r in enumerate(rows) if r["kind"] == _BATCH)
+        own, ids = rows[at], t.column("ids")[at].values
+        lengths, train, place = _spread(own["data"], (np.uint32, len(ids)), (np.uint8, len(ids)), (np.uint32, own["entries"]))
+        numbers = np.concatenate([_spread(r["data"], (np.uint64, r["entries"]))[0] for r in sorted((r for r in rows if r["kind"] == _WORDS), key=lambda r: r["bucket"])])
+        order = np.argsort(-np.bincount(place, minlength=len(numbers)), kind="stable")
+        to = np.empty(len(order), np.uint32)
+        to[order] = np.arange(len(order), dtype=np.uint32)
+        return pa.Table.from_batches([_rows([(_BATCH, own["bucket"], 0, own["batch"], len(numbers), own["entries"], _squeeze(lengths, train, numbers[order], to[place]))], ids, ids.type)])
+
+    return run, _schema(id_type)
+
+
+def encode(docs: DataFrame, parts: int, train=None, vocabulary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Batches of numbered words, and the vocabulary: that of the rows where `train` holds, if none is given."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    taught = F.lit(False) if train is None else F.coalesce(train, F.lit(False))
+    rows = _cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), taught.alias("train")), parts, id_type)
+    if vocabulary is not None:
+        marks = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("entries"), F.lit(None).cast("binary").alias("data"))
+        rows = rows.union(_told(vocabulary, _WORDS, id_type)).union(_told(marks, _WORDS, id_type, batch=F.lit(-2)))
+    run, schema = _numbered(id_type)
+    rows = rows.groupBy("kind", "bucket").applyInArrow(run, schema)
+    run, schema = _coded(id_type)
+    rows = materialize(rows.groupBy("batch", F.when(F.col("batch") < 0, F.col("bucket")).alias("part")).applyInArrow(run, schema))
+    found = rows.where(F.col("kind") == _WORDS).select("bucket", "entries", "data")
+    return rows.where(F.col("kind") == _BATCH), found if vocabulary is None else vocabulary
+
+
+def _entries(row: dict, docs: int, parts: int, train_only: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct (word, context) of a batch, sorted by bucket, word, class and context, their buckets and counts; where its tokens stand in them, and its rows' lengths."""
+    lengths, train, numbers, tokens = _spread(row["data"], (np.uint32, docs), (np.uint8, docs), (np.uint64, row["words"]), (np.uint32, row["entries"]))
+    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64)
+    before = np.concatenate(([0], tokens[:-1])).astype(np.int64)
+    before[starts] = len(numbers)  # the start of a text
+    if train_only:
+        use = np.repeat(train > 0, lengths)
+        tokens, before = tokens[use], before[use]
+    pair, place, n = np.unique(tokens.astype(np.int64) * (len(numbers) + 1) + before, return_inverse=True, return_counts=True)
+    all_numbers = np.concatenate((numbers, [_START]))
+    words, contexts = numbers[pair // (len(numbers) + 1)] * np.uint64(CLASSES), all_numbers[pair % (len(numbers) + 1)]
+    bucket = _buckets(words, parts)
+    order = np.lexsort((contexts, words | (contexts & _LOW), bucket))
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order))
+    return words[order], contexts[order], bucket[order], n[order], to[place], lengths
+
+
+def _counts(batches: DataFrame, parts: int, groups: int) -> DataFrame:
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            for r, ids in zip(b.drop_columns(["ids"]).to_pylist(), b.column("ids"), strict=True):
+                words, contexts, bucket, n, *_ = _entries(r, len(ids.values), parts, True)
+                rows = []
+                for k, s, e in _slices(bucket, parts):
+                    count, columns = _pack(words[s:e], contexts[s:e])
+                    rows.append((k, _spot(r["batch"]) % groups, count, e - s, _squeeze(*columns, n[s:e].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "grp", "words", "entries", "data"])
+
+    counts = batches.mapInArrow(run, "bucket int, grp int, words int, entries int, data binary")
     return counts.groupBy("bucket", "grp").applyInArrow(_added, "bucket int, words int, entries int, data binary") if groups > 1 else counts
 
 
 def _sum(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, contexts and counts of the rows together."""
     parts = [_unpack(raw, w, e, (np.uint32, e)) for w, e, raw in zip(t.column("words").to_pylist(), t.column("entries").to_pylist(), t.column("data").to_pylist(), strict=True)]
-    return _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))[:3]
+    return _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))
 
 
 def _added(t: pa.Table) -> pa.Table:
@@ -257,7 +394,7 @@ def _seated(t: pa.Table) -> pa.Table:
 
 
 def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
-    """Customers and tables of the contexts: whole (answer false), or the tables for each bucket that has them."""
+    """Customers and tables of the contexts: whole (answer false), or the tables of each bucket's contexts, in their order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,23 +402,24 @@ def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
                 at = _seating(r["data"], r["words"], r["entries"])
                 u, inverse = np.unique(at.contexts, return_inverse=True)
                 n, t = (np.bincount(inverse, weights=x).astype(np.int64) for x in (at.counts, at.t))
-                to, rows = _buckets(u, parts), []
-                for c in np.unique(to):
-                    own = to == c
-                    rows.append((int(c), r["bucket"], int(own.sum()), _squeeze(u[own], n[own], t[own])))
+                to = _buckets(u, parts)
+                order = np.argsort(to, kind="stable")
+                u, n, t = u[order], n[order], t[order]
+                rows = [(c, r["bucket"], e - s, _squeeze(u[s:e], t[s:e], *(() if answer else (n[s:e],)))) for c, s, e in _slices(to[order], parts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "bucket", "entries", "data"])
 
     def add(t: pa.Table) -> pa.Table:
-        rows = [(r["bucket"], *_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))) for r in t.to_pylist()]
+        rows = [(r["bucket"], *_spread(r["data"], (np.uint64, r["entries"]), *[(np.int64, r["entries"])] * (2 - answer))) for r in t.to_pylist()]
+        part = t.column("part")[0].as_py()
         u, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-        n, tables = (np.bincount(inverse, weights=np.concatenate([r[i] for r in rows])).astype(np.int64) for i in (2, 3))
-        out = [(t.column("part")[0].as_py(), len(u), _squeeze(u, n, tables))]
+        sums = [np.bincount(inverse, weights=np.concatenate([r[i] for r in rows])).astype(np.int64) for i in range(2, 4 - answer)]
+        out = [(part, part, len(u), _squeeze(u, *sums[::-1]))]
         if answer:
-            out = [(b, len(own), _squeeze(own, tables[np.searchsorted(u, own)])) for b, own, *_ in rows]
-        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "entries": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
+            out = [(b, part, len(own), _squeeze(sums[0][np.searchsorted(u, own)])) for b, own, *_ in rows]
+        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "part": pa.array([o[1] for o in out], pa.int32()), "entries": pa.array([o[2] for o in out], pa.int32()), "data": pa.array([o[3] for o in out], pa.binary())})
 
     asked = state.select("bucket", "words", "entries", "data").mapInArrow(ask, "part int, bucket int, entries int, data binary")
-    return asked.groupBy("part").applyInArrow(add, "bucket int, entries int, data binary")
+    return asked.groupBy("part").applyInArrow(add, "bucket int, part int, entries int, data binary")
 
 
 def _sums(state: DataFrame) -> np.ndarray:
@@ -299,15 +437,16 @@ def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int, keep: boo
         rows = t.to_pylist()
         own = next(r for r in rows if r["words"] is not None)
         at = _seating(own["data"], own["words"], own["entries"])
-        told = [_spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"])) for r in rows if r["words"] is None]
-        u, n = (np.concatenate([x[i] for x in told]) for i in (0, 1))
-        order = np.argsort(u)
-        at.sweep(n[order][np.searchsorted(u[order], at.contexts)], sums, salt)
+        told = sorted((r for r in rows if r["words"] is None), key=lambda r: r["part"])
+        u, inverse = np.unique(at.contexts, return_inverse=True)
+        n = np.empty(len(u), np.int64)
+        n[np.argsort(_buckets(u, parts), kind="stable")] = np.concatenate([_spread(r["data"], (np.int64, r["entries"]))[0] for r in told])
+        at.sweep(n[inverse], sums, salt)
         kept = [_squeeze(*(x.astype(np.uint32) for x in (at.t, at.pair_t, at.root)))] if keep else []
         return _row(own["bucket"], at, own["kept"] + kept)
 
-    totals = _context_totals(state, parts, True).select("bucket", F.lit(None).cast("int").alias("words"), "entries", "data", F.lit(None).cast("array<binary>").alias("kept"))
-    return state.select("bucket", "words", "entries", "data", "kept").union(totals).groupBy("bucket").applyInArrow(run, _STATE)
+    totals = _context_totals(state, parts, True).select("bucket", "part", F.lit(None).cast("int").alias("words"), "entries", "data", F.lit(None).cast("array<binary>").alias("kept"))
+    return state.select("bucket", F.lit(-1).alias("part"), "words", "entries", "data", "kept").union(totals).groupBy("bucket").applyInArrow(run, _STATE)
 
 
 def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,27 +459,39 @@ def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["words"]], pa.int32()), pa.array([r["entries"]], pa.int32()), pa.array([r["tokens"]], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "words", "entries", "tokens", "data"])
 
 
-def fit(training: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
-    """The model's table (a row for each bucket), the totals over all buckets, and the table of all contexts' totals."""
-    parts, groups = bucket_count(training)
-    state = materialize(_counts(training, parts, groups).groupBy("bucket").applyInArrow(_seated, _STATE))
+def seat(batches: DataFrame, parts: int, groups: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
+    """The model's table (a row for each bucket), and the totals over all buckets with the table of all contexts' totals."""
+    spark = batches.sparkSession
+    state = materialize(_counts(batches, parts, groups).groupBy("bucket").applyInArrow(_seated, _STATE))
     kept, contexts = [], []
     sums = _sums(state)
     for sweep in range(burn_in + samples):
         last, state = state, materialize(_swept(state, parts, sums, sweep, sweep >= burn_in))
         discard(last)
+        del last
+        forget(spark)
         sums = _sums(state)
         if sweep >= burn_in:
             kept.append(sums)
             contexts.append(materialize(_context_totals(state, parts, False).select(F.lit(len(kept) - 1).alias("sample"), "bucket", "entries", "data")))
     model = materialize(state.mapInArrow(_model, "bucket int, words int, entries int, tokens bigint, data binary"))
     discard(state)
+    del state
+    forget(spark)
     all_contexts = contexts[0]
     for c in contexts[1:]:
         all_contexts = all_contexts.union(c)
     return model, {"parts": parts, "sums": np.array(kept), "contexts": all_contexts}
 
 
+def fit(training: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, text_col: str = "text") -> tuple[DataFrame, dict]:
+    """A model of all rows: see seat(); the totals also hold its vocabulary."""
+    parts, groups = bucket_count(training, text_col)
+    batches, vocabulary = encode(training, parts, F.lit(True), text_col=text_col, id_col=training.columns[0])
+    model, totals = seat(batches, parts, groups, burn_in, samples)
+    return model, totals | {"vocabulary": vocabulary}
+
+
 def _pair_hash(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mix64(mix64(words) ^ contexts)
 
@@ -353,196 +504,157 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
-class Predictor:
-    """A bucket's words: their customers and tables in contexts, and their probabilities in classes, for each sample."""
+class Bucket:
+    """A bucket of the model, or none: looks words and contexts up."""
 
-    def __init__(self, sums: np.ndarray, raw: bytes | None = None, words: int = 0, entries: int = 0):
-        self.seats, self.tables = sums[:, :CLASSES], sums[:, CLASSES : 2 * CLASSES]
-        self.v, self.n = sums[0, -2], sums[0, -1]
-        base = (ROOT_STRENGTH + ROOT_DISCOUNT * sums[:, -3]) / (self.v + 1)
-        self.at_root = self.tables.sum(axis=1) + ROOT_STRENGTH
-        self.unknown = base / self.at_root
+    def __init__(self, samples: int, raw: bytes | None = None, words: int = 0, entries: int = 0):
+        one = np.zeros(1, np.int64)
         self.word = self.pair = self.entry = np.empty(0, np.uint64)
+        self.of_word, self.of_pair, self.of_entry = [one] * (1 + 2 * samples), [one] * (2 * samples), [one] * (1 + samples)
         if raw is None:
             return
         w, contexts, (counts,) = _unpack(raw, words, entries, (np.uint32, entries))
         at = Seating(w, contexts, counts)
-        p = len(at.pairs)
-        kept = [x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(len(sums)) for n in (entries, p, words)))[2][1:]]
+        kept = [x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(samples) for n in (entries, len(at.pairs), words)))[2][1:]]
         self.word, self.pair = at.words[at.new_word], at.pairs
-        self.count = np.add.reduceat(at.counts, np.flatnonzero(at.new_word))
         hashes = _pair_hash(at.words, at.contexts)
         order = np.argsort(hashes)
-        self.entry, self.c, self.t = hashes[order], at.counts[order], [kept[3 * s][order] for s in range(len(sums))]
-        self.own, self.root = [], []
-        for s in range(len(sums)):
+        self.entry, self.of_entry = hashes[order], [at.counts[order]]
+        self.of_word, self.of_pair = [np.add.reduceat(at.counts, np.flatnonzero(at.new_word))], []
+        for s in range(samples):
             at.t, at.pair_t, at.root = kept[3 * s : 3 * s + 3]
             c, customers = at.customers()
-            self.own.append(c - DISCOUNT * at.pair_t)
-            self.root.append((customers - ROOT_DISCOUNT * at.root + base[s]) / self.at_root[s])
-
-    def __call__(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of each word and context: the word's count, customers in the context, and for each sample its tables there and its probability in the class."""
-        of = (contexts & _LOW).astype(np.int64)
-        w, has_word = _find(self.word, words)
-        p, has_pair = _find(self.pair, words | (contexts & _LOW))
-        e, has = _find(self.entry, _pair_hash(words, contexts))
-        pick = lambda values, at, ok, rest: np.where(ok, values[at], rest) if ok.any() else np.full(len(ok), rest)
-        count, c = (pick(x, at, ok, 0) for x, at, ok in ((self.count, w, has_word), (self.c, e, has))) if len(self.word) else (np.zeros(len(words), np.int64),) * 2
-        tables, parents = [], []
-        for s in range(len(self.seats)):
-            q = pick(self.root[s], w, has_word, self.unknown[s]) if len(self.word) else np.full(len(words), self.unknown[s])
-            own = pick(self.own[s], p, has_pair, 0.0) if len(self.word) else 0.0
-            parents.append((own + (STRENGTH + DISCOUNT * self.tables[s][of]) * q) / (self.seats[s][of] + STRENGTH))
-            tables.append(pick(self.t[s], e, has, 0) if len(self.word) else c)
-        return count, c, tables, parents
-
-
-def predictive(c, tables: list, customers, context_tables: list, parents: list):
-    """The averaged probability of words with c customers in contexts of so many customers and tables; of an unknown context it is the class's."""
-    q = [(c - DISCOUNT * t + (STRENGTH + DISCOUNT * total) * p) / (customers + STRENGTH) for t, total, p in zip(tables, context_tables, parents, strict=True)]
-    return sum(q) / len(q)
-
-
-_ROW = "kind int, bucket int, split int, batch bigint, words int, entries int, data binary, ids array<{0}>, lengths array<bigint>"
-_WORDS, _CONTEXTS, _BATCH = 0, 1, 2
-
-
-def _asks(docs: DataFrame, parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
-    """Of each batch of rows: what it asks the word and the context buckets, and a row with its ids, lengths and places in the answers."""
-    names = ["kind", "bucket", "split", "batch", "words", "entries", "data", "ids", "lengths"]
-
-    def slices(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-        return order, [(int(b), int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
-
-    def packed(ids: list[pa.Array], held: list[np.ndarray], batch: int) -> pa.RecordBatch:
-        ids = pa.concat_arrays(ids)
-        words, contexts = np.concatenate(held, axis=1)
-        word, context, n, order = _distinct(words, contexts)
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.repeat(np.arange(len(word), dtype=np.uint32), n)
-        known, of = np.unique(context, return_inverse=True)
-        by, asked = slices(_buckets(word, parts))
-        to = np.empty(len(by), np.uint32)
-        to[by] = np.arange(len(by), dtype=np.uint32)
-        by_context, asked_contexts = slices(_buckets(known, parts))
-        to_context = np.empty(len(known), np.uint32)
-        to_context[by_context] = np.arange(len(known), dtype=np.uint32)
-        data, spread = _squeeze(to[place], to_context[of][by]), int(mix64(np.array([batch], np.uint64))[0] >> np.uint64(8))
-        rows = [(_BATCH, spread % parts, 0, batch, len(words), len(word), data)]
-        for b, s, e in asked:
-            own = by[s:e]
-            count, columns = _pack(word[own], context[own])
-            rows.append((_WORDS, b, spread % splits.get(b, 1), batch, count, e - s, _squeeze(*columns)))
-        for b, s, e in asked_contexts:
-            rows.append((_CONTEXTS, b, 0, batch, 0, e - s, _squeeze(known[by_context[s:e]])))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        rest = len(rows) - 1
-        all_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        lengths = pa.array([[h.shape[1] for h in held]] + [None] * rest, pa.list_(pa.int64()))
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([all_ids, pa.nulls(rest, all_ids.type)]), lengths], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ids, held, n, batch = WordHashes(), [], [], 0, TaskContext.get().partitionId() << 24
-        for b in sliced(batches, 100):
-            ids.append(b.column(0))
-            for t in b.column(1).to_pylist():
-                held.append(_token_keys(memo, t))
-                n += held[-1].shape[1]
-            if n >= _FLUSH:
-                yield packed(ids, held, batch)
-                ids, held, n, batch = [], [], 0, batch + 1
-            memo.trim()
-        if held:
-            yield packed(ids, held, batch)
-
-    return docs.mapInArrow(run, _ROW.format(id_type))
-
-
-def _answered(sums: np.ndarray, id_type: str):
+            self.of_word += [customers, at.root]
+            self.of_pair += [c, at.pair_t]
+            self.of_entry.append(at.t[order])
+
+    def __call__(self, words: np.ndarray, contexts: np.ndarray) -> tuple[list, list, list]:
+        """Of the distinct words, in order: count, and customers and tables at the root in each sample; of all: customers and tables in the
+        class in each sample; of all: customers in the context, and tables there in each sample."""
+        asked = ((self.word, words[_firsts(words)], self.of_word), (self.pair, words | (contexts & _LOW), self.of_pair), (self.entry, _pair_hash(words, contexts), self.of_entry))
+        out = []
+        for keys, wanted, values in asked:
+            at, has = _find(keys, wanted)
+            out.append([np.where(has, v[at], 0) for v in values])
+        return tuple(out)
+
+
+def predictive(of_word: list, of_pair: list, of_entry: list, of_context: list, classes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The averaged probability of words; of_context: customers of the context and its tables in each sample. In an unknown context it is the class's."""
+    q = 0.0
+    for s, total in enumerate(sums):
+        seats, tables = total[:CLASSES], total[CLASSES : 2 * CLASSES]
+        root = (of_word[1 + 2 * s] - ROOT_DISCOUNT * of_word[2 + 2 * s] + (ROOT_STRENGTH + ROOT_DISCOUNT * total[-3]) / (total[-2] + 1)) / (tables.sum() + ROOT_STRENGTH)
+        of_class = (of_pair[2 * s] - DISCOUNT * of_pair[2 * s + 1] + (STRENGTH + DISCOUNT * tables[classes]) * root) / (seats[classes] + STRENGTH)
+        q = q + (of_entry[0] - DISCOUNT * of_entry[1 + s] + (STRENGTH + DISCOUNT * of_context[1 + s]) * of_class) / (of_context[0] + STRENGTH)
+    return q / len(sums)
+
+
+def _asks(batches: DataFrame, parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
+    """What the batches ask the word and the context buckets, and the batches."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            for r, ids in zip(b.drop_columns(["ids"]).to_pylist(), b.column("ids"), strict=True):
+                batch, spot, out = r["batch"], _spot(r["batch"]), []
+                words, contexts, bucket, *_ = _entries(r, len(ids.values), parts)
+                for k, s, e in _slices(bucket, parts):
+                    count, columns = _pack(words[s:e], contexts[s:e])
+                    out.append((_WORDS, k, spot % splits.get(k, 1), batch, count, e - s, _squeeze(*columns)))
+                known = np.unique(contexts)
+                to = _buckets(known, parts)
+                order = np.argsort(to, kind="stable")
+                out += [(_CONTEXTS, k, 0, batch, 0, e - s, _squeeze(known[order[s:e]])) for k, s, e in _slices(to[order], parts)]
+                out.append((_BATCH, spot % parts, 0, batch, r["words"], r["entries"], r["data"]))
+                yield _rows(out, ids.values, ids.values.type)
+
+    return batches.mapInArrow(run, _schema(id_type))
+
+
+def _answered(samples: int, id_type: str):
     """What a bucket answers: its model's or its contexts' rows meet the asking ones. Rows of batches go on as they are."""
 
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         if kind == _BATCH:
-            return t.drop_columns(["split", "words"])
-        rows, out = t.select(["bucket", "batch", "words", "entries", "data"]).to_pylist(), []
+            return t
+        rows, out = t.drop_columns(["ids"]).to_pylist(), []
         own = [r for r in rows if r["batch"] < 0]
         asking = [r for r in rows if r["batch"] >= 0]
         if kind == _WORDS:
-            predict = Predictor(sums, *((own[0]["data"], own[0]["words"], own[0]["entries"]) if own else ()))
+            look = Bucket(samples, *((own[0]["data"], own[0]["words"], own[0]["entries"]) if own else ()))
             for r in asking:
                 words, contexts, _ = _unpack(r["data"], r["words"], r["entries"])
-                count, c, tables, parents = predict(words, contexts)
-                out.append((r, _squeeze(*(x.astype(np.uint32) for x in (count, c, *tables)), *parents)))
+                per = np.diff(np.concatenate((np.flatnonzero(_firsts(words)), [len(words)]))).astype(np.uint32)
+                out.append((r, _squeeze(per, *(x.astype(np.uint32) for values in look(words, contexts) for x in values))))
         else:
-            keys, values = np.empty(0, np.uint64), [np.zeros(1, np.int64)] * (len(sums) + 1)
+            keys, values = np.empty(0, np.uint64), [np.zeros(1, np.int64)] * (samples + 1)
             for r in own:  # the same contexts, sorted, for each sample
                 keys, values[0], values[-r["batch"]] = _spread(r["data"], (np.uint64, r["entries"]), (np.int64, r["entries"]), (np.int64, r["entries"]))
             for r in asking:
                 (u,) = _spread(r["data"], (np.uint64, r["entries"]))
                 at, has = _find(keys, u)
                 out.append((r, _squeeze(*(np.where(has, x[at], 0) for x in values))))
-        found = {"kind": [kind] * len(out), "bucket": [r["bucket"] for r, _ in out], "batch": [r["batch"] for r, _ in out], "entries": [r["entries"] for r, _ in out], "data": [x for _, x in out]}
-        types = {"kind": pa.int32(), "bucket": pa.int32(), "batch": pa.int64(), "entries": pa.int32(), "data": pa.binary()}
-        table = pa.table({k: pa.array(v, types[k]) for k, v in found.items()})
-        for name in ("ids", "lengths"):
-            table = table.append_column(name, pa.nulls(len(out), t.schema.field(name).type))
-        return table
+        return pa.Table.from_batches([_rows([(kind, r["bucket"], 0, r["batch"], r["words"], r["entries"], x) for r, x in out], None, t.schema.field("ids").type.value_type)])
 
-    return run, f"kind int, bucket int, batch bigint, entries int, data binary, ids array<{id_type}>, lengths array<bigint>"
+    return run, _schema(id_type)
 
 
-def _scored(n: float, v: float, samples: int):
-    """The rows of a batch, from its places and all answers."""
+def _scored(parts: int, sums: np.ndarray):
+    """The rows of a batch, from all answers."""
+    samples = len(sums)
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.drop_columns(["ids", "lengths"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        own = next(i for i, k in enumerate(t.column("kind").to_pylist()) if k == _BATCH)
-        lengths = np.array(t.column("lengths")[own].as_py(), np.int64)
-        ids = t.column("ids")[own].values
-        place, of = _spread(rows[-1]["data"], (np.uint32, int(lengths.sum())), (np.uint32, rows[-1]["entries"]))
-        kinds = {_WORDS: [np.uint32] * (samples + 2) + [np.float64] * samples, _CONTEXTS: [np.int64] * (samples + 1)}
-        answers = {}
-        for kind, types in kinds.items():
-            parts = [_spread(r["data"], *((x, r["entries"]) for x in types)) for r in rows if r["kind"] == kind]
-            answers[kind] = [np.concatenate([p[i] for p in parts]) for i in range(len(types))]
-        count, c, *rest = answers[_WORDS]
-        customers, *totals = (x[of] for x in answers[_CONTEXTS])
-        logs = np.log10(predictive(c.astype(np.float64), rest[:samples], customers, totals, rest[samples:]))
-        base = np.log10((count + 1.0) / (n + v + 1.0))
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]  # every row has its end token
-        logs, base, known = (np.add.reduceat(x[place], starts) for x in (logs, base, (count > 0).astype(np.int64)))
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
+        rows = sorted(t.drop_columns(["ids"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        ids = next(x for x in t.column("ids") if x.is_valid).values
+        words, contexts, _, _, place, lengths = _entries(rows[-1], len(ids), parts)
+        answers = []
+        for r in rows:
+            if r["kind"] == _WORDS:
+                w, e = r["words"], r["entries"]
+                per, *values = _spread(r["data"], (np.uint32, w), *[(np.uint32, w)] * (1 + 2 * samples), *[(np.uint32, e)] * (1 + 3 * samples))
+                answers.append([np.repeat(x, per) for x in values[: 1 + 2 * samples]] + values[1 + 2 * samples :])
+        values = [np.concatenate([a[i] for a in answers]).astype(np.float64) for i in range(2 + 5 * samples)]
+        told = [_spread(r["data"], *[(np.int64, r["entries"])] * (1 + samples)) for r in rows if r["kind"] == _CONTEXTS]
+        known, of = np.unique(contexts, return_inverse=True)
+        order, of_context = np.argsort(_buckets(known, parts), kind="stable"), []
+        for i in range(1 + samples):
+            x = np.empty(len(known))
+            x[order] = np.concatenate([y[i] for y in told])
+            of_context.append(x[of])
+        logs = np.log10(predictive(values[: 1 + 2 * samples], values[1 + 2 * samples : 1 + 4 * samples], values[1 + 4 * samples :], of_context, (contexts & _LOW).astype(np.int64), sums))
+        base = np.log10((values[0] + 1.0) / (sums[0, -1] + sums[0, -2] + 1.0))
+        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64)  # every row has its end token
+        logs, base, known = (np.add.reduceat(x[place], starts) for x in (logs, base, (values[0] > 0).astype(np.int64)))
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
 
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
-    parts, sums, id_type = totals["parts"], totals["sums"], docs.schema[id_col].dataType.simpleString()
+def score_batches(batches: DataFrame, model: DataFrame, totals: dict) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of the batches."""
+    parts, sums, id_type = totals["parts"], totals["sums"], batches.schema["ids"].dataType.elementType.simpleString()
     loads = {r["bucket"]: r["tokens"] for r in model.select("bucket", "tokens").collect()}  # a row for each of `parts` buckets
     mean = max(1.0, sum(loads.values()) / parts)
     splits = {b: int(-(-n // (1.5 * mean))) for b, n in loads.items() if n > 1.5 * mean}
-    asks = _asks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), parts, splits, id_type)
     copies = F.coalesce(F.create_map(*[F.lit(x) for kv in splits.items() for x in kv])[F.col("bucket")], F.lit(1)) if splits else F.lit(1)
+    known = _told(model.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), _WORDS, id_type, split=F.col("copy"), words=F.col("words"))
+    rows = _asks(batches, parts, splits, id_type).union(known).union(_told(totals["contexts"], _CONTEXTS, id_type, batch=-1 - F.col("sample")))
+    run, schema = _answered(len(sums), id_type)
+    answered = rows.groupBy("kind", "bucket", "split").applyInArrow(run, schema)
+    out = answered.groupBy("batch").applyInArrow(_scored(parts, sums), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(sums[0, -1])).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
-    def told(rows: DataFrame, kind: int, split, batch, words) -> DataFrame:
-        none = lambda of, name: F.lit(None).cast(of).alias(name)
-        return rows.select(F.lit(kind).alias("kind"), "bucket", split.alias("split"), batch.cast("bigint").alias("batch"), words.alias("words"), "entries", "data", none(f"array<{id_type}>", "ids"), none("array<bigint>", "lengths"))
 
-    all_rows = asks.union(told(model.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), _WORDS, F.col("copy"), F.lit(-1), F.col("words")))
-    all_rows = all_rows.union(told(totals["contexts"], _CONTEXTS, F.lit(0), -1 - F.col("sample"), F.lit(0)))
-    answer, schema = _answered(sums, id_type)
-    answered = all_rows.groupBy("kind", "bucket", "split").applyInArrow(answer, schema)
-    out = answered.groupBy("batch").applyInArrow(_scored(float(sums[0, -1]), float(sums[0, -2]), len(sums)), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(sums[0, -1])).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of any rows under a model of fit()."""
+    return score_batches(encode(docs, totals["parts"], None, totals["vocabulary"], id_col, text_col)[0], model, totals)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One encoding serves both: the model learns from the batches' training rows, and scores them all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, totals = fit(docs.where(fold(F.col("doc_id"), 7) != 2))
-    return score(docs, model, totals).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    parts, groups = bucket_count(docs)
+    batches, _ = encode(docs, parts, fold(F.col("doc_id"), 7) != 2)
+    model, totals = seat(batches, parts, groups)
+    return score_batches(batches, model, totals).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
