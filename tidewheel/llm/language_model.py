@@ -18,8 +18,8 @@ batch asks the word buckets for its distinct (context, word) and the context buc
 and adds up its rows' logarithms from the answers; nothing is sent for each row and bucket. Buckets with many
 tokens are split by batch, their model copied to each split.
 
-Bounds: buckets are as many as shuffle partitions, and more where one would hold the tokens of over BUCKET_BYTES
-of text; their number changes no result, as numbers hang on counts and hashes, and random ones on word, context
+Bounds: a word bucket holds the tokens of about BUCKET_BYTES of text, a context bucket those of four times as
+much; how many there are changes no result, as numbers hang on counts and hashes, and random ones on word, context
 and sweep alone. Partial counts of a bucket are added in groups first where there are many. A word's entries are
 in one bucket: as many as it has distinct preceding words. Word identity is a 64-bit hash.
 
@@ -35,23 +35,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, fold, forget, materialize, mix64, sliced, table, uniform, WordHashes, words_of
+from .common import discard, fold, forget, materialize, mix64, sliced, table, uniform, words_of
 
 CLASSES = 256
 START, END = b"\x00 start", b"\x00 end"  # no word holds a space
 DISCOUNT, STRENGTH = 0.8, 1.0  # of the contexts and their classes
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0
-BURN_IN, SAMPLES = 3, 2
+BURN_IN, SAMPLES = 2, 2
 EXACT = 200
 #: The vocabulary is numbered in so many parts by the words' hashes: a number is the rank in the part, and the part.
 SUBS = 1 << 13
-_START, _UNKNOWN = np.uint64(1 << 40), np.uint64(1 << 41)
+_START, _UNKNOWN = np.uint64(1 << 40), np.uint64(1 << 41)  # numbers of words are below
 #: Text whose tokens a bucket holds, on average, at most; and how many partial counts of a bucket are added in one step.
-BUCKET_BYTES, FAN = 32_000_000, 64
+BUCKET_BYTES, FAN = 8_000_000, 64
 _FLUSH = 1_500_000
 _LOW = np.uint64(CLASSES - 1)
 
@@ -110,9 +111,11 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
 class Seating:
     """A bucket's words, contexts and counts, sorted, and the tables of contexts, classes and root."""
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.words, self.contexts, self.counts = words, contexts, counts.astype(np.int64)
-        self.key = words | (contexts & _LOW)
+    def __init__(self, words: np.ndarray, known: np.ndarray, of: np.ndarray, counts: np.ndarray):
+        """known: distinct contexts, of: which one each entry has."""
+        self.known, self.of = known, of.astype(np.int64)
+        self.words, self.contexts, self.counts = words, known[self.of], counts.astype(np.int64)
+        self.key = words | (self.contexts & _LOW)
         self.new_pair, self.new_word = _firsts(self.key), _firsts(words)
         self.pair = np.cumsum(self.new_pair) - 1  # of each entry
         self.pairs = self.key[self.new_pair]
@@ -191,20 +194,20 @@ def _slices(bucket: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(int(b), int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
-    """Buckets for these texts, and into how many groups their partial counts go first."""
+def bucket_count(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int]:
+    """Word buckets and context buckets for these texts, and into how many groups a bucket's partial counts go first."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1), int(size // (4 * _FLUSH * FAN)) + 1
+    return int(size // BUCKET_BYTES) + 1, int(size // (4 * BUCKET_BYTES)) + 1, int(size // (4 * _FLUSH * FAN)) + 1
 
 
 # Rows that meet by bucket: what asks (batch >= 0) and what is known there (batch < 0). Rows of batches pass on.
 _WORDS, _CONTEXTS, _BATCH = 0, 1, 2
-_NAMES = ["kind", "bucket", "split", "batch", "words", "entries", "data", "ids"]
+_NAMES = ["kind", "bucket", "split", "batch", "words", "entries", "data", "ids", "contexts", "kept"]
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _schema(id_type: str) -> str:
-    return f"kind int, bucket int, split int, batch bigint, words int, entries int, data binary, ids array<{id_type}>"
+    return f"kind int, bucket int, split int, batch bigint, words int, entries int, data binary, ids array<{id_type}>, contexts int, kept array<binary>"
 
 
 def _rows(rows: list[tuple], ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
@@ -212,20 +215,21 @@ def _rows(rows: list[tuple], ids: pa.Array, id_type: pa.DataType) -> pa.RecordBa
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)]
     none = len(rows) - (ids is not None)
     parts = [pa.nulls(none, pa.list_(id_type))] + ([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)] if ids is not None else [])
-    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([x.cast(pa.list_(id_type)) for x in parts])], names=_NAMES)
+    more = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([x.cast(pa.list_(id_type)) for x in parts]), *more], names=_NAMES)
 
 
 def _told(rows: DataFrame, kind: int, id_type: str, split=None, batch=None, words=None) -> DataFrame:
     zero = F.lit(0)
-    return rows.select(F.lit(kind).alias("kind"), "bucket", (zero if split is None else split).alias("split"), F.coalesce(F.lit(-1) if batch is None else batch).cast("bigint").alias("batch"), (zero if words is None else words).alias("words"), "entries", "data", F.lit(None).cast(f"array<{id_type}>").alias("ids"))
+    return rows.select(F.lit(kind).alias("kind"), "bucket", (zero if split is None else split).alias("split"), F.coalesce(F.lit(-1) if batch is None else batch).cast("bigint").alias("batch"), (zero if words is None else words).alias("words"), "entries", "data", F.lit(None).cast(f"array<{id_type}>").alias("ids"), *(F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("contexts", "int"), ("kept", "array<binary>"))))
 
 
 def _cut(docs: DataFrame, parts: int, id_type: str) -> DataFrame:
     """Rows of (id, text, train): batches, and the distinct words' hashes and training counts that they ask the vocabulary."""
 
-    def packed(ids: list[pa.Array], held: list[np.ndarray], train: list[bool], batch: int) -> pa.RecordBatch:
-        ids, lengths, taught = pa.concat_arrays(ids), np.array([len(h) for h in held]), np.array(train, bool)
-        words, at = np.unique(np.concatenate(held), return_inverse=True)
+    def packed(ids: list[pa.Array], held: list[np.ndarray], train: list[bool], seen: Places, batch: int) -> pa.RecordBatch:
+        ids, lengths, taught, at = pa.concat_arrays(ids), np.array([len(h) for h in held]), np.array(train, bool), np.concatenate(held)
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
         n = np.bincount(at, weights=np.repeat(taught, lengths), minlength=len(words)).astype(np.uint32)
         part = (words % np.uint64(SUBS)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
@@ -236,23 +240,31 @@ def _cut(docs: DataFrame, parts: int, id_type: str) -> DataFrame:
         return _rows(rows, ids, ids.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ids, held, train, n, batch = WordHashes(), [], [], [], 0, TaskContext.get().partitionId() << 24
+        seen, ids, held, train, n, batch = Places(), [], [], [], 0, TaskContext.get().partitionId() << 24
         for b in sliced(batches, 100):
             ids.append(b.column(0))
             train += b.column(2).to_pylist()
             for t in b.column(1).to_pylist():
-                held.append(memo.of([*words_of(t), END]))
-                n += len(held[-1])
+                words = [*words_of(t), END]
+                held.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
+                n += len(words)
             if n >= _FLUSH:
-                yield packed(ids, held, train, batch)
-                ids, held, train, n, batch = [], [], [], 0, batch + 1
-            memo.trim()
+                yield packed(ids, held, train, seen, batch)
+                seen, ids, held, train, n, batch = Places(), [], [], [], 0, batch + 1
         if held:
-            yield packed(ids, held, train, batch)
+            yield packed(ids, held, train, seen, batch)
 
     return docs.mapInArrow(run, _schema(id_type))
 
 
+class Places(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _spot(batch: int) -> int:
     return int(mix64(np.array([batch], np.uint64))[0] >> np.uint64(8))
 
@@ -333,14 +345,15 @@ def _entries(row: dict, docs: int, parts: int, train_only: bool = False) -> tupl
     if train_only:
         use = np.repeat(train > 0, lengths)
         tokens, before = tokens[use], before[use]
-    pair, place, n = np.unique(tokens.astype(np.int64) * (len(numbers) + 1) + before, return_inverse=True, return_counts=True)
-    all_numbers = np.concatenate((numbers, [_START]))
-    words, contexts = numbers[pair // (len(numbers) + 1)] * np.uint64(CLASSES), all_numbers[pair % (len(numbers) + 1)]
+    words, contexts = numbers * np.uint64(CLASSES), np.concatenate((numbers, [_START]))
     bucket = _buckets(words, parts)
-    order = np.lexsort((contexts, words | (contexts & _LOW), bucket))
-    to = np.empty(len(order), np.int64)
-    to[order] = np.arange(len(order))
-    return words[order], contexts[order], bucket[order], n[order], to[place], lengths
+    by_word, by_context = np.lexsort((words, bucket)), np.lexsort((contexts, contexts & _LOW))
+    ranks = [np.empty(len(x), np.int64) for x in (by_word, by_context)]
+    for rank, by in zip(ranks, (by_word, by_context), strict=True):
+        rank[by] = np.arange(len(by))
+    pair, place, n = np.unique(ranks[0][tokens] * len(contexts) + ranks[1][before], return_inverse=True, return_counts=True)
+    word = by_word[pair // len(contexts)]
+    return words[word], contexts[by_context[pair % len(contexts)]], bucket[word], n, place, lengths
 
 
 def _counts(batches: DataFrame, parts: int, groups: int) -> DataFrame:
@@ -370,27 +383,39 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": t.column("bucket").slice(0, 1), "words": pa.array([count], pa.int32()), "entries": pa.array([len(words)], pa.int32()), "data": pa.array([_squeeze(*columns, n.astype(np.uint32))], pa.binary())})
 
 
-_STATE = "bucket int, words int, entries int, tokens bigint, sums array<bigint>, data binary, kept array<binary>"
+_STATE = "bucket int, words int, entries int, contexts int, data binary, tokens bigint, sums array<bigint>, kept array<binary>"
+
+
+def _state_of(at: Seating, *more: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Words, entries, contexts, and the columns."""
+    words, (w, per, _) = _pack(at.words, at.contexts)
+    return words, len(at.words), len(at.known), _squeeze(w, per, at.known, at.of.astype(np.uint32), *(x.astype(np.uint32) for x in (at.counts, *more)))
 
 
 def _row(bucket: int, at: Seating, kept: list[bytes]) -> pa.Table:
     """A bucket's state; kept: the tables of the kept sweeps, a squeezed block for each."""
-    words, columns = _pack(at.words, at.contexts)
-    data = _squeeze(*columns, *(x.astype(np.uint32) for x in (at.counts, at.t, at.pair_t, at.root)))
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([words], pa.int32()), "entries": pa.array([len(at.words)], pa.int32()), "tokens": pa.array([int(at.counts.sum())], pa.int64()), "sums": pa.array([at.sums().tolist()], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()), "kept": pa.array([kept], pa.list_(pa.binary()))})
+    values = (bucket, *_state_of(at, at.t, at.pair_t, at.root), int(at.counts.sum()), at.sums().tolist(), kept)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+    names = ("bucket", "words", "entries", "contexts", "data", "tokens", "sums", "kept")
+    return pa.table({n: pa.array([v], k) for n, v, k in zip(names, values, kinds, strict=True)})
+
 
+def _restored(r: dict, *more: tuple[type, int]) -> tuple[Seating, list[np.ndarray]]:
+    w, per, known, of, counts, *rest = _spread(r["data"], (np.uint64, r["words"]), (np.uint32, r["words"]), (np.uint64, r["contexts"]), (np.uint32, r["entries"]), (np.uint32, r["entries"]), *more)
+    return Seating(np.repeat(w, per), known, of, counts), rest
 
-def _seating(raw: bytes, words: int, entries: int) -> Seating:
-    w, context, (n,) = _unpack(raw, words, entries, (np.uint32, entries))
-    at = Seating(w, context, n)
-    p = len(at.pairs)
-    *_, at.t, at.pair_t, at.root = (x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), (np.uint32, entries), (np.uint32, p), (np.uint32, words))[2])
+
+def _seating(r: dict) -> Seating:
+    at, _ = _restored(r)
+    kinds = ((np.uint32, r["entries"]), (np.uint32, len(at.pairs)), (np.uint32, r["words"]))
+    at.t, at.pair_t, at.root = (x.astype(np.int64) for x in _restored(r, *kinds)[1])
     return at
 
 
 def _seated(t: pa.Table) -> pa.Table:
     """The counts of a bucket, with one table for each pair."""
-    return _row(t.column("bucket")[0].as_py(), Seating(*_sum(t)), [])
+    words, contexts, n = _sum(t)
+    return _row(t.column("bucket")[0].as_py(), Seating(words, *np.unique(contexts, return_inverse=True), n), [])
 
 
 def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
@@ -399,9 +424,8 @@ def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                at = _seating(r["data"], r["words"], r["entries"])
-                u, inverse = np.unique(at.contexts, return_inverse=True)
-                n, t = (np.bincount(inverse, weights=x).astype(np.int64) for x in (at.counts, at.t))
+                at = _seating(r)
+                u, n, t = at.known, *(np.bincount(at.of, weights=x).astype(np.int64) for x in (at.counts, at.t))
                 to = _buckets(u, parts)
                 order = np.argsort(to, kind="stable")
                 u, n, t = u[order], n[order], t[order]
@@ -418,7 +442,7 @@ def _context_totals(state: DataFrame, parts: int, answer: bool) -> DataFrame:
             out = [(b, part, len(own), _squeeze(sums[0][np.searchsorted(u, own)])) for b, own, *_ in rows]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "part": pa.array([o[1] for o in out], pa.int32()), "entries": pa.array([o[2] for o in out], pa.int32()), "data": pa.array([o[3] for o in out], pa.binary())})
 
-    asked = state.select("bucket", "words", "entries", "data").mapInArrow(ask, "part int, bucket int, entries int, data binary")
+    asked = state.select("bucket", "words", "entries", "contexts", "data").mapInArrow(ask, "part int, bucket int, entries int, data binary")
     return asked.groupBy("part").applyInArrow(add, "bucket int, part int, entries int, data binary")
 
 
@@ -436,66 +460,47 @@ def _swept(state: DataFrame, parts: int, sums: np.ndarray, sweep: int, keep: boo
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         own = next(r for r in rows if r["words"] is not None)
-        at = _seating(own["data"], own["words"], own["entries"])
+        at = _seating(own)
         told = sorted((r for r in rows if r["words"] is None), key=lambda r: r["part"])
-        u, inverse = np.unique(at.contexts, return_inverse=True)
-        n = np.empty(len(u), np.int64)
-        n[np.argsort(_buckets(u, parts), kind="stable")] = np.concatenate([_spread(r["data"], (np.int64, r["entries"]))[0] for r in told])
-        at.sweep(n[inverse], sums, salt)
+        n = np.empty(len(at.known), np.int64)
+        n[np.argsort(_buckets(at.known, parts), kind="stable")] = np.concatenate([_spread(r["data"], (np.int64, r["entries"]))[0] for r in told])
+        at.sweep(n[at.of], sums, salt)
         kept = [_squeeze(*(x.astype(np.uint32) for x in (at.t, at.pair_t, at.root)))] if keep else []
         return _row(own["bucket"], at, own["kept"] + kept)
 
-    totals = _context_totals(state, parts, True).select("bucket", "part", F.lit(None).cast("int").alias("words"), "entries", "data", F.lit(None).cast("array<binary>").alias("kept"))
-    return state.select("bucket", F.lit(-1).alias("part"), "words", "entries", "data", "kept").union(totals).groupBy("bucket").applyInArrow(run, _STATE)
+    totals = _context_totals(state, parts, True).select("bucket", "part", F.lit(None).cast("int").alias("words"), "entries", F.lit(0).alias("contexts"), "data", F.lit(None).cast("array<binary>").alias("kept"))
+    return state.select("bucket", F.lit(-1).alias("part"), "words", "entries", "contexts", "data", "kept").union(totals).groupBy("bucket").applyInArrow(run, _STATE)
 
 
-def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last state of each bucket as its model: counts, and tables of every kept sweep."""
-    for b in batches:
-        for r in b.to_pylist():
-            at = _seating(r["data"], r["words"], r["entries"])
-            kinds = ((np.uint32, len(at.words)), (np.uint32, len(at.pairs)), (np.uint32, r["words"]))
-            data = _squeeze(*_pack(at.words, at.contexts)[1], at.counts.astype(np.uint32), *(x for kept in r["kept"] for x in _spread(kept, *kinds)))
-            yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["words"]], pa.int32()), pa.array([r["entries"]], pa.int32()), pa.array([r["tokens"]], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "words", "entries", "tokens", "data"])
-
-
-def seat(batches: DataFrame, parts: int, groups: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
+def seat(batches: DataFrame, parts: int, context_parts: int, groups: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
     """The model's table (a row for each bucket), and the totals over all buckets with the table of all contexts' totals."""
     spark = batches.sparkSession
     state = materialize(_counts(batches, parts, groups).groupBy("bucket").applyInArrow(_seated, _STATE))
     kept, contexts = [], []
     sums = _sums(state)
     for sweep in range(burn_in + samples):
-        last, state = state, materialize(_swept(state, parts, sums, sweep, sweep >= burn_in))
+        last, state = state, materialize(_swept(state, context_parts, sums, sweep, sweep >= burn_in))
         discard(last)
         del last
         forget(spark)
         sums = _sums(state)
         if sweep >= burn_in:
             kept.append(sums)
-            contexts.append(materialize(_context_totals(state, parts, False).select(F.lit(len(kept) - 1).alias("sample"), "bucket", "entries", "data")))
-    model = materialize(state.mapInArrow(_model, "bucket int, words int, entries int, tokens bigint, data binary"))
-    discard(state)
-    del state
-    forget(spark)
+            contexts.append(materialize(_context_totals(state, context_parts, False).select(F.lit(len(kept) - 1).alias("sample"), "bucket", "entries", "data")))
     all_contexts = contexts[0]
     for c in contexts[1:]:
         all_contexts = all_contexts.union(c)
-    return model, {"parts": parts, "sums": np.array(kept), "contexts": all_contexts}
+    return state, {"parts": parts, "context_parts": context_parts, "sums": np.array(kept), "contexts": all_contexts}
 
 
-def fit(training: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, text_col: str = "text") -> tuple[DataFrame, dict]:
+def fit(training: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
     """A model of all rows: see seat(); the totals also hold its vocabulary."""
-    parts, groups = bucket_count(training, text_col)
-    batches, vocabulary = encode(training, parts, F.lit(True), text_col=text_col, id_col=training.columns[0])
-    model, totals = seat(batches, parts, groups, burn_in, samples)
+    parts, context_parts, groups = bucket_count(training, text_col)
+    batches, vocabulary = encode(training, parts, F.lit(True), None, id_col, text_col)
+    model, totals = seat(batches, parts, context_parts, groups, burn_in, samples)
     return model, totals | {"vocabulary": vocabulary}
 
 
-def _pair_hash(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return mix64(mix64(words) ^ contexts)
-
-
 def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the asked ones stand in the sorted keys, and whether they do."""
     if not len(keys):
@@ -504,39 +509,47 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same in values[low:high], each sorted by itself: bisection of all at once."""
+    low, end, high = low.copy(), high, high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) // 2
+        less = values[mid] < asked[live]
+        low[live], high[live] = np.where(less, mid + 1, low[live]), np.where(less, high[live], mid)
+        live = live[low[live] < high[live]]
+    at = np.minimum(low, max(len(values) - 1, 0))
+    return at, (low < end) & (values[at] == asked) if len(values) else np.zeros(len(asked), bool)
+
+
 class Bucket:
     """A bucket of the model, or none: looks words and contexts up."""
 
-    def __init__(self, samples: int, raw: bytes | None = None, words: int = 0, entries: int = 0):
+    def __init__(self, samples: int, r: dict | None = None):
         one = np.zeros(1, np.int64)
-        self.word = self.pair = self.entry = np.empty(0, np.uint64)
+        self.word = self.pair = self.context = np.empty(0, np.uint64)
+        self.start = np.zeros(2, np.int64)
         self.of_word, self.of_pair, self.of_entry = [one] * (1 + 2 * samples), [one] * (2 * samples), [one] * (1 + samples)
-        if raw is None:
+        if r is None:
             return
-        w, contexts, (counts,) = _unpack(raw, words, entries, (np.uint32, entries))
-        at = Seating(w, contexts, counts)
-        kept = [x.astype(np.int64) for x in _unpack(raw, words, entries, (np.uint32, entries), *((np.uint32, n) for _ in range(samples) for n in (entries, len(at.pairs), words)))[2][1:]]
-        self.word, self.pair = at.words[at.new_word], at.pairs
-        hashes = _pair_hash(at.words, at.contexts)
-        order = np.argsort(hashes)
-        self.entry, self.of_entry = hashes[order], [at.counts[order]]
-        self.of_word, self.of_pair = [np.add.reduceat(at.counts, np.flatnonzero(at.new_word))], []
-        for s in range(samples):
-            at.t, at.pair_t, at.root = kept[3 * s : 3 * s + 3]
+        at, _ = _restored(r)
+        self.word, self.pair, self.context = at.words[at.new_word], at.pairs, at.contexts
+        self.start = np.concatenate((np.flatnonzero(at.new_pair), [len(at.words)]))
+        self.of_word, self.of_pair, self.of_entry = [np.add.reduceat(at.counts, np.flatnonzero(at.new_word))], [], [at.counts]
+        for raw in r["kept"]:
+            at.t, at.pair_t, at.root = (x.astype(np.int64) for x in _spread(raw, (np.uint32, r["entries"]), (np.uint32, len(at.pairs)), (np.uint32, r["words"])))
             c, customers = at.customers()
             self.of_word += [customers, at.root]
             self.of_pair += [c, at.pair_t]
-            self.of_entry.append(at.t[order])
+            self.of_entry.append(at.t)
 
     def __call__(self, words: np.ndarray, contexts: np.ndarray) -> tuple[list, list, list]:
         """Of the distinct words, in order: count, and customers and tables at the root in each sample; of all: customers and tables in the
         class in each sample; of all: customers in the context, and tables there in each sample."""
-        asked = ((self.word, words[_firsts(words)], self.of_word), (self.pair, words | (contexts & _LOW), self.of_pair), (self.entry, _pair_hash(words, contexts), self.of_entry))
-        out = []
-        for keys, wanted, values in asked:
-            at, has = _find(keys, wanted)
-            out.append([np.where(has, v[at], 0) for v in values])
-        return tuple(out)
+        word, has_word = _find(self.word, words[_firsts(words)])
+        pair, has_pair = _find(self.pair, words | (contexts & _LOW))
+        entry, has = _within(self.context, np.where(has_pair, self.start[pair], 0), np.where(has_pair, self.start[pair + 1], 0), contexts)
+        return tuple([np.where(ok, v[at], 0) for v in values] for at, ok, values in ((word, has_word, self.of_word), (pair, has_pair, self.of_pair), (entry, has, self.of_entry)))
 
 
 def predictive(of_word: list, of_pair: list, of_entry: list, of_context: list, classes: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -550,7 +563,7 @@ def predictive(of_word: list, of_pair: list, of_entry: list, of_context: list, c
     return q / len(sums)
 
 
-def _asks(batches: DataFrame, parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
+def _asks(batches: DataFrame, parts: int, context_parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
     """What the batches ask the word and the context buckets, and the batches."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,9 +575,9 @@ def _asks(batches: DataFrame, parts: int, splits: dict[int, int], id_type: str)
                     count, columns = _pack(words[s:e], contexts[s:e])
                     out.append((_WORDS, k, spot % splits.get(k, 1), batch, count, e - s, _squeeze(*columns)))
                 known = np.unique(contexts)
-                to = _buckets(known, parts)
+                to = _buckets(known, context_parts)
                 order = np.argsort(to, kind="stable")
-                out += [(_CONTEXTS, k, 0, batch, 0, e - s, _squeeze(known[order[s:e]])) for k, s, e in _slices(to[order], parts)]
+                out += [(_CONTEXTS, k, 0, batch, 0, e - s, _squeeze(known[order[s:e]])) for k, s, e in _slices(to[order], context_parts)]
                 out.append((_BATCH, spot % parts, 0, batch, r["words"], r["entries"], r["data"]))
                 yield _rows(out, ids.values, ids.values.type)
 
@@ -582,7 +595,7 @@ def _answered(samples: int, id_type: str):
         own = [r for r in rows if r["batch"] < 0]
         asking = [r for r in rows if r["batch"] >= 0]
         if kind == _WORDS:
-            look = Bucket(samples, *((own[0]["data"], own[0]["words"], own[0]["entries"]) if own else ()))
+            look = Bucket(samples, own[0] if own else None)
             for r in asking:
                 words, contexts, _ = _unpack(r["data"], r["words"], r["entries"])
                 per = np.diff(np.concatenate((np.flatnonzero(_firsts(words)), [len(words)]))).astype(np.uint32)
@@ -600,7 +613,7 @@ def _answered(samples: int, id_type: str):
     return run, _schema(id_type)
 
 
-def _scored(parts: int, sums: np.ndarray):
+def _scored(parts: int, context_parts: int, sums: np.ndarray):
     """The rows of a batch, from all answers."""
     samples = len(sums)
 
@@ -617,7 +630,7 @@ def _scored(parts: int, sums: np.ndarray):
         values = [np.concatenate([a[i] for a in answers]).astype(np.float64) for i in range(2 + 5 * samples)]
         told = [_spread(r["data"], *[(np.int64, r["entries"])] * (1 + samples)) for r in rows if r["kind"] == _CONTEXTS]
         known, of = np.unique(contexts, return_inverse=True)
-        order, of_context = np.argsort(_buckets(known, parts), kind="stable"), []
+        order, of_context = np.argsort(_buckets(known, context_parts), kind="stable"), []
         for i in range(1 + samples):
             x = np.empty(len(known))
             x[order] = np.concatenate([y[i] for y in told])
@@ -639,10 +652,10 @@ def score_batches(batches: DataFrame, model: DataFrame, totals: dict) -> DataFra
     splits = {b: int(-(-n // (1.5 * mean))) for b, n in loads.items() if n > 1.5 * mean}
     copies = F.coalesce(F.create_map(*[F.lit(x) for kv in splits.items() for x in kv])[F.col("bucket")], F.lit(1)) if splits else F.lit(1)
     known = _told(model.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), _WORDS, id_type, split=F.col("copy"), words=F.col("words"))
-    rows = _asks(batches, parts, splits, id_type).union(known).union(_told(totals["contexts"], _CONTEXTS, id_type, batch=-1 - F.col("sample")))
+    rows = _asks(batches, parts, totals["context_parts"], splits, id_type).union(known).union(_told(totals["contexts"], _CONTEXTS, id_type, batch=-1 - F.col("sample")))
     run, schema = _answered(len(sums), id_type)
     answered = rows.groupBy("kind", "bucket", "split").applyInArrow(run, schema)
-    out = answered.groupBy("batch").applyInArrow(_scored(parts, sums), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = answered.groupBy("batch").applyInArrow(_scored(parts, totals["context_parts"], sums), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(sums[0, -1])).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
@@ -654,7 +667,7 @@ def score(docs: DataFrame, model: DataFrame, totals: dict, id_col: str = "doc_id
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One encoding serves both: the model learns from the batches' training rows, and scores them all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts, groups = bucket_count(docs)
+    parts, context_parts, groups = bucket_count(docs)
     batches, _ = encode(docs, parts, fold(F.col("doc_id"), 7) != 2)
-    model, totals = seat(batches, parts, groups)
+    model, totals = seat(batches, parts, context_parts, groups)
     return score_batches(batches, model, totals).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
