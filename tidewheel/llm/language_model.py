@@ -138,13 +138,19 @@ class Seating:
         of, at_root = (self.pairs & _LOW).astype(np.int64), tables.sum() + ROOT_STRENGTH
         c, w = self.customers()
         root = (np.maximum(w - ROOT_DISCOUNT * self.root, 0.0) + base) / at_root
-        inherited = (STRENGTH + DISCOUNT * tables[of]) * root[self.word]
-        parent = (np.maximum(c[self.pair] - self.t - DISCOUNT * self.pair_t[self.pair], 0.0) + inherited[self.pair]) / (seats[of] + STRENGTH)[self.pair]
-        a = (STRENGTH + DISCOUNT * (totals - self.t)) * parent
-        self.t = sample_tables(self.counts, a, DISCOUNT, logs, uniform(mix64(self.words) ^ self.contexts ^ salt))
+        some = np.flatnonzero(self.counts > 1)  # a single customer has its one table
+        k = self.pair[some]
+        inherited = (STRENGTH + DISCOUNT * tables[of[k]]) * root[self.word[k]]
+        parent = (np.maximum(c[k] - self.t[some] - DISCOUNT * self.pair_t[k], 0.0) + inherited) / (seats[of[k]] + STRENGTH)
+        a = (STRENGTH + DISCOUNT * (totals[some] - self.t[some])) * parent
+        self.t[some] = sample_tables(self.counts[some], a, DISCOUNT, logs, uniform(mix64(self.words[some]) ^ self.contexts[some] ^ salt))
         c, w = self.customers()
-        parent = (np.maximum(w[self.word] - self.pair_t - ROOT_DISCOUNT * self.root[self.word], 0.0) + base) / at_root
-        self.pair_t = sample_tables(c, (STRENGTH + DISCOUNT * (tables[of] - self.pair_t)) * parent, DISCOUNT, logs, uniform(self.pairs ^ salt))
+        some = np.flatnonzero(c > 1)
+        k = self.word[some]
+        parent = (np.maximum(w[k] - self.pair_t[some] - ROOT_DISCOUNT * self.root[k], 0.0) + base) / at_root
+        before = self.pair_t[some]
+        self.pair_t[:] = 1
+        self.pair_t[some] = sample_tables(c[some], (STRENGTH + DISCOUNT * (tables[of[some]] - before)) * parent, DISCOUNT, logs, uniform(self.pairs[some] ^ salt))
         w = self.customers()[1]
         self.root = sample_tables(w, np.full(len(w), base), ROOT_DISCOUNT, root_logs, uniform(self.words[self.new_word] ^ salt ^ np.uint64(0x5555555555555555)))
 
