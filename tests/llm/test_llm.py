@@ -276,7 +276,8 @@ def test_license_gates_pass_what_rules_match(spark):
         for _ in range(60):
             s = of_pattern(tree, rnd)
             assert re.match(f"(?:{x.pattern})(?= )", s + " ")
-            assert any(k in s for k in x.keywords) and re.search(licenses.PREFILTER, s), (x, s)
+            assert any(k in s for k in x.keywords), (x, s)
+            assert any(k in s for k in licenses.STEMS) or re.search(licenses.SHORT, s), (x, s)
     rows = [("This work is released under CC0", "cc0"), ("Licensed under the Do What The Fuck You Want To Public License", "wtfpl"), ("licensed under the PSF License", "python-2"), ("license openrail m", "rail")] + TEXTS
     got = {r["doc_id"]: r["labels"] for r in licenses.query_of(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
     assert all(label in got[i].split(",") for i, (_, label) in enumerate(rows))
