@@ -80,6 +80,50 @@ def test_toxicity_without_labels(spark, toxic_table):
     every(spark, lambda x: toxicity.score(x, model, weights), ["doc_id", "score"])
 
 
+def test_toxicity_models_by_definition(spark, monkeypatch):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice(WORDS[:6] + ["bad"] * (i % 3 == 0)) for _ in range(rnd.randint(0, 20))), int(i % 3 == 0)) for i in range(60)]
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 4)
+    sample = spark.createDataFrame([(t, y, "fit" if i % 4 else "calibrate") for i, t, y in rows], "text string, toxic int, part string")
+    counts = toxicity.pair_counts(sample)
+    model = toxicity.fit(counts.select("before", "word", F.col("all_o").alias("o"), F.col("all_t").alias("t")))
+    c = [collections.Counter(), collections.Counter()]
+    for _, t, y in rows:
+        w = [toxicity.START, *t.split(), toxicity.END]
+        c[y].update(set(zip(w, w[1:], strict=False)))
+    types = set(c[0]) | set(c[1])
+    vocabulary = {w for _, w in types}
+    d, e = toxicity.DISCOUNT, 4
+
+    def backoff(w, n, total, lower):
+        kept = {x: max(n[x] - d, 0) for x in n}
+        return (kept.get(w, 0) + (total - sum(kept.values())) * lower) / total
+
+    def probability(y, v, w):
+        s = collections.Counter(x for _, x in types)
+        own = collections.Counter(x for _, x in c[y])
+        p = backoff(w, own, sum(own.values()), backoff(w, s, sum(s.values()), 1 / (len(vocabulary) + 1)))
+        after = {x: n for (u, x), n in c[y].items() if u == v}
+        if not after:
+            return p
+        kept = sum(max(n - e, 0) for n in after.values())
+        return (max(after.get(w, 0) - e, 0) + (sum(after.values()) - kept) * p) / sum(after.values())
+
+    texts = [t for _, t, _ in rows[:20]] + ["", None, "kat unknown bad bad lon"]
+    x, lengths = toxicity.Reader(model).differences(texts)
+    want = []
+    for t in texts:
+        w = [toxicity.START, *(t or "").split(), toxicity.END]
+        want += [math.log(probability(1, a, b) / probability(0, a, b)) for a, b in zip(w, w[1:], strict=False)]
+    assert len(model["pairs"][0]) and lengths.sum() == len(want) and x == pytest.approx(np.array(want), abs=1e-9)
+    f = toxicity.Reader(model).features(texts)
+    ends = np.cumsum(lengths)
+    for i, end in enumerate(ends):
+        own = want[end - lengths[i] : end]
+        best = [max(sum(own[j : j + k]) / min(k, len(own)) for j in range(max(1, len(own) - k + 1))) for k in toxicity.WINDOWS]
+        assert f[i] == pytest.approx([*best, sum(own) / len(own)], abs=1e-9)
+
+
 # token counts
 def test_token_counts(spark):
     from tokenizers import Tokenizer
