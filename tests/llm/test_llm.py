@@ -617,6 +617,34 @@ def test_keep_one(spark):
     assert len(every(spark, lambda x: nj.jaccard_classes(x, 3, 90), ["doc_id"])) == len(ODD)
 
 
+def test_keep_one_tells_rows_that_share_an_id(spark):
+    a, near, other = "ka lo mi ne pu ra " * 12, "ka lo mi ne pu ra " * 12 + "end", "one two three four five six seven"
+    left = lambda rows: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in nj.keep_one(docs(spark, rows)).collect())
+    assert left([(5, a), (7, a), (7, other)]) == [(5, a), (7, other)]
+    assert left([(7, a), (7, near), (7, other)]) in ([(7, a), (7, other)], [(7, near), (7, other)])
+    assert left([(None, a), (None, near), (None, other), (3, a)]) == [(-1, other), (3, a)]
+    assert left([(None, a), (None, a), (None, a)]) == [(-1, a)]
+    ids = spark.createDataFrame([("x", a), ("y", near), ("z", other)], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in nj.keep_one(ids).collect()) == ["x", "z"]
+
+
+def test_hot_keys_and_great_tiles(spark, monkeypatch):
+    rnd = random.Random(15)
+    rows = []
+    for b in range(3):
+        base = text(rnd, 60).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+            rows.append((len(rows), " ".join(w)))
+    for name, value in (("HOT", 3), ("STAR", 4), ("WHOLE", 5), ("BLOCK", 4), ("_FLUSH", 600)):
+        monkeypatch.setattr(nj, name, value)
+    for n, percent in ((3, 90), (2, 80)):
+        got = nj.jaccard_classes(docs(spark, rows), n, percent).collect()
+        assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == _classes(rows, n, percent)
+
+
 def test_parts_hold_the_pigeonhole():
     rnd = np.random.default_rng(3)
     for percent in (80, 90):

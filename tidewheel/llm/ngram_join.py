@@ -8,17 +8,20 @@ between different sets is found; the classes are the components of the links.
    H = floor((|A|+|B|)·(100-percent)/(100+percent)) n-grams. Within a band the hash range is cut into more
    than H parts, so some part holds the same n-grams in both (pigeonhole). A set sends the hash of each part
    to the tile of that band, packed in bytes; only tiles with several sets go on. Parts without n-grams are
-   sent only by sets with so many of them that all equal parts could be empty.
+   sent only by sets with so many of them that all equal parts could be empty. A key that HOT sets of one
+   block share is a tile known to hold several: its sets go there directly, and only one marks it in its bucket.
 3. Each set has a bitmap of its hashed n-grams; bit counts bound the overlap of two sets from above. The sets
-   that meet in a tile are sifted by that bound; equal tiles are sifted once. What passes forms clusters.
-4. A cluster is compared once: whole where it is small, else in tiles of two blocks of the same or
-   neighbouring size bands. In a tile, pairs that pass the bound are intersected exactly as sorted arrays.
-   Pairs that are already connected aren't compared again, so a group of n copies costs about n comparisons.
+   that meet in a tile are sifted by that bound; equal tiles are sifted once, and those of more than STAR sets
+   aren't gathered: their sets form one cluster. What passes forms clusters.
+4. Clusters of up to WHOLE sets are compared in one tile. Greater ones are first compared in blocks, each with
+   a representative of its own and of the next smaller size band: linear work, which connects near copies. What
+   that leaves apart is compared exactly: all blocks but those of the greatest component with one another. In a
+   tile, pairs that pass the bound are intersected as sorted arrays, if they aren't connected already.
 5. The links' components give each document the least id it can reach.
 
 Rows: null, empty and blank texts have an empty set, link with nothing and are their own class; a text with
-fewer words than n is one n-gram; repeated rows fall in one class; a row with a null id is its own class
-unless its set has a row with an id; an empty table gives no rows; other columns are not read.
+fewer words than n is one n-gram; repeated rows fall in one class; rows with a null id are linked like others,
+and a class of such rows alone has no id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ WHOLE, BLOCK = 512, 256
 BROADCAST_ROWS = 500_000
 #: A tile of more sets than this isn't sifted; its sets form one cluster.
 STAR = 4096
+#: Sets of a block that share a key, from which on the key is a tile of its own.
+HOT = 256
 MOST_BITS = 8192
 _FLUSH = 2_000_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -172,114 +177,175 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, perce
     return links
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), bits (its bitmap)."""
+_SCAN = "bucket int, ids binary, keys binary, at binary, hot binary, tile bigint, n_shingles bigint, node bigint, bits binary, doc_id {0}, row bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in sliced(batches):
-            sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(1).to_pylist()]
-            memo.trim()
-            nodes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, bits binary")
+def _tile_names(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Names of tiles that are known by their key (40 bits) and bucket."""
+    return mix64((bucket.astype(np.uint64) << np.uint64(40)) + key + np.uint64(1))
 
 
-def _tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
-    """Packed keys: bucket, ids (nodes), keys (40 bits each), at (place in ids)."""
+def _scanned(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
+    """Of rows (doc_id, row, text), row a hash of the text: doc_id, row, n_shingles, node (null for an empty set) and bits (its bitmap) of each;
+    packed keys by bucket: ids (nodes), keys (40 bits each), at (place in ids), hot (keys with tiles of their own); and such tiles' nodes."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = [f.split()[0] for f in _SCAN.split(", ")]
+    kinds = {"bucket": pa.int32(), "tile": pa.int64(), "n_shingles": pa.int64(), "node": pa.int64(), "row": pa.int64()} | dict.fromkeys(("ids", "keys", "at", "hot", "bits"), pa.binary())
 
-    def packed(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(count: int, id_kind: pa.DataType, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(count, kinds.get(c, id_kind)) for c in names], names=names)
+
+    def packed(nodes: list[int], keys: list[np.ndarray], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys)
         owner = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
-        bucket = ((key >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        bucket, key = ((key >> np.uint64(40)) % np.uint64(groups)).astype(np.int64), key & np.uint64((1 << 40) - 1)
+        order = np.lexsort((key, bucket))
         key, owner, bucket = key[order], owner[order], bucket[order]
+        all_nodes = np.array(nodes, np.int64)
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))))
+        size = np.diff(np.concatenate((start, [len(key)])))
+        hot = np.repeat(size >= HOT, size)
+        first = np.zeros(len(key), bool)
+        first[start] = True
+        if hot.any():
+            yield rows(int(hot.sum()), id_kind, tile=_tile_names(bucket[hot], key[hot]).view(np.int64), node=all_nodes[owner[hot]])
+        stay = ~hot | first
+        key, owner, bucket, hot = key[stay], owner[stay], bucket[stay], hot[stay]
+        out = []
         which, start = np.unique(bucket, return_index=True)
-        rows, all_nodes = [], np.array(nodes, np.int64)
+        small = lambda k: np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
         for b, s, e in zip(which, start, [*start[1:], len(key)], strict=True):
             own, at = np.unique(owner[s:e], return_inverse=True)
-            rows.append((int(b), all_nodes[own].tobytes(), np.ascontiguousarray(key[s:e].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), at.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "ids", "keys", "at"])
+            out.append((int(b), all_nodes[own].tobytes(), small(key[s:e]), at.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes(), small(key[s:e][hot[s:e]])))
+        yield rows(len(out), id_kind, **{c: [r[i] for r in out] for i, c in enumerate(("bucket", "ids", "keys", "at", "hot"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bands, nodes, keys, held = WordHashes(), Bands(percent), [], [], 0
         known: set[int] = set()
+        id_kind = None
         for b in sliced(batches):
-            for t in b.column(0).to_pylist():
-                s = ngram_set(memo.of(words_of(t)), n)
-                k = bands.keys(s) if len(s) else s
-                if len(k) and (h := set_hash(s)) not in known:
-                    known.add(h)
-                    nodes.append(h)
-                    keys.append(k)
-                    held += len(k)
-                    if held >= _FLUSH:
-                        yield packed(nodes, keys)
-                        nodes, keys, held, known = [], [], 0, set()
+            id_kind = b.column(0).type
+            sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(2).to_pylist()]
+            hashes = [set_hash(s) if len(s) else None for s in sets]
+            yield rows(b.num_rows, id_kind, doc_id=b.column(0), row=b.column(1), n_shingles=[len(s) for s in sets], node=hashes, bits=[bitmap(s).tobytes() if len(s) else None for s in sets])
+            for s, h in zip(sets, hashes, strict=True):
+                if h is None or h in known or not len(k := bands.keys(s)):
+                    continue
+                known.add(h)
+                nodes.append(h)
+                keys.append(k)
+                held += len(k)
+                if held >= _FLUSH:
+                    yield from packed(nodes, keys, id_kind)
+                    nodes, keys, held, known = [], [], 0, set()
             memo.trim()
         if nodes:
-            yield packed(nodes, keys)
+            yield from packed(nodes, keys, id_kind)
+
+    return docs.mapInArrow(run, _SCAN.format(id_type))
 
-    return docs.select("text").mapInArrow(run, "bucket int, ids binary, keys binary, at binary")
+
+def _wide(raw: np.ndarray) -> np.ndarray:
+    """Keys of 40 bits as numbers."""
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """The tiles of a bucket that hold several sets, as (tile, node): equal tiles once, named by a hash of their nodes."""
-    ids, keys = [], []
-    for i, k, at in zip(t.column("ids"), t.column("keys"), t.column("at"), strict=True):
-        raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        keys.append(wide.view(np.uint64).ravel())
+    """The tiles of a bucket that hold several sets, as (tile, node): equal tiles once, named by a hash of their nodes. Hot ones whole, by their own names."""
+    ids, keys, hot = [], [], []
+    for i, k, at, h in zip(t.column("ids"), t.column("keys"), t.column("at"), t.column("hot"), strict=True):
+        keys.append(_wide(np.frombuffer(k.as_buffer(), np.uint8)))
+        hot.append(_wide(np.frombuffer(h.as_buffer(), np.uint8)))
         own = np.frombuffer(i.as_buffer(), np.int64)
         ids.append(own[np.frombuffer(at.as_buffer(), np.uint16 if len(own) <= 65535 else np.uint32)])
-    key, node = np.concatenate(keys), np.concatenate(ids)
+    key, node, hot = np.concatenate(keys), np.concatenate(ids), np.unique(np.concatenate(hot))
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
     key, node = key[new], node[new]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    apart = np.isin(key, hot)
+    named = _tile_names(np.full(int(apart.sum()), t.column("bucket")[0].as_py()), key[apart]), node[apart]
+    key, node = key[~apart], node[~apart]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.concatenate((start, [len(key)])))
     name = np.add.reduceat(mix64(node.view(np.uint64) ^ _K[0]), start) if len(start) else np.empty(0, np.uint64)
     several = np.flatnonzero(size > 1)
     several = several[np.unique(name[several], return_index=True)[1]]
     take = np.repeat(start[several], size[several]) + (np.arange(size[several].sum()) - np.repeat(np.cumsum(size[several]) - size[several], size[several]))
-    return pa.table({"tile": pa.array(np.repeat(name[several], size[several]).view(np.int64)), "node": pa.array(node[take])})
+    tiles = np.concatenate((named[0], np.repeat(name[several], size[several])))
+    return pa.table({"tile": pa.array(tiles.view(np.int64)), "node": pa.array(np.concatenate((named[1], node[take])))})
 
 
-def _plan_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """node, rep, tiles (tile, side): where each candidate set is compared."""
-    edges = [x for x in Bands(percent).edges if x < 1 << 31]
-    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col("n_shingles")))
-    m = materialize(members.withColumn("band", band))
-    per_band = m.groupBy("cluster", "band").agg(F.count("*").alias("c"))
-    total = per_band.groupBy("cluster").agg(F.sum("c").alias("total"))
-    near = per_band.join(total, "cluster").where(F.col("total") > WHOLE).select("cluster", "band", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    sides = m.join(total.where("total > 1"), "cluster")
-    small = sides.where(F.col("total") <= WHOLE).select("node", "rep", F.array(F.struct(F.col("cluster").alias("tile"), F.lit(0).alias("side"))).alias("tiles"))
-    big = sides.where(F.col("total") > WHOLE).join(near, ["cluster", "band"])
-    for step, name in ((1, "up"), (-1, "down")):
-        big = big.join(near.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name)), ["cluster", "band"], "left")
-    big = big.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def each(count: str, tile):
-        return F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), tile)).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>"))
-
-    i, k, c = F.col("i"), F.col("band"), F.col("cluster")
-    key = lambda k1, k2, x, y: F.xxhash64(c, k1, k2, x, y).alias("tile")
-    same = each("blocks", lambda j: F.struct(key(k, k, F.least(i, j), F.greatest(i, j)), F.when(i > j, 1).otherwise(0).alias("side")))
-    up = each("up", lambda j: F.struct(key(k, k + 1, i, j), F.lit(0).alias("side")))
-    down = each("down", lambda j: F.struct(key(k - 1, k, j, i), F.lit(1).alias("side")))
-    return small.union(big.select("node", "rep", F.concat(same, up, down).alias("tiles")))
-
-
-def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+_TILES = "array<struct<tile:bigint,side:int>>"
+
+
+def _blocks(per: DataFrame) -> DataFrame:
+    """cluster, blocks: a map from group to its number of blocks, of rows cluster, group, c."""
+    return per.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("group", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")))).alias("blocks"))
+
+
+def _first_tiles(members: DataFrame) -> DataFrame:
+    """Where candidate sets (cluster, node, band, total, first) are compared first: small clusters whole, the others in blocks with representatives."""
+    tile = lambda *k: F.xxhash64("cluster", *k).alias("tile")
+    whole = members.where(F.col("total") <= WHOLE).select("node", "first", F.array(F.struct(F.col("cluster").alias("tile"), F.lit(0).alias("side"))).alias("tiles"))
+    big = members.where(F.col("total") > WHOLE)
+    counts = big.groupBy("cluster", F.col("band").alias("group")).agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node")).alias("representative"))
+    big = big.join(_blocks(counts), "cluster").join(counts.select("cluster", F.col("group").alias("band"), "representative"), ["cluster", "band"])
+    block = F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("band"))).cast("int")
+    every = lambda band: F.transform(F.sequence(F.lit(0), F.element_at("blocks", band) - 1), lambda i: F.struct(tile(band, i), F.lit(0).alias("side")))
+    none = F.array().cast(_TILES)
+    after = F.when(F.array_contains(F.map_keys("blocks"), F.col("band") + 1), every(F.col("band") + 1)).otherwise(none)
+    own = F.array(F.struct(tile(F.col("band"), block), F.lit(0).alias("side")))
+    return whole.union(big.select("node", "first", F.when(F.col("node") == F.col("representative"), F.concat(every(F.col("band")), after)).otherwise(own).alias("tiles")))
+
+
+def _last_tiles(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Where sets of great clusters that aren't connected yet are compared: in tiles of two blocks of the same or neighbouring bands, not both of the greatest component."""
+    big = members.where(F.col("total") > WHOLE).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = big.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("cluster", "main")
+    big = materialize(big.join(main, "cluster").withColumn("group", F.col("band") * 2 + (F.col("root") == F.col("main")).cast("int")))
+    big = big.join(_blocks(big.groupBy("cluster", "group").agg(F.count("*").alias("c"))), "cluster")
+    count = lambda g: F.coalesce(F.try_element_at("blocks", g), F.lit(0))
+    i, own, side = F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("group"))).cast("int"), F.col("group"), F.col("group") % 2
+    tile = lambda g, h, x, y: F.xxhash64(F.col("cluster"), g, h, x, y).alias("tile")
+
+    def each(other, f):
+        n = count(other)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), f)).otherwise(F.array().cast(_TILES))
+
+    def with_group(other):
+        less = other < own
+        return each(other, lambda j: F.struct(F.when(less, tile(other, own, j, i)).otherwise(tile(own, other, i, j)).alias("tile"), F.when(less, 1).otherwise(0).alias("side")))
+
+    same = each(own, lambda j: F.struct(tile(own, own, F.least(i, j), F.greatest(i, j)), F.when(i > j, 1).otherwise(0).alias("side")))
+    rest = own - side  # the group of the same band that isn't the greatest component's
+    tiles = [F.when(side == 0, same).otherwise(F.array().cast(_TILES)), with_group(rest + 1 - side)]
+    for step in (-2, 2):
+        tiles.append(with_group(rest + step))
+        tiles.append(F.when(side == 0, with_group(rest + step + 1)).otherwise(F.array().cast(_TILES)))
+    return big.select("node", "first", F.concat(*tiles).alias("tiles"))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """For a join's side: broadcast up to BROADCAST_ROWS rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _first_row():
+    """Which row stands for a set: the one with the least id (null last), then the least text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+
+
+def link_sets(docs: DataFrame, scan: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between different sets, enough of them to connect whatever is linked."""
     spark = docs.sparkSession
-    groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meeting = materialize(_tiles(docs, n, percent, groups).groupBy("bucket").applyInArrow(_meet, "tile bigint, node bigint").distinct())
-    reps = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    pairs = scan.where("bucket is not null").select("bucket", "ids", "keys", "at", "hot").groupBy("bucket").applyInArrow(_meet, "tile bigint, node bigint")
+    meeting = materialize(pairs.union(scan.where("tile is not null").select("tile", "node")).distinct())
+    sizes = meeting.groupBy("tile").agg(F.count("*").alias("c"), F.min("node").alias("least"))
+    great = materialize(sizes.where(F.col("c") > STAR))
 
     def sifted(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy(), kind="stable")
@@ -287,62 +353,91 @@ def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
         pairs = sift(t.column("node").to_numpy()[order], t.column("n_shingles").to_numpy()[order], [maps[i] for i in order], percent)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    drawn = sets.where("node is not null").join(meeting.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    clusters = components(meeting.join(drawn, "node").groupBy("tile").applyInArrow(sifted, "a bigint, b bigint"))
-    members = reps.join(clusters.withColumnRenamed("root", "cluster"), "node")
-    plan = materialize(_plan_tiles(members, percent))
-    if (count := plan.count()) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    if not count:
+    sets = scan.where("n_shingles > 0")
+    drawn = sets.join(meeting.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    edges = meeting.join(great, "tile", "left_anti").join(drawn, "node").groupBy("tile").applyInArrow(sifted, "a bigint, b bigint")
+    edges = edges.union(meeting.join(great, "tile").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    clusters = components(edges).withColumnRenamed("root", "cluster")
+    edges = [x for x in Bands(percent).edges if x < 1 << 31]
+    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col("n_shingles")))
+    reps = sets.groupBy("node").agg(_first_row(), F.first("n_shingles").alias("n_shingles")).join(clusters, "node").withColumn("band", band)
+    total = clusters.groupBy("cluster").agg(F.count("*").alias("total"))
+    members = materialize(reps.join(total, "cluster"))
+
+    def compared(plan: DataFrame) -> DataFrame:
+        plan = _bounded(materialize(plan.select("node", "tiles", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row"))))
+        texts = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("node", "tiles", "text")
+
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo, seen = WordHashes(), set()
+            for b in sliced(batches):
+                sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(2).to_pylist()]
+                memo.trim()
+                own = []
+                for s, h in zip(sets, b.column(0).to_pylist(), strict=True):
+                    own.append(h not in seen and bool(len(s)) and set_hash(s) == h)  # rows may be repeated
+                    if own[-1]:
+                        seen.add(h)
+                keep = pa.array(own, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary())], names=["node", "tiles", "grams"])
+
+        placed = texts.mapInArrow(grams, f"node bigint, tiles {_TILES}, grams binary").select("node", "grams", F.explode("tiles").alias("t")).select("node", "grams", "t.tile", "t.side")
+
+        def compare(t: pa.Table) -> pa.Table:
+            ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
+            grams = t.column("grams")
+            sets = [np.frombuffer(grams[int(i)].as_buffer(), np.uint64) for i in at]
+            links = tile_links(ids, sets, t.column("side").to_numpy()[at], percent)
+            return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+        return placed.groupBy("tile").applyInArrow(compare, "a bigint, b bigint")
+
+    if members.isEmpty():
         return spark.createDataFrame([], "a bigint, b bigint")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(plan, "rep").select("node", "tiles", "text")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in sliced(batches):
-            sets = [ngram_set(memo.of(words_of(t)), n) for t in b.column(2).to_pylist()]
-            memo.trim()
-            own = [bool(len(s)) and set_hash(s) == h for s, h in zip(sets, b.column(0).to_pylist(), strict=True)]  # rows that share an id may differ
-            keep = pa.array(own)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary())], names=["node", "tiles", "grams"])
-
-    placed = texts.mapInArrow(grams, "node bigint, tiles array<struct<tile:bigint,side:int>>, grams binary").select("node", "grams", F.explode("tiles").alias("t")).select("node", "grams", "t.tile", "t.side")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
-        grams = t.column("grams")
-        sets = [np.frombuffer(grams[int(i)].as_buffer(), np.uint64) for i in at]
-        links = tile_links(ids, sets, t.column("side").to_numpy()[at], percent)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return placed.groupBy("tile").applyInArrow(compare, "a bigint, b bigint")
+    links = compared(_first_tiles(members))
+    if members.where(F.col("total") > WHOLE).isEmpty():
+        return links
+    links = materialize(links)
+    rest = materialize(_last_tiles(members, links))
+    return links if rest.isEmpty() else links.union(compared(rest))
+
+
+def _classed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row (a hash of the text), n_shingles and node of every row; and of the nodes of classes with several rows, node and first, the row that stands for the class."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    groups = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scan = materialize(_scanned(docs.select("doc_id", "row", "text"), n, percent, groups))
+    labels = components(link_sets(docs, scan, n, percent))
+    rows = scan.where("n_shingles is not null").select("doc_id", "row", "n_shingles", "node")
+    nodes = rows.where("node is not null").groupBy("node").agg(_first_row(), F.count("*").alias("rows"))
+    classed = materialize(nodes.join(labels, "node", "left").where("rows > 1 or root is not null").select("node", "first", F.coalesce("root", "node").alias("root")))
+    return rows, materialize(classed.join(classed.groupBy("root").agg(F.min("first").alias("of_class")), "root").select("node", F.col("of_class").alias("first")))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(docs, n))
-    labels = components(link_sets(docs, sets, n, percent))
-    least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    classed = materialize(least.join(labels, "node", "left").where("rows > 1 or root is not null").withColumn("root", F.coalesce("root", "node")))
-    of_class = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(classed.join(of_class, "root").select("node", "component_id"))
-    return sets.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose class has a lesser id; of repeated rows one stays. Empty texts and rows without id stay."""
-    classes = materialize(jaccard_classes(docs, n, percent))
-    gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
-    twice = materialize(classes.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-
-    def side(d: DataFrame) -> DataFrame:
-        return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
-
-    left = docs.join(side(gone), "doc_id", "left_anti")
+    rows, named = _classed(docs, n, percent, id_col, text_col)
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: the one with the least id (null last), then the least hash of its text; of repeated rows one stays.
+
+    Rows are told by id and text, so rows that share an id, or have none, are kept or dropped each by itself. Texts without words stay. An empty table gives no rows.
+    """
+    rows, named = _classed(docs, n, percent, id_col, text_col)
+    met = rows.join(named, "node")
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
+    key = [F.col("doc_id").alias("__nj_id"), F.col("row").alias("__nj_row")]
+    gone = materialize(met.where(goes).select(*key).distinct())
+    twice = materialize(met.where(~goes).groupBy(*key).count().where("count > 1").drop("count"))
+    same = lambda side: docs[id_col].eqNullSafe(side["__nj_id"]) & (F.xxhash64(docs[text_col]) == side["__nj_row"])
+    side = _bounded(gone)
+    left = docs.join(side, same(side), "left_anti")
     if not twice.isEmpty():
-        once = left.join(side(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(side(twice), "doc_id", "left_anti").unionByName(once)
+        side = _bounded(twice)
+        once = docs.join(side, same(side), "left_semi").dropDuplicates([id_col, text_col])
+        left = left.join(side, same(side), "left_anti").unionByName(once)
     return left
 
 
