@@ -9,10 +9,13 @@ integer. Both sides are compared with letters lower-cased and runs of other char
 Items are taken in blocks of bounded size, each broadcast to one pass over the documents; documents are
 not shuffled, and no pairs are built.
 
-Rows: null and empty texts hold no leak; items that are null or shorter than `least` characters are not
-searched (they would be found everywhere); repeated documents are each reported, repeated items each
-match; an empty table on either side gives no rows; texts are searched whole, in memory that their own
-length bounds; other columns are not read.
+Items shorter than `least` characters are searched without errors, and as whole words where their script has
+spaces: a place counts unless letters or digits of such a script stand on both sides of one of its edges.
+
+Rows: null and empty texts hold no leak; items without letters or digits, null ones too, are found nowhere;
+repeated documents are each reported, repeated items each match, ids of items are of any type; an empty table on
+either side gives no rows; texts are searched whole, in memory that their own length bounds; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import sliced, table
 
 RATE = 0.1
 LEAST = 20
+#: Scripts before this code point put spaces between words.
+UNSPACED = "\u2e80"
 #: Characters of items that are broadcast at a time.
 BLOCK_CHARS = 4_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -85,9 +91,9 @@ class Item(Pattern):
     stands unchanged, within k of its place; that is looked up before anything is computed.
     """
 
-    def __init__(self, name, text: str, rate: float):
-        super().__init__(text, min(int(len(text) * rate + 1e-9), len(text) - 1))
-        self.name = name
+    def __init__(self, name, text: str, rate: float, whole_words: bool = False):
+        super().__init__(text, 0 if whole_words else min(int(len(text) * rate + 1e-9), len(text) - 1))
+        self.name, self.whole_words = name, whole_words
         self.pieces: list[tuple] = []
         self._share(0, self.m, self.k, None, 0)
 
@@ -107,11 +113,16 @@ class Item(Pattern):
         self._share(mid, end, k - 1 - a, own, start)
 
 
+def _inside(text: str, at: int) -> bool:
+    """Whether text[at] goes on with the word of the character before it."""
+    return 0 < at < len(text) and all(c != " " and c < UNSPACED for c in text[at - 1 : at + 1])
+
+
 class Matcher:
     """All items of a block in one automaton of their pieces."""
 
     def __init__(self, items: list[tuple], rate: float, least: int):
-        self.items = [Item(name, t, rate) for name, text in items if len(t := normal(text)) >= least]
+        self.items = [Item(name, t, rate, len(t) < least) for name, text in items if (t := normal(text))]
         places: dict[str, list[tuple]] = {}
         for n, item in enumerate(self.items):
             for offset, piece, *more in item.pieces:
@@ -127,9 +138,14 @@ class Matcher:
         if not self.automaton or not text:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, int] = {}
         for end, (length, where) in self.automaton.iter(text):
             at = end + 1 - length
             for n, offset, parent_offset, parent, parts in where:
+                if self.items[n].whole_words:
+                    if n not in short and not _inside(text, at) and not _inside(text, end + 1):
+                        short[n] = at
+                    continue
                 if parent is not None:
                     k = parent.k
                     for o, part in parts:
@@ -143,7 +159,7 @@ class Matcher:
                 item = self.items[n]
                 start = at - offset  # where the item would begin without insertions or deletions
                 windows.setdefault(n, []).append((start - item.k, start + item.m + item.k))
-        found = []
+        found = [(self.items[n].name, 0, at, at + self.items[n].m) for n, at in short.items()]
         for n, spans in windows.items():
             item, best = self.items[n], (self.items[n].k + 1, 0)
             spans.sort()
@@ -177,9 +193,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
     """doc_id, item_id, distance, start, end (in the normalised text) for each document and item that it holds."""
     spark, out = docs.sparkSession, None
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id bigint, distance int, start bigint, end bigint"
+    item_type = items.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, item_id {item_type}, distance int, start bigint, end bigint"
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    for block in _blocks(items.select(F.col("item_id").cast("bigint"), "text")):
+    for block in _blocks(items.select("item_id", "text")):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -190,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
                     for hit in matcher.find(normal(t)):
                         rows.append(hit)
                         ids.append(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array([r[0] for r in rows], item_kind), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
 
         one = narrow.mapInArrow(run, schema)
         out = one if out is None else out.union(one)
@@ -198,9 +216,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """docs without those that hold an item, their columns as they are; a pass for each block of items."""
+    """docs without those that hold an item, their columns as they are; rows with null or empty texts stay, without items all do."""
     at = docs.columns.index("text")
-    for block in _blocks(items.select(F.col("item_id").cast("bigint"), "text")):
+    for block in _blocks(items.select("item_id", "text")):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

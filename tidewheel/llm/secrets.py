@@ -4,8 +4,9 @@ Patterns (assignments, access keys, hex digests) give base spans. The method add
 candidate is a run of one character class (hex digits, or base64 letters); a window slides over it, and
 the Shannon entropy of the characters in the window is kept by incremental counts, one character in and
 one out. Windows at or over the class's threshold are merged to spans. An allow-list suppresses what is
-random by nature but no secret: UUIDs, dotted or dashed version strings, letters only, digits only,
-paths, runs of few distinct characters, and whatever lies inside a base span.
+random by nature but no secret: UUIDs, dashed dates and versions, letters only, digits only, names and paths of
+parts that are letters (with a number of up to two digits after them) or short numbers, runs of few distinct
+characters, and whatever lies inside a base span. Parts that mix letters and digits are not let pass.
 
 Rows: null and empty texts have no spans; texts of any length are scanned whole, in linear time; repeated
 rows are each reported; an empty table gives no rows; columns other than the id and the text are not read.
@@ -38,7 +39,7 @@ ALLOW = (
     re.compile(r"[0-9]+"),
     re.compile(r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*[0-9]{0,4}"),
     re.compile(r"[0-9]{1,4}(?:[-/_][0-9]{1,4})+"),
-    re.compile(r"(?:[-_=+/]*[a-z0-9]{1,12}[-_/])+[a-z0-9]{0,12}"),
+    re.compile(r"[-_=+/]*(?:(?:[A-Za-z]{1,24}[0-9]{0,2}|[0-9]{1,4})[-_=+/]+)+(?:[A-Za-z]{1,24}[0-9]{0,2}|[0-9]{1,4})?"),
 )
 _PLOGP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 

@@ -84,16 +84,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     schema = ", ".join(f"`{c}` {kind}" for c, kind in ranged.dtypes) + ", local bigint"
     numbered = materialize(ranged.mapInArrow(_numbered, schema))
     counts = numbered.groupBy("shard", "part").agg(F.max("local").alias("last"))
-    counts.createOrReplaceTempView("tw_shard_counts")
-    before = docs.sparkSession.sql("select shard, part, coalesce(sum(last + 1) over (partition by shard order by part rows between unbounded preceding and 1 preceding), 0) as base from tw_shard_counts")
+    before = docs.sparkSession.sql("select shard, part, coalesce(sum(last + 1) over (partition by shard order by part rows between unbounded preceding and 1 preceding), 0) as base from {counts}", counts=counts)
     out = numbered.join(before, ["shard", "part"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("local") + F.col("base")).cast("bigint").alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4, id_col: str = "doc_id") -> None:
-    """Writes docs as parquet folders shard=0, 1, ...; about `files` files each, dealt by the ids' hash."""
-    placed = docs.withColumn("shard", assign(shard_key(F.col(id_col)), shards))
-    placed.repartition(shards * files, "shard", F.pmod(F.xxhash64(id_col), F.lit(files))).write.partitionBy("shard").parquet(path)
+    """Writes docs as parquet folders shard=0, 1, ...; about `files` files each, dealt by the ids' hash.
+
+    A column of docs named `shard` stays: the folders are named shard_ then (or with more underscores). Rows with a
+    null id go where the empty text goes, repeated rows together; an empty table gives no folder.
+    """
+    name = "shard"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    placed = docs.withColumn(name, assign(shard_key(docs[id_col]), shards))
+    placed.repartition(shards * files, name, F.pmod(F.xxhash64(id_col), F.lit(files))).write.partitionBy(name).parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
