@@ -1,17 +1,21 @@
 """The text operators on small tables: brute force, odd rows, and what each case gives."""
 
 import collections
+import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontamination as dec, hamming_search as ham, language_model as lm, licenses, mixing, ngram_join as nj, secrets, sharding, token_counts as tc, toxicity
+from tidewheel.llm import decontamination as dec, hamming_search as ham, language_model as lm, licenses, mixing, ngram_join as nj, registry, secrets, sharding, token_counts as tc, toxicity
 from tidewheel.llm.common import fold, materialize
 
 P = pytest.importorskip("public_tokenizers")
@@ -739,3 +743,183 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+# registered queries, on the smallest generated tables
+SF = "/root/testdata/sf0.001"
+tables_here = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tables aren't here")
+
+
+@pytest.fixture(scope="module")
+def all_rows(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+@tables_here
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_against_sql(spark, name):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+    import compare
+
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), compare.connect(SF).execute(registry.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) and compare.canonical(got) == compare.canonical(want)
+
+
+@tables_here
+def test_toxicity_query(spark, all_rows):
+    got = registry.QUERIES["op1_toxicity"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in all_rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+
+
+@tables_here
+def test_token_counts_query(spark, all_rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for i, x in all_rows}
+    assert {tuple(r) for r in registry.QUERIES["op2_token_counts"](spark, SF).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()} == want
+
+
+@tables_here
+def test_decontamination_query(spark, all_rows):
+    items = [(r["item_id"], dec.normal(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12]
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in registry.QUERIES["op3_decontamination"](spark, SF).collect()}
+    for (i, t), (j, p) in itertools.product(all_rows[:60], items):
+        best = dec.Pattern(p, 0).best(n := dec.normal(t), 0, len(n))[0]  # over the whole text, without pieces
+        assert got.get((i, j)) == (best if best <= int(len(p) * dec.RATE) else None)
+
+
+@tables_here
+def test_license_query_base(spark, all_rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op5_licenses"](spark, SF).collect()}
+    for i, t in all_rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+        places = [(k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + phrase.count(" ") + 1] == phrase.split()]
+        at = [k for k, _ in places]
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        assert got[i]["base_labels"] == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(got[i]["labels"].split(","))
+
+
+@tables_here
+def test_language_model_query_base(spark, all_rows):
+    tokens = {i: [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [None] for i, t in all_rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(x for i, w in tokens.items() if not held[i] for x in w)
+    n, v = sum(c.values()), len(c)
+    for r in registry.QUERIES["op6_language_model"](spark, SF).collect():
+        w = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(x in c for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-6) and math.isfinite(r["score"])
+
+
+@tables_here
+def test_secrets_query_base(spark, all_rows):
+    def spans(t):
+        out, at = [], 0
+        while at < len(t):  # assignments: a keyword, then by hand what may follow
+            word = next((k for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if t[at : at + len(k)].isascii() and t[at : at + len(k)].lower() == k), None)
+            end = at + len(word or "")
+            if word:
+                end += t[end : end + 1] in ("'", '"') and bool(t[end : end + 1])
+                while t[end : end + 1] == " ":
+                    end += 1
+                if t[end : end + 1] in (":", "=") and t[end : end + 1]:
+                    end += 1
+                    while t[end : end + 1] == " ":
+                        end += 1
+                    end += t[end : end + 1] in ("'", '"') and bool(t[end : end + 1])
+                    start = end
+                    while end < len(t) and (t[end].isascii() and t[end].isalnum() or t[end] in "+/_.=-"):
+                        end += 1
+                    if end > start:
+                        if end - start >= 8:
+                            out.append((at, "assign", end))
+                        at = end
+                        continue
+            at += 1
+        for kind, first, more, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+            at = 0
+            while at < len(t):
+                end = at + len(first)
+                if t.startswith(first, at):
+                    while end < len(t) and t[end] in more:
+                        end += 1
+                    if end > at + len(first):
+                        if end - at >= least:
+                            out.append((at, kind, end))
+                        at = end
+                        continue
+                at += 1
+        return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+    got = {r["doc_id"]: r for r in registry.QUERIES["op8_secrets"](spark, SF).collect()}
+    for i, t in all_rows:
+        want = spans(t or "")
+        said = [f"{k}:{s}:{e}" for s, k, e in want]
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == k for x in want) for k in ("assign", "access", "hex")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(got[i]["spans"].split(",")) | ({""} if not said else set())
+
+
+# pipeline
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(31)
+    bench = [(i, text(rnd, 14)) for i in range(3)]
+    rows, labels = [], []
+    for i in range(420):
+        w = [rnd.choice(WORDS) for _ in range(rnd.randint(15, 60))]
+        if i % 6 == 0:
+            for _ in range(3):
+                w.insert(rnd.randrange(len(w)), rnd.choice(["grolk", "snarb", "vuzz"]))
+        if i % 25 == 3:
+            w[5:5] = bench[i % 3][1].split()
+        rows.append((i, " ".join(w), "en", "abc"[i % 3], len(w)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    rows += [(1000 + i, rows[i][1] + (" end" if i % 2 else ""), "en", "d", 1) for i in range(1, 60, 4)]
+    rows += [(1, "another text of its own under an id that is there already", "en", "a", 1), (None, "no id here but words enough to be kept", None, None, None), (2000, None, "en", "a", None), (2001, "", "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    first = all_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    left = materialize(cp.STAGES[0][1](spark, all_docs, str(tmp_path)))
+    model, weights = toxicity.learn(all_docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scored = all_docs.select("text").distinct().select(F.struct("text").alias("doc_id"), "text")
+    toxic = {r["doc_id"]["text"] for r in toxicity.score(scored, model, weights).collect() if r["score"] >= 0.5}
+    assert said(left) == collections.Counter((r[0], r[1]) for r in rows if r[1] not in toxic)
+    assert sum(any(b in (t or "").split() for b in ("grolk", "snarb", "vuzz")) for _, t in said(left)) <= 2
+
+    one = materialize(cp.STAGES[1][1](spark, left, str(tmp_path)))
+    before = [(r["doc_id"], r["text"]) for r in left.collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in before]
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    groups = list(range(len(before)))
+    for i, j in itertools.combinations(range(len(before)), 2):
+        if alike(sets[i], sets[j]) and groups[i] != groups[j]:
+            a, b = groups[i], groups[j]
+            groups = [a if g == b else g for g in groups]
+    want = collections.Counter()
+    for g in set(groups):
+        own = [before[i] for i in range(len(before)) if groups[i] == g]
+        want[min(own, key=lambda r: (r[0] is None, r[0] or 0))[0]] += 1
+    assert collections.Counter(i for i, _ in said(one).elements()) == want
+
+    clean = materialize(cp.STAGES[2][1](spark, one, str(tmp_path)))
+    leak = lambda t: any(_distance(dec.normal(p), dec.normal(t)) <= len(dec.normal(p)) // 10 for _, p in bench)
+    assert said(clean) == collections.Counter({k: n for k, n in said(one).items() if not (k[1] and leak(k[1]))})
+
+    mixed = materialize(cp.STAGES[3][1](spark, clean, str(tmp_path)))
+    copies = {(r["row"]["doc_id"], r["row"]["text"]): r["copies"] for r in mixing.take(clean, mixing.plan_mix(clean)).collect()}
+    assert said(mixed) == collections.Counter({k: n * copies[k] for k, n in said(clean).items() if copies[k]})
+    assert all(x.columns == first.columns for x in (left, one, clean, mixed))
+
+    placed = cp.STAGES[4][1](spark, mixed, str(tmp_path)).collect()
+    key = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    assert collections.Counter((r["doc_id"], r["shard"]) for r in placed) == collections.Counter((i, _jump(key(i), 40)) for i, _ in said(mixed).elements())
+    assert collections.Counter(tuple(r) for r in cp.run(spark, str(tmp_path)).collect()) == collections.Counter(tuple(r) for r in placed)
