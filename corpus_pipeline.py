@@ -14,22 +14,27 @@ from tidewheel.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score 0.5 or more. Rows without text stay, repeated rows share their fate; without labels of both classes all stay or go by the labels' toxic share."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (five words, 80 %): the least id, null last. Texts without words stay; rows that share an id, or have none, are told by their texts."""
     return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark item. Rows without text stay; without items all stay."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' targets say, nought to twice. Equal rows are taken together; rows without text may be taken, null sources are one source."""
     return mixing.mix(docs)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row with shard and slot for each document; rows of one id share a shard, each with a slot of its own."""
     return sharding.shard_documents(docs)
 
 
@@ -41,7 +46,7 @@ STAGES = [
     ("sharding", place_in_shards),
 ]
 
-#: The toxicity models can't be expressed in SQL; tests hold the stages against brute force.
+#: The toxicity models can't be expressed in SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
