@@ -172,14 +172,14 @@ def _spread(raw: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
 
 
 def _pack(words: np.ndarray, contexts: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Entries sorted by word: the distinct words, contexts a word, contexts."""
+    """Entries sorted by word: steps from one distinct word to the next, contexts a word, contexts."""
     new = _firsts(words)
-    return int(new.sum()), (words[new], np.diff(np.concatenate((np.flatnonzero(new), [len(words)]))).astype(np.uint32), contexts)
+    return int(new.sum()), (np.diff(words[new], prepend=np.uint64(0)), np.diff(np.concatenate((np.flatnonzero(new), [len(words)]))).astype(np.uint32), contexts)
 
 
 def _unpack(raw: bytes, words: int, entries: int, *more: tuple[type, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     w, per, context, *rest = _spread(raw, (np.uint64, words), (np.uint32, words), (np.uint64, entries), *more)
-    return np.repeat(w, per), context, rest
+    return np.repeat(np.cumsum(w), per), context, rest
 
 
 def _distinct(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -408,7 +408,7 @@ def _row(bucket: int, at: Seating, kept: list[bytes]) -> pa.Table:
 
 def _restored(r: dict, *more: tuple[type, int]) -> tuple[Seating, list[np.ndarray]]:
     w, per, known, of, counts, *rest = _spread(r["data"], (np.uint64, r["words"]), (np.uint32, r["words"]), (np.uint64, r["contexts"]), (np.uint32, r["entries"]), (np.uint32, r["entries"]), *more)
-    return Seating(np.repeat(w, per), known, of, counts), rest
+    return Seating(np.repeat(np.cumsum(w), per), known, of, counts), rest
 
 
 def _seating(r: dict) -> Seating:
@@ -570,7 +570,7 @@ def predictive(of_word: list, of_pair: list, of_entry: list, of_context: list, c
 
 
 def _asks(batches: DataFrame, parts: int, context_parts: int, splits: dict[int, int], id_type: str) -> DataFrame:
-    """What the batches ask the word and the context buckets, and the batches."""
+    """What the batches ask the word and the context buckets."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow:
@@ -584,19 +584,16 @@ def _asks(batches: DataFrame, parts: int, context_parts: int, splits: dict[int,
                 to = _buckets(known, context_parts)
                 order = np.argsort(to, kind="stable")
                 out += [(_CONTEXTS, k, 0, batch, 0, e - s, _squeeze(known[order[s:e]])) for k, s, e in _slices(to[order], context_parts)]
-                out.append((_BATCH, spot % parts, 0, batch, r["words"], r["entries"], r["data"]))
-                yield _rows(out, ids.values, ids.values.type)
+                yield _rows(out, None, ids.values.type)
 
     return batches.mapInArrow(run, _schema(id_type))
 
 
 def _answered(samples: int, id_type: str):
-    """What a bucket answers: its model's or its contexts' rows meet the asking ones. Rows of batches go on as they are."""
+    """What a bucket answers: its model's or its contexts' rows meet the asking ones."""
 
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
-        if kind == _BATCH:
-            return t
         rows, out = t.drop_columns(["ids"]).to_pylist(), []
         own = [r for r in rows if r["batch"] < 0]
         asking = [r for r in rows if r["batch"] >= 0]
@@ -661,7 +658,7 @@ def score_batches(batches: DataFrame, model: DataFrame, totals: dict) -> DataFra
     rows = _asks(batches, parts, totals["context_parts"], splits, id_type).union(known).union(_told(totals["contexts"], _CONTEXTS, id_type, batch=-1 - F.col("sample")))
     run, schema = _answered(len(sums), id_type)
     answered = rows.groupBy("kind", "bucket", "split").applyInArrow(run, schema)
-    out = answered.groupBy("batch").applyInArrow(_scored(parts, totals["context_parts"], sums), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = answered.unionByName(batches).groupBy("batch").applyInArrow(_scored(parts, totals["context_parts"], sums), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(sums[0, -1])).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
