@@ -10,7 +10,8 @@ from tidewheel import operators  # noqa: F401
 from tidewheel.functions.duration import dur, hours, secs
 from tidewheel.operators.composites import GainOffset
 from tidewheel.operators.windows import Welford
-from tidewheel.plans import Count, Flow, Session, Time
+from tidewheel.plans import Count, Flow, Session, Time, over
+from tidewheel.plans.pattern import Pattern, match_pattern
 
 
 def flow(spark, values, ts=None, unique=False, **more):
@@ -33,10 +34,11 @@ def test_mean_from_the_first_row(spark):
 
 @pytest.mark.parametrize("unique", [True, False])
 def test_time_window_includes_both_ends(spark, unique):
-    f = flow(spark, [150.0, 2800, 151, 2810, 149, 2795], unique=unique)
-    x = out(f, x=f.prop("v").sma("10s"), y=f.prop("v").sum("1s"))
-    assert x["x"][0] == 150 and x["x"][-1] == pytest.approx(1475.8333333)
-    assert x["y"] == [150, 2950, 2951, 2961, 2959, 2944]
+    v = [3.0, 8.0, -1.0, 4.5, 9.0, 2.25, 7.0]
+    f = flow(spark, v, unique=unique)
+    x = out(f, x=f.prop("v").sma("3s"), y=f.prop("v").sum("1s"))
+    for i in range(len(v)):
+        assert x["x"][i] == pytest.approx(np.mean(v[max(0, i - 3) : i + 1])) and x["y"][i] == sum(v[max(0, i - 1) : i + 1])
 
 
 def test_ties_see_only_what_came_before(spark):
@@ -173,3 +175,51 @@ def test_snapshots_belong_to_their_graph(spark):
     assert sorted(map(tuple, later.collect())) == sorted(map(tuple, whole.filter("i >= 3").collect())) and again.collect() == end.collect()
     with pytest.raises(Exception, match="another graph"):
         run_resumable(df, "k", "ts", "i", "v", lambda: Ema(2), "b", states)[0].collect()
+
+
+def test_time_windows_over_ties_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    n, length = 80, 5000
+    ts = np.sort(rng.integers(0, 30, n) * 1000).tolist()
+    v, y = rng.normal(size=n).round(3).tolist(), rng.normal(size=n).round(3).tolist()
+    f = flow(spark, v, ts=ts, y=y)
+    x, z = f.prop("v"), f.prop("y")
+    w = over(length)
+    got = out(f, sma=x.sma(w), sum=x.sum(w), count=x.count(w), min=x.min(w), max=x.max(w), var=x.variance(w), q=x.quantile(w, 0.3), skew=x.skewness(w), kurt=x.kurtosis(w), cov=x.covariance(z, w), corr=x.correlation(z, w), rank=x.rank(w), lag=x.lag(length), none=x.sum(over(0)), acc=x.acceleration())
+    velocity = ts0 = v0 = None
+    for i in range(n):
+        held = [j for j in range(i + 1) if ts[j] >= ts[i] - length]
+        a, b = np.array([v[j] for j in held]), np.array([y[j] for j in held])
+        m = a - a.mean()
+        want = {"sma": a.mean(), "sum": a.sum(), "count": len(a), "min": a.min(), "max": a.max(), "var": a.var() if len(a) > 1 else None, "q": np.quantile(a, 0.3), "cov": ((a - a.mean()) * (b - b.mean())).mean() if len(a) > 1 else None, "rank": (a < a[-1]).sum() / max(len(a) - 1, 1), "none": sum(v[j] for j in held if ts[j] == ts[i])}
+        if len(a) > 3:
+            want |= {"skew": (m**3).mean() / a.std() ** 3, "kurt": (m**4).mean() / a.var() ** 2 - 3, "corr": np.corrcoef(a, b)[0, 1]}
+        older = [j for j in range(n) if ts[j] <= ts[i] - length]
+        want["lag"] = v[older[-1]] if older else None
+        want["acc"] = None
+        if ts0 is not None and ts[i] > ts0:
+            now = (v[i] - v0) / (ts[i] - ts0) * 1000
+            want["acc"] = None if velocity is None else (now - velocity) / (ts[i] - ts0) * 1000
+            velocity = now
+        ts0, v0 = ts[i], v[i]
+        for name, value in want.items():
+            assert got[name][i] is None if value is None else got[name][i] == pytest.approx(value, abs=1e-9), (name, i)
+
+
+def test_long_sums_hold_nothing_from_outside(spark):
+    n = operators.windows.LONG
+    v = [1e17] + [0.1 * (i % 7) for i in range(3 * n)]
+    f = flow(spark, v)
+    x = out(f, s=f.prop("v", required=True).sum(n), m=f.prop("v", required=True).sma(n))
+    for i in range(n, len(v), 37):
+        assert x["s"][i] == pytest.approx(math.fsum(v[i - n + 1 : i + 1]), rel=1e-12) and x["m"][i] == pytest.approx(math.fsum(v[i - n + 1 : i + 1]) / n, rel=1e-12)
+
+
+def test_open_matches_are_not_dropped(spark):
+    rows = [(1, i, i, "a" if i < 2000 else "b") for i in range(2001)]
+    d = spark.createDataFrame(rows, "k int, ts bigint, i bigint, kind string")
+    p = Pattern("p").when("kind == 'a'").then("kind == 'b'")
+    for shapes in (True, False):
+        assert match_pattern(d, p, "k", "ts", "i", "i", shapes).count() == 2000
+    capped = match_pattern(d, p, "k", "ts", "i", "i", max_in_flight=100).groupBy("dropped").count().collect()
+    assert {r["dropped"]: r["count"] for r in capped} == {None: 100, "MaxInFlight": 1900}

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import operators  # noqa: F401  attaches the operators to Series
+from ..operators.combinators import keyed_window_join
 from ..plans import Count, Flow, Time
 
 #: Names and how their configuration is read.
@@ -66,5 +67,5 @@ def window_join_keyed(left: DataFrame, right: DataFrame, key: str, ts: str, wind
     l2 = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns])
     r2 = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
     k = lambda side: F.coalesce(F.col(f"{side}_{key}").cast("string"), F.lit(""))
-    delta = F.col(f"right_{ts}") - F.col(f"left_{ts}")
-    return l2.join(r2, (k("left") == k("right")) & (delta >= 0) & (delta <= window)).withColumn("deltaMs", delta)
+    met = keyed_window_join(l2, r2, k("left"), k("right"), F.col(f"left_{ts}"), F.col(f"right_{ts}"), window)
+    return met.withColumn("deltaMs", F.col(f"right_{ts}") - F.col(f"left_{ts}"))

@@ -35,8 +35,16 @@ def window_join(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, r
 
 
 def keyed_window_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, left_ts: Column, right_ts: Column, window: int) -> DataFrame:
-    """Pairs of equal key with the right row's time in [left, left + window]."""
-    return left.join(right, (left_key == right_key) & (right_ts >= left_ts) & (right_ts <= left_ts + window))
+    """Pairs of equal key with the right row's time in [left, left + window].
+
+    Rows meet by key and a bucket of time as wide as the window, so a hot key is many tasks' work; a right row goes to
+    its own bucket and the one before.
+    """
+    bucket = lambda c: F.floor(c / F.lit(max(1, window))).cast("bigint")
+    near = left.withColumn("__left_bucket", bucket(left_ts))
+    far = right.withColumn("__right_bucket", F.explode(F.array(bucket(right_ts), bucket(right_ts) - 1)))
+    met = near.join(far, (left_key == right_key) & (F.col("__left_bucket") == F.col("__right_bucket")) & (right_ts >= left_ts) & (right_ts <= left_ts + window))
+    return met.drop("__left_bucket", "__right_bucket")
 
 
 class _Dedupe(Emitter):

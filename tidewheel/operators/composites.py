@@ -59,7 +59,7 @@ def baseline_corrector(x: Series, n: int, p: float) -> Series:
     """x less the percentile at the floor of p·(n-1), not interpolated."""
     if n < 1 or not 0.0 <= p <= 1.0:
         raise ValueError("baseline_corrector: n >= 1 and 0 <= p <= 1")
-    return _frame(x, n, lambda o, v: v - F.get(F.sort_array(o(F.collect_list(v))), F.floor((o(F.count(v)) - 1) * F.lit(float(p))).cast("int")), None)
+    return _frame(x, n, lambda o, v: v - F.get(F.sort_array(o.list(v)), F.floor((o.count(v) - 1) * F.lit(float(p))).cast("int")))
 
 
 _EPS = 2.220446049250313e-16
@@ -71,10 +71,10 @@ def range_normalizer(x: Series, n: int) -> Series:
         raise ValueError("range_normalizer: n >= 1")
 
     def f(o, v):
-        low, high = o(F.min(A.no_nan(v))), o(F.max(A.no_nan(v)))
+        low, high = o.min(A.no_nan(v)), o.max(A.no_nan(v))
         return F.when(high - low < _EPS, 0.5).otherwise(F.try_divide(v - low, high - low))
 
-    return _frame(x, n, f, None)
+    return _frame(x, n, f)
 
 
 def zscore_normalizer(x: Series, n: int) -> Series:
@@ -83,26 +83,26 @@ def zscore_normalizer(x: Series, n: int) -> Series:
         raise ValueError("zscore_normalizer: n >= 2")
 
     def f(o, v):
-        s = o(F.stddev_pop(v))
-        return F.when(s < _EPS, 0.0).otherwise(F.try_divide(v - o(F.avg(v)), s))
+        s = F.sqrt(o.var(v))
+        return F.when(s < _EPS, 0.0).otherwise(F.try_divide(v - o.avg(v), s))
 
-    return _frame(x, n, f, None)
+    return _frame(x, n, f)
 
 
 def linreg(x: Series, y: Series, n: int) -> tuple[Series, Series, Series]:
     """slope, intercept and r² of y on x over the last n pairs; a constant x gives (0, mean y), a constant y r² = 1."""
     if n < 2:
         raise ValueError("linreg: n >= 2")
-    some = lambda o, a: o(F.count(a)) >= 2
-    slope = lambda o, a, b: F.when(o(F.var_pop(a)) < _EPS, 0.0).otherwise(F.try_divide(o(F.covar_pop(a, b)), o(F.var_pop(a))))
-    s = _frame(x, sliding(n), lambda o, a, b: F.when(some(o, a), slope(o, a, b)), None, y)
-    i = _frame(x, sliding(n), lambda o, a, b: F.when(some(o, a), o(F.avg(b)) - slope(o, a, b) * o(F.avg(a))), None, y)
+    some = lambda o, a: o.count(a) >= 2
+    slope = lambda o, a, b: F.when(o.var(a) < _EPS, 0.0).otherwise(F.try_divide(o.cov(a, b), o.var(a)))
+    s = _frame(x, sliding(n), lambda o, a, b: F.when(some(o, a), slope(o, a, b)), y)
+    i = _frame(x, sliding(n), lambda o, a, b: F.when(some(o, a), o.avg(b) - slope(o, a, b) * o.avg(a)), y)
 
     def fit(o, a, b):
-        explained = F.when(o(F.var_pop(a)) < _EPS, 0.0).otherwise(F.try_divide(o(F.covar_pop(a, b)) * o(F.covar_pop(a, b)), o(F.var_pop(a)) * o(F.var_pop(b))))
-        return F.when(some(o, a), F.when(o(F.var_pop(b)) < _EPS, 1.0).otherwise(explained))
+        explained = F.when(o.var(a) < _EPS, 0.0).otherwise(F.try_divide(o.cov(a, b) * o.cov(a, b), o.var(a) * o.var(b)))
+        return F.when(some(o, a), F.when(o.var(b) < _EPS, 1.0).otherwise(explained))
 
-    return s, i, _frame(x, sliding(n), fit, None, y)
+    return s, i, _frame(x, sliding(n), fit, y)
 
 
 class GainOffset:

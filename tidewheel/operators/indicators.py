@@ -230,12 +230,12 @@ def williams_r_ohlc_n(close: Series, high: Series, low: Series, n: int) -> Serie
 
 def cci_n(x: Series, n: int) -> Series:
     def f(o, v):
-        held = o(F.collect_list(v))
+        held = o.list(v)
         mean = F.aggregate(held, F.lit(0.0), lambda a, y: a + y) / n
         dev = F.aggregate(held, F.lit(0.0), lambda a, y: a + F.abs(y - mean)) / n
         return F.when(F.size(held) == n, F.when(dev == 0, 0.0).otherwise(F.try_divide(v - mean, 0.015 * dev)))
 
-    return _frame(x, n, f, None)
+    return _frame(x, n, f)
 
 
 def true_range(close: Series, high: Series, low: Series) -> Series:
@@ -256,11 +256,11 @@ def trima(x: Series, n: int) -> Series:
     weights = [float(min(i + 1, n - i)) for i in range(n)]
 
     def f(o, v):
-        held = o(F.collect_list(v))
+        held = o.list(v)
         total = F.aggregate(F.zip_with(held, F.array(*map(F.lit, weights)), lambda a, w: a * w), F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0)))
         return F.when(F.size(held) == n, total / math.fsum(weights))
 
-    return _frame(x, n, f, None)
+    return _frame(x, n, f)
 
 
 def dema_n(x: Series, n: int) -> Series:
@@ -298,11 +298,11 @@ def mfi_n(tp: Series, volume: Series, n: int) -> Series:
     up, down = (change.expr(lambda d, f, s=s: F.when(d * s > 0, f).otherwise(0.0), flow) for s in (1, -1))
 
     def f(o, a, b):
-        pos, neg = o(F.sum(a)), o(F.sum(b))
+        pos, neg = o.sum(a), o.sum(b)
         out = F.when(neg == 0, F.when(pos == 0, 50.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(pos, neg)))
-        return F.when(o(F.count(a)) >= n, out)
+        return F.when(o.count(a) >= n, out)
 
-    return _frame(up, n, f, None, down)
+    return _frame(up, n, f, down)
 
 
 def adx_n(close: Series, high: Series, low: Series, n: int) -> Series:
@@ -331,11 +331,11 @@ def linearreg_slope_n(x: Series, n: int) -> Series:
     spread = n * (n * n - 1) / 12.0
 
     def f(o, v):
-        held = o(F.collect_list(v))
+        held = o.list(v)
         total = F.aggregate(F.transform(held, lambda y, i: y * (i - middle)), F.lit(0.0), lambda a, y: a + y)
         return F.when(F.size(held) == n, total / spread if spread else F.lit(0.0))
 
-    return _frame(x, n, f, None)
+    return _frame(x, n, f)
 
 
 def ppo_n(x: Series, fast: int, slow: int) -> Series:

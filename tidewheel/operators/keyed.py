@@ -21,10 +21,20 @@ MAX_LATENESS = 24 * 3_600_000
 
 
 class StreamError(Exception):
-    """A permanent error of a stream's records or configuration."""
+    """An error of a stream; permanent unless its kind says otherwise."""
 
     kind = "Permanent"
 
+    @property
+    def retriable(self) -> bool:
+        return self.kind == "Retriable"
+
+
+class Unavailable(StreamError):
+    """A store or broker that may answer later: the same call may be tried again."""
+
+    kind = "Retriable"
+
 
 class InvalidInput(StreamError):
     """A record that breaks the order or a bound."""
@@ -115,7 +125,7 @@ class ReorderBuffer:
         self.arrivals = 0
         self.clock = None
 
-    def _drain(self, until: int) -> list[tuple[int, object]]:
+    def drain(self, until: int) -> list[tuple[int, object]]:
         out = []
         while self.heap and self.heap[0][0] <= until:
             ts, _, e = heapq.heappop(self.heap)
@@ -130,13 +140,13 @@ class ReorderBuffer:
         heapq.heappush(self.heap, (ts, self.arrivals, e))
         self.arrivals += 1
         self.newest = ts if self.newest is None else max(self.newest, ts)
-        return self._drain(self.newest - self.lateness)
+        return self.drain(self.newest - self.lateness)
 
     def advance_watermark(self, ts: int) -> list[tuple[int, object]]:
         if self.clock is not None and ts < self.clock:
             raise NonMonotonicWatermark(f"{ts} is before {self.clock}")
         self.clock = ts
-        return self._drain(ts)
+        return self.drain(ts)
 
     def next_release_ts(self) -> int | None:
         return self.heap[0][0] + self.lateness if self.heap else None
@@ -146,7 +156,7 @@ class ReorderBuffer:
         return out
 
     def flush(self) -> list[tuple[int, object]]:
-        return self._drain(math.inf)
+        return self.drain(math.inf)
 
 
 class _Reorder(Emitter):
@@ -308,6 +318,20 @@ def tried(value: Column, check: Column, message: str) -> Column:
     return F.struct(F.when(check, value).alias("value"), F.when(~F.coalesce(check, F.lit(False)), F.lit(message)).alias("error"))
 
 
+def attempt(make: Callable[[], object], tries: int = 1, wait: Callable[[int], None] = lambda n: None) -> tuple[object, Exception | None]:
+    """(result, None), or (None, error): what a constructor or call gives, without raising. Retriable errors are tried again."""
+    for n in range(1, max(1, tries) + 1):
+        try:
+            return make(), None
+        except StreamError as e:
+            if not e.retriable or n >= tries:
+                return None, e
+            wait(n)
+        except (ValueError, TypeError) as e:
+            return None, e
+    return None, None
+
+
 def require_finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window, functions as F
 
 from ..functions import absent as A
 from ..functions.duration import dur
-from ..plans.series import Kernel, Series
+from ..plans.series import Series
 
 
 def _before(env, x: Series, c: Column, n: int = 1) -> Column:
@@ -39,30 +39,18 @@ def prev_by(x: Series, *subkeys: str) -> Series:
     return x.window(build)
 
 
-class Lagged(Kernel):
-    """The newest value at or before ts - d, by arrival."""
-
-    def __init__(self, d: int):
-        from collections import deque
-
-        self.d, self.held, self.value = d, deque(), None
-
-    def step(self, ts, v):
-        self.held.append((ts, v))
-        while self.held and self.held[0][0] <= ts - self.d:
-            self.value = self.held.popleft()[1]
-        return (None, A.WARMING_UP) if self.value is None else (self.value, None)
-
-
 def lag(x: Series, duration) -> Series:
     """The latest value with a timestamp at or before ts - duration."""
     d = dur(duration)
-    if not x.flow.env.unique_ts:
-        return x.kernel(lambda: Lagged(d))
+    if d == 0:
+        return x
 
     def build(env, v):
         at = Window.partitionBy(*env.keys).orderBy("__tw_ts").rangeBetween(Window.unboundedPreceding, -d)
-        return F.last(v, ignorenulls=True).over(at)
+        if env.unique_ts:
+            return F.last(v, ignorenulls=True).over(at)
+        held = F.struct(env.ts.alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(env.order)], v.alias("v"))
+        return F.max(F.when(v.isNotNull(), held)).over(at)["v"]  # the last of ties
 
     return x.window(build)
 
@@ -97,25 +85,15 @@ def rate(x: Series, duration=0) -> Series:
 velocity = rate
 
 
-class Acceleration(Kernel):
-    """Change of velocity per second; the time of the last record always advances, the velocity only where it is defined."""
-
-    def __init__(self):
-        self.ts = self.value = self.velocity = None
-
-    def step(self, ts, v):
-        ts0, v0, self.ts, self.value = self.ts, self.value, ts, v
-        if ts0 is None:
-            return None, A.WARMING_UP
-        if ts <= ts0:
-            return None, A.ZERO_TIME_DELTA
-        now = (v - v0) / (ts - ts0) * 1000.0
-        before, self.velocity = self.velocity, now
-        return (None, A.WARMING_UP) if before is None else ((now - before) / (ts - ts0) * 1000.0, None)
+def acceleration(x: Series, duration=0) -> Series:
+    """Change of velocity per second since the last velocity that was defined; the duration is not used."""
+    r = rate(x)
 
+    def build(env, r, v):
+        before, dt = F.last(r[0], ignorenulls=True).over(env.before()), env.ts - _time_before(env, x, v[0])
+        return F.when(r[0].isNotNull(), F.try_divide(r[0] - before, dt.cast("double")) * 1000.0), F.when(r[0].isNull(), r[1]).otherwise(A.WARMING_UP)
 
-def acceleration(x: Series, duration=0) -> Series:
-    return x.kernel(Acceleration)
+    return Series(x.flow, "window", [r, x], build, True)
 
 
 def _running(x: Series, f) -> Series:

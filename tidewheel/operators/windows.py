@@ -1,7 +1,8 @@
 """Sliding-window aggregates over Count(n) or Time(length).
 
 Count windows hold the last n present values: over a series without absent rows that is a ROWS frame, else a
-RANGE frame over the number of present values. Time windows include both ends. Results come from the first row
+RANGE frame over the number of present values. Time windows include both ends; where timestamps may be equal, a
+row sees only the ties that came before it. Results come from the first row
 on, with the least counts of each statistic; what isn't finite is absent (WarmingUp).
 """
 
@@ -12,43 +13,132 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from ..functions import absent as A
 from ..plans.series import Kernel, Series
 from ..plans.windows import Count, Time, sliding
 
 
-class Sliding(Kernel):
-    """A time window by a deque, for keys whose timestamps may be equal: a row sees only ties that came before."""
+class Frame:
+    """Aggregates over one window frame."""
 
-    def __init__(self, length: int, f: Callable):
-        self.length, self.f, self.held = length, f, deque()
+    def __init__(self, at):
+        self.at = at
 
-    def step(self, ts, *values):
-        self.held.append((ts, *values))
-        while self.held[0][0] < ts - self.length:
-            self.held.popleft()
-        out = self.f(self.held)
-        return (None, A.WARMING_UP) if out is None or not math.isfinite(out) else (float(out), None)
+    def sum(self, v: Column) -> Column:
+        return F.sum(v).over(self.at)
 
+    def count(self, v: Column) -> Column:
+        return F.count(v).over(self.at)
 
-def _frame(x: Series, window, f: Callable[..., Column], g: Callable, *others: Series) -> Series:
-    """f(over, *values): the statistic as a Column, over(c) putting an aggregate on the frame; g: of a Sliding's rows."""
+    def avg(self, v: Column) -> Column:
+        return F.avg(v).over(self.at)
+
+    def min(self, v: Column) -> Column:
+        return F.min(v).over(self.at)
+
+    def max(self, v: Column) -> Column:
+        return F.max(v).over(self.at)
+
+    def var(self, v: Column) -> Column:
+        return F.var_pop(v).over(self.at)
+
+    def cov(self, a: Column, b: Column) -> Column:
+        return F.covar_pop(a, b).over(self.at)
+
+    def corr(self, a: Column, b: Column) -> Column:
+        return F.corr(a, b).over(self.at)
+
+    def skewness(self, v: Column) -> Column:
+        return F.skewness(v).over(self.at)
+
+    def kurtosis(self, v: Column) -> Column:
+        return F.kurtosis(v).over(self.at)
+
+    def quantile(self, v: Column, q: float) -> Column:
+        return F.percentile(v, F.lit(q)).over(self.at)
+
+    def list(self, v: Column) -> Column:
+        return F.collect_list(v).over(self.at)
+
+
+class TwoFrames(Frame):
+    """A time window over a key whose timestamps may be equal: all earlier times, and of the ties those that came before.
+
+    Both parts are frames of the JVM; their aggregates are merged, without taking anything away again.
+    """
+
+    def __init__(self, older: Frame, ties: Frame):
+        self.parts = (older, ties)
+
+    def sum(self, v: Column) -> Column:
+        a, b = (p.sum(v) for p in self.parts)
+        return F.coalesce(a + b, a, b)
+
+    def count(self, v: Column) -> Column:
+        a, b = (p.count(v) for p in self.parts)
+        return a + b
+
+    def avg(self, v: Column) -> Column:
+        return F.try_divide(self.sum(v), self.count(v))
+
+    def min(self, v: Column) -> Column:
+        return F.least(*(p.min(v) for p in self.parts))
+
+    def max(self, v: Column) -> Column:
+        return F.greatest(*(p.max(v) for p in self.parts))
+
+    def _merged(self, a: Column, b: Column, of) -> Column:
+        """Co-moments of both parts, and what their means' distance adds."""
+        (n, m), (x, y) = [p.count(a) for p in self.parts], [of(p) for p in self.parts]
+        apart = [self.parts[0].avg(c) - self.parts[1].avg(c) for c in (a, b)]
+        total = F.coalesce(n * x, F.lit(0.0)) + F.coalesce(m * y, F.lit(0.0)) + F.coalesce(apart[0] * apart[1] * F.try_divide((n * m).cast("double"), (n + m).cast("double")), F.lit(0.0))
+        return F.try_divide(total, (n + m).cast("double"))
+
+    def var(self, v: Column) -> Column:
+        return self._merged(v, v, lambda p: p.var(v))
+
+    def cov(self, a: Column, b: Column) -> Column:
+        return self._merged(a, b, lambda p: p.cov(a, b))
+
+    def corr(self, a: Column, b: Column) -> Column:
+        return F.try_divide(self.cov(a, b), F.sqrt(self.var(a) * self.var(b)))
+
+    def list(self, v: Column) -> Column:
+        return F.concat(*(p.list(v) for p in self.parts))
+
+    def _moment(self, v: Column, k: int) -> Column:
+        mean, held = self.avg(v), self.list(v)
+        return F.try_divide(F.aggregate(held, F.lit(0.0), lambda acc, x: acc + F.pow(x - mean, F.lit(k))), F.size(held).cast("double"))
+
+    def skewness(self, v: Column) -> Column:
+        return F.try_divide(self._moment(v, 3), F.pow(self._moment(v, 2), F.lit(1.5)))
+
+    def kurtosis(self, v: Column) -> Column:
+        return F.try_divide(self._moment(v, 4), F.pow(self._moment(v, 2), F.lit(2))) - 3.0
+
+    def quantile(self, v: Column, q: float) -> Column:
+        held = F.sort_array(self.list(v))
+        at = (F.size(held) - 1) * F.lit(q)
+        low = F.get(held, F.floor(at).cast("int"))
+        return low + (F.get(held, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+
+def _frame(x: Series, window, f: Callable[..., Column], *others: Series) -> Series:
+    """f(frame, *values): the statistic as a Column of a frame's aggregates."""
     w = sliding(window)
     bound = max_reach(x, *others) + w.length if isinstance(w, Time) else math.inf
-    if isinstance(w, Time) and not x.flow.env.unique_ts:
-        out = x.kernel(lambda: Sliding(w.length, g), *others)
-        out.reach = bound
-        return out
-    if isinstance(w, Time):
-        frame = lambda env, seq: env.back(w.length)
-        extra: list[Series] = []
+    extra: list[Series] = []
+    if isinstance(w, Time) and x.flow.env.unique_ts:
+        frame = lambda env, seq: Frame(env.back(w.length))
+    elif isinstance(w, Time):
+        frame = lambda env, seq: TwoFrames(Frame(env.back(w.length, -1)), Frame(env.ties())) if w.length > 0 else Frame(env.ties())
     elif any(s.nullable for s in (x, *others)):
         both = x if not others else x.expr(lambda a, *b: a, *others)
-        frame, extra = (lambda env, seq: env.by(seq).rangeBetween(-(w.n - 1), 0)), [both.present()]
+        frame, extra = (lambda env, seq: Frame(env.by(seq).rangeBetween(-(w.n - 1), 0))), [both.present()]
     else:
-        frame, extra = (lambda env, seq: env.rows.rowsBetween(-(w.n - 1), 0)), []
+        frame = lambda env, seq: Frame(env.rows.rowsBetween(-(w.n - 1), 0))
 
     def build(env, *v):
         at = frame(env, v[-1] if extra else None)
@@ -58,7 +148,7 @@ def _frame(x: Series, window, f: Callable[..., Column], g: Callable, *others: Se
             for c in values[1:]:
                 whole = whole & c.isNotNull()
             values = tuple(F.when(whole, c) for c in values)
-        out = f(lambda c: c.over(at), *values)
+        out = f(at, *values)
         return F.when(A.is_finite(out), out)
 
     out = x.window(build, *others, *extra)
@@ -70,75 +160,73 @@ def max_reach(*series: Series) -> float:
     return builtin_max(*[s.reach for s in series], 0.0)
 
 
-#: From this many rows on, sums and means come from differences of running sums: constant time a row, not the frame's length.
+#: From this many rows on, sums and means come from sums within blocks: constant time a row, not the frame's length.
 LONG = 256
 
 
 def _long(x: Series, window) -> tuple[Series, Series] | None:
-    """Sum and count of a long Count window by running sums; None for other windows. What isn't finite counts apart, so it leaves the window with its row."""
+    """Sum and count of a long Count window; None for other windows.
+
+    A key's rows are cut into blocks as long as the window. A window is the end of a block and the beginning of the
+    next one, so its sum is a running sum backwards and one forwards, and holds nothing from outside of the window.
+    """
     w = sliding(window)
     if not isinstance(w, Count) or w.n < LONG or x.nullable:
         return None
-    ok = x.expr(lambda v: F.when(A.is_finite(v), v).otherwise(0.0))
-    odd = x.expr(lambda v: F.when(A.is_finite(v), 0.0).otherwise(1.0))
+    n = w.n
+    place = x.window(lambda env, v: (F.row_number().over(env.rows) - 1).cast("bigint"), nullable=False, dtype="bigint")
 
     def span(s: Series) -> Series:
-        run = s.window(lambda env, v: F.sum(v).over(env.until_now()), nullable=False)
-        return run.window(lambda env, c: c - F.coalesce(F.lag(c, w.n).over(env.rows), F.lit(0.0)), nullable=False)
-
-    one = x.expr(lambda v: F.lit(1.0))
-    total = span(ok).expr(lambda t, o: F.when(o == 0, t), span(odd), nullable=True, reason=lambda t, o: F.lit(A.WARMING_UP))
-    return total, span(one)
+        def run(backwards: bool) -> Callable:
+            return lambda env, v, k: F.sum(v).over(env.within(F.floor(k / F.lit(n)), backwards).rowsBetween(Window.unboundedPreceding, 0))
 
+        ahead, behind = s.window(run(False), place, nullable=False), s.window(run(True), place, nullable=False)
+        return ahead.window(lambda env, a, b, k: a + F.when(k % n == n - 1, F.lit(0.0)).otherwise(F.coalesce(F.lag(b, n - 1).over(env.rows), F.lit(0.0))), behind, place, nullable=False)
 
-def _array(held, i: int = 1) -> np.ndarray:
-    return np.array([h[i] for h in held], float)
+    total = span(x).expr(lambda t: F.when(A.is_finite(t), t), nullable=True, reason=lambda t: F.lit(A.WARMING_UP))
+    return total, place.expr(lambda k: F.least(k + 1, F.lit(n)).cast("double"))
 
 
-def _least(n: int, f: Callable) -> Callable:
-    return lambda held: f(_array(held)) if len(held) >= n else None
-
-
-def _guard(n: int, over, v: Column, c: Column) -> Column:
-    return F.when(over(F.count(v)) >= n, c)
+def _guard(n: int, o: Frame, v: Column, c: Column) -> Column:
+    return F.when(o.count(v) >= n, c)
 
 
 def sma(x: Series, window) -> Series:
     if long := _long(x, window):
         return long[0].expr(lambda t, n: t / n, long[1])
-    return _frame(x, window, lambda o, v: o(F.avg(v)), _least(1, np.mean))
+    return _frame(x, window, lambda o, v: o.avg(v))
 
 
 def sum(x: Series, window) -> Series:  # noqa: A001
     if long := _long(x, window):
         return long[0]
-    return _frame(x, window, lambda o, v: o(F.sum(v)), _least(1, np.sum))
+    return _frame(x, window, lambda o, v: o.sum(v))
 
 
 def count(x: Series, window) -> Series:
-    return _frame(x, window, lambda o, v: o(F.count(v)).cast("double"), _least(1, len))
+    return _frame(x, window, lambda o, v: o.count(v).cast("double"))
 
 
 def min(x: Series, window) -> Series:  # noqa: A001
-    return _frame(x, window, lambda o, v: o(F.min(A.no_nan(v))), _least(1, np.nanmin))
+    return _frame(x, window, lambda o, v: o.min(A.no_nan(v)))
 
 
 def max(x: Series, window) -> Series:  # noqa: A001
-    return _frame(x, window, lambda o, v: o(F.max(A.no_nan(v))), _least(1, np.nanmax))
+    return _frame(x, window, lambda o, v: o.max(A.no_nan(v)))
 
 
 def variance(x: Series, window) -> Series:
-    return _frame(x, window, lambda o, v: _guard(2, o, v, o(F.var_pop(v))), _least(2, np.var))
+    return _frame(x, window, lambda o, v: _guard(2, o, v, o.var(v)))
 
 
 def std(x: Series, window) -> Series:
-    return _frame(x, window, lambda o, v: _guard(2, o, v, o(F.stddev_pop(v))), _least(2, np.std))
+    return _frame(x, window, lambda o, v: _guard(2, o, v, F.sqrt(o.var(v))))
 
 
 def quantile(x: Series, window, q: float) -> Series:
     """Linear interpolation at q·(n-1)."""
     q = float(np.clip(q, 0.0, 1.0))
-    return _frame(x, window, lambda o, v: o(F.percentile(v, F.lit(q))), _least(1, lambda a: np.quantile(a, q)))
+    return _frame(x, window, lambda o, v: o.quantile(v, q))
 
 
 def median(x: Series, window) -> Series:
@@ -157,66 +245,41 @@ def rank(x: Series, window) -> Series:
     """Share of the window's other values below the current one."""
 
     def f(o, v):
-        held = o(F.collect_list(v))
+        held = o.list(v)
         return F.size(F.filter(held, lambda y: A.less(y, v))) / F.greatest(F.size(held) - 1, F.lit(1))
 
-    return _frame(x, window, f, _least(1, lambda a: (a < a[-1]).sum() / builtin_max(len(a) - 1, 1)))
+    return _frame(x, window, f)
 
 
 def skewness(x: Series, window) -> Series:
-    def g(a):
-        s = a.std()
-        return ((a - a.mean()) ** 3).mean() / s**3 if s > 0 else None
-
-    return _frame(x, window, lambda o, v: F.when((o(F.count(v)) >= 3) & (o(F.var_pop(v)) > 0), o(F.skewness(v))), _least(3, g))
+    return _frame(x, window, lambda o, v: F.when((o.count(v) >= 3) & (o.var(v) > 0), o.skewness(v)))
 
 
 def kurtosis(x: Series, window) -> Series:
     """Excess, of the population."""
-
-    def g(a):
-        s = a.var()
-        return ((a - a.mean()) ** 4).mean() / s**2 - 3.0 if s > 0 else None
-
-    return _frame(x, window, lambda o, v: F.when((o(F.count(v)) >= 4) & (o(F.var_pop(v)) > 0), o(F.kurtosis(v))), _least(4, g))
-
-
-def _pairs(n: int, f: Callable) -> Callable:
-    return lambda held: f(_array(held, 1), _array(held, 2)) if len(held) >= n else None
+    return _frame(x, window, lambda o, v: F.when((o.count(v) >= 4) & (o.var(v) > 0), o.kurtosis(v)))
 
 
 def covariance(x: Series, y: Series, window) -> Series:
-    return _frame(x, window, lambda o, a, b: _guard(2, o, a, o(F.covar_pop(a, b))), _pairs(2, lambda a, b: ((a - a.mean()) * (b - b.mean())).mean()), y)
+    return _frame(x, window, lambda o, a, b: _guard(2, o, a, o.cov(a, b)), y)
 
 
 def sample_covariance(x: Series, y: Series, window) -> Series:
-    return _frame(x, window, lambda o, a, b: _guard(2, o, a, o(F.covar_samp(a, b))), _pairs(2, lambda a, b: ((a - a.mean()) * (b - b.mean())).sum() / (len(a) - 1)), y)
+    return _frame(x, window, lambda o, a, b: _guard(2, o, a, o.cov(a, b) * o.count(a) / F.greatest(o.count(a) - 1, F.lit(1))), y)
 
 
 def correlation(x: Series, y: Series, window) -> Series:
-    def g(a, b):
-        s = a.std() * b.std()
-        return ((a - a.mean()) * (b - b.mean())).mean() / s if s > 0 else None
-
-    return _frame(x, window, lambda o, a, b: F.when((o(F.count(a)) >= 2) & (o(F.var_pop(a)) > 0) & (o(F.var_pop(b)) > 0), o(F.corr(a, b))), _pairs(2, g), y)
+    return _frame(x, window, lambda o, a, b: F.when((o.count(a) >= 2) & (o.var(a) > 0) & (o.var(b) > 0), o.corr(a, b)), y)
 
 
 def beta(x: Series, y: Series, window) -> Series:
     """Slope of y on x."""
-    def g(a, b):
-        s = a.var()
-        return ((a - a.mean()) * (b - b.mean())).mean() / s if s > 0 else None
-
-    return _frame(x, window, lambda o, a, b: F.when((o(F.count(a)) >= 2) & (o(F.var_pop(a)) > 0), o(F.covar_pop(a, b)) / F.nullif(o(F.var_pop(a)), F.lit(0.0))), _pairs(2, g), y)
+    return _frame(x, window, lambda o, a, b: F.when((o.count(a) >= 2) & (o.var(a) > 0), o.cov(a, b) / F.nullif(o.var(a), F.lit(0.0))), y)
 
 
 def alpha(x: Series, y: Series, window) -> Series:
     """Intercept of y on x."""
-    def g(a, b):
-        s = a.var()
-        return b.mean() - ((a - a.mean()) * (b - b.mean())).mean() / s * a.mean() if s > 0 else None
-
-    return _frame(x, window, lambda o, a, b: F.when((o(F.count(a)) >= 2) & (o(F.var_pop(a)) > 0), o(F.avg(b)) - o(F.covar_pop(a, b)) / F.nullif(o(F.var_pop(a)), F.lit(0.0)) * o(F.avg(a))), _pairs(2, g), y)
+    return _frame(x, window, lambda o, a, b: F.when((o.count(a) >= 2) & (o.var(a) > 0), o.avg(b) - o.cov(a, b) / F.nullif(o.var(a), F.lit(0.0)) * o.avg(a)), y)
 
 
 def wma(x: Series, window) -> Series:
@@ -224,27 +287,21 @@ def wma(x: Series, window) -> Series:
     w = sliding(window)
     if isinstance(w, Count):
         def f(o, v):
-            held = o(F.collect_list(v))
+            held = o.list(v)
             total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(held, i - 1), F.lit(0.0)) * i)
             n = F.size(held)
             return F.when(n > 0, total / F.greatest(n * (n + 1) / F.lit(2.0), F.lit(1.0)))
 
-        return _frame(x, w, f, None)
-
-    def g(held):
-        ts, v = _array(held, 0), _array(held, 1)
-        span = ts[-1] - ts[0]
-        weight = (ts - ts[0]) / span + 0.001 if span > 0 else np.ones(len(v))
-        return (weight * v).sum() / weight.sum()
+        return _frame(x, w, f)
 
     def t(o, v):
-        held = o(F.collect_list(F.when(v.isNotNull(), F.struct(F.col("__tw_ts").alias("t"), v.alias("v")))))
+        held = o.list(F.when(v.isNotNull(), F.struct(F.col("__tw_ts").alias("t"), v.alias("v"))))
         first = F.array_min(F.transform(held, lambda h: h["t"]))
         span = F.array_max(F.transform(held, lambda h: h["t"])) - first
         weight = lambda h: F.when(span > 0, F.try_divide((h["t"] - first).cast("double"), span.cast("double")) + 0.001).otherwise(1.0)
         return F.try_divide(F.aggregate(held, F.lit(0.0), lambda acc, h: acc + weight(h) * h["v"]), F.aggregate(held, F.lit(0.0), lambda acc, h: acc + weight(h)))
 
-    return _frame(x, w, t, g)
+    return _frame(x, w, t)
 
 
 class Ema(Kernel):
@@ -297,15 +354,10 @@ def rsi(x: Series, window) -> Series:
     change = x.changes()
 
     def f(o, v):
-        gain, loss = o(F.avg(F.greatest(v, F.lit(0.0)))), o(F.avg(F.greatest(-v, F.lit(0.0))))
+        gain, loss = o.avg(F.greatest(v, F.lit(0.0))), o.avg(F.greatest(-v, F.lit(0.0)))
         return F.when(loss == 0, F.when(gain == 0, 50.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(gain, loss)))
 
-    def g(held):
-        d = _array(held)
-        gain, loss = np.maximum(d, 0).mean(), np.maximum(-d, 0).mean()
-        return (50.0 if gain == 0 else 100.0) if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
-
-    return _frame(change, window, f, g)
+    return _frame(change, window, f)
 
 
 class Wilder(Kernel):
@@ -374,6 +426,21 @@ class Welford:
         return self.m2 / (self.n - 1) if self.n >= 2 else None
 
 
+class SlidingWelford(Kernel):
+    """Variance of the last n present values by running moments: one value in, one out."""
+
+    def __init__(self, n: int):
+        self.n, self.held, self.moments = n, deque(), Welford()
+
+    def step(self, ts, v):
+        self.held.append(v)
+        self.moments.push(v)
+        if len(self.held) > self.n:
+            self.moments.remove(self.held.popleft())
+        out = self.moments.variance()
+        return (None, A.WARMING_UP) if out is None else (out, None)
+
+
 def builtin_max(first, *rest):
     for x in rest:
         first = first if first >= x else x

@@ -44,8 +44,16 @@ class Env:
     def before(self) -> WindowSpec:
         return self.rows.rowsBetween(Window.unboundedPreceding, -1)
 
-    def back(self, ms: int) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(_TS).rangeBetween(-ms, 0)
+    def back(self, ms: int, until: int = 0) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(_TS).rangeBetween(-ms, until)
+
+    def ties(self) -> WindowSpec:
+        """Rows of the same time up to this one; the key's exchange serves them too."""
+        return Window.partitionBy(*self.keys, _TS).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def within(self, block: Column, backwards: bool) -> WindowSpec:
+        order = [F.col(c).desc() if backwards else F.col(c) for c in (_TS, *self.order)]
+        return Window.partitionBy(*self.keys, block).orderBy(*order)
 
     def by(self, column: Column) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(column)
@@ -56,7 +64,7 @@ class Flow:
 
     unit: of a numeric ts: `ms`, `s` (whole seconds) or `s_f64` (fractional seconds, cut to ms).
     unique_ts: the caller knows that a key has no equal timestamps. Time windows are then plain RANGE frames;
-    else they run in kernels, because a RANGE frame would show a row the ties that arrive after it.
+    else they are made of two frames, because a RANGE frame would show a row the ties that arrive after it.
     """
 
     def __init__(self, df: DataFrame, ts: str, key: str | list[str] | None = None, order: str | list[str] = (), unit: str = "ms", unique_ts: bool = False):

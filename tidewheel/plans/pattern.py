@@ -19,7 +19,6 @@ from ..functions import cel
 from ..functions.duration import dur
 from ..operators.keyed import Emitter, emit
 
-MAX_IN_FLIGHT = 1024
 _CAPTURE = re.compile(r"(first|prev|s\d+)_(\w+)")
 
 
@@ -143,8 +142,9 @@ class Matcher:
     test(step, slot, event, captures) tells whether an event matches a step (slot -1) or its guard (slot 0, 1, ...).
     """
 
-    def __init__(self, steps: Iterable[Step], test: Callable, max_in_flight: int = MAX_IN_FLIGHT):
+    def __init__(self, steps: Iterable[Step], test: Callable, max_in_flight: int | None = None):
         self.steps, self.test, self.most = list(steps), test, max_in_flight
+        self.evicted: list[list] = []  # captures of partial matches that gave way to newer ones
         self.live: list[Partial] = []
         self.dropped = {"MaxInFlight": 0, "Deadline": 0, "Late": 0}
         self.ts: int | None = None
@@ -220,8 +220,8 @@ class Matcher:
                 done.append((ts, p.captures))
             else:
                 self._bound(p)
-                if len(self.live) >= self.most:
-                    self.live.pop(0)
+                if self.most is not None and len(self.live) >= self.most:
+                    self.evicted.append(self.live.pop(0).captures)
                     self.dropped["MaxInFlight"] += 1
                 self.live.append(p)
         return done
@@ -254,26 +254,32 @@ class _Run(Emitter):
                 env |= {f"{name}_{f}": v for f, v in zip(self.fields, e[2], strict=True)}
         return cel.true_on(how, env)
 
-    def rows(self, done: list) -> list[tuple]:
+    def rows(self, done: list, dropped: str | None = None) -> list[tuple]:
         names = [s.name for s in self.matcher.steps]
-        return [(at, [names[c[0]] for c in captures], [c[2][0] for c in captures], [c[1] for c in captures]) for at, captures in done]
+        return [(at, [names[c[0]] for c in captures], [c[2][0] for c in captures], [c[1] for c in captures], dropped) for at, captures in done]
 
     def record(self, ts, row):
         flags, fields = row[1 : 1 + self.width], row[1 + self.width :]
-        return self.rows(self.matcher.push(ts, (row[0], flags, fields)))
+        out = self.rows(self.matcher.push(ts, (row[0], flags, fields)))
+        if self.matcher.evicted:
+            out += self.rows([(ts, captures) for captures in self.matcher.evicted], "MaxInFlight")
+            self.matcher.evicted.clear()
+        return out
 
     def flush(self):
         return self.rows(self.matcher.flush())
 
 
-def match_pattern(df: DataFrame, pattern: Pattern, key: str, ts: str, order: str, event_id: str, shapes: bool = True, max_in_flight: int = MAX_IN_FLIGHT) -> DataFrame:
+def match_pattern(df: DataFrame, pattern: Pattern, key: str, ts: str, order: str, event_id: str, shapes: bool = True, max_in_flight: int | None = None) -> DataFrame:
     """key, pattern, at, steps, events, times: a row for each match, with the captures' step names, event ids and times.
 
     at is the last capture's time, or the deadline of an absence. shapes: use window expressions where there are any.
+    max_in_flight: so many partial matches a key has open at most; the oldest gives way, and comes out as a row too,
+    with `MaxInFlight` in a further column `dropped` (null for matches). Without it nothing is dropped.
     """
     p = pattern.check()
     types = dict(df.dtypes)
-    if shapes and (shaped := _shape(df, p, types, key, ts, order, event_id)) is not None:
+    if shapes and max_in_flight is None and (shaped := _shape(df, p, types, key, ts, order, event_id)) is not None:
         return shaped
     plan: dict[tuple[int, int], object] = {}
     flags, fields = {}, set()
@@ -297,8 +303,8 @@ def match_pattern(df: DataFrame, pattern: Pattern, key: str, ts: str, order: str
         run.width = width
         return run
 
-    out = emit(ready, [key], [ts, order], ts, make, [event_id, *flags, *used], f"`{key}` {types[key]}, at bigint, steps array<string>, events array<{types[event_id]}>, times array<bigint>")
-    return out.select(key, F.lit(p.name).alias("pattern"), "at", "steps", "events", "times")
+    out = emit(ready, [key], [ts, order], ts, make, [event_id, *flags, *used], f"`{key}` {types[key]}, at bigint, steps array<string>, events array<{types[event_id]}>, times array<bigint>, dropped string")
+    return out.select(key, F.lit(p.name).alias("pattern"), "at", "steps", "events", "times", *(["dropped"] if max_in_flight is not None else []))
 
 
 def _shape(df: DataFrame, p: Pattern, types: dict, key: str, ts: str, order: str, event_id: str) -> DataFrame | None:
@@ -308,7 +314,7 @@ def _shape(df: DataFrame, p: Pattern, types: dict, key: str, ts: str, order: str
         return None
     hold = lambda pred: cel.predicate(pred, types) if isinstance(pred, str) else F.coalesce(pred, F.lit(False))
     w = Window.partitionBy(key).orderBy(ts, order)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)  # what follows, as a running frame: linear
     d = df.withColumns({"__when": hold(s[0].pred), "__ts": F.col(ts).cast("bigint")})
     done = lambda at, names, events, times: [F.col(key), F.lit(p.name).alias("pattern"), at.alias("at"), F.array(*map(F.lit, names)).alias("steps"), F.array(*events).alias("events"), F.array(*times).alias("times")]
     if len(s) == 1:
@@ -319,13 +325,13 @@ def _shape(df: DataFrame, p: Pattern, types: dict, key: str, ts: str, order: str
     if t.strict:
         nxt = F.lead(F.when(F.col("__hit"), spot)).over(w)
     else:
-        nxt = F.first(F.when(F.col("__hit"), spot), ignorenulls=True).over(after)
+        nxt = F.last(F.when(F.col("__hit"), spot), ignorenulls=True).over(after)
     columns = {"__next": nxt}
     if t.guards:
         guard = F.lit(False)
         for g in t.guards:
             guard = guard | hold(g)
-        columns["__stop"] = F.first(F.when(guard & ~F.col("__hit"), F.col("__place")), ignorenulls=True).over(after)
+        columns["__stop"] = F.last(F.when(guard & ~F.col("__hit"), F.col("__place")), ignorenulls=True).over(after)
     d = d.withColumns(columns).filter("__when")
     in_time = F.col("__next")["ts"] - F.col("__ts") <= t.within if t.within is not None else F.lit(True)
     if t.kind == "not_then":

@@ -196,7 +196,7 @@ _WILDER = [*_PREV, *smooth("g", 4, "greatest(d_n, case when d_n is not null then
 _WILDER[2:5] = smooth("g", 4, "case when d_n is not null then greatest(d_n, 0) end")
 _WRSI = "case when ge is null then null when le = 0 then case when ge = 0 then 50 else 100 end else 100 - 100 / (1 + ge / le) end"
 add_recursive("rsi_wilder", lambda s: {"x": s.v.rsi_wilder(4)}, _WILDER, x=_WRSI)
-add("welford", lambda s: {"x": s.v.variance(Count(7)), "y": s.v.std(Count(7))}, x=f"case when count(v) over {wn(7)} >= 2 then var_pop(v) over {wn(7)} end", y=f"case when count(v) over {wn(7)} >= 2 then stddev_pop(v) over {wn(7)} end")
+add("welford", lambda s: {"x": s.v.custom(lambda: operators.windows.SlidingWelford(7))}, x=f"case when count(v) over {wn(7)} >= 2 then var_pop(v) over {wn(7)} end")
 add("over", lambda s: {"x": s.v.sma(over("6h")), "y": s.v.sma(over_n(4))}, x=f"avg(v) over {wt(T)}", y=f"avg(v) over {wn(4)}")
 
 _LONG = operators.windows.LONG
@@ -211,6 +211,25 @@ def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", _out(F.col("x"), "double").alias("x"), _out(F.col("y"), "double").alias("y"))
 
 
+
+def _tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time windows over times that many events of a user share."""
+    t = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / F.lit(1000 * T)).cast("bigint") * T
+    f = Flow(events(spark, sf_dir).select("event_id", "user_id", "value", t.alias("t")), "t", "user_id", "event_id")
+    v, y, w = f.prop("value", required=True), f.prop(F.col("event_id") % 5, required=True), Time(20 * T)
+    outs = {"sma": v.sma(w), "total": v.sum(w), "n": v.count(w), "low": v.min(w), "high": v.max(w), "var": v.variance(w), "median": v.median(w), "cov": v.covariance(y, w), "lag": v.lag(20 * T), "rank": v.rank(w)}
+    d = f.select(keep=["event_id"], **outs)
+    return d.select("event_id", *[_out(F.col(n), "double").alias(n) for n in outs])
+
+
+QUERIES["windows_with_ties"] = _tied
+_MET = "avg(v) as sma, sum(v) as total, count(*) as n, min(v) as low, max(v) as high, case when count(*) > 1 then var_pop(v) end as var, median(v) as median, case when count(*) > 1 then covar_pop(v, y) end as cov, count(*) filter (where v < xv)::double / greatest(count(*) - 1, 1) as rank"
+ORACLES["windows_with_ties"] = f"""with {BASE}, d as (select event_id, user_id, t // {T} * {T} as t, v, (event_id % 5)::double as y from e),
+ j as (select x.event_id, x.v as xv, p.v, p.y from d x join d p on p.user_id = x.user_id and p.t >= x.t - {20 * T} and (p.t < x.t or (p.t = x.t and p.event_id <= x.event_id))),
+ g as (select event_id, {_MET} from j group by event_id),
+ l as (select x.event_id, arg_max(p.v, (p.t, p.event_id)) as lag from d x join d p on p.user_id = x.user_id and p.t <= x.t - {20 * T} group by x.event_id)
+select g.event_id, {", ".join(f"{_sql_out(n)} as {n}" for n in ("sma", "total", "n", "low", "high", "var", "median", "cov", "lag", "rank"))} from g left join l using (event_id)"""
+
 # trackers
 add("prev", lambda s: {"x": s.v.prev()}, x=f"lag(v) over {W}")
 add("prev_by", lambda s: {"x": s.v.prev_by("event_type")}, x="lag(v) over (partition by user_id, event_type order by t, event_id)")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import rules as R
 from ..functions.json_api import compute_indicator, window_join_keyed
 from ..operators import combinators as C, keyed as K
+from ..plans import Flow
 from ..plans.pattern import Pattern, match_pattern
-from ..sources import files, influx
+from ..plans.series import Kernel
+from ..sources import files, influx, state
 from .series import BASE, DIGITS, W, _out, _sql_out, ema, events, recursive_sql, wn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,11 +94,87 @@ add("validators", lambda d: d.select("event_id", K.require_positive(F.col("v") -
     f"with {BASE} select event_id, v - 10 > 0 as positive, v between 5 and 30 as in_range, isfinite(v) as finite, v - 10 >= 0 as non_negative from e")
 
 # state by key
-add("dedup_store", lambda d: d.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("event_id")), f"with {BASE} select user_id, event_type, min_by(event_id, t) as event_id from e group by all")
-add("projection_store", lambda d: d.groupBy("user_id").agg(F.max_by("v", F.struct("t", "event_id")).alias("v")), f"with {BASE} select user_id, max_by(v, t) as v from e group by user_id")
-add("shard", lambda d: d.select("user_id", F.pmod(F.conv(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(8)).cast("int").alias("shard")).distinct(),
+class _Once(K.Emitter):
+    """The first event of each type, told by a store of what has come out."""
+
+    def __init__(self):
+        self.seen = state.Deduplicator(state.MemoryStateStore(), "first")
+
+    def record(self, ts, row):
+        if not self.seen.should_emit(row[1]):
+            return []
+        self.seen.mark_emitted(row[1])
+        return [(row[1], row[0])]
+
+
+class _Latest(K.Emitter):
+    """The latest value of each type, from a projection that went through its snapshot."""
+
+    def __init__(self):
+        self.held = state.ProjectionStore()
+
+    def record(self, ts, row):
+        self.held.put(row[1], row[0])
+        return []
+
+    def flush(self):
+        again = state.ProjectionStore()
+        again.restore(self.held.snapshot())
+        return again.entries()
+
+
+class _Owner(K.Emitter):
+    """Which of eight shards own a user's key."""
+
+    def __init__(self):
+        self.done = False
+
+    def record(self, ts, row):
+        if self.done:
+            return []
+        self.done = True
+        return [(i,) for i in range(8) if state.RebalancedShard(8, {i}).owns(row[0])]
+
+
+class _Clocked(K.Emitter):
+    """A reorder buffer with a day's lateness whose watermark is set to each arrival's newest time: rows come out at once, or are late."""
+
+    def __init__(self):
+        self.buffer, self.newest = K.ReorderBuffer(24 * HOUR), None
+
+    def record(self, ts, row):
+        self.newest = ts if self.newest is None else max(self.newest, ts)
+        out = self.buffer.step(ts, row[0]) + self.buffer.advance_watermark(self.newest)
+        return [(e, False) for _, e in out] + [(e, True) for _, e in self.buffer.take_late()]
+
+
+def _observed(d: DataFrame) -> DataFrame:
+    """What an observation saw while the table was written to nothing."""
+    from ..functions.metrics import observed
+
+    through, seen = observed(d, "t")
+    through.write.format("noop").mode("overwrite").save()
+    return d.sparkSession.createDataFrame([(seen.get["records"], seen.get["first"], seen.get["last"])], "records bigint, first_ts bigint, last_ts bigint")
+
+
+class _Spread(Kernel):
+    """A user's own operator: greatest less least value so far."""
+
+    def __init__(self):
+        self.low = self.high = None
+
+    def step(self, ts, v):
+        self.low = v if self.low is None else min(self.low, v)
+        self.high = v if self.high is None else max(self.high, v)
+        return self.high - self.low, None
+
+
+add("dedup_store", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Once, ["event_id", "event_type"], "user_id bigint, event_type string, event_id bigint"), f"with {BASE} select user_id, event_type, min_by(event_id, t) as event_id from e group by all")
+add("projection_store", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Latest, ["v", "event_type"], "user_id bigint, event_type string, v double"), f"with {BASE} select user_id, event_type, max_by(v, t) as v from e group by all")
+add("watermark_advance", lambda d: K.emit(d, ["user_id"], ["a"], "t", _Clocked, ["event_id"], "user_id bigint, event_id bigint, late boolean").select("event_id", "late"), f"with {SQL} select event_id, {_LATE} as late from a")
+add("shard", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Owner, ["user_id"], "user_id bigint, shard int"),
     f"with {BASE} select distinct user_id, (('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 8)::int as shard from e")
-add("metrics", lambda d: d.groupBy("user_id").agg(F.count("*").alias("records"), F.min("t").alias("first_ts"), F.max("t").alias("last_ts")), f"with {BASE} select user_id, count(*) as records, min(t) as first_ts, max(t) as last_ts from e group by user_id")
+add("metrics", _observed, f"with {BASE} select count(*) as records, min(t) as first_ts, max(t) as last_ts from e")
 
 # combinators
 _type = lambda d, t: d.filter(F.col("event_type") == t)
@@ -187,14 +265,16 @@ _POLICY = R.PolicyEngine().add_policy("allow", ["v >= data_floor && event_type !
 _ALLOW = "(v >= 15 and event_type <> 'error') or user_id = 1"
 add("rego_filter", lambda d: _POLICY.filter(d, "allow").select("event_id"), f"with {BASE} select event_id from e where {_ALLOW}")
 add("rego_filter_result", lambda d: _POLICY.filter_result(d, "allow").select("event_id", "allowed", "error"), f"with {BASE} select event_id, {_ALLOW} as allowed, null::varchar as error from e")
-add("rego_engine", lambda d: _POLICY.filter_result(d, "absent").select("event_id", "allowed", "error"), f"with {BASE} select event_id, false as allowed, 'unknown query absent' as error from e")
+_POLICIES = R.PolicyEngine().add_policy("allow", ["v >= data_floor"]).add_policy("flag", ["v > data_top", "event_type in ['error', 'signup'] && v < data_floor"]).add_data({"floor": 15.0, "top": 40.0})
+add("rego_engine", lambda d: _POLICIES.filter_result(d, "allow").select("event_id", F.col("allowed").alias("allow")).join(_POLICIES.filter_result(d, "flag").select("event_id", F.col("allowed").alias("flag")), "event_id").join(_POLICIES.filter_result(d, "absent").select("event_id", "error"), "event_id"),
+    f"with {BASE} select event_id, v >= 15 as allow, v > 40 or (event_type in ('error', 'signup') and v < 15) as flag, 'unknown query absent' as error from e")
 _SCRIPTS = R.ScriptEngine().compile("double", "v * 2.0 + 1.0").compile("hot", "v > 30.0").compile("label", "v > 30.0 ? 'hot' : event_type + '!'")
 add("rhai_filter", lambda d: _SCRIPTS.filter(d, "hot").select("event_id"), f"with {BASE} select event_id from e where v > 30")
 add("rhai_map", lambda d: _SCRIPTS.map(d, "double").select(num("value")), f"with {BASE} select {_sql_out('v * 2 + 1')} as value from e")
 add("rhai_enrich", lambda d: _SCRIPTS.enrich(d, "label").select("event_id", "value"), f"with {BASE} select event_id, case when v > 30 then 'hot' else event_type || '!' end as value from e")
 add("rhai_result", lambda d: _SCRIPTS.result(d, "10 / (event_id % 3)").select("event_id", F.col("value").cast("double").alias("value"), "error"), f"with {BASE} select event_id, case when event_id % 3 <> 0 then (10 // (event_id % 3))::double end as value, case when event_id % 3 = 0 then 'evaluation failed' end as error from e")
 add("script_engine", lambda d: _SCRIPTS.enrich(d, "min(v, 20.0)").select("event_id", num("value")), f"with {BASE} select event_id, {_sql_out('least(v, 20)')} as value from e")
-add("operator_trait", lambda d: compute_indicator(d, {"indicator": "ema", "period": 1}, "t", "v", "user_id", "event_id").select("event_id", num("ema")), f"with {BASE} select event_id, {_sql_out('v')} as ema from e")
+add("operator_trait", lambda d: (f := Flow(d, "t", "user_id", "event_id")).select(keep=["event_id"], x=f.prop("v").custom(_Spread)).select("event_id", num("x")), f"with {BASE} select event_id, {_sql_out(f'max(v) over {W} - min(v) over {W}')} as x from e")
 
 # sources and sinks
 add("src_iter", lambda d: d.select("event_id", "t"), f"with {BASE} select event_id, t from e")

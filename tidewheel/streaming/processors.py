@@ -95,26 +95,35 @@ class _Series(_Held):
             for (_, at), k in zip(self.kernels, kernels, strict=True):
                 values = [row[1 + a] for a in at]
                 got.append(k.absent("FilteredOut") if any(v is None or v != v for v in values) else k.step(ts, *values)[0])
-            out.append((ts, row[0], *got))
+            out.append((ts, row[0], *got, False))
         return out
 
+    def due(self, held, now):
+        buffer, kernels = held
+        return self._step(kernels, buffer.drain(now - self.lateness))
+
+    def next_timer(self, held):
+        return held[0].heap[0][0] + self.lateness if held[0].heap else None
+
     def rows(self, held, batch):
         buffer, kernels = held
         out = []
         for ts, *row in batch.sort_values(["tw_ts", "tw_order"], kind="stable")[["tw_ts", "tw_order", *self.values]].itertuples(index=False, name=None):
             out += self._step(kernels, buffer.step(ts, tuple(row)))
-        buffer.take_late()
-        return out
+        return out + [(ts, row[0], *[None] * len(self.kernels), True) for ts, row in buffer.take_late()]
 
 
 def stream_series(df: DataFrame, key: str, event_time: str, order: str, values: list[str], outputs: dict[str, tuple[Callable[[], Kernel], list[str]]], lateness: int = 0, delay: str = "1 day") -> DataFrame:
-    """key, ts, order and the outputs of kernels over a stream; outputs: name to (kernel factory, its columns of `values`)."""
+    """key, ts, order, the outputs of kernels over a stream, and late; outputs: name to (kernel factory, its columns of `values`).
+
+    Late rows come out without outputs. Rows that wait are released by newer ones, or by the watermark.
+    """
     marked = df.withWatermark(event_time, delay)
     lean = marked.select(F.col(key), F.unix_millis(event_time).alias("tw_ts"), F.col(order).cast("bigint").alias("tw_order"), *[F.col(v).cast("double").alias(v) for v in values], F.col(event_time))
     kind = dict(df.dtypes)[key]
-    names = [key, "ts", order, *outputs]
+    names = [key, "ts", order, *outputs, "late"]
     kernels = [(make, [values.index(c) for c in columns]) for make, columns in outputs.values()]
-    schema = ", ".join([f"`{key}` {kind}", "ts bigint", f"`{order}` bigint", *[f"`{n}` double" for n in outputs]])
+    schema = ", ".join([f"`{key}` {kind}", "ts bigint", f"`{order}` bigint", *[f"`{n}` double" for n in outputs], "late boolean"])
     return lean.groupBy(key).transformWithStateInPandas(_Series(names, values, kernels, lateness), schema, "Append", "EventTime")
 
 
@@ -123,13 +132,14 @@ class _Session(_Held):
         self.names, self.gap = names, gap
 
     def start(self):
-        return {"last": None, "sum": 0.0}
+        return {"last": None, "sum": 0.0, "closed": None}
 
     def due(self, held, now):
         if held["last"] is None or now < held["last"] + self.gap:
             return []
-        out = [(held["last"] + self.gap, held["sum"])]
-        held.update(last=None, sum=0.0)
+        at = held["last"] + self.gap
+        out = [(at, held["sum"], False)]
+        held.update(last=None, sum=0.0, closed=at)
         return out
 
     def next_timer(self, held):
@@ -139,16 +149,22 @@ class _Session(_Held):
         out = []
         for ts, _, v, *_ in batch.sort_values(["tw_ts", "tw_order"], kind="stable")[["tw_ts", "tw_order", "tw_v"]].itertuples(index=False, name=None):
             out += self.due(held, ts)
+            if held["closed"] is not None and ts < held["closed"]:
+                out.append((ts, v, True))
+                continue
             held["last"] = ts if held["last"] is None else max(held["last"], ts)
             held["sum"] += v
         return out
 
 
-def stream_session_sum(df: DataFrame, key: str, event_time: str, order: str, value: str, gap: int, delay: str = "0 seconds") -> DataFrame:
-    """key, emit_ts, sum: a session closes when a record or the watermark is `gap` past its last row."""
+def stream_session_sum(df: DataFrame, key: str, event_time: str, order: str, value: str, gap: int, delay: str = "1 day") -> DataFrame:
+    """key, emit_ts, sum, late: a session closes when a record or the watermark is `gap` past its last row.
+
+    A row before the end of a session that has come out is late: it comes out by itself, with its time and value.
+    """
     lean = df.withWatermark(event_time, delay).select(F.col(key), F.unix_millis(event_time).alias("tw_ts"), F.col(order).cast("bigint").alias("tw_order"), F.col(value).cast("double").alias("tw_v"), F.col(event_time))
-    schema = f"`{key}` {dict(df.dtypes)[key]}, emit_ts bigint, sum double"
-    return lean.groupBy(key).transformWithStateInPandas(_Session([key, "emit_ts", "sum"], gap), schema, "Append", "EventTime")
+    schema = f"`{key}` {dict(df.dtypes)[key]}, emit_ts bigint, sum double, late boolean"
+    return lean.groupBy(key).transformWithStateInPandas(_Session([key, "emit_ts", "sum", "late"], gap), schema, "Append", "EventTime")
 
 
 def stream_tumbling_sum(df: DataFrame, key: str, event_time: str, value: str, size: str, delay: str) -> DataFrame:
@@ -158,7 +174,7 @@ def stream_tumbling_sum(df: DataFrame, key: str, event_time: str, value: str, si
 
 
 class _Match(_Held):
-    def __init__(self, names: list[str], steps, slots: dict, most: int):
+    def __init__(self, names: list[str], steps, slots: dict, most: int | None):
         self.names, self.steps, self.slots, self.most = names, steps, slots, most
 
     def start(self):
@@ -188,8 +204,8 @@ class _Match(_Held):
         return None if at is None else at + 1
 
 
-def stream_matches(df: DataFrame, pattern: Pattern, key: str, event_time: str, event_id: str, delay: str = "0 seconds", max_in_flight: int = 1024) -> DataFrame:
-    """key, at, steps, events, times of matches; predicates may look at the event only."""
+def stream_matches(df: DataFrame, pattern: Pattern, key: str, event_time: str, event_id: str, delay: str = "1 day", max_in_flight: int | None = None) -> DataFrame:
+    """key, at, steps, events, times of matches; predicates may look at the event only. max_in_flight bounds a key's state: the oldest partial matches give way."""
     from dataclasses import replace
 
     p, types = pattern.check(), dict(df.dtypes)
