@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters that separate words in the `words` convention of the text operators (ASCII white space).
 SPACE = r"[^\x20\x09-\x0D]+"
+#: Bytes that a writer of a scratch table holds before they go to disk: packed cells are large.
+ROW_GROUP = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. The files go when the driver ends, or by discard()."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tw-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

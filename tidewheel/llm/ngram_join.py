@@ -46,7 +46,7 @@ STAR = 4096
 #: Sets of a block that share a key, from which on the key is a tile of its own.
 HOT = 256
 MOST_BITS = 8192
-_FLUSH = 2_000_000
+_FLUSH = 700_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
