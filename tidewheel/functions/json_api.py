@@ -52,6 +52,31 @@ def compute_json(spark: SparkSession, rows_json: str, config_json: str) -> str:
     return json.dumps([r.asDict() for r in out.collect()])
 
 
+def detect_cross_json(spark: SparkSession, rows_json: str, config_json: str) -> str:
+    """{ts, value, direction} of the crossings of config's threshold; direction `rising`, `falling` or `both`."""
+    c, rows = json.loads(config_json), json.loads(rows_json)
+    wanted = c.get("direction", "both").lower()
+    if wanted not in ("rising", "falling", "both"):
+        raise ValueError(f"unknown direction {wanted!r}")
+    df = spark.createDataFrame([(i, int(r["ts"]), float(r["value"])) for i, r in enumerate(rows)], "seq bigint, ts bigint, value double")
+    out = compute_indicator(df, {"indicator": "cross", "threshold": c["threshold"]}, order="seq")
+    hits = out.withColumn("direction", F.lower("cross")).filter("direction in ('rising', 'falling')")
+    if wanted != "both":
+        hits = hits.filter(F.col("direction") == wanted)
+    return json.dumps([{"ts": r["ts"], "value": r["value"], "direction": r["direction"]} for r in hits.orderBy("seq").collect()])
+
+
+def evaluate_rules_json(rules: str, items_json: str, yaml: bool = False) -> str:
+    """{item_id, matched_rules} of each item of a JSON array, its fields flat; for small inputs. Rules are JSON, or YAML."""
+    from .cel import parse, true_on
+    from .rules import RuleEngine
+
+    engine = RuleEngine.from_yaml(rules) if yaml else RuleEngine.from_json(rules)
+    conditions = [(r.name, parse(r.condition)) for r in engine.rules]
+    items = json.loads(items_json)
+    return json.dumps([{"item_id": str(item.get("id", i)), "matched_rules": [n for n, c in conditions if true_on(c, item)]} for i, item in enumerate(items)])
+
+
 def tumbling_json(spark: SparkSession, rows_json: str, config_json: str) -> str:
     """{windowStart, windowEnd, count, sum} of the rows that the allowed lateness accepts."""
     from ..operators.keyed import tumbling_sum_count
