@@ -9,6 +9,7 @@ false; `&&` and `||` need only the side that decides.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -152,13 +153,22 @@ def names(node: tuple) -> set[str]:
     """The free names of an expression; a nested field counts as its first name."""
     if node[0] == "name":
         return {node[1]}
-    parts = node[2] if node[0] == "call" else node[1] if node[0] == "list" else node[1:]
+    parts = node[2] if node[0] in ("call", "apply") else node[1] if node[0] == "list" else node[1:]
     return set().union(*(names(p) for p in parts if isinstance(p, tuple)), set())
 
 
 _METHODS = {"contains", "startsWith", "endsWith", "matches", "size", "has", "int", "double", "string", "abs", "min", "max", "lowerAscii", "upperAscii"}
 
 
+def column_of(node: tuple, types: dict[str, str]) -> Column:
+    return _column(node, types)[0]
+
+
+def condition_of(node: tuple, types: dict[str, str]) -> Column:
+    """As a filter: whatever isn't true is false."""
+    return _column(("truth", node), types)[0]
+
+
 def to_column(text: str, types: dict[str, str]) -> Column:
     """The expression as a Column; types: the columns that exist. Null where it errs."""
     return _column(parse(text), types)[0]
@@ -199,7 +209,13 @@ def _column(node: tuple, types: dict[str, str]) -> tuple[Column, str]:
         return (-c, k) if k in ("int", "num") else null
     if op == "?":
         (t, tk), (a, ak), (b, bk) = (_column(n, types) for n in node[1:])
-        return (F.when(t, a).when(~t, b), ak if ak == bk else "num" if {ak, bk} == {"int", "num"} else ak) if tk == "bool" else null
+        if tk != "bool":
+            return null
+        if "null" in (ak, bk) or ak == bk or {ak, bk} == {"int", "num"}:
+            return F.when(t, a).when(~t, b), "num" if {ak, bk} == {"int", "num"} else bk if ak == "null" else ak
+        if "list" in (ak, bk):  # a column holds one type only
+            return null
+        return F.when(t, a.cast("string")).when(~t, b.cast("string")), "str"
     if op in ("&&", "||"):
         (a, ak), (b, bk) = _column(node[1], types), _column(node[2], types)
         a, b = (c if k == "bool" else F.lit(None).cast("boolean") for c, k in ((a, ak), (b, bk)))
@@ -239,6 +255,23 @@ def _column(node: tuple, types: dict[str, str]) -> tuple[Column, str]:
         return F.get(a, i.cast("int")), "other"
     if op == "call":
         return _call_column(node[1], [_column(n, types) for n in node[2]]) or null
+    # what policies and scripts compile to, beyond the language itself
+    if op == "truth":  # true, or else false
+        c, k = _column(node[1], types)
+        return (F.coalesce(c, F.lit(False)) if k == "bool" else F.lit(False)), "bool"
+    if op == "collect":  # the distinct values whose conditions hold: condition, value, condition, value ...
+        held = [F.when(_column(("truth", t), types)[0], _column(v, types)[0]) for t, v in zip(node[1::2], node[2::2], strict=True)]
+        return F.array_distinct(F.array_compact(F.array(*held))), "list"
+    if op == "apply":  # a registered function over Columns
+        return node[1][1](*[_column(n, types)[0] for n in node[2]]), node[1][2]
+    if op == "has":
+        c, k = _column(node[1], types)
+        return (c.isNotNull() if k != "null" else F.lit(False)), "bool"
+    if op == "isfalse":
+        c, k = _column(node[1], types)
+        return (F.coalesce(~c, F.lit(False)) if k == "bool" else F.lit(False)), "bool"
+    if op == "throw":
+        return null
     raise CelError(f"unknown {op!r}")
 
 
@@ -261,6 +294,10 @@ def _call_column(name: str, args: list[tuple[Column, str]]) -> tuple[Column, str
         return c[0].try_cast(to), {"int": "int", "double": "num", "string": "str"}[name]
     if name == "abs" and k[0] in ("int", "num"):
         return F.abs(c[0]), k[0]
+    if name in ("floor", "ceil") and k in (["int"], ["num"]):
+        return (F.floor if name == "floor" else F.ceil)(c[0].cast("double")).cast("double"), "num"
+    if name == "sqrt" and k in (["int"], ["num"]):
+        return F.when(c[0] >= 0, F.sqrt(c[0].cast("double"))), "num"
     if name in ("min", "max") and len(c) > 1:
         return (F.least if name == "min" else F.greatest)(*c), k[0]
     return None
@@ -308,6 +345,16 @@ def evaluate(node: tuple, env: dict):
         return evaluate(node[2] if t else node[3], env)
     if op == "list":
         return [evaluate(n, env) for n in node[1]]
+    if op == "truth":
+        return true_on(node[1], env)
+    if op == "collect":
+        held = [value_on(v, env) for t, v in zip(node[1::2], node[2::2], strict=True) if true_on(t, env)]
+        return list(dict.fromkeys(v for v, error in held if error is None and v is not None))
+    if op in ("has", "isfalse"):
+        v, error = value_on(node[1], env)
+        return (error is None and v is not None) if op == "has" else v is False
+    if op in ("throw", "apply"):
+        raise _Fail(op)
     args = [evaluate(n, env) for n in (node[2] if op == "call" else node[1:])]
     try:
         return (_CALLS[node[1]] if op == "call" else _OPS[op])(*args)
@@ -342,8 +389,6 @@ def _float_div(a: float, b: float) -> float:
 
 
 def _mod(a, b):
-    import math
-
     if not (isinstance(a, int) and isinstance(b, int)):
         raise TypeError
     return int(math.fmod(a, b))
@@ -359,6 +404,7 @@ _OPS: dict[str, Callable] = {
 }
 _CALLS: dict[str, Callable] = {
     "contains": lambda a, b: b in a, "startsWith": lambda a, b: a.startswith(b), "endsWith": lambda a, b: a.endswith(b), "matches": lambda a, b: re.search(b, a) is not None,
+    "floor": lambda a: float(math.floor(a)), "ceil": lambda a: float(math.ceil(a)), "sqrt": lambda a: math.sqrt(a),
     "size": len, "int": lambda a: int(float(a)) if not isinstance(a, int) else int(a), "double": float, "string": str, "abs": abs, "min": min, "max": max, "lowerAscii": lambda a: a.lower(), "upperAscii": lambda a: a.upper(),
 }
 

@@ -6,12 +6,16 @@ Everything compiles to Columns; a rule that errs on a row is false there, and a
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .cel import CelError, parse, predicate, to_column
+from .cel import CelError, column_of, condition_of, parse, predicate, to_column
+from .policy import Policies
+from .script import Limits, Script, registered, thrown
 
 ACTIONS = ("log", "alert", "record", "tag", "ignore", "custom")
 
@@ -115,18 +119,35 @@ def evaluate_rules(df: DataFrame, rules_json: str, id_col: str = "id") -> DataFr
     return df.select(F.col(id_col).alias("item_id"), F.transform(engine.matched(df), lambda r: r["rule"]).alias("matched_rules"))
 
 
+@dataclass(frozen=True)
+class PolicyConfig:
+    """budget_ms: 0 answers nothing, every row is out of time; more bounds nothing, since policies have no loops."""
+
+    budget_ms: int | None = None
+
+    def __post_init__(self):
+        if self.budget_ms is not None and self.budget_ms < 0:
+            raise ValueError("a budget can't be negative")
+
+
 class PolicyEngine:
-    """Named policies of allow rules (expressions) over rows and static data; what no rule allows is denied.
+    """Policies over rows and static data; what no rule allows is denied.
 
-    A subset in place of a policy language: a query names a policy; its rules are alternatives. Data are
-    scalars that expressions read as `data_<name>`.
+    Packages of rules (see functions.policy) are asked for by `data.<package>.<rule>`; the row is their `input`.
+    Beside them there are plain named policies: a name and alternatives, expressions that read scalar data as
+    `data_<name>`.
     """
 
     def __init__(self):
         self.policies: dict[str, list[str]] = {}
+        self.packages = Policies()
         self.data: dict[str, object] = {}
 
     def add_policy(self, name: str, rules: list[str] | str) -> PolicyEngine:
+        """A package's text (it begins with `package`), or a named policy's alternatives."""
+        if isinstance(rules, str) and re.match(r"(\s|#[^\n]*\n)*package\s", rules):
+            self.packages.add(rules)
+            return self
         rules = [rules] if isinstance(rules, str) else list(rules)
         for r in rules:
             parse(r)
@@ -134,13 +155,17 @@ class PolicyEngine:
         return self
 
     def add_policy_from_file(self, path: str) -> PolicyEngine:
+        """A package, or from JSON named policies."""
+        if not path.endswith(".json"):
+            return self.add_policy(Path(path).stem, Path(path).read_text())
         for name, rules in json.loads(Path(path).read_text()).items():
             self.add_policy(name, rules)
         return self
 
     def add_policy_directory(self, path: str) -> PolicyEngine:
-        for p in sorted(Path(path).glob("*.json")):
-            self.add_policy_from_file(str(p))
+        for p in sorted(Path(path).iterdir()):
+            if p.suffix in (".json", ".rego"):
+                self.add_policy_from_file(str(p))
         return self
 
     def add_data(self, data: dict) -> PolicyEngine:
@@ -151,13 +176,23 @@ class PolicyEngine:
         return self.add_data(json.loads(Path(path).read_text()))
 
     def _with_data(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"data_{k}": F.lit(v) for k, v in self.data.items()}) if self.data else df
+        return df.withColumns({f"data_{k}": F.lit(v) for k, v in self.data.items() if not isinstance(v, (dict, list))}) if self.data else df
 
-    def filter(self, df: DataFrame, query: str) -> DataFrame:
-        return self.filter_result(df, query).filter("allowed").drop("allowed", "error")
+    def filter(self, df: DataFrame, query: str, config: PolicyConfig = PolicyConfig()) -> DataFrame:  # noqa: B008  frozen
+        return self.filter_result(df, query, config).filter("allowed").drop("allowed", "error")
 
-    def filter_result(self, df: DataFrame, query: str) -> DataFrame:
+    def filter_result(self, df: DataFrame, query: str, config: PolicyConfig = PolicyConfig()) -> DataFrame:  # noqa: B008
         """All rows with `allowed`, and `error` where no rule could be decided."""
+        if config.budget_ms == 0:
+            return df.withColumns({"allowed": F.lit(False), "error": F.lit("out of time")})
+        if query.startswith("data."):
+            try:
+                node = self.packages.query(query, self.data)
+            except KeyError:
+                return df.withColumns({"allowed": F.lit(False), "error": F.lit(f"unknown query {query}")})
+            types = _types(df)
+            decided = condition_of(("has", node), types)
+            return df.withColumns({"allowed": condition_of(node, types), "error": F.when(~decided, "evaluation failed")})
         if query not in self.policies:
             return df.withColumns({"allowed": F.lit(False), "error": F.lit(f"unknown query {query}")})
         d = self._with_data(df)
@@ -167,24 +202,35 @@ class PolicyEngine:
         for c in each:
             allowed, failed = allowed | F.coalesce(c, F.lit(False)), failed & c.isNull()
         out = d.withColumns({"allowed": allowed, "error": F.when(failed, "evaluation failed")})
-        return out.drop(*[f"data_{k}" for k in self.data])
+        return out.drop(*[c for c in d.columns if c not in df.columns])
+
+    def value(self, df: DataFrame, query: str, name: str = "value") -> DataFrame:
+        """The value of a package's rule (for a set its members as an array), null where it has none."""
+        return df.withColumn(name, column_of(self.packages.query(query, self.data), _types(df)))
 
 
 class ScriptEngine:
-    """Named expressions: filters, projections and enrichments of rows."""
+    """Named scripts (see functions.script): filters, projections and enrichments of rows."""
 
-    def __init__(self):
+    def __init__(self, limits: Limits = Limits()):  # noqa: B008  frozen
         self.scripts: dict[str, str] = {}
+        self.functions: dict[str, tuple] = {}
+        self.limits = limits
+
+    def register(self, name: str, f: Callable[..., Column], kind: str) -> ScriptEngine:
+        """A function over Columns that scripts may call; kind: of its value, one of int, num, str, bool."""
+        self.functions[name] = registered(name, f, kind)
+        return self
 
     def compile(self, name: str, source: str) -> ScriptEngine:
-        parse(source)
+        self._script(source)
         self.scripts[name] = source
         return self
 
     def load_file(self, path: str) -> ScriptEngine:
         return self.compile(Path(path).stem, Path(path).read_text())
 
-    def load_directory(self, path: str, suffix: str = ".expr") -> ScriptEngine:
+    def load_directory(self, path: str, suffix: str = ".rhai") -> ScriptEngine:
         for p in sorted(Path(path).glob(f"*{suffix}")):
             self.load_file(str(p))
         return self
@@ -192,11 +238,17 @@ class ScriptEngine:
     def source(self, script: str) -> str:
         return self.scripts.get(script, script)
 
+    def _script(self, source: str) -> tuple:
+        return Script(source, self.functions, self.limits).node()
+
+    def _node(self, script: str) -> tuple:
+        return self._script(self.source(script))
+
     def eval(self, df: DataFrame, script: str) -> Column:
-        return to_column(self.source(script), _types(df))
+        return column_of(self._node(script), _types(df))
 
     def filter(self, df: DataFrame, script: str) -> DataFrame:
-        return df.filter(predicate(self.source(script), _types(df)))
+        return df.filter(condition_of(self._node(script), _types(df)))
 
     def map(self, df: DataFrame, script: str, name: str = "value") -> DataFrame:
         """Only the script's value; null where it errs."""
@@ -206,6 +258,22 @@ class ScriptEngine:
         return df.withColumn(name, self.eval(df, script))
 
     def result(self, df: DataFrame, script: str, name: str = "value") -> DataFrame:
-        """The value, and `error` where there is none."""
-        c = self.eval(df, script)
-        return df.withColumns({name: c, "error": F.when(c.isNull(), "evaluation failed")})
+        """The row, the value, and `error` where there is none: what the script throws, or that it failed."""
+        node, types = self._node(script), _types(df)
+        c = column_of(node, types)
+        said = column_of(("call", "string", [thrown(node)]), types)
+        return df.withColumns({name: c, "error": F.when(c.isNull(), F.coalesce(said, F.lit("evaluation failed")))})
+
+    def filter_result(self, df: DataFrame, script: str) -> DataFrame:
+        """All rows with `passed`, and `error` where the script gives no true or false."""
+        out = self.result(df, script, "passed")
+        if dict(out.dtypes)["passed"] == "boolean":
+            return out
+        return out.withColumns({"passed": F.lit(None).cast("boolean"), "error": F.coalesce("error", F.lit("not a bool"))})
+
+    def map_result(self, df: DataFrame, script: str, name: str = "value") -> DataFrame:
+        """Only the value and `error`."""
+        return self.result(df, script, name).select(name, "error")
+
+    def enrich_result(self, df: DataFrame, script: str, name: str = "value") -> DataFrame:
+        return self.result(df, script, name)

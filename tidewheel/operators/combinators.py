@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keyed import Emitter, emit
@@ -122,6 +124,16 @@ def partition_lazy(df: DataFrame, pred: Column, name: str = "matched") -> DataFr
     return df.withColumn(name, F.coalesce(pred, F.lit(False)))
 
 
+def partition_by(pred: Column) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """partition() to be called on a table."""
+    return lambda df: partition(df, pred)
+
+
+def partition_lazy_by(pred: Column, name: str = "matched") -> Callable[[DataFrame], DataFrame]:
+    """partition_lazy() for DataFrame.transform."""
+    return lambda df: partition_lazy(df, pred, name)
+
+
 def fork(df: DataFrame, n: int) -> list[DataFrame]:
     """The same lazy table n times."""
     return [df] * n

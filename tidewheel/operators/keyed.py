@@ -48,6 +48,14 @@ class ConfigurationError(StreamError, ValueError):
     """Parameters that make no sense."""
 
 
+def try_new(kind: Callable, *args, **named) -> tuple[object | None, ConfigurationError | None]:
+    """(what kind(...) makes, None), or (None, the error) where its parameters make no sense."""
+    try:
+        return kind(*args, **named), None
+    except ValueError as e:
+        return None, e if isinstance(e, ConfigurationError) else ConfigurationError(str(e))
+
+
 class Emitter:
     """Per key: records in, rows out."""
 

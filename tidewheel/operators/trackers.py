@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import Column, Window, functions as F
 
 from ..functions import absent as A
 from ..functions.duration import dur
-from ..plans.series import Series
+from ..plans.series import Kernel, Series
 
 
 def _before(env, x: Series, c: Column, n: int = 1) -> Column:
@@ -39,6 +41,28 @@ def prev_by(x: Series, *subkeys: str) -> Series:
     return x.window(build)
 
 
+class PrevOfMost(Kernel):
+    """The previous value of the sub-key, of the `most` sub-keys seen last."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, OrderedDict()
+
+    def step(self, ts, v, subkey):
+        subkey += 0.0  # -0.0 and 0.0 are one key
+        before = self.held.pop(subkey, None)
+        self.held[subkey] = v
+        if len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return (None, A.WARMING_UP) if before is None else (before, None)
+
+
+def prev_by_max(x: Series, subkey: Series, most: int) -> Series:
+    """prev_by with a bound on the sub-keys of a key: the one seen longest ago is forgotten."""
+    if most < 1:
+        raise ValueError("at least one sub-key is kept")
+    return x.kernel(lambda: PrevOfMost(most), subkey)
+
+
 def lag(x: Series, duration) -> Series:
     """The latest value with a timestamp at or before ts - duration."""
     d = dur(duration)
@@ -145,6 +169,6 @@ def rate_per_ms(x: Series) -> Series:
     return rate(x).expr(lambda v: v / 1000.0)
 
 
-for _f in (prev, prev_n, prev_by, lag, delta, changes, rate, acceleration, cumsum, cumprod, cummax, cummin, cummean, pct_change, log_return, rate_per_ms):
+for _f in (prev, prev_n, prev_by, prev_by_max, lag, delta, changes, rate, acceleration, cumsum, cumprod, cummax, cummin, cummean, pct_change, log_return, rate_per_ms):
     setattr(Series, _f.__name__, _f)
 Series.velocity = velocity

@@ -88,8 +88,14 @@ class Flow:
             raise ValueError(f"unknown unit {unit!r}")
         #: Columns that window nodes read besides their inputs.
         self.pinned: set[str] = set()
+        self.context: object = None
         self.df, self.columns, self.env = df.withColumn(_TS, t.cast("bigint")), df.columns, Env(self.keys, self.order, unique_ts)
 
+    def with_context(self, context: object) -> Flow:
+        """Sets what from_context() reads; series made before keep what they have read."""
+        self.context = context
+        return self
+
     # sources
     def prop(self, column: str | Column, required: bool = False) -> Series:
         """A series from a column. required: it holds no nulls, so windows needn't step over absent rows."""
@@ -99,6 +105,10 @@ class Flow:
     def constant(self, x: float) -> Series:
         return Series(self, "expr", [], lambda: (F.lit(float(x)), F.lit(None).cast("string")), nullable=False)
 
+    def from_context(self, f: Callable[[object], float]) -> Series:
+        """A constant taken from the context."""
+        return self.constant(f(self.context))
+
     def time(self) -> Series:
         return Series(self, "expr", [], lambda: (F.col(_TS).cast("double"), F.lit(None).cast("string")), nullable=False)
 

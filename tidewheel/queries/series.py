@@ -232,6 +232,10 @@ select g.event_id, {", ".join(f"{_sql_out(n)} as {n}" for n in ("sma", "total",
 
 # trackers
 add("prev", lambda s: {"x": s.v.prev()}, x=f"lag(v) over {W}")
+add("prev_by_max", lambda s: {"x": s.v.prev_by_max(s.q, 3)}, ctes=f"""n as (select *, row_number() over {W} as rn from e),
+ p as (select *, lag(rn) over (partition by user_id, q order by rn) as prn, lag(v) over (partition by user_id, q order by rn) as pv from n),
+ z as (select p.event_id, any_value(p.pv) as pv, count(distinct b.q) as others from p left join n b on b.user_id = p.user_id and b.rn > p.prn and b.rn < p.rn group by p.event_id)""", source="z", x="case when others < 3 then pv end")
+add("with_context", lambda s: {"x": s.v * s.flow.with_context({"scale": 3.0}).from_context(lambda c: c["scale"])}, x="v * 3")
 add("prev_by", lambda s: {"x": s.v.prev_by("event_type")}, x="lag(v) over (partition by user_id, event_type order by t, event_id)")
 _LAG = f"last_value(v) over (partition by user_id order by t range between unbounded preceding and {T} preceding)"
 add("lag", lambda s: {"x": s.v.lag("6h")}, x=_LAG)

@@ -12,7 +12,7 @@ from ..operators import combinators as C, keyed as K
 from ..plans import Flow
 from ..plans.pattern import Pattern, match_pattern
 from ..plans.series import Kernel
-from ..sources import files, influx, state
+from ..sources import brokers, files, influx, state
 from .series import BASE, DIGITS, W, _out, _sql_out, ema, events, recursive_sql, wn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,53 @@ def _observed(d: DataFrame) -> DataFrame:
     return d.sparkSession.createDataFrame([(seen.get["records"], seen.get["first"], seen.get["last"])], "records bigint, first_ts bigint, last_ts bigint")
 
 
+class _Commits(K.Emitter):
+    """A checkpoint every three records; gives the cursor that a restart would go on from."""
+
+    def __init__(self):
+        self.cursors = state.MemoryStateStore()
+        self.checkpointer = state.Checkpointer(state.MemoryStateStore(), self.cursors, state.Policy(every_n=3))
+
+    def record(self, ts, row):
+        if self.checkpointer.record():
+            self.checkpointer.commit("k", state.Snapshot("k", ts, "f", b""), brokers.KafkaOffset.after("t", 0, row[0]).to_bytes())
+        held = self.cursors.get("k")
+        return [(row[0], None if held is None else brokers.KafkaOffset.from_bytes(held).offset)]
+
+
+class _Ticks(K.Emitter):
+    """A clock by hand, set on by the time between records."""
+
+    def __init__(self):
+        self.clock, self.last = state.ManualClock(), None
+
+    def record(self, ts, row):
+        self.clock.advance(0 if self.last is None else ts - self.last)
+        self.last = ts
+        return [(row[0], self.clock.now_ms())]
+
+
+class _Kinds(K.Emitter):
+    """What kind of error each record meets."""
+
+    def record(self, ts, row):
+        try:
+            if row[1] == "error":
+                raise K.Unavailable("try again")
+            if row[1] == "signup":
+                raise K.InvalidInput("never")
+            K.Buffer(ts if row[1] == "view" else 0)
+        except K.StreamError as e:
+            return [(row[0], type(e).__name__, e.retriable)]
+        return []
+
+
+def _as_kafka(d: DataFrame) -> DataFrame:
+    """Events as a broker's connector would give them: views without a value."""
+    return d.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.when(F.col("event_type") != "view", F.col("event_type").cast("binary")).alias("value"),
+                    F.lit("events").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.timestamp_millis("t").alias("timestamp"))
+
+
 class _Spread(Kernel):
     """A user's own operator: greatest less least value so far."""
 
@@ -172,6 +219,16 @@ class _Spread(Kernel):
 add("dedup_store", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Once, ["event_id", "event_type"], "user_id bigint, event_type string, event_id bigint"), f"with {BASE} select user_id, event_type, min_by(event_id, t) as event_id from e group by all")
 add("projection_store", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Latest, ["v", "event_type"], "user_id bigint, event_type string, v double"), f"with {BASE} select user_id, event_type, max_by(v, t) as v from e group by all")
 add("watermark_advance", lambda d: K.emit(d, ["user_id"], ["a"], "t", _Clocked, ["event_id"], "user_id bigint, event_id bigint, late boolean").select("event_id", "late"), f"with {SQL} select event_id, {_LATE} as late from a")
+add("checkpointer", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Commits, ["event_id"], "user_id bigint, event_id bigint, go_on bigint").select("event_id", F.col("go_on").cast("double").alias("go_on")),
+    f"with {BASE}, n as (select *, row_number() over {W} as rn from e) select event_id, (max(case when rn % 3 = 0 then struct_pack(rn := rn, id := event_id) end) over {W}).id::double + 1 as go_on from n")
+add("clock", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Ticks, ["event_id"], "user_id bigint, event_id bigint, now bigint").select("event_id", "now"), f"with {BASE} select event_id, t - min(t) over (partition by user_id) as now from e")
+add("errors", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Kinds, ["event_id", "event_type"], "user_id bigint, event_id bigint, error string, again boolean").select("event_id", "error", "again"),
+    f"with {BASE} select event_id, case event_type when 'error' then 'Unavailable' when 'signup' then 'InvalidInput' else 'ConfigurationError' end as error, event_type = 'error' as again from e where event_type in ('error', 'signup', 'view')")
+add("kafka_source", lambda d: brokers.from_kafka(_as_kafka(d)).select(F.col("key").cast("string").alias("key"), F.col("payload").cast("string").alias("payload"), "topic", "partition", "offset", "ts_ms"),
+    f"with {BASE} select user_id::varchar as key, case when event_type <> 'view' then event_type end as payload, 'events' as topic, (user_id % 4)::int as partition, event_id as offset, t as ts_ms from e")
+add("kafka_sink", lambda d: brokers.to_kafka(d, F.col("user_id"), F.concat_ws("|", "event_id", "event_type")).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")),
+    f"with {BASE} select user_id::varchar as key, event_id || '|' || event_type as value from e")
+add("cursor", lambda d: brokers.next_offsets(_as_kafka(d)), f"with {BASE} select 'events' as topic, (user_id % 4)::int as partition, max(event_id) + 1 as offset from e group by all")
 add("shard", lambda d: K.emit(d, ["user_id"], ["t", "event_id"], "t", _Owner, ["user_id"], "user_id bigint, shard int"),
     f"with {BASE} select distinct user_id, (('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 8)::int as shard from e")
 add("metrics", _observed, f"with {BASE} select count(*) as records, min(t) as first_ts, max(t) as last_ts from e")
@@ -214,6 +271,8 @@ add("batch_by_time", lambda d: C.batch_by_time(d, "user_id", "t", "a", 24 * HOUR
     f"with {SQL}, b as (select *, t // {24 * HOUR} * {24 * HOUR} as b from a), c as (select *, coalesce((b <> lag(b) over (partition by user_id order by a))::int, 1) as n from b), g as (select *, sum(n) over (partition by user_id order by a) as g from c) select user_id, any_value(b) as bucket, string_agg(event_id::varchar, ',' order by a) as ids from g group by user_id, g")
 add("partition", lambda d: C.partition(d, F.col("v") > 20)[0].select("event_id", F.lit(True).alias("side")).union(C.partition(d, F.col("v") > 20)[1].select("event_id", F.lit(False))), f"with {BASE} select event_id, v > 20 as side from e")
 add("partition_lazy", lambda d: C.partition_lazy(d, F.col("v") > 20).select("event_id", "matched"), f"with {BASE} select event_id, v > 20 as matched from e")
+add("partition_by", lambda d: (p := C.partition_by(F.col("v") > 20)(d))[0].select("event_id", F.lit(True).alias("side")).union(p[1].select("event_id", F.lit(False))), f"with {BASE} select event_id, v > 20 as side from e")
+add("partition_lazy_by", lambda d: d.transform(C.partition_lazy_by(F.col("v") > 20, "side")).select("event_id", "side"), f"with {BASE} select event_id, v > 20 as side from e")
 add("fork", lambda d: C.fork(d, 2)[0].select("event_id").union(C.fork(d, 2)[1].select("event_id")), f"with {BASE} select event_id from e union all select event_id from e")
 add("group_by_key", lambda d: C.group_by_key(d, "user_id", "a", ["event_id"]).select("user_id", _ids("items")), f"with {SQL} select user_id, string_agg(event_id::varchar, ',' order by a) as ids from a group by user_id")
 
@@ -261,19 +320,53 @@ add("cel_actions", lambda d: _ENGINE.evaluate_first(d).select("event_id", F.col(
 add("cel_route", lambda d: R.cel_route(d, _ENGINE).select("event_id", F.size("rules").alias("n")), f"with {BASE} select event_id, (v > 40)::int + (event_type in ('purchase', 'signup'))::int + (v < 10)::int as n from e")
 add("cel_route_matched", lambda d: R.cel_route_matched(d, _ENGINE).select("event_id"), f"with {BASE} select event_id from e where v > 40 or v < 10 or event_type in ('purchase', 'signup')")
 add("evaluate_rules", lambda d: R.evaluate_rules(d, '[{"name": "a", "condition": "v > 40.0"}, {"name": "b", "condition": "v < 10.0 || size(event_type) == 4", "priority": 1}]', "event_id").select("item_id", F.concat_ws(",", "matched_rules").alias("names")), f"with {BASE} select event_id as item_id, concat_ws(',', case when v < 10 or length(event_type) = 4 then 'b' end, case when v > 40 then 'a' end) as names from e")
-_POLICY = R.PolicyEngine().add_policy("allow", ["v >= data_floor && event_type != 'error'", "user_id == 1"]).add_data({"floor": 15.0})
-_ALLOW = "(v >= 15 and event_type <> 'error') or user_id = 1"
-add("rego_filter", lambda d: _POLICY.filter(d, "allow").select("event_id"), f"with {BASE} select event_id from e where {_ALLOW}")
-add("rego_filter_result", lambda d: _POLICY.filter_result(d, "allow").select("event_id", "allowed", "error"), f"with {BASE} select event_id, {_ALLOW} as allowed, null::varchar as error from e")
-_POLICIES = R.PolicyEngine().add_policy("allow", ["v >= data_floor"]).add_policy("flag", ["v > data_top", "event_type in ['error', 'signup'] && v < data_floor"]).add_data({"floor": 15.0, "top": 40.0})
-add("rego_engine", lambda d: _POLICIES.filter_result(d, "allow").select("event_id", F.col("allowed").alias("allow")).join(_POLICIES.filter_result(d, "flag").select("event_id", F.col("allowed").alias("flag")), "event_id").join(_POLICIES.filter_result(d, "absent").select("event_id", "error"), "event_id"),
-    f"with {BASE} select event_id, v >= 15 as allow, v > 40 or (event_type in ('error', 'signup') and v < 15) as flag, 'unknown query absent' as error from e")
-_SCRIPTS = R.ScriptEngine().compile("double", "v * 2.0 + 1.0").compile("hot", "v > 30.0").compile("label", "v > 30.0 ? 'hot' : event_type + '!'")
-add("rhai_filter", lambda d: _SCRIPTS.filter(d, "hot").select("event_id"), f"with {BASE} select event_id from e where v > 30")
+_POLICY = R.PolicyEngine().add_policy("events", """
+package events
+default allow := false
+noisy := {"error", "signup"}
+allow if { input.v >= data.limits.floor; not input.event_type in noisy }
+allow if input.user_id == data.admins[_]
+over(x) if x > data.limits.top
+deny contains "big" if over(input.v)
+deny contains msg if {
+    some kind in noisy
+    input.event_type == kind
+    msg := kind
+}
+clean if count(deny) == 0
+grade := "high" if { over(input.v) } else := "low" if { input.v < data.limits.floor }
+""").add_data({"limits": {"floor": 15.0, "top": 40.0}, "admins": [1, 2]})
+_ALLOW = "(v >= 15 and event_type not in ('error', 'signup')) or user_id in (1, 2)"
+add("rego_filter", lambda d: _POLICY.filter(d, "data.events.allow").select("event_id"), f"with {BASE} select event_id from e where {_ALLOW}")
+add("rego_filter_result", lambda d: _POLICY.filter_result(d, "data.events.grade").select("event_id", "allowed", "error"), f"with {BASE} select event_id, false as allowed, case when v between 15 and 40 then 'evaluation failed' end as error from e")
+add("rego_with_config", lambda d: _POLICY.filter_result(d, "data.events.allow", R.PolicyConfig(50)).select("event_id", "allowed").join(_POLICY.filter_result(d, "data.events.allow", R.PolicyConfig(0)).select("event_id", F.col("allowed").alias("at_once"), "error"), "event_id"),
+    f"with {BASE} select event_id, {_ALLOW} as allowed, false as at_once, 'out of time' as error from e")
+add("rego_engine", lambda d: _POLICY.value(_POLICY.value(_POLICY.value(d, "data.events.deny", "deny"), "data.events.clean", "clean"), "data.events.grade", "grade").select("event_id", F.concat_ws(",", F.sort_array("deny")).alias("deny"), "clean", "grade"),
+    f"with {BASE} select event_id, concat_ws(',', case when v > 40 then 'big' end, case when event_type in ('error', 'signup') then event_type end) as deny, case when v <= 40 and event_type not in ('error', 'signup') then true end as clean, case when v > 40 then 'high' when v < 15 then 'low' end as grade from e")
+_SCRIPTS = R.ScriptEngine().register("is_odd", lambda n: n % 2 == 1, "bool").compile("double", "v * 2.0 + 1.0").compile("hot", "let limit = 10.0; limit *= 3; v > limit || is_odd(event_id)").compile("label", """
+fn heat(x) { if x > 40.0 { "hot" } else if x > 20.0 { "warm" } else { "cold" } }
+let said = heat(v);
+if event_type == "error" { return said.to_upper(); }
+said + "!"
+""").compile("steps", """
+let sum = 0.0;
+for i in 1..=3 {
+    if v > 10.0 * i { sum += v / i; } else { sum -= 1.0; }
+}
+sum
+""").compile("picky", """
+if event_id % 3 == 0 { throw "third"; }
+10 / (event_id % 5)
+""")
+add("rhai_filter", lambda d: _SCRIPTS.filter(d, "hot").select("event_id"), f"with {BASE} select event_id from e where v > 30 or event_id % 2 = 1")
 add("rhai_map", lambda d: _SCRIPTS.map(d, "double").select(num("value")), f"with {BASE} select {_sql_out('v * 2 + 1')} as value from e")
-add("rhai_enrich", lambda d: _SCRIPTS.enrich(d, "label").select("event_id", "value"), f"with {BASE} select event_id, case when v > 30 then 'hot' else event_type || '!' end as value from e")
-add("rhai_result", lambda d: _SCRIPTS.result(d, "10 / (event_id % 3)").select("event_id", F.col("value").cast("double").alias("value"), "error"), f"with {BASE} select event_id, case when event_id % 3 <> 0 then (10 // (event_id % 3))::double end as value, case when event_id % 3 = 0 then 'evaluation failed' end as error from e")
-add("script_engine", lambda d: _SCRIPTS.enrich(d, "min(v, 20.0)").select("event_id", num("value")), f"with {BASE} select event_id, {_sql_out('least(v, 20)')} as value from e")
+add("rhai_enrich", lambda d: _SCRIPTS.enrich(d, "label").select("event_id", "value"), f"with {BASE}, h as (select *, case when v > 40 then 'hot' when v > 20 then 'warm' else 'cold' end as said from e) select event_id, case when event_type = 'error' then upper(said) else said || '!' end as value from h")
+_PICKY = "case when event_id % 3 <> 0 and event_id % 5 <> 0 then (10 // (event_id % 5))::double end"
+_WHY = "case when event_id % 3 = 0 then 'third' when event_id % 5 = 0 then 'evaluation failed' end"
+add("rhai_result", lambda d: _SCRIPTS.enrich_result(d, "picky").select("event_id", F.col("value").cast("double").alias("value"), "error"), f"with {BASE} select event_id, {_PICKY} as value, {_WHY} as error from e")
+add("rhai_map_result", lambda d: _SCRIPTS.map_result(d, "picky").select(F.col("value").cast("double").alias("value"), "error"), f"with {BASE} select {_PICKY} as value, {_WHY} as error from e")
+add("rhai_filter_result", lambda d: _SCRIPTS.filter_result(d, "10 / (event_id % 3) > 5").select("event_id", "passed", "error"), f"with {BASE} select event_id, case when event_id % 3 <> 0 then 10 // (event_id % 3) > 5 end as passed, case when event_id % 3 = 0 then 'evaluation failed' end as error from e")
+add("script_engine", lambda d: _SCRIPTS.enrich(d, "steps").select("event_id", num("value")), f"with {BASE} select event_id, {_sql_out(' + '.join(f'case when v > {10 * i} then v / {i} else -1 end' for i in (1, 2, 3)))} as value from e")
 add("operator_trait", lambda d: (f := Flow(d, "t", "user_id", "event_id")).select(keep=["event_id"], x=f.prop("v").custom(_Spread)).select("event_id", num("x")), f"with {BASE} select event_id, {_sql_out(f'max(v) over {W} - min(v) over {W}')} as x from e")
 
 # sources and sinks

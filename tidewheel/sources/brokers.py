@@ -131,8 +131,9 @@ def from_kafka(raw: DataFrame) -> DataFrame:
 
 
 def to_kafka(df: DataFrame, key: Column, value: Column) -> DataFrame:
-    """The columns that the connector writes; a null value is a tombstone."""
-    return df.select(key.cast("binary").alias("key"), value.cast("binary").alias("value"))
+    """The columns that the connector writes: bytes as they are, all else as its text; a null value is a tombstone."""
+    out = df.select(key.alias("key"), value.alias("value"))
+    return out.select(*[(F.col(c) if t == "binary" else F.col(c).cast("string").cast("binary")).alias(c) for c, t in out.dtypes])
 
 
 def read_kafka(spark: SparkSession, **options) -> DataFrame:
