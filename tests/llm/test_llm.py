@@ -129,14 +129,19 @@ def test_toxicity_models_by_definition(spark, monkeypatch):
 
 
 # token counts
+def _texts() -> list:
+    texts = ["", None, "hello world", "  two  spaces\n\nline \t tab ", "it's we'll 'S", "naïve Ünïcode 你好 😀👍", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endof", "12345 67.8 $$$ ...", "x" * 5000, "\x1c\x1d a b　c​", " ", "\n", " a", "a ", "a \n b", "\r\n\r\n x"]
+    rnd = random.Random(1)
+    return texts + ["".join(rnd.choice("aB1 .'\n\té 😀<|") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    texts = ["", None, "hello world", "  two  spaces\n\nline \t tab ", "it's we'll 'S", "naïve Ünïcode 你好 😀👍", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endof", "12345 67.8 $$$ ...", "x" * 5000, "\x1c\x1d a b　c​", " ", "\n", " a", "a ", "a \n b", "\r\n\r\n x"]
-    rnd = random.Random(1)
-    texts += ["".join(rnd.choice("aB1 .'\n\té 😀<|") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    texts = _texts()
+    assert tc._plan(spark, path)[0] is tc.Counter
     got = {r["doc_id"]: r for r in tc.count_tokens(docs(spark, list(enumerate(texts))), path).collect()}
     for i, x in enumerate(texts):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
@@ -144,6 +149,41 @@ def test_token_counts(spark):
     assert len(every(spark, lambda d: tc.count_tokens(d, path), ["doc_id", "n_bytes", "n_tokens", "over_limit"])) == len(ODD)
 
 
+def test_token_counts_of_other_tokenizers(spark, tmp_path):
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    marks = ["a\u2581b", "\u2581", "\u2581\u2581 x", "<s> hi</s>", "x \u2581 y", "\x00a", "\ufb01\u2460\u212b", "a" + " " * 40 + "b"]
+    texts = [*_texts(), *marks, " ".join(WORDS * 3)]
+    changed = json.loads(Path(P.path("byte_bpe_50k.json")).read_text())
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    changed["truncation"] = {"max_length": 3, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}
+    (tmp_path / "prefix.json").write_text(json.dumps(changed))
+
+    def library(path):
+        if path.endswith(".model"):
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            return lambda x: len(sp.encode(x))
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        return lambda x: len(t.encode(x, add_special_tokens=False).ids)
+
+    for path, kind in ((P.path("word_bpe_49k.json"), tc.LibraryCounter), (P.path("piece_bpe_32k.model"), tc.PieceCounter), (str(tmp_path / "prefix.json"), tc.LibraryCounter)):
+        made, shared = tc._plan(spark, path)
+        assert made is kind
+        if kind is tc.PieceCounter:
+            assert len(shared.value[1]) > 15_000 and made(*shared.value).cuts
+        one = library(path)
+        got = {r["doc_id"]: r["n_tokens"] for r in tc.count_tokens(docs(spark, list(enumerate(texts))), path).collect()}
+        assert [got[i] for i in range(len(texts))] == [one(x or "") for x in texts], path
+        assert len(tc.count_tokens(docs(spark, ODD), path).collect()) == len(ODD) and tc.count_tokens(docs(spark, []), path).count() == 0
+    changed["model"]["dropout"] = 0.1
+    with pytest.raises(ValueError):
+        tc.splits_as_known(changed)
+
+
 def test_proofs():
     spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
     whole = tc.proven_whole(spec)

@@ -8,6 +8,12 @@ rest is merged, each distinct string once per batch and worker memo.
 Texts are cut at spaces between two non-space characters first: such a space always begins a pre-token,
 so the count of a piece doesn't depend on its neighbours, and pieces repeat often.
 
+What the proof rests on is read from the file. A .json whose split, normalizer or added tokens are others than those
+of a plain byte-level BPE is counted by its library, text by text (`LibraryCounter`). A .model (sentencepiece) is cut
+before each run of word marks, if no vocabulary string goes over such a place, and its library counts each distinct
+pre-token once; the texts' normal form comes from the library, and a pre-token counts by itself only where it is its
+own normal form.
+
 Rows: null and empty texts have 0 tokens; a text of any length is handled whole; special strings inside
 a text count as the library's default says (one token each); an empty table gives no rows; columns other
 than the id and the text are not read.
@@ -19,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +65,81 @@ def proven_whole(tokenizer_json: str) -> frozenset[str]:
     return frozenset(t for t, e in zip(candidates, encoded, strict=True) if len(e.ids) == 1)
 
 
+def splits_as_known(spec: dict) -> bool:
+    """Whether SPLIT is the tokenizer's own split, and its special strings are cut out as they are."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if model.get("dropout"):
+        raise ValueError("with dropout a text has no one count of tokens")
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    bare = model.get("type") == "BPE" and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token"))
+    return plain and bare and not spec.get("normalizer") and not any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip"))
+
+
+class LibraryCounter:
+    """Counts whole texts with the library, without truncation or padding."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        return [len(self.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+MARK = "\u2581"
+_MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+class PieceCounter:
+    """Counts with a sentencepiece model; keeps a bounded memo of pre-tokens, which are cut before each run of marks."""
+
+    def __init__(self, model: bytes, whole: frozenset[str] = frozenset(), memo: int = 200_000):
+        import sentencepiece
+
+        self.library, self.whole, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), whole, memo
+        self.counts: dict[str, int | None] = {}
+        vocabulary = self.vocabulary()
+        #: No vocabulary string goes on behind such a cut, and a mark by itself is one, so pre-tokens don't meet.
+        self.cuts = MARK in vocabulary and not any(re.search(f"[^{MARK}]{MARK}", v) for v in vocabulary)
+
+    def vocabulary(self) -> set[str]:
+        return {self.library.id_to_piece(i) for i in range(self.library.vocab_size())}
+
+    def alone(self, token: str) -> int | None:
+        """The library's count of a pre-token; None where no text has it as its normal form."""
+        text = token.replace(MARK, " ")
+        for t in (text[1:], text):
+            if self.library.normalize(t) == token:
+                return len(self.library.encode(t))
+        return None
+
+    def proven_whole(self) -> frozenset[str]:
+        """The vocabulary strings that are one pre-token and encode alone as one token."""
+        return frozenset(v for v in self.vocabulary() if _MARKED.fullmatch(v) and self.alone(v) == 1) if self.cuts else frozenset()
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        if len(self.counts) > self.most:
+            self.counts.clear()
+        return [self._count(t) if t else 0 for t in texts]
+
+    def _count(self, text: str) -> int:
+        n = 0
+        for token in _MARKED.findall(self.library.normalize(text)) if self.cuts else (None,):
+            if token in self.whole:
+                n += 1
+                continue
+            if token is not None and token not in self.counts:
+                self.counts[token] = self.alone(token)
+            own = self.counts.get(token)
+            if own is None:
+                return len(self.library.encode(text))
+            n += own
+        return n
+
+
 class Counter:
     """Counts tokens; keeps a bounded memo of pieces."""
 
@@ -117,14 +199,27 @@ class Counter:
         return out
 
 
+def _plan(spark: SparkSession, tokenizer_path: str) -> tuple:
+    """The counter's class, and what it is made of as a broadcast."""
+    raw = Path(tokenizer_path).read_bytes()
+    if tokenizer_path.endswith(".model"):
+        make, parts = PieceCounter, (raw, PieceCounter(raw).proven_whole())
+    else:
+        spec = raw.decode()
+        make, parts = (Counter, (spec, proven_whole(spec))) if splits_as_known(json.loads(spec)) else (LibraryCounter, (spec,))
+    return make, spark.sparkContext.broadcast(parts)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit. The vocabulary is read on the driver and broadcast (a few MB, by its file's size)."""
-    spec = open(tokenizer_path, encoding="utf-8").read()
-    shared = docs.sparkSession.sparkContext.broadcast((spec, proven_whole(spec)))
+    """doc_id, n_bytes, n_tokens, over_limit. The vocabulary is read on the driver and broadcast (a few MB, by its file's size).
+
+    tokenizer_path: a tokenizers .json or a sentencepiece .model.
+    """
+    make, shared = _plan(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        counter = Counter(*shared.value)
+        counter = make(*shared.value)
         for b in sliced(batches):
             n = counter.count(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
