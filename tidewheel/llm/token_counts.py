@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import sliced, table
 
 LIMIT = 512
+#: Characters of texts whose pieces are held at a time; a longer text is held by itself.
+_AT_ONCE = 1 << 20
 #: The library's split of byte-level BPE; its white space has no 0x1C-0x1F, unlike the regex module's.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:[^\p{White_Space}\p{L}\p{N}])+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _EDGE_SPACE = re.compile(r"^\s| [^\S ]|[^\S ] |\s$")
@@ -143,7 +145,7 @@ class PieceCounter:
 class Counter:
     """Counts tokens; keeps a bounded memo of pieces."""
 
-    def __init__(self, tokenizer_json: str, whole: frozenset[str], memo: int = 200_000):
+    def __init__(self, tokenizer_json: str, whole: frozenset[str], memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole, self.most = Tokenizer.from_str(tokenizer_json), whole, memo
@@ -179,23 +181,31 @@ class Counter:
         at = [0, *(m.start() for m in _INNER_SPACE.finditer(text)), len(text)]
         return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
 
+    def parts_of(self, text: str) -> tuple[int, list[str]]:
+        """The special strings in a text, and the pieces of the rest."""
+        if not any(s in text for s in self.special):
+            return 0, self.pieces_of(text)
+        parts = [p for p in self.cut.split(text) if p]
+        return len(self.cut.findall(text)), [x for p in parts for x in self.pieces_of(p)]
+
     def count(self, texts: list[str | None]) -> list[int]:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        out = []
-        for text in texts:
-            n, parts = 0, [text] if text else []
-            if text and any(s in text for s in self.special):
-                n = len(self.cut.findall(text))
-                parts = [p for p in self.cut.split(text) if p]
-            for part in parts:
-                pieces = self.pieces_of(part)
-                try:
-                    n += sum(map(self.pieces.__getitem__, pieces))
-                except KeyError:
-                    self.learn({p for p in pieces if p not in self.pieces})
-                    n += sum(map(self.pieces.__getitem__, pieces))
-            out.append(n)
+        out: list[int] = []
+        at = 0
+        while at < len(texts):
+            if len(self.pieces) > self.most:
+                self.pieces.clear()
+            held, size, new = [], 0, set()
+            while at < len(texts) and size < _AT_ONCE:  # pieces are learned for many texts at once
+                text = texts[at] or ""
+                n, pieces = self.parts_of(text) if text else (0, [])
+                held.append((n, pieces))
+                new.update(pieces)
+                size += len(text)
+                at += 1
+            new.difference_update(self.pieces)
+            if new:
+                self.learn(new)
+            out += [n + sum(map(self.pieces.__getitem__, pieces)) for n, pieces in held]
         return out
 
 
