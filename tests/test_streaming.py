@@ -35,7 +35,8 @@ def test_sessions(spark, tmp_path):
     got = _stream(spark, tmp_path, lambda d: stream_session_sum(d.filter("i % 10 < 7"), "k", "time", "i", "v", 4000))
     want = session_sum(spark.createDataFrame(ROWS, COLUMNS).filter("i % 10 < 7"), "k", "ts", "i", "v", 4000)
     got, want = ({(r["k"], r["emit_ts"]): r["sum"] for r in d.collect()} for d in (got, want))
-    assert got.items() <= want.items() and len(got) >= len(want) - 2
+    still_open = {max(at for at in want if at[0] == k) for k in (1, 2)}
+    assert got.items() <= want.items() and want.keys() - got.keys() <= still_open
 
 
 def test_patterns(spark, tmp_path):

@@ -94,10 +94,11 @@ def _events(spark, rows):
 
 @pytest.mark.parametrize("shapes", [True, False])
 @pytest.mark.parametrize(("spec", "rows", "times"), [
-    ({"when": "kind == 'add_to_cart'", "notThen": "kind == 'purchase'", "within": 5000}, [(0, "add_to_cart", "", 0), (1000, "view", "", 0), (6500, "view", "", 0)], [0]),
-    ({"when": "kind == 'add_to_cart'", "notThen": "kind == 'purchase'", "within": 5000}, [(0, "add_to_cart", "", 0), (2000, "purchase", "", 0)], []),
-    ({"when": "kind == 'auth'", "then": ["kind == 'auth' && card == first_card"], "within": 60000}, [(0, "auth", "VISA-1", 0), (1000, "auth", "OTHER", 0), (2000, "auth", "VISA-1", 0)], [2000]),
-    ({"when": "kind == 'auth' && amount < 200"}, [(0, "auth", "", 50), (1, "auth", "", 999)], [0]),
+    ({"when": "kind == 'open'", "notThen": "kind == 'shut'", "within": 400}, [(10, "open", "", 0), (90, "knock", "", 0), (411, "knock", "", 0)], [10]),
+    ({"when": "kind == 'open'", "notThen": "kind == 'shut'", "within": 400}, [(10, "open", "", 0), (410, "shut", "", 0)], []),
+    ({"when": "kind == 'open'", "notThen": "kind == 'shut'", "within": 400}, [(10, "open", "", 0), (411, "shut", "", 0)], [10]),
+    ({"when": "kind == 'lift'", "then": ["kind == 'drop' && card == first_card"], "within": 700}, [(0, "lift", "left", 0), (50, "drop", "right", 0), (60, "drop", "left", 0), (70, "lift", "right", 0), (771, "drop", "right", 0)], [60]),
+    ({"when": "kind == 'weigh' && amount >= 31"}, [(0, "weigh", "", 30), (4, "weigh", "", 31), (5, "lift", "", 99)], [4]),
 ])
 def test_specs(spark, spec, rows, times, shapes):
     m = match_pattern(_events(spark, rows), Pattern.from_spec({"name": "x", **spec}), "k", "ts", "i", "i", shapes).collect()
