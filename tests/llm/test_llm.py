@@ -84,6 +84,49 @@ def test_toxicity_without_labels(spark, toxic_table):
     every(spark, lambda x: toxicity.score(x, model, weights), ["doc_id", "score"])
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """More labelled rows than any bound there once was (12 000 and 4 000 to fit, 6 000 to calibrate): each is learned from."""
+    toxic = {i: int(i % 4 == 0) for i in range(40_000)}
+    d = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ka lo w"), F.col("id")).alias("text")).union(spark.range(500).select("id", F.lit("a lesser text")))
+    lab = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    sample = toxicity.labelled(d, lab)
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in toxic}
+    got = {r["doc_id"]: (r["toxic"], r["part"], r["text"]) for r in sample.collect()}
+    assert sample.count() == len(got) and got == {i: (toxic[i], "calibrate" if f == 4 else "fit", "a lesser text" if i < 500 else f"ka lo w{i}") for i, f in folds.items() if f}
+    pair = {r["word"]: r for r in toxicity.pair_counts(sample).where(F.col("before") == toxicity.word_hash("ka")).collect()}
+    own = lambda y, parts: sum(toxic[i] == y and f in parts for i, f in folds.items() if i >= 500)
+    r = pair[toxicity.word_hash("lo")]
+    assert len(pair) == 1 and [r["o"], r["t"], r["all_o"], r["all_t"]] == [own(0, (1, 2, 3)), own(1, (1, 2, 3)), own(0, (1, 2, 3, 4)), own(1, (1, 2, 3, 4))]
+
+
+def test_toxicity_counts_over_many_buckets(spark, monkeypatch):
+    """Several flushes, and a word's entries in several buckets, count each pair once."""
+    rnd = random.Random(5)
+    rows = [(text(rnd, rnd.randint(0, 30)) or None, rnd.randint(0, 1), rnd.choice(["fit", "calibrate"])) for _ in range(300)]
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(toxicity, "_FLUSH", 200)
+    sample = spark.createDataFrame(rows, "text string, toxic int, part string")
+    got = [tuple(r) for r in toxicity.pair_counts(sample).select("before", "word", "o", "t", "all_o", "all_t").collect()]
+    want = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for t, y, part in rows:
+        w = [toxicity.word_hash(x) for x in (toxicity.START, *(t or "").split(), toxicity.END)]
+        for pair in set(zip(w, w[1:], strict=False)):
+            want[pair][y] += part == "fit"
+            want[pair][2 + y] += 1
+    assert sorted(got) == sorted((*k, *v) for k, v in want.items())
+
+
+def test_toxicity_calibration_uses_all_rows(spark):
+    """Newton's steps as sums over partitions end where the penalised likelihood of all rows is flat."""
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(9_000, 4))
+    y = rnd.random(9_000) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 0.3, 0.0] - 1.0)))
+    w = toxicity.logistic(spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "toxic int, score array<double>").repartition(7))
+    full = np.hstack([np.ones((9_000, 1)), x])
+    slope = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - np.array([1e-6] + [toxicity.RIDGE] * 4) * w
+    assert np.abs(slope).max() < 1e-5
+
+
 def test_toxicity_models_by_definition(spark, monkeypatch):
     rnd = random.Random(13)
     rows = [(i, " ".join(rnd.choice(WORDS[:6] + ["bad"] * (i % 3 == 0)) for _ in range(rnd.randint(0, 20))), int(i % 3 == 0)) for i in range(60)]
