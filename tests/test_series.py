@@ -223,3 +223,15 @@ def test_open_matches_are_not_dropped(spark):
         assert match_pattern(d, p, "k", "ts", "i", "i", shapes).count() == 2000
     capped = match_pattern(d, p, "k", "ts", "i", "i", max_in_flight=100).groupBy("dropped").count().collect()
     assert {r["dropped"]: r["count"] for r in capped} == {None: 100, "MaxInFlight": 1900}
+
+
+def _equal_then_moving(spark):
+    v = [2.5, 2.5, 2.5, 2.5, 3.0, 4.0, 4.0, 4.0]
+    f = flow(spark, v, unique=True, y=[1.0, 2.0, 3.0, 4.0, 5.0, 7.0, 7.0, 7.0])
+    return f.prop("v", required=True), f.prop("y", required=True), [None, None, None, None, 0.866025, 1.0, 1.0, None]
+
+
+def test_correlation_of_equal_values_is_absent(spark):
+    v, y, want = _equal_then_moving(spark)
+    got = out(v.flow, x=v.correlation(y, Count(3)))["x"]
+    assert [g if g is None else round(g, 6) for g in got] == want
