@@ -235,3 +235,9 @@ def test_correlation_of_equal_values_is_absent(spark):
     v, y, want = _equal_then_moving(spark)
     got = out(v.flow, x=v.correlation(y, Count(3)))["x"]
     assert [g if g is None else round(g, 6) for g in got] == want
+
+
+def test_correlation_over_time_of_equal_values_is_absent(spark):
+    v, y, want = _equal_then_moving(spark)
+    got = out(v.flow, x=v.correlation(y, Time("2s")))["x"]
+    assert [g if g is None else round(g, 6) for g in got] == want
