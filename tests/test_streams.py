@@ -253,3 +253,20 @@ def test_batches_split_by_disorder(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate((0, 5, 12, 3, 14))], "k int, i bigint, ts bigint")
     got = [(r["bucket"], [x["ts"] for x in r["items"]]) for r in C.batch_by_time(df, "k", "ts", "i", 10, ["ts"]).orderBy("batch").collect()]
     assert got == [(0, [0, 5]), (10, [12]), (0, [3]), (10, [14])]
+
+
+def test_window_totals_by_brute_force(spark):
+    left = spark.createDataFrame([(i, t) for i, t in enumerate([0, 9, 10, 10, 20, -7, 400, None])], "id int, ts int")
+    times = [-17, -10, 0, 0, 1, 9, 19, 20, 21, 30, 31, 410, 411, None]
+    right = spark.createDataFrame([(t, None if i == 4 else 2**i) for i, t in enumerate(times)], "rts bigint, `a.b` bigint")
+    for w in (0, 1, 10):
+        got = {r["id"]: (r["ts"], r["n"], r["s"]) for r in C.window_totals(left, right, "ts", "rts", w, {"s": "a.b"}).collect()}
+        near = {r["id"]: [i for i, t in enumerate(times) if None not in (t, r["ts"]) and abs(t - r["ts"]) <= w] for r in left.collect()}
+        assert got == {r["id"]: (r["ts"], len(near[r["id"]]), sum(2**i for i in near[r["id"]] if i != 4)) for r in left.collect()}
+
+
+def test_window_join_shuffles_no_pairs(spark):
+    left, right = (spark.range(300).select(F.col("id"), (F.col("id") % 3).alias(t)) for t in ("ts", "rts"))
+    joined = C.window_join(left, right.withColumnRenamed("id", "n"), "id", "ts", "rts", 10, ["n"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert all([m["n"] for m in r["matches"]] == sorted(range(300), key=lambda n: (n % 3, n)) for r in joined.collect())
