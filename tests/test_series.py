@@ -241,3 +241,15 @@ def test_correlation_over_time_of_equal_values_is_absent(spark):
     v, y, want = _equal_then_moving(spark)
     got = out(v.flow, x=v.correlation(y, Time("2s")))["x"]
     assert [g if g is None else round(g, 6) for g in got] == want
+
+
+def _plan(f, **series):
+    return f.select(keep=["i"], **series)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_means_list_a_window_once(spark):
+    f = flow(spark, [1.0, 2.0, 4.0], ts=[0, 1000, 4000], unique=True)
+    v = f.prop("v", required=True)
+    assert _plan(f, x=v.wma(Time("5s"))).count("collect_list(") == 2  # times and values
+    w = [0.001, 0.251, 1.001]
+    assert out(f, x=v.wma(Time("5s")))["x"][2] == pytest.approx((w[0] + 2 * w[1] + 4 * w[2]) / sum(w))
