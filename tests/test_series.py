@@ -253,3 +253,11 @@ def test_weighted_means_list_a_window_once(spark):
     assert _plan(f, x=v.wma(Time("5s"))).count("collect_list(") == 2  # times and values
     w = [0.001, 0.251, 1.001]
     assert out(f, x=v.wma(Time("5s")))["x"][2] == pytest.approx((w[0] + 2 * w[1] + 4 * w[2]) / sum(w))
+
+
+def test_windows_over_ties_sort_once_before_lists(spark):
+    f = flow(spark, [3.0, 1.0, 2.0, 5.0], ts=[0, 1000, 1000, 4000])
+    v = f.prop("v", required=True)
+    plan = _plan(f, m=v.median("5s"), r=v.rank("5s"), s=v.sma("5s"))
+    assert plan.count("Sort [") == 1 and plan.count("collect_list(") == 2  # of earlier times, and of ties
+    assert out(f, m=v.median("5s"))["m"] == [3.0, 2.0, 2.0, 2.5]
